@@ -7,22 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspan.llm import language
+from trialspan.llm import language, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP2_SQL = r"""
+with recursive word as materialized (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from word),
+class as materialized (select s, len(s) as n, min(doc_id) as rep from (select doc_id, list_sort(s) as s from sets) group by s),
+item as materialized (select rep, n, unnest(s) as g from class where n > 0),
+link as materialized (select a.rep as a, b.rep as b from item a join item b on a.g = b.g and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select rep as a, rep as b from class union select r.a, l.b from reach r join link l on r.b = l.a),
+part as (select a as rep, min(b) as part from reach group by a)
+select d.doc_id, cast(c.n as bigint) as n_shingles, case when c.n = 0 then d.doc_id else p.part end as component_id, (c.n = 0 or p.part = d.doc_id) as kept
+from (select doc_id, list_sort(s) as s from sets) d join class c on d.s = c.s join part p on p.rep = c.rep
+"""
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.held_out()))
     return language.identify(docs.withColumn("held_out", language.held_out()), model, ["doc_id", "held_out"])
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_neardup": OP2_SQL}
