@@ -10,11 +10,20 @@ is spread over the unseen ones as the next shorter context has it, renormalised
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trialspan.llm._arrays import slices
 
 #: Memory that the table of all models may take in a worker; beyond it the order is lowered.
 TABLE_BYTES = 96 << 20
 ORDER = 3
+#: Distinct (model, context) counts that a task keeps before it merges them.
+PENDING = 4_000_000
 
 
 def packed(data: np.ndarray, off: np.ndarray, classes: np.ndarray, size: int, order: int) -> np.ndarray:
@@ -73,3 +82,49 @@ def summed(table: np.ndarray, keys: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(table[keys], off[:-1][full], axis=0, dtype=np.float64)
     return out
+
+
+def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.ndarray]:
+    """(labels, table of code lengths) from rows (label, text), one model a label.
+
+    Each task sends the counts of the contexts it saw; the driver gets at most size**4 numbers
+    a model, however large the input. With no rows there are no models.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        room = size ** (ORDER + 1)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for batch in batches:
+            names = batch.column("label").to_pylist()
+            for i, j, off, data in slices(batch.column("text")):
+                code = np.array([codes.setdefault(x, len(codes)) for x in names[i:j]], np.int64)
+                keys = packed(data, off, classes, size, ORDER)
+                held.append(counted(keys + np.repeat(code, np.diff(off)) * room))
+            if sum(len(k) for k, _ in held) > PENDING:
+                held = [merged()]
+        if held:
+            keys, n = merged()
+            for name, c in codes.items():
+                at = keys // room == c
+                k = keys[at] % room
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(n[at])], names=["label", "key", "n"])
+
+    counts = rows.select("label", "text").mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(counts.column("label").to_pylist()))
+    order = order_for(size, max(1, len(names)))
+    table = np.zeros((size ** (order + 1), len(names)), np.float32)
+    labels = np.asarray(counts.column("label").to_pandas())
+    keys, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
+    for c, name in enumerate(names):
+        table[:, c] = code_lengths(keys[labels == name], n[labels == name], size, ORDER, order)
+    return names, table
+
+
+def order_of(table: np.ndarray, size: int) -> int:
+    return round(np.log(len(table)) / np.log(size)) - 1

@@ -33,52 +33,12 @@ CLASSES[0x80:0xC0] = 30 + ((np.arange(0x80, 0xC0) & 0x1F) >> 1)
 
 #: Bytes of text whose code-length difference decides the score; longer texts count as so many.
 SCORE_BYTES = 64
-#: Distinct (language, context) counts that a task keeps before it merges them.
-PENDING = 4_000_000
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, table of code lengths) from all rows of docs with a label.
-
-    Each task sends the counts of the contexts it saw; the driver gets at most
-    46**4 numbers a language, however large the input.
-    """
-    rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        room = SIZE ** (_context.ORDER + 1)
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        for batch in batches:
-            names = batch.column("lang").to_pylist()
-            for i, j, off, data in slices(batch.column("text")):
-                code = np.array([codes.setdefault(x, len(codes)) for x in names[i:j]], np.int64)
-                keys = _context.packed(data, off, CLASSES, SIZE, _context.ORDER)
-                held.append(_context.counted(keys + np.repeat(code, np.diff(off)) * room))
-            if sum(len(k) for k, _ in held) > PENDING:
-                held = [merged()]
-        if held:
-            keys, n = merged()
-            by = {v: k for k, v in codes.items()}
-            for c in np.unique(keys // room):
-                at = keys // room == c
-                k = keys[at] % room
-                yield pa.RecordBatch.from_arrays([pa.array([by[int(c)]] * len(k), pa.string()), pa.array(k), pa.array(n[at])], names=["lang", "key", "n"])
-
-    counts = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts.column("lang").to_pylist()))
-    order = _context.order_for(SIZE, max(1, len(names)))
-    table = np.zeros((SIZE ** (order + 1), len(names)), np.float32)
-    labels = np.asarray(counts.column("lang").to_pandas())
-    keys, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
-    for c, name in enumerate(names):
-        table[:, c] = _context.code_lengths(keys[labels == name], n[labels == name], SIZE, _context.ORDER, order)
-    return names, table
+    """(languages, table of code lengths) from all rows of docs with a label."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
+    return _context.fit(rows.select(F.col(lang).alias("label"), F.col(text).alias("text")), CLASSES, SIZE)
 
 
 def scored(column: pa.Array, letters: np.ndarray, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +46,7 @@ def scored(column: pa.Array, letters: np.ndarray, names: list[str], table: np.nd
     best, score, bits = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
     if not names:
         return best, score, bits
-    order = round(np.log(len(table)) / np.log(SIZE)) - 1
+    order = _context.order_of(table, SIZE)
     for i, j, off, data in slices(column):
         total = _context.summed(table, _context.packed(data, off, CLASSES, SIZE, order), off)
         size = np.maximum(np.diff(off), 1)
