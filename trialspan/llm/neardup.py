@@ -6,10 +6,12 @@ after `SIZE` rounds each coordinate still empty is filled by a round of its own.
 coordinate fills, and the share of equal coordinates is concentrated around the Jaccard
 similarity at least as well as with independent functions.
 
-Equal sets become one class. Classes that share a band are candidates: in each bucket all
-are compared with the first; buckets that still hold several components then take further
-members as centres, until every pair of different components in a bucket was compared. No
-candidate is capped. A pair is a link if its full sets say so.
+Equal sets become one class. Classes that share a band are candidates: in each bucket all are
+compared with the first, on their full sets. Classes that buckets connect form a family; a
+family that still holds several components is compared within itself, in blocks of bounded
+size: sketches rule pairs out by the concentration bound, full sets decide the rest, and only
+links that join two components leave the worker. No candidate is capped, and a link is a
+link only if full sets say so.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing. A
 text with fewer words than a shingle is one shingle. A row without an id is linked with
@@ -28,14 +30,16 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
 from trialspan.llm._components import components
-from trialspan.llm._store import dropped, written
+from trialspan.llm._store import written
 
 SIZE = 128
 BITS = 7
 #: 25 bands of 5 coordinates: a pair at 0.85 shares no band with probability 4e-7.
 BANDS, ROWS = 25, 5
-#: Share of equal coordinates below which a pair is not verified: eight standard deviations under 0.8.
-LEAST_EQUAL = 0.52
+#: Standard deviations under the threshold from which an estimate rules a pair out.
+DEVIATIONS = 5.0
+#: Shingles in a block of a family; a task holds two blocks.
+BLOCK = 1 << 20
 SHINGLE = 5
 _ROUND = np.random.default_rng(11).integers(0, 1 << 63, 2 * SIZE, dtype=np.uint64)
 _BAND = np.random.default_rng(13).integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -104,12 +108,55 @@ def _set_bytes(n: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        least = LEAST_EQUAL * SIZE
-        same = [int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= least for p, q in zip(x, y, strict=True)]
-        yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+def _least_equal(percent: int) -> float:
+    """Equal coordinates that a pair at the threshold has, all but surely."""
+    share = percent / 100
+    return SIZE * share - DEVIATIONS * (SIZE * share * (1 - share)) ** 0.5
+
+
+def _alike(percent: int):
+    least = _least_equal(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            same = [int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= least for p, q in zip(x, y, strict=True)]
+            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _joined(percent: int):
+    """Links that join components within two blocks of a family."""
+    least = _least_equal(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        lo, hi = int(table.column("p")[0].as_py()), int(table.column("q")[0].as_py())
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, SIZE)
+        sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, root = np.unique(table.column("part").to_numpy(), return_inverse=True)
+        a, b = [], []
+        for i in range(len(ids)):
+            if block[i] != lo:
+                continue
+            other = np.flatnonzero((root != root[i]) & (block == hi) & ((block != lo) | (np.arange(len(ids)) > i)))
+            other = other[np.minimum(size[i], size[other]) * 100 >= percent * np.maximum(size[i], size[other])]
+            other = other[(marks[other] == marks[i]).sum(1) >= least]
+            if not len(other):
+                continue
+            all_ = np.concatenate([sets[k] for k in other])
+            at = np.minimum(np.searchsorted(sets[i], all_), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == all_).astype(np.int64), np.concatenate(([0], np.cumsum(size[other])[:-1])))
+            for k in other[100 * both >= percent * (size[i] + size[other] - both)]:
+                if root[k] != root[i]:
+                    a.append(ids[i])
+                    b.append(ids[k])
+                    root[root == root[k]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _linked(percent: int):
@@ -148,47 +195,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = classes.join(needed, "id", "left_semi").select("id", "marks")
     full = written(rows.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_bytes(shingle), "id long, shingles binary"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = _with_both(pairs, marks, "marks").mapInArrow(_alike, "a long, b long")
-        return written(_with_both(near, full, "shingles").mapInArrow(_linked(percent), "a long, b long"), "verified")
-
-    star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(star)
-    found = _labelled(links)
-
-    open_, done = _open(members, found), 1
-    size = open_.groupBy("key").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count")), F.max("count")).head()
-    if size[0]:
-        open_ = written(open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))), "open")
-        step = size[2] if size[1] <= 50 * size[0] else 1
-        while done < size[2]:
-            now = open_.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "rank", F.coalesce("component", "id").alias("part"))
-            centres = now.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("key", F.col("id").alias("a"), F.col("rank").alias("at"), F.col("part").alias("of"))
-            pairs = now.where(F.col("rank") > done).join(centres, "key").where("rank > at and part <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-            more = verified(pairs)
-            done += step
-            step *= 4
-            if not more.isEmpty():
-                links = written(links.unionByName(more), "links")
-                found = _labelled(links)
-            dropped(more)
+    star = written(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    near = _with_both(star, marks, "marks").mapInArrow(_alike(percent), "a long, b long")
+    links = written(_with_both(near, full, "shingles").mapInArrow(_linked(percent), "a long, b long"), "verified")
+    found = written(components(links), "components")
+
+    family = components(star).join(found.withColumnRenamed("component", "part"), "node", "left").select(F.col("component").alias("family"), F.col("node").alias("id"), F.coalesce("part", "node").alias("part"))
+    family = written(family, "families")
+    several = family.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("family")
+    sized = family.join(several, "family", "left_semi").join(classes.select("id", "n"), "id")
+    before = F.sum("n").over(Window.partitionBy("family").orderBy("id")) - F.col("n")
+    blocks = sized.select("family", "id", "part", F.floor(before / BLOCK).alias("block"))
+    last = blocks.groupBy("family").agg(F.max("block").alias("last"))
+    blocks = blocks.join(last, "family").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    blocks = blocks.select("family", "id", "part", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).join(marks, "id").join(full, "id")
+    more = written(blocks.groupBy("family", "p", "q").applyInArrow(_joined(percent), "a long, b long"), "joined")
+    if not more.isEmpty():
+        found = written(components(links.unionByName(more)), "components")
     part = classes.join(found, F.col("id") == F.col("node"), "left").select("one", "two", "n", F.coalesce("component", "id").alias("part"))
     out = made.select("id", "n", "one", "two").join(part, ["one", "two", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _labelled(links: DataFrame) -> DataFrame:
-    return written(components(links), "components")
-
-
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    now = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    several = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return now.join(several, "key", "left_semi").select("key", "id")
-
-
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """docs, all columns, with one document of each group; repeated rows of an id count as one document."""
     found = written(near_duplicates(docs, doc_id, text, percent), "neardup")
