@@ -1,25 +1,58 @@
-"""A corpus pipeline: each stage takes the documents its predecessor kept."""
+"""A corpus pipeline: each stage takes the documents its predecessor kept and lets its decisions take effect.
+
+Language identification drops documents in no known language, near-duplicate detection keeps
+the document of the least id of each group, decontamination drops documents that hold a
+benchmark passage, personal data is masked in place, and mixing adds a rate to each document
+and drops those with rate 0. All stages but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from trialspan.llm import language
+from trialspan.llm import _store, decontaminate, language, mixing, neardup, pii
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; null, empty and letterless texts go."""
     return language.known(docs, language.train(docs.where(~language.held_out())))
 
 
-STAGES = [("language_id", language_id)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.survivors(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.weighted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_masking", pii_masking),
+    ("source_mixing", source_mixing),
+]
 
-#: Frozen-statistics code lengths and sketches have no SQL form.
+#: Code lengths under frozen statistics, alignments and fitted rates have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    where = f"{_store.folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{where}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
