@@ -83,14 +83,14 @@ def known(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     while flag in docs.columns:
         flag += "_"
     rows = docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    at = docs.columns.index(text)
+    names_out, at = docs.columns, docs.columns.index(text)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             best, _, _ = scored(batch.column(at), letters, names, shared.value)
             kept = batch.filter(pa.array(best >= 0))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names_out)
 
     return rows.mapInArrow(passed, docs.schema)
 
