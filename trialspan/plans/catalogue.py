@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["aggregate_queries"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -24,7 +27,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Imports the modules whose functions register themselves."""
+    for name in MODULES:
+        import_module(f"trialspan.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
