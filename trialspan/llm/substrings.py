@@ -9,9 +9,11 @@ that are not settled are refined further.
    the string alone, and neighbouring starts mostly share it, so a run of starts with one
    bucket travels as one row. Buckets with a single document are settled: nothing repeats.
 2. Buckets are refined by the identity of the whole run (the bytes that its strings span).
-   All strings of a run that an earlier document holds too are settled: they go.
-3. Where a bucket still has different runs, the strings in their first holders are told apart
-   one by one, by the identifiers of their q-grams at offsets 0, q and LENGTH - q.
+   All strings of a run that an earlier document holds too are settled: they go. A string
+   reaches at least SIDE bytes beyond its bucket's q-gram on one side, so different runs are
+   settled too unless they agree on SIDE bytes before or after it.
+3. Of the runs still open, the strings in their first holders are told apart one by one, by
+   the identifiers of their q-grams at offsets 0, q and LENGTH - q.
 
 Identifiers are 64-bit hashes. Rows are packed into one value per task and bucket. Within a
 task, repeats of a run travel no further than that they go, so a passage that very many
@@ -38,8 +40,12 @@ from trialspan.llm._store import written
 LENGTH = 50
 Q = 20
 SPAN = LENGTH - Q + 1
+#: Bytes that a string reaches beyond the q-gram on one side or the other.
+SIDE = SPAN // 2
 #: Starts in a run at most.
 RUN = 64
+#: Bytes of text whose rows a task holds before it sends them on.
+FLUSH_BYTES = 8 << 20
 #: Documents whose ids may be broadcast to narrow a join; beyond it the join shuffles all texts.
 NARROW = 1_000_000
 #: Bytes of text for each bucket of packed rows.
@@ -47,24 +53,33 @@ BUCKET_BYTES = 16 << 20
 _U = np.uint64
 
 
-def _least(g: np.ndarray) -> np.ndarray:
-    """The least of SPAN consecutive values, at each position that has them."""
-    out, width = g, 1
+def _least(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the least of SPAN consecutive values, the first place that has it), at each position."""
+    low, at, width = g, np.arange(len(g), dtype=np.int32), 1
+
+    def joined(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        left = low[:-shift] <= low[shift:]
+        return np.where(left, low[:-shift], low[shift:]), np.where(left, at[:-shift], at[shift:])
+
     while 2 * width <= SPAN:
-        out = np.minimum(out[:-width], out[width:])
+        low, at = joined(width)
         width *= 2
-    return np.minimum(out[: len(g) - SPAN + 1], out[SPAN - width :]) if width < SPAN else out
+    return joined(SPAN - width) if width < SPAN else (low, at)
 
 
-def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, run identity, text, first start within it, starts) of all runs."""
+def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket, run identity, text, first start within it, starts, side before, side after) of all runs.
+
+    A side is a 16-bit hash of the SIDE bytes before or after the run's q-gram, 0 if no string
+    of the run reaches so far, and 1 if the run has several places of its q-gram.
+    """
     n = len(data) - LENGTH + 1
-    none = np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(3))
+    none = np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(5))
     if n <= 0:
         return none
     sums = A.prefix(data)
     at = np.arange(len(data) - Q + 1)
-    low = _least(A.spans(sums, at, at + Q))
+    low, place = _least(A.spans(sums, at, at + Q))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
     whole = np.arange(n) + LENGTH <= off[doc + 1]
     new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))
@@ -73,9 +88,17 @@ def _runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first = np.flatnonzero((new | (since % RUN == 0)) & whole)
     if not len(first):
         return none
-    ends = np.flatnonzero(np.concatenate((new[1:] | (since[1:] % RUN == 0) | ~whole[1:], [True])) & whole)
-    d = doc[first]
-    return low[first], A.spans(sums, first, ends + LENGTH), d, first - off[d], ends - first + 1
+    last = np.flatnonzero(np.concatenate((new[1:] | (since[1:] % RUN == 0) | ~whole[1:], [True])) & whole)
+    d, gram = doc[first], place[first].astype(np.int64)
+
+    def side(start: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        start = np.where(fits, start, first)
+        h = (A.spans(sums, start, start + SIDE) >> _U(48)).astype(np.int64)
+        return np.where(place[last] != gram, 1, np.where(fits, np.maximum(h, 2), 0))
+
+    before = side(gram - SIDE, first <= gram - SIDE)
+    after = side(gram + Q, last + LENGTH >= gram + Q + SIDE)
+    return low[first], A.spans(sums, first, last + LENGTH), d, first - off[d], last - first + 1, before, after
 
 
 def _planes(x: np.ndarray, k: int) -> bytes:
@@ -89,8 +112,8 @@ def _from_planes(raw: np.ndarray, n: int, k: int, kind: type) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
-#: Bytes kept of bucket, identity, document, start, number of starts.
-_WIDTHS = ((6, _U), (6, _U), (8, np.int64), (4, np.int64), (1, np.int64))
+#: Bytes kept of bucket, identity, document, start, number of starts, sides.
+_WIDTHS = ((6, _U), (6, _U), (8, np.int64), (4, np.int64), (1, np.int64), (2, np.int64), (2, np.int64))
 
 
 def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
@@ -137,25 +160,33 @@ def _settled(key: np.ndarray, identity: np.ndarray, doc: np.ndarray) -> tuple[np
 
 
 def _first_runs(many: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            found = [(low, same, ids[i + d], start, starts) for i, _, off, data in A.slices(batch.column("text")) for low, same, d, start, starts in [_runs(data, off)]]
-            if not found:
-                continue
-            low, same, doc, start, starts = (np.concatenate(c) for c in zip(*found, strict=True))
-            low, same = low & _U((1 << 48) - 1), same & _U((1 << 48) - 1)
-            if not len(low):
-                continue
+    def sent(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        columns = (columns[0] & _U((1 << 48) - 1), columns[1] & _U((1 << 48) - 1), *columns[2:])
+        low, same, doc = columns[:3]
+        if len(low):
             order, group, first = _settled(low, same, doc)
-            gone = doc[order] > doc[order][first][group]  # an earlier document of this batch has the run
+            gone = doc[order] > doc[order][first][group]  # an earlier document of this task has the run
             kept, lost = np.sort(order[~gone]), np.sort(order[gone])
-            columns = (low, same, doc, start, starts)
             out = list(_rows(_bucket(low[kept], many), many, tuple(c[kept] for c in columns), 0))
             if len(lost):
                 out += _rows(np.abs(doc[lost]) % many, many, tuple(c[lost] for c in columns), 1)
             yield _packed(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for i, _, off, data in A.slices(batch.column("text")):
+                low, same, d, *rest = _runs(data, off)
+                found.append((low, same, ids[i + d], *rest))
+                held += len(data)
+                if held > FLUSH_BYTES:
+                    yield from sent(found)
+                    found, held = [], 0
+        if found:
+            yield from sent(found)
+
     return run
 
 
@@ -181,29 +212,52 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that go, and runs of first holders whose strings are to be told apart."""
     for rows, lost in _grouped(batches):
         if lost:
-            yield _gone(*_unpack(lost)[2:], False)
+            yield _gone(*_unpack(lost)[2:5], False)
         if not rows:
             continue
-        low, same, doc, start, starts = _unpack(rows)
+        low, same, doc, start, starts, before, after = _unpack(rows)
         order, group, first = _settled(low, same, doc)
         low, doc, start, starts = low[order], doc[order], start[order], starts[order]
         gone = doc > doc[first][group]
         yield _gone(doc[gone], start[gone], starts[gone], False)
         edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        spread = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
-        kinds = np.add.reduceat(np.concatenate(([1], np.diff(group))).astype(np.int64) > 0, edge)
-        kinds = np.maximum(kinds, 1)
-        unsettled = np.repeat(spread & (kinds > 1), np.diff(np.append(edge, len(low)))) & ~gone
-        yield _gone(doc[unsettled], start[unsettled], starts[unsettled], True)
+        many = np.diff(np.append(edge, len(low)))
+        spread = np.repeat(np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), many)[first]
+        key, sides = low[first], (before[order][first], after[order][first])
+        open_ = _shared(key[spread], *(x[spread] for x in sides))
+        still = np.zeros(len(first), bool)
+        still[np.flatnonzero(spread)[open_]] = True
+        still = still[group] & ~gone
+        yield _gone(doc[still], start[still], starts[still], True)
+
+
+def _shared(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether another run of the bucket agrees on a side; all of a bucket with a run that has several places."""
+    out = np.zeros(len(key), bool)
+    for side in (before, after):
+        order = np.lexsort((side, key))
+        k, s = key[order], side[order]
+        equal = (k[1:] == k[:-1]) & (s[1:] == s[:-1]) & (s[1:] != 0)
+        out[order[1:][equal]] = True
+        out[order[:-1][equal]] = True
+    wild = np.unique(key[before == 1])
+    if len(wild):
+        out |= wild[np.minimum(np.searchsorted(wild, key), len(wild) - 1)] == key
+    return out
 
 
 def _strings(many: int):
     """One row for each string in the runs of (id, text, runs)."""
 
+    def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, other, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+        one, zero = np.ones(len(key), np.int64), np.zeros(len(key), np.int64)
+        return _packed(list(_rows(_bucket(key, many), many, (key, other, doc, start, one, zero, zero), 0)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             ids, runs = batch.column("id").to_numpy(), batch.column("runs")
-            parts = []
             for i, j, off, data in A.slices(batch.column("text")):
                 sums = A.prefix(data)
                 for k in range(i, j):
@@ -211,10 +265,13 @@ def _strings(many: int):
                     at = s + off[k - i]
                     three = [A.spans(sums, at + o, at + o + Q) for o in (0, Q, LENGTH - Q)]
                     key = A.mix(three[0] * A._LANES[0] + three[1] * A._LANES[1] + three[2] * A._LANES[2])
-                    parts.append((key, three[0], np.full(len(s), ids[k]), s))
-            if parts:
-                key, other, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield _packed(list(_rows(_bucket(key, many), many, (key, other, doc, start, np.ones(len(key), np.int64)), 0)))
+                    parts.append((key, key >> _U(48), np.full(len(s), ids[k]), s))
+                    held += len(s)
+                if held > FLUSH_BYTES // 16:
+                    yield sent(parts)
+                    parts, held = [], 0
+        if parts:
+            yield sent(parts)
 
     return run
 
@@ -228,7 +285,7 @@ def _starts(runs: pa.Scalar) -> np.ndarray:
 
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, _ in _grouped(batches):
-        key, other, doc, start, starts = _unpack(rows)
+        key, other, doc, start = _unpack(rows)[:4]
         order, group, first = _settled(key, other, doc)
         gone = doc[order] > doc[order][first][group]
         doc, start = doc[order][gone], start[order][gone]
