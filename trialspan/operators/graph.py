@@ -9,16 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder that spark.checkpoint.dir names; only where that is unset, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="trialspan-"))
-    return df.checkpoint()
+from trialspan.session import checkpointed
 
 
 def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
@@ -27,11 +18,11 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
     Paths double in each round, so the rounds grow with the logarithm of the longest path.
     """
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
-    now = _checkpointed(base.withColumn("depth", F.lit(1)))
+    now = checkpointed(base.withColumn("depth", F.lit(1)))
     for _ in range(most):
         hop = now.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
         longer = now.join(hop, "ancestor").select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = _checkpointed(now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")))
+        after = checkpointed(now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")))
         if not after.where("child = ancestor").isEmpty():
             raise ValueError("the edges hold a cycle")
         if after.agg(F.count("*"), F.sum("depth")).head() == now.agg(F.count("*"), F.sum("depth")).head():
@@ -54,12 +45,12 @@ def validated(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent:
 
 def release_times(nodes: DataFrame, edges: DataFrame, node: str, cost: str, child: str, parent: str, most: int = 1000) -> DataFrame:
     """(node, start, end): an operation starts when all before it are done; no contention. Levels are relaxed until nothing moves."""
-    now = _checkpointed(nodes.select(F.col(node).alias("node"), F.col(cost).cast("long").alias("cost"), F.lit(0).cast("long").alias("start")))
+    now = checkpointed(nodes.select(F.col(node).alias("node"), F.col(cost).cast("long").alias("cost"), F.lit(0).cast("long").alias("start")))
     links = edges.select(F.col(child).alias("node"), F.col(parent).alias("before"))
     for _ in range(most):
         ends = now.select(F.col("node").alias("before"), (F.col("start") + F.col("cost")).alias("end"))
         late = links.join(ends, "before").groupBy("node").agg(F.max("end").alias("ready"))
-        after = _checkpointed(now.join(late, "node", "left").select("node", "cost", F.greatest("start", F.coalesce("ready", F.lit(0))).alias("start")))
+        after = checkpointed(now.join(late, "node", "left").select("node", "cost", F.greatest("start", F.coalesce("ready", F.lit(0))).alias("start")))
         if after.agg(F.sum("start")).head() == now.agg(F.sum("start")).head():
             return after.select("node", "start", (F.col("start") + F.col("cost")).alias("end"))
         now = after
@@ -68,14 +59,14 @@ def release_times(nodes: DataFrame, edges: DataFrame, node: str, cost: str, chil
 
 def components(edges: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
     """(node, component): the least node reachable, by alternating large and small stars."""
-    now = _checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = _checkpointed(pairs.where("u <> v").distinct())
+        after = checkpointed(pairs.where("u <> v").distinct())
         state = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if after.agg(*state).head() == now.agg(*state).head():
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
