@@ -14,11 +14,12 @@ def prefix_stop(df: DataFrame, task: str, seed: str, failed: Column, scored: Col
     (task, shots, scored, failures, state): state is target, minimum, cap, time cap, or running.
     Unscored rows do not fail; a missing seed closes the prefix.
     """
-    w = Window.partitionBy(task).orderBy(seed)
-    run = w.rowsBetween(*_RUNNING)
     scored = F.coalesce(scored, F.lit(False))
-    rows = df.select(task, seed, (F.coalesce(failed, F.lit(False)) & scored).cast("int").alias("f"), scored.cast("int").alias("s"), (seconds if seconds is not None else F.lit(0.0)).alias("t"))
-    rows = rows.withColumn("n", F.row_number().over(w)).where(F.col(seed) == F.col("n") - 1 + first_seed)
+    took = seconds if seconds is not None else F.lit(0.0)
+    rows = df.select(F.col(task).alias("__task"), F.col(seed).alias("__seed"), (F.coalesce(failed, F.lit(False)) & scored).cast("int").alias("f"), scored.cast("int").alias("s"), took.alias("t"))
+    w = Window.partitionBy("__task").orderBy("__seed")
+    run = w.rowsBetween(*_RUNNING)
+    rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("__seed") == F.col("n") - 1 + first_seed)
     rows = rows.withColumns({"failures": F.sum("f").over(run), "scored": F.sum("s").over(run), "seconds": F.sum("t").over(run)})
     state = F.lit(None).cast("string")
     if time_cap is not None:
@@ -28,10 +29,10 @@ def prefix_stop(df: DataFrame, task: str, seed: str, failed: Column, scored: Col
     if target is not None:
         state = F.when((F.col("failures") >= target) & (F.col("scored") >= minimum), F.when(F.col("scored") == minimum, "minimum").otherwise("target")).otherwise(state)
     rows = rows.withColumn("state", state)
-    stop = F.coalesce(F.min(F.when(F.col("state").isNotNull(), F.col("n"))).over(Window.partitionBy(task)), F.lit(2**31 - 1))
+    stop = F.coalesce(F.min(F.when(F.col("state").isNotNull(), F.col("n"))).over(Window.partitionBy("__task")), F.lit(2**31 - 1))
     kept = rows.withColumn("stop", stop).where("n <= stop")
-    last = kept.groupBy(task).agg(F.max_by(F.struct("n", "scored", "failures", "state"), "n").alias("x"))
-    return last.select(task, F.col("x.n").cast("long").alias("shots"), F.col("x.scored").alias("scored"), F.col("x.failures").alias("failures"), F.coalesce("x.state", F.lit("running")).alias("state"))
+    last = kept.groupBy("__task").agg(F.max_by(F.struct("n", "scored", "failures", "state"), "n").alias("x"))
+    return last.select(F.col("__task").alias(task), F.col("x.n").cast("long").alias("shots"), F.col("x.scored").alias("scored"), F.col("x.failures").alias("failures"), F.coalesce("x.state", F.lit("running")).alias("state"))
 
 
 def paired_delay(df: DataFrame, keys: list[str], kind: str, tick: str, opened: str, closed: str) -> DataFrame:

@@ -59,7 +59,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     out.close()
 
 
-def hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of the files that path names."""
-    files = spark.read.format("binaryFile").load(path)
+def hashes(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """(name, sha256) of the files of a folder whose names fit."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))

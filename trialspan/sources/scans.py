@@ -109,7 +109,7 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
     """(name) of files that are missing or differ from a dataset's manifest."""
     manifest = json.loads(files.read_text(spark, f"{path}/manifest.json"))
     wanted = spark.createDataFrame(sorted(manifest["files"].items()), "name string, sha256 string")
-    return wanted.join(files.hashes(spark, f"{path}/chunks/*.parquet"), ["name", "sha256"], "left_anti").select("name")
+    return wanted.join(files.hashes(spark, f"{path}/chunks", "*.parquet"), ["name", "sha256"], "left_anti").select("name")
 
 
 def error_model(spark: SparkSession, path: str) -> DataFrame:

@@ -76,7 +76,7 @@ def write_dataset(shots: DataFrame, path: str, chunk: int = 1000) -> None:
     """Shots in chunks of consecutive seeds, then a manifest with the hash of each file."""
     spark = shots.sparkSession
     shots.withColumn("chunk", F.floor(F.col("root_seed") / chunk)).repartitionByRange("chunk").sortWithinPartitions("root_seed").write.parquet(f"{path}/chunks")
-    found = {r["name"]: r["sha256"] for r in files.hashes(spark, f"{path}/chunks/*.parquet").collect()}
+    found = {r["name"]: r["sha256"] for r in files.hashes(spark, f"{path}/chunks", "*.parquet").collect()}
     files.write_text(spark, json.dumps({"files": found}, sort_keys=True), f"{path}/manifest.json")
 
 
