@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
 from trialspan.llm._components import components
-from trialspan.llm._store import written
+from trialspan.llm._store import bounded_batches, written
 
 SHINGLE = 5
 #: Words of the least paragraph, and the words on each side among which a cut is the least.
@@ -36,7 +36,9 @@ LEAST, REACH = 7, 6
 BANDS, ROWS = 6, 2
 PERCENT = 80
 #: Bytes of text for each bucket of packed rows.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+#: Bytes of text whose rows a task holds before it sends them on.
+FLUSH_BYTES = 4 << 20
 #: Documents whose ids may be broadcast to narrow a join; beyond it the join shuffles all texts.
 NARROW = 1_000_000
 _MIN = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -116,10 +118,27 @@ def _dealt(rows: np.ndarray, many: int, kind: int, by: np.ndarray) -> Iterator[t
 
 
 def _made(many: int):
+    def sent(units: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
+        unit, keys = np.concatenate(units), np.concatenate(bands)
+        order = np.lexsort((unit["start"], unit["doc"], unit["name"]))
+        unit, keys = unit[order], keys[order]
+        new = np.concatenate(([True], unit["name"][1:] != unit["name"][:-1]))
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        lost = unit["doc"] > unit["doc"][first][group]  # an earlier document of this task has it
+        unit["again"] = np.logical_or.reduceat(lost, first)[group]
+        out = list(_dealt(unit[~lost], many, 0, unit["name"][~lost]))
+        if lost.any():
+            out += _dealt(unit[lost], many, 2, A.mix(unit["doc"][lost].astype(_U)))
+        for b in range(BANDS):
+            rows = unit[first].copy()
+            rows["key"] = keys[first, b]
+            out += _dealt(rows, many, 1, rows["key"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, bands, held = [], [], 0
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            units, bands = [], []
             for i, _, off, data in A.slices(batch.column("text")):
                 text, start, size, name, rest = paragraphs(A.LOWER[data], off)
                 if not len(text):
@@ -129,23 +148,12 @@ def _made(many: int):
                 unit["name"], unit["doc"], unit["start"], unit["size"] = name, ids[i + text], start, size
                 units.append(unit)
                 bands.append(_bands(shingles, s, size))
-            if not units:
-                continue
-            unit, keys = np.concatenate(units), np.concatenate(bands)
-            order = np.lexsort((unit["start"], unit["doc"], unit["name"]))
-            unit, keys = unit[order], keys[order]
-            new = np.concatenate(([True], unit["name"][1:] != unit["name"][:-1]))
-            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            lost = unit["doc"] > unit["doc"][first][group]  # an earlier document of this batch has it
-            unit["again"] = np.logical_or.reduceat(lost, first)[group]
-            out = list(_dealt(unit[~lost], many, 0, unit["name"][~lost]))
-            if lost.any():
-                out += _dealt(unit[lost], many, 2, A.mix(unit["doc"][lost].astype(_U)))
-            for b in range(BANDS):
-                rows = unit[first].copy()
-                rows["key"] = keys[first, b]
-                out += _dealt(rows, many, 1, rows["key"])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "rows"])
+                held += len(data)
+                if held > FLUSH_BYTES:
+                    yield sent(units, bands)
+                    units, bands, held = [], [], 0
+        if units:
+            yield sent(units, bands)
 
     return run
 
@@ -247,6 +255,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words, component_id, first_doc, kept): a row for each paragraph whose cluster spans documents."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
     packed = rows.mapInArrow(_made(many), _PACKED).repartition(many, "bucket").sortWithinPartitions("bucket")
