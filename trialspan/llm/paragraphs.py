@@ -65,8 +65,13 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return none, none, none, np.empty(0, _U), np.empty(0, _U)
     h = A.spans(A.prefix(data), starts, ends)
     n = len(h)
+    of = A.of_rows(first)
     three = np.concatenate((A.grams(h, 3), np.full(min(2, n), _TOP)))[:n]
-    before, after = _around(three, REACH)
+    three[np.arange(n) + 2 >= first[of + 1]] = _TOP
+    place = np.arange(n) + REACH * of  # texts are kept apart, so a cut depends on its own text only
+    apart = np.full(place[-1] + 1, _TOP)
+    apart[place] = three
+    before, after = (x[place] for x in _around(apart, REACH))
     cut = (three < before) & (three <= after) & (three != _TOP)
     lines = np.concatenate(([0], np.cumsum(data == 10)))[starts]
     cut[1:] |= lines[1:] != lines[:-1]
@@ -78,7 +83,7 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * power[:n], dtype=_U)))
     name = A.mix((sums[s + size] - sums[s]) * inverse[s] + size.astype(_U) * _U(0xA24BAED4963EE407))
     shingles = np.concatenate((A.grams(h, SHINGLE), np.full(min(SHINGLE, n), _TOP)))
-    text = np.searchsorted(first, s, "right") - 1
+    text = of[s]
     return text, s - first[text], size, name, np.concatenate((shingles, s.astype(_U)))
 
 
