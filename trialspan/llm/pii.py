@@ -38,7 +38,6 @@ ROUNDS = 4
 #: Patterns and instances that count: confidence, positive instances and score at least.
 PATTERN_CONFIDENCE, PATTERN_SUPPORT, INSTANCE_SCORE = 0.6, 2, 0.6
 _SPAN = "array<struct<start:int,end:int,found:string>>"
-_NO = F.expr(f"cast(array() as {_SPAN})")
 
 
 def _quoted(expression: str) -> str:
