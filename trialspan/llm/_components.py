@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trialspan.llm._store import dropped, written
 
+#: Links up to which the minima, a row for each node, are broadcast; beyond it they are shuffled.
+SMALL = 1_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of edges (columns a, b).
@@ -23,13 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
+        small = (lambda df: F.broadcast(df)) if state[0] <= SMALL else (lambda df: df)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = small(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = written(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = written(small, "small")
+        least = small(large.groupBy("a").agg(F.min("b").alias("m")))
+        ends = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        after = written(large.join(least, "a").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct(), "small")
         dropped(large)
         dropped(now)
         now = after

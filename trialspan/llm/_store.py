@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -27,15 +28,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a table that written() made and nothing reads any more."""
-    path = getattr(df, "_trialspan_path", None)
-    if path:
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() made and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_trialspan_path", None)
+        if not path:
+            continue
         jvm, spark = df.sparkSession._jvm, df.sparkSession
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a few numbers that may be broadcast, 16 to 64 MB; beyond them a join is shuffled.
+NARROW = 1_000_000
+
+
+def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if its rows, counted here unless given, are few enough."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= NARROW else df
+
+
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
 
