@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from trialspan.llm import substrings
+from trialspan.llm import _store, substrings
 
 
 def brute(rows):
@@ -57,7 +57,7 @@ def test_flushes_and_many_buckets(spark, monkeypatch):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "NARROW", -1)
+    monkeypatch.setattr(_store, "NARROW", -1)
     compared(spark, [(k, "shared text that is long enough to be removed as it has more than fifty bytes" + str(k)) for k in range(5)])
 
 

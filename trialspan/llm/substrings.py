@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
-from trialspan.llm._store import written
+from trialspan.llm._store import bounded_batches, narrow, written
 
 LENGTH = 50
 Q = 20
@@ -45,11 +45,9 @@ SIDE = SPAN // 2
 #: Starts in a run at most.
 RUN = 64
 #: Bytes of text whose rows a task holds before it sends them on.
-FLUSH_BYTES = 8 << 20
-#: Documents whose ids may be broadcast to narrow a join; beyond it the join shuffles all texts.
-NARROW = 1_000_000
+FLUSH_BYTES = 4 << 20
 #: Bytes of text for each bucket of packed rows.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -318,13 +316,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """(id, text, runs) of the documents that have runs; few enough ids narrow the texts before they are shuffled."""
     lists = written(runs.groupBy("doc").agg(F.collect_list(F.struct("start", "starts")).alias("runs")), "runs")
-    if lists.count() <= NARROW:
-        rows = rows.join(F.broadcast(lists.select(F.col("doc").alias("id"))), "id", "left_semi")
+    rows = rows.join(narrow(lists.select(F.col("doc").alias("id"))), "id", "left_semi")
     return rows.dropDuplicates(["id"]).hint("merge").join(lists.withColumnRenamed("doc", "id"), "id").select("id", "text", "runs")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+    bounded_batches(docs.sparkSession)
     every = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = every.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
