@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm._arrays import slices
 
 #: Memory that the table of all models may take in a worker; beyond it the order is lowered.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 ORDER = 3
 #: Distinct (model, context) counts that a task keeps before it merges them.
 PENDING = 4_000_000
@@ -116,13 +117,12 @@ def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(n[at])], names=["label", "key", "n"])
 
     counts = rows.select("label", "text").mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts.column("label").to_pylist()))
+    names = sorted(pc.unique(counts.column("label")).to_pylist())
     order = order_for(size, max(1, len(names)))
     table = np.zeros((size ** (order + 1), len(names)), np.float32)
-    labels = np.asarray(counts.column("label").to_pandas())
-    keys, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
     for c, name in enumerate(names):
-        table[:, c] = code_lengths(keys[labels == name], n[labels == name], size, ORDER, order)
+        own = counts.filter(pc.equal(counts.column("label"), name))
+        table[:, c] = code_lengths(own.column("key").to_numpy(), own.column("n").to_numpy(), size, ORDER, order)
     return names, table
 
 

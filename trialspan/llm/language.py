@@ -2,7 +2,7 @@
 
 Per language one byte-context model with escape probabilities is counted over all labelled
 training rows; a text goes to the language that codes it in the fewest bits. Letter case is
-folded and bytes are mapped to 46 classes (letters, non-letters, UTF-8 lead and continuation
+folded and bytes are mapped to 38 classes (letters, non-letters, UTF-8 lead and continuation
 bytes), so the code lengths are exact over that alphabet.
 
 Defined cases: a null text, an empty one, or one without a letter has language `und` and score
@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _context
 from trialspan.llm._arrays import slices
+from trialspan.llm._store import bounded_batches
 
-#: 0: before a text or no letter; 1-26 letters; 27-29 lead bytes; 30-45 continuation bytes.
-SIZE = 46
+#: 0: before a text or no letter; 1-26 letters; 27-29 lead bytes; 30-37 continuation bytes.
+SIZE = 38
 CLASSES = np.zeros(256, np.uint8)
 CLASSES[0x61:0x7B] = np.arange(1, 27)
 CLASSES[0x41:0x5B] = np.arange(1, 27)
 CLASSES[0xC0:0x100], CLASSES[0xC3], CLASSES[0xE0:] = 27, 28, 29
-CLASSES[0x80:0xC0] = 30 + ((np.arange(0x80, 0xC0) & 0x1F) >> 1)
+CLASSES[0x80:0xC0] = 30 + ((np.arange(0x80, 0xC0) & 0x1F) >> 2)
 
 #: Bytes of text whose code-length difference decides the score; longer texts count as so many.
 SCORE_BYTES = 64
@@ -37,6 +38,7 @@ SCORE_BYTES = 64
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, table of code lengths) from all rows of docs with a label."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
     return _context.fit(rows.select(F.col(lang).alias("label"), F.col(text).alias("text")), CLASSES, SIZE)
 
