@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
+from trialspan.llm._store import bounded_batches
 
 Q = 16
 WINDOW, STEP = 100, 50
@@ -150,6 +151,7 @@ def _blocks(benchmark: DataFrame) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, first_byte, contaminated): a row for each document and item found in it."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = docs.select("doc_id").schema.add("item_id", "long").add("n_windows", "long").add("first_byte", "long").add("contaminated", "boolean")
 
     def searched(index: Index) -> DataFrame:
@@ -175,6 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the rows whose text holds a window of the benchmark."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for index in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _context
 from trialspan.llm._arrays import slices
+from trialspan.llm._store import bounded_batches
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,6 +78,7 @@ def _scored(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of pages (page_id, url)."""
+    bounded_batches(pages.sparkSession)
     rows = ruled(pages, rules)
     labelled = rows.where(F.col("decided").isNotNull())
     names, table = _context.fit(labelled.select(F.col("decided").alias("label"), F.col("url").alias("text")), CLASSES, SIZE)
