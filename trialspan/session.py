@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once a context, so that they need no installation or shared folder."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_trialspan_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = f"{tempfile.mkdtemp(prefix='trialspan-')}/trialspan.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, f"trialspan/{path.relative_to(root)}")
+        sc.addPyFile(archive)
+        sc._trialspan_shipped = True
+    return spark
