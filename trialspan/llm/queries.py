@@ -44,7 +44,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.rate(docs, quality.train(docs, quality.trusted_ids(_table(spark, sf_dir, "labels"))))
+    fit, unseen = quality.halves(quality.trusted_ids(_table(spark, sf_dir, "labels")))
+    ratios = quality.train(docs, fit)
+    return quality.rate(docs, ratios, quality.calibrated(docs, unseen, ratios))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
