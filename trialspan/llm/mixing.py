@@ -18,7 +18,6 @@ rate. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from trialspan.llm import _arrays as A
-from trialspan.llm._store import written
+from trialspan.llm._store import bounded_batches, dropped, written
 
 BUCKETS = 1 << 15
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 LABELLED_ROWS = 20_000
 #: Words that a text counts for in its posterior at most.
-EVIDENCE = 4.0
+EVIDENCE = 100.0
 PRIOR = 200.0
-#: Steps of the projected gradient, and the weight of the pull towards rate 1.
-STEPS, PULL = 40, 0.01
+#: Steps of the projected gradient at most, their length, the weight of the pull towards rate 1, and the residual that ends them.
+STEPS, STEP, PULL, DONE = 20, 0.8, 0.002, 2e-4
 #: Share of tokens that each (quality, toxic) domain is to have.
 TARGETS = {"good": 0.80, "poor": 0.17, "good_toxic": 0.02, "poor_toxic": 0.01}
 _U = np.uint64
@@ -56,6 +55,7 @@ def _buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(domains, log of prior-free likelihoods by bucket and domain); labelled has at most LABELLED_ROWS rows, so it may be broadcast."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled.select("doc_id", "domain")), "doc_id").select("domain", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +85,9 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log((counts + PRIOR * overall) / (counts.sum(0) + PRIOR))
 
 
-def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, tokens, posterior) for each row: posterior is an array in the order of the model's domains."""
+def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = ("doc_id",), out: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
+    """The columns to keep, tokens and posterior for each row: posterior is an array in the order of the model's domains."""
+    keep, at = list(keep), len(keep)
     names, likelihood = model
     shared = docs.sparkSession.sparkContext.broadcast(likelihood.astype(np.float32))
 
@@ -94,7 +95,7 @@ def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
         k = len(names)
         for batch in batches:
             tokens, share = np.zeros(len(batch), np.int64), np.full((len(batch), k), 1.0 / max(k, 1))
-            for i, j, off, data in A.slices(batch.column("text")):
+            for i, j, off, data in A.slices(batch.column(at)):
                 b, first = _buckets(data, off)
                 n = np.diff(first)
                 tokens[i:j] = n
@@ -105,47 +106,46 @@ def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
                     weight = np.exp(score - score.max(1, keepdims=True))
                     share[i + full] = weight / weight.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * k + 1, k) if k else np.zeros(len(batch) + 1), pa.int32()), pa.array(share.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), lists], names=["doc_id", "tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), pa.array(tokens), lists], names=[*keep, *out])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("tokens", "long").add("posterior", ArrayType(DoubleType())))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
+    return rows.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(out[0], "long").add(out[1], ArrayType(DoubleType())))
 
 
-def _rate(moves: list[list[float]], step: float, pull: float) -> F.Column:
-    """The rate after the steps whose residuals are given: max(0, rate - step * (pull * (rate - 1) + x . residual)) each time, from 1; x is in columns x0, x1 and so on."""
-    rate = F.lit(1.0)
+def _rate(moves: list[list[float]], pull: float) -> F.Column:
+    """The rate after the moves so far: max(0, rate - STEP * (pull * (rate - 1) + p . move)) each time, from 1; the posterior p is in columns __x0, __x1 and so on."""
+    rate = "1.0D"
     for move in moves:
-        drop = reduce(lambda a, b: a + b, (F.col(f"x{k}") * F.lit(step * v) for k, v in enumerate(move)))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - step * pull) + (F.lit(step * pull) - drop))
-    return rate
+        drop = " + ".join(f"__x{k} * {STEP * v!r}D" for k, v in enumerate(move))
+        rate = f"greatest(0.0D, {rate} * {1.0 - STEP * pull!r}D + ({STEP * pull!r}D - ({drop})))"
+    return F.expr(rate)
 
 
 def fitted(members: DataFrame, names: list[str], targets: dict[str, float] | None = None, steps: int = STEPS, pull: float = PULL) -> tuple[DataFrame, list[list[float]]]:
-    """(members with rate, residuals of all steps). Totals are in shares of all tokens, and each document's row x is its tokens, in mean document lengths, times its posterior."""
+    """(members with rate, moves of all steps). Totals are shares of all tokens."""
     targets = TARGETS if targets is None else targets
     aim = np.array([targets.get(n, 0.0) for n in names])
-    total, rows = members.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0)).head()
+    total = members.agg(F.sum("tokens")).head()[0]
     if not names or not total or not aim.sum():
         return members.withColumn("rate", F.lit(1.0)), []
     aim = aim / aim.sum()
-    mean = total / rows
     k = len(names)
-    x = members.withColumns({f"x{i}": F.col("posterior")[i] * F.col("tokens") / F.lit(float(mean)) for i in range(k)})
-    curve = [F.sum(F.col(f"x{a}") * F.col(f"x{b}")) for a in range(k) for b in range(a, k)]
+    x = members.withColumns({f"__x{i}": F.col("posterior")[i] for i in range(k)})
+    curve = [F.sum(F.col("tokens") * F.col(f"__x{a}") * F.col(f"__x{b}")) for a in range(k) for b in range(a, k)]
     upper = iter(x.agg(*curve).head())
     square = np.zeros((k, k))
     for a in range(k):
         for b in range(a, k):
             square[a, b] = square[b, a] = next(upper)
-    step = 1.0 / (np.linalg.eigvalsh(square / rows)[-1] + pull)
+    weight = np.linalg.inv(square / total + pull * np.eye(k))
     moves: list[list[float]] = []
     for _ in range(steps):
-        rate = _rate(moves, step, pull)
-        have = np.array(x.agg(*(F.sum(rate * F.col(f"x{a}")) for a in range(k))).head()) / rows
-        residual = have - aim
-        moves.append([float(v) for v in residual])
-        if np.abs(residual).max() < 1e-4:
+        rate = _rate(moves, pull)
+        residual = np.array(x.agg(*(F.sum(F.col("tokens") * rate * F.col(f"__x{a}")) for a in range(k))).head()) / total - aim
+        if np.abs(residual).max() < DONE:
             break
-    return x.withColumn("rate", _rate(moves, step, pull)).drop(*(f"x{i}" for i in range(k))), moves
+        moves.append([float(v) for v in weight @ residual])
+    return x.withColumn("rate", _rate(moves, pull)).drop(*(f"__x{i}" for i in range(k))), moves
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -157,11 +157,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs, all columns, with mix_rate; documents whose rate is 0 go."""
-    rates = written(mixed(docs, labels, targets), "rates").select(F.col("doc_id").alias("__id"), F.col("rate").alias("__rate"))
-    known = rates.where(F.col("__id").isNotNull()).dropDuplicates(["__id"])
-    name = "mix_rate"
-    while name in docs.columns:
+    """docs, all columns, with mix_rate; documents whose rate is 0 go. Posteriors are taken again in the pass that adds the rates, so no text is shuffled."""
+    model = train(docs, domains(labels))
+    members = written(posteriors(docs, model), "posteriors")
+    _, moves = fitted(members, model[0], targets)
+    dropped(members)
+    name, columns = "mix_rate", docs.columns
+    while name in columns:
         name += "_"
-    out = docs.join(known, F.col("doc_id") == F.col("__id"), "left").withColumn(name, F.coalesce("__rate", F.lit(1.0)))
-    return out.where(F.col(name) > 0).select(*docs.columns, name)
+    again = posteriors(docs, model, columns, ("__tokens", "__posterior"))
+    x = again.withColumns({f"__x{i}": F.col("__posterior")[i] for i in range(len(model[0]))}) if moves else again
+    return x.withColumn(name, _rate(moves, PULL)).where(F.col(name) > 0).select(*columns, name)

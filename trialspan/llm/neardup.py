@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
 from trialspan.llm._components import components
-from trialspan.llm._store import written
+from trialspan.llm._store import bounded_batches, dropped, narrow, written
 
 SIZE = 128
 BITS = 7
@@ -182,6 +182,7 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union, percent from 80."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     made = written(rows.mapInArrow(_sketched(shingle), "id long, n long, one long, two long, bands array<long>, marks binary"), "sketches")
     sets = made.where("n > 0 and id is not null")
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
     members = written(keyed.join(buckets, "key").select("key", "id", "centre"), "members")
 
-    needed = members.select("id").distinct()
+    needed = narrow(written(members.select("id").distinct(), "needed"))
     marks = classes.join(needed, "id", "left_semi").select("id", "marks")
     full = written(rows.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_bytes(shingle), "id long, shingles binary"), "sets")
 
@@ -211,16 +212,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = blocks.select("family", "id", "part", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).join(marks, "id").join(full, "id")
     more = written(blocks.groupBy("family", "p", "q").applyInArrow(_joined(percent), "a long, b long"), "joined")
     if not more.isEmpty():
+        dropped(found)
         found = written(components(links.unionByName(more)), "components")
+    dropped(members, star, full, links, family, more)
     part = classes.join(found, F.col("id") == F.col("node"), "left").select("one", "two", "n", F.coalesce("component", "id").alias("part"))
     out = made.select("id", "n", "one", "two").join(part, ["one", "two", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = written(out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "neardup")
+    dropped(made, classes, found)
+    return out
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """docs, all columns, with one document of each group; repeated rows of an id count as one document."""
-    found = written(near_duplicates(docs, doc_id, text, percent), "neardup")
-    kept = docs.join(found.where(~F.col("kept")).select(doc_id).distinct(), doc_id, "left_anti").select(docs.columns)
-    again = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
-    return kept if again else kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    found = near_duplicates(docs, doc_id, text, percent)
+    gone = narrow(written(found.where(~F.col("kept")).select(doc_id).distinct(), "gone"))
+    kept = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    once = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    dropped(found)
+    return kept if once else kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
 from trialspan.llm._components import components
-from trialspan.llm._store import bounded_batches, written
+from trialspan.llm._store import bounded_batches, narrow, written
 
 SHINGLE = 5
 #: Words of the least paragraph, and the words on each side among which a cut is the least.
@@ -39,8 +39,6 @@ PERCENT = 80
 BUCKET_BYTES = 8 << 20
 #: Bytes of text whose rows a task holds before it sends them on.
 FLUSH_BYTES = 4 << 20
-#: Documents whose ids may be broadcast to narrow a join; beyond it the join shuffles all texts.
-NARROW = 1_000_000
 _MIN = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -268,9 +266,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     near = found.where("kind = 1")
     lists = written(near.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start")).alias("wanted")), "wanted")
-    texts = rows
-    if lists.count() <= NARROW:
-        texts = rows.join(F.broadcast(lists.select("id")), "id", "left_semi")
+    texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
     sets = texts.dropDuplicates(["id"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
     links = written(sets.repartition(many, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"), "links")
     parts = written(components(links), "components")

@@ -3,8 +3,8 @@
 Base finds are leftmost non-overlapping matches of four kinds, checked by value. They seed a
 graph of instances (identifier-like strings) and lexical patterns (the word before, the word
 after, and a label such as `key =` before). In each round a pattern's confidence is the share of
-positive evidence among its distinct instances and an instance's score is the noisy-or of its
-confident patterns; seeds stay at 1 and date-like strings at 0. Instances above a threshold are
+positive evidence among its distinct instances, where one not yet judged counts in part, and an
+instance's score is the noisy-or of its confident patterns; seeds stay at 1 and date-like strings at 0. Instances above a threshold are
 added as spans of kind `id`, so identifiers of no known form are found where known ones occur.
 
 The regular expressions match as the plain ones in KINDS do. They differ only by possessive
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspan.llm._store import written
+from trialspan.llm._store import NARROW, dropped, written
 
 #: (kind, quick test, expression)
 KINDS = [
@@ -31,13 +31,17 @@ KINDS = [
     ("phone", r"contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
 #: A blank-separated token with a digit.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-#: Characters of context looked at on each side, and the least length of an identifier.
+TOKEN = r"(?<!\S)(?=\S{10})[^\s0-9]*+[0-9]\S*+"
+#: Characters of context looked at on each side, and the least length of an identifier, as in TOKEN.
 CONTEXT, LEAST = 64, 10
+#: Spans whose places are summed at once; so many times their number is what places cost.
+STRIDE = 256
 ROUNDS = 4
 #: Patterns and instances that count: confidence, positive instances and score at least.
 PATTERN_CONFIDENCE, PATTERN_SUPPORT, INSTANCE_SCORE = 0.6, 2, 0.6
-_SPAN = "array<struct<start:int,end:int,found:string>>"
+#: What an instance that is not yet judged counts against a pattern, and what any pattern has against it.
+UNJUDGED, DOUBT = 0.3, 0.5
+_SPAN = "array<struct<start:int,end:int,found:string,left:string,right:string>>"
 
 
 def _quoted(expression: str) -> str:
@@ -45,15 +49,25 @@ def _quoted(expression: str) -> str:
 
 
 def _matches(expression: str, quick: str) -> Column:
-    """Spans (start, end, found) in code points of all matches in `text`."""
+    """Spans (start, end, found, left, right) in code points of all matches in `text`, with what lies between as context.
+
+    A split leaves what is between the matches, so lengths give places. They are summed within
+    strides and then over strides, as a fold that appends costs the square of its length.
+    Lambdas bind what is used more than once, so each regular expression runs twice a text.
+    """
     e = _quoted(expression)
-    return F.expr(
-        f"""case when {quick} then aggregate(
-          zip_with(slice(split(text, {e}, -1), 1, size(regexp_extract_all(text, {e}, 0))), regexp_extract_all(text, {e}, 0), (p, m) -> struct(char_length(p) as gap, m as found)),
-          named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-          (a, x) -> named_struct('at', a.at + x.gap + char_length(x.found), 'out', array_append(a.out, named_struct('start', a.at + x.gap, 'end', a.at + x.gap + char_length(x.found), 'found', x.found))),
-          a -> a.out) else cast(array() as {_SPAN}) end"""
-    )
+    row = f"named_struct('gap', char_length(z.p[i - 1]), 'size', char_length(z.m[i - 1]), 'found', z.m[i - 1], 'left', substring(z.p[i - 1], -{CONTEXT}, {CONTEXT}), 'right', left(z.p[i], {CONTEXT}))"
+    rows = f"case when size(z.m) = 0 then cast(array() as array<struct<gap:int,size:int,found:string,left:string,right:string>>) else transform(sequence(1, size(z.m)), i -> {row}) end"
+    within = f"""aggregate(part, named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, x) -> named_struct('at', a.at + x.gap + x.size,
+      'out', array_append(a.out, named_struct('start', a.at + x.gap, 'end', a.at + x.gap + x.size, 'found', x.found, 'left', x.left, 'right', x.right))))"""
+    strides = f"case when size(rows) = 0 then cast(array() as array<struct<at:int,out:{_SPAN}>>) else transform(sequence(0, (size(rows) - 1) div {STRIDE}), c -> transform(array(slice(rows, int(c) * {STRIDE} + 1, {STRIDE})), part -> {within})[0]) end"
+    offsets = "aggregate(strides, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x.at, 'out', array_append(a.out, a.at)), a -> a.out)"
+    moved = "flatten(zip_with(strides, offsets, (x, o) -> transform(x.out, s -> named_struct('start', s.start + o, 'end', s.end + o, 'found', s.found, 'left', s.left, 'right', s.right))))"
+    bound = f"transform(array({offsets}), offsets -> {moved})[0]"
+    bound = f"transform(array({strides}), strides -> {bound})[0]"
+    bound = f"transform(array({rows}), rows -> {bound})[0]"
+    bound = f"transform(array(named_struct('p', split(text, {e}, -1), 'm', regexp_extract_all(text, {e}, 0))), z -> {bound})[0]"
+    return F.expr(f"case when {quick} then {bound} else cast(array() as {_SPAN}) end")
 
 
 def _valid(kind: str) -> Column:
@@ -74,10 +88,8 @@ def spotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = rows.select("doc_id", "text", *(_matches(e, q).alias(k) for k, q, e in KINDS), _matches(TOKEN, "text rlike '[0-9]'").alias("tokens"))
     checked = found.select("doc_id", "text", *(_valid(k).alias(k) for k, _, _ in KINDS), "tokens")
     base = "concat(email, ip, card, phone)"
-    around = f"""transform({{}}, s -> named_struct('start', s.start, 'end', s.end, 'found', s.found,
-      'left', substring(text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})), 'right', substring(text, s.end + 1, {CONTEXT})))"""
     others = f"filter(tokens, t -> char_length(t.found) >= {LEAST} and not exists({base}, s -> s.start < t.end and t.start < s.end))"
-    return checked.select("doc_id", *(F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end))").alias(k) for k, _, _ in KINDS), F.expr(around.format(base)).alias("seeds"), F.expr(around.format(others)).alias("tokens"))
+    return checked.select("doc_id", *(F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end))").alias(k) for k, _, _ in KINDS), F.expr(base).alias("seeds"), F.expr(others).alias("tokens"))
 
 
 def _occurrences(spots: DataFrame) -> DataFrame:
@@ -104,17 +116,23 @@ def discovered(spots: DataFrame) -> DataFrame:
     """(doc_id, ids): spans of instances that confident patterns support."""
     seen = written(_occurrences(spots), "occurrences")
     edges = written(seen.select("instance", "fixed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("fixed").alias("fixed")), "edges")
-    scores = None
+    scores = before = None
     for _ in range(ROUNDS):
         now = edges.select("instance", "pattern", "fixed", F.coalesce("fixed", F.lit(0.0)).alias("score")) if scores is None else edges.join(scores, "instance", "left").select("instance", "pattern", "fixed", F.coalesce("fixed", "score", F.lit(0.0)).alias("score"))
         positive = F.when(F.col("score") >= INSTANCE_SCORE, F.col("score")).otherwise(0.0)
-        rated = now.groupBy("pattern").agg((F.sum(positive) / (F.count("*") + F.lit(1.0))).alias("confidence"), F.count_if(F.col("score") >= INSTANCE_SCORE).alias("support"))
+        against = F.when(F.col("score") >= INSTANCE_SCORE, 0.0).when(F.col("fixed") == 0.0, 1.0).otherwise(UNJUDGED)
+        rated = now.groupBy("pattern").agg((F.sum(positive) / (F.sum(positive) + F.sum(against) + F.lit(DOUBT))).alias("confidence"), F.count_if(F.col("score") >= INSTANCE_SCORE).alias("support"))
         rated = rated.where((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= PATTERN_SUPPORT))
         doubt = F.sum(F.ln(F.greatest(1.0 - F.col("confidence"), F.lit(1e-9))))
         scores = written(now.where(F.col("fixed").isNull()).join(rated, "pattern").groupBy("instance").agg((1.0 - F.exp(doubt)).alias("score")), "scores")
+        if before is not None:
+            dropped(before)
+        before = scores
     accepted = scores.where(F.col("score") >= INSTANCE_SCORE).select("instance")
     found = seen.where(F.col("fixed").isNull() & F.col("doc_id").isNotNull()).join(accepted, "instance", "left_semi")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ids"))
+    out = written(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ids")), "ids")
+    dropped(seen, edges, scores)
+    return out
 
 
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,6 +156,10 @@ def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     kinds = [*(k for k, _, _ in KINDS), "id"]
     spans = "array_sort(concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '[{k.upper()}]'))" for k in kinds) + "))"
     held = _with_ids(spots).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.expr(spans).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id"])
+    held = written(held, "spans")
+    dropped(spots)
+    if (held.agg(F.sum(F.size("__spans") + 1)).head()[0] or 0) <= NARROW:
+        held = F.broadcast(held)
     t = f"`{text}`"
     new = f"""case when __spans is null or {t} is null then {t} else aggregate(__spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
       (a, s) -> case when s.end <= a.at then a else named_struct('at', s.end, 'out', concat(a.out, array(substring({t}, a.at + 1, greatest(s.start - a.at, 0)), s.kind))) end,
