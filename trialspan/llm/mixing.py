@@ -9,7 +9,7 @@ A document's rate after any number of steps follows from its own row and the res
 steps so far, so each step is one distributed sum of as many numbers as there are domains, and
 no rates are stored or sent between steps.
 
-Defined cases: a null or empty text has no tokens, uniform posteriors and rate 1. A domain
+Defined cases: a null or empty text has no tokens and uniform posteriors. A domain
 without labelled rows has posterior 0 everywhere and its target is left out. With no labelled
 rows at all every rate is 1. Rows without an id do not train. Repeated rows each get the same
 rate. Other columns are not looked at.
@@ -37,7 +37,7 @@ PRIOR = 200.0
 #: Steps of the projected gradient at most, their length, the weight of the pull towards rate 1, and the residual that ends them.
 STEPS, STEP, PULL, DONE = 20, 0.8, 0.002, 2e-4
 #: Share of tokens that each (quality, toxic) domain is to have.
-TARGETS = {"good": 0.80, "poor": 0.17, "good_toxic": 0.02, "poor_toxic": 0.01}
+TARGETS = {"good": 0.80, "poor": 0.13, "good_toxic": 0.06, "poor_toxic": 0.01}
 _U = np.uint64
 
 
@@ -54,7 +54,7 @@ def _buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(domains, log of prior-free likelihoods by bucket and domain); labelled has at most LABELLED_ROWS rows, so it may be broadcast."""
+    """(domains, log of likelihoods by bucket and domain with a last row of priors); labelled has at most LABELLED_ROWS rows, so it may be broadcast."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled.select("doc_id", "domain")), "doc_id").select("domain", "text")
 
@@ -81,8 +81,10 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         counts[found.column("bucket").to_numpy()[at], c] = found.column("n").to_numpy()[at]
     if not names:
         return [], counts
+    rows = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
+    prior = np.log(np.array([[rows[n] for n in names]]) / sum(rows[n] for n in names))
     overall = (counts.sum(1, keepdims=True) + 1.0 / BUCKETS) / (counts.sum() + 1.0)
-    return names, np.log((counts + PRIOR * overall) / (counts.sum(0) + PRIOR))
+    return names, np.concatenate((np.log((counts + PRIOR * overall) / (counts.sum(0) + PRIOR)), prior))
 
 
 def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = ("doc_id",), out: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
@@ -102,7 +104,7 @@ def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[
                 full = np.flatnonzero(n > 0)
                 if len(full) and k:
                     mean = np.add.reduceat(shared.value[b], first[:-1][full], axis=0, dtype=np.float64) / n[full][:, None]
-                    score = mean * np.minimum(n[full], EVIDENCE)[:, None]
+                    score = mean * np.minimum(n[full], EVIDENCE)[:, None] + shared.value[BUCKETS]
                     weight = np.exp(score - score.max(1, keepdims=True))
                     share[i + full] = weight / weight.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * k + 1, k) if k else np.zeros(len(batch) + 1), pa.int32()), pa.array(share.ravel()))
