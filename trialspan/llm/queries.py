@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,19 @@ from (select doc_id, list_sort(s) as s from sets) d join class c on d.s = c.s jo
 """
 
 
+#: Bytes as pairs of hexadecimal digits.
+OP8_SQL = """
+with doc as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+string as (select doc_id, i, substring(x, 2 * i - 1, 100) as s from (select doc_id, x, unnest(range(1, n - 48)) as i from doc)),
+gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first_doc from string) where first_doc < doc_id),
+island as (select doc_id, i, sum(cast(b is null or i > b + 50 as int)) over (partition by doc_id order by i rows unbounded preceding) as k from (select *, lag(i) over (partition by doc_id order by i) as b from gone)),
+span as (select doc_id, min(i) as lo, max(i) + 49 as hi from island group by doc_id, k),
+piece as (select s.doc_id, lo, hi, substring(x, 2 * coalesce(lag(hi) over w, 0) + 1, 2 * (lo - 1 - coalesce(lag(hi) over w, 0))) as kept from span s join doc using (doc_id) window w as (partition by s.doc_id order by lo)),
+cut as (select doc_id, sum(hi - lo + 1) as n_removed, count(*) as n_spans, max(hi) as hi, string_agg(kept, '' order by lo) as kept from piece group by doc_id)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substring(x, 2 * hi + 1), x))) as kept_sha256 from doc left join cut using (doc_id)
+"""
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.held_out()))
@@ -77,5 +91,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+def _op9_sql() -> str:
+    """Phrases as positions in the list of words, templates as regular expressions over the words in a row."""
+    places = [" and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, _ in licenses.PHRASES]
+    hits = [f"list_filter(range(1, len(w) + 1), lambda i: {place})" for place in places]
+    rules: list[tuple[str, str]] = []
+    for template, label in licenses.TEMPLATES:
+        parts = re.findall(r"\[[^\]]*\]|\{\d+\}|\S+", template)
+        rules.append(("".join(f"({x[1:-1]} )?" if x[0] == "[" else f"([^ ]+ ){{0,{x[1:-1]}}}" if x[0] == "{" else f"{x} " for x in parts), label))
+    base = ", ".join(f"case when len(h{k}) > 0 then '{label}' end" for k, (_, label) in enumerate(licenses.PHRASES))
+    more = ", ".join(f"case when regexp_matches(t, ' {rule}') then '{label}' end" for rule, label in rules)
+    joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{x}], lambda x: x is not null))), ','), '')"
+    return rf"""
+with word as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+hit as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as t, {", ".join(f"{h} as h{k}" for k, h in enumerate(hits))} from word),
+every as (select *, flatten([{", ".join(f"h{k}" for k in range(len(hits)))}]) as h from hit)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(h) as bigint) as n_base, cast(list_min(h) - 1 as bigint) as first_word, cast(list_max(h) - 1 as bigint) as last_word,
+{joined(base)} as base_labels, {joined(base + ", " + more)} as labels, cast(case when {joined(more)} <> '' then 1.0 when len(h) > 0 then 0.5 else 0.0 end as double) as score from every
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
