@@ -24,7 +24,7 @@ from trialspan.llm._arrays import slices
 TABLE_BYTES = 64 << 20
 ORDER = 3
 #: Distinct (model, context) counts that a task keeps before it merges them.
-PENDING = 4_000_000
+PENDING = 1_000_000
 
 
 def packed(data: np.ndarray, off: np.ndarray, classes: np.ndarray, size: int, order: int) -> np.ndarray:
