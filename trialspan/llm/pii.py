@@ -1,7 +1,7 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base finds are leftmost non-overlapping matches of four kinds, checked by value. They seed a
-graph of instances (identifier-like strings) and lexical patterns (the word before, the word
+graph of instances (strings of letters and digits) and lexical patterns (the word before, the word
 after, and a label such as `key =` before). In each round a pattern's confidence is the share of
 positive evidence among its distinct instances, where one not yet judged counts in part, and an
 instance's score is the noisy-or of its confident patterns; seeds stay at 1 and date-like strings at 0. Instances above a threshold are
@@ -38,7 +38,7 @@ CONTEXT, LEAST = 64, 10
 STRIDE = 256
 ROUNDS = 4
 #: Patterns and instances that count: confidence, positive instances and score at least.
-PATTERN_CONFIDENCE, PATTERN_SUPPORT, INSTANCE_SCORE = 0.6, 2, 0.6
+PATTERN_CONFIDENCE, PATTERN_SUPPORT, INSTANCE_SCORE = 0.5, 2, 0.5
 #: What an instance that is not yet judged counts against a pattern, and what any pattern has against it.
 UNJUDGED, DOUBT = 0.3, 0.5
 _SPAN = "array<struct<start:int,end:int,found:string,left:string,right:string>>"
@@ -97,7 +97,7 @@ def _occurrences(spots: DataFrame) -> DataFrame:
     seeds = spots.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*", F.col("s.found").alias("instance"), F.lit("").alias("lead"), F.lit(1.0).alias("fixed"))
     run = rf"([A-Za-z0-9+/_-]{{{LEAST},}})[^A-Za-z0-9]*$"
     tokens = spots.select("doc_id", F.explode("tokens").alias("s")).select("doc_id", "s.*").withColumn("instance", F.regexp_extract("found", run, 1))
-    tokens = tokens.where(F.expr("instance <> '' and length(regexp_replace(instance, '[^0-9]', '')) >= 3"))
+    tokens = tokens.where(F.expr("instance rlike '[A-Za-z]' and length(regexp_replace(instance, '[^0-9]', '')) >= 3 or instance rlike '^[0-9]{1,4}[-/][0-9]{1,2}[-/]'"))
     lead = F.expr("substring_index(found, instance, 1)")
     dated = F.col("instance").rlike("^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}")
     tokens = tokens.select("doc_id", "start", "end", "found", "left", "right", "instance", lead.alias("lead"), F.when(dated, 0.0).alias("fixed"))
