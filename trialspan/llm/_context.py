@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspan.llm._arrays import slices
+from trialspan.llm._arrays import lean, release, slices
 
 #: Memory that the table of all models may take in a worker; beyond it the order is lowered.
 TABLE_BYTES = 64 << 20
@@ -57,8 +57,7 @@ def order_for(size: int, models: int, order: int = ORDER, table_bytes: int = TAB
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, size: int, counted_order: int, order: int) -> np.ndarray:
     """Bits of each (context, class), float32, of one model; keys count contexts of counted_order classes."""
-    full = np.zeros(size ** (order + 1))
-    np.add.at(full, keys % (size ** (order + 1)), counts)
+    full = np.bincount(keys % (size ** (order + 1)), counts, size ** (order + 1))
     lower = np.full((1, size), 1.0 / size)
     for k in range(order + 1):
         n = full.reshape(-1, size**k, size).sum(0) if k < order else full.reshape(size**order, size)
@@ -92,6 +91,7 @@ def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.
     a model, however large the input. With no rows there are no models.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -123,6 +123,8 @@ def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.
     for c, name in enumerate(names):
         own = counts.filter(pc.equal(counts.column("label"), name))
         table[:, c] = code_lengths(own.column("key").to_numpy(), own.column("n").to_numpy(), size, ORDER, order)
+    del counts
+    release()
     return names, table
 
 

@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def searched(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
+        @A.lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, items, counts, firsts = [], [], [], []
@@ -182,6 +183,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @A.lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _context
-from trialspan.llm._arrays import slices
+from trialspan.llm._arrays import lean, slices
 from trialspan.llm._store import bounded_batches
 
 #: 0: before a text or no letter; 1-26 letters; 27-29 lead bytes; 30-37 continuation bytes.
@@ -67,6 +67,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
@@ -87,6 +88,7 @@ def known(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     rows = docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names_out, at = docs.columns, docs.columns.index(text)
 
+    @lean
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)

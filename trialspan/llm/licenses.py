@@ -115,6 +115,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     bounded_batches(docs.sparkSession)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = [(hashed(p.split()), label) for p, label in phrases]
         automata = [(Automaton(t), label) for t, label in templates]

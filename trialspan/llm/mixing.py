@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -58,6 +59,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled.select("doc_id", "domain")), "doc_id").select("domain", "text")
 
+    @A.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -73,12 +75,11 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen])], names=["domain", "bucket", "n"])
 
     found = rows.mapInArrow(count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    label = np.asarray(found.column("domain").to_pandas())
-    names = sorted(set(label))
+    names = sorted(pc.unique(found.column("domain")).to_pylist())
     counts = np.zeros((BUCKETS, len(names)))
     for c, name in enumerate(names):
-        at = label == name
-        counts[found.column("bucket").to_numpy()[at], c] = found.column("n").to_numpy()[at]
+        own = found.filter(pc.equal(found.column("domain"), name))
+        counts[own.column("bucket").to_numpy(), c] = own.column("n").to_numpy()
     if not names:
         return [], counts
     rows = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
@@ -93,6 +94,7 @@ def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[
     names, likelihood = model
     shared = docs.sparkSession.sparkContext.broadcast(likelihood.astype(np.float32))
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(names)
         for batch in batches:

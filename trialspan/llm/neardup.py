@@ -80,6 +80,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def _sketched(n: int):
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = len(batch)
@@ -101,6 +102,7 @@ def _sketched(n: int):
 
 
 def _set_bytes(n: int):
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), A.binary([s.tobytes() for s in _sets(batch.column("text"), n)])], names=["id", "shingles"])
@@ -117,6 +119,7 @@ def _least_equal(percent: int) -> float:
 def _alike(percent: int):
     least = _least_equal(percent)
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
@@ -160,6 +163,7 @@ def _joined(percent: int):
 
 
 def _linked(percent: int):
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []

@@ -138,6 +138,7 @@ def _made(many: int):
             out += _dealt(rows, many, 1, rows["key"])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "rows"])
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, bands, held = [], [], 0
         for batch in batches:
@@ -180,6 +181,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list]]:
         yield held
 
 
+@A.lean
 def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held in _grouped(batches):
         if 2 in held:
@@ -199,6 +201,7 @@ def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(rows[np.repeat(many > 1, many)], 1)
 
 
+@A.lean
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, name, shingles) of the wanted paragraphs of each text."""
     for batch in batches:
@@ -219,6 +222,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.concat_arrays(names), pa.array(sets, pa.binary())], names=["key", "name", "shingles"])
 
 
+@A.lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect the classes of each key, from rows in the order of keys."""
     now, names, sets = None, [], []

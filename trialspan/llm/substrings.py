@@ -171,6 +171,7 @@ def _first_runs(many: int):
                 out += _rows(np.abs(doc[lost]) % many, many, tuple(c[lost] for c in columns), 1)
             yield _packed(out)
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
@@ -206,6 +207,7 @@ def _gone(doc: np.ndarray, start: np.ndarray, starts: np.ndarray, open_: bool) -
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(starts), pa.array(np.full(len(doc), open_))], names=["doc", "start", "starts", "open"])
 
 
+@A.lean
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that go, and runs of first holders whose strings are to be told apart."""
     for rows, lost in _grouped(batches):
@@ -252,6 +254,7 @@ def _strings(many: int):
         one, zero = np.ones(len(key), np.int64), np.zeros(len(key), np.int64)
         return _packed(list(_rows(_bucket(key, many), many, (key, other, doc, start, one, zero, zero), 0)))
 
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -281,6 +284,7 @@ def _starts(runs: pa.Scalar) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
 
 
+@A.lean
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, _ in _grouped(batches):
         key, other, doc, start = _unpack(rows)[:4]
@@ -294,6 +298,7 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _gone(doc[edge], start[edge], np.diff(np.append(edge, len(doc))), False)
 
 
+@A.lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, runs = batch.column("id"), batch.column("runs")

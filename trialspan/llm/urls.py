@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _context
-from trialspan.llm._arrays import slices
+from trialspan.llm._arrays import lean, slices
 from trialspan.llm._store import bounded_batches
 
 #: (host, path, verdict)
@@ -64,6 +64,7 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 def _scored(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _context.order_of(shared.value, SIZE)
         for batch in batches:
