@@ -66,6 +66,16 @@ def test_junk_is_told_from_prose(spark):
     assert quality.calibrated(docs, unseen.limit(0), ratios) == quality.THRESHOLD
 
 
+def test_no_poor_row_passes_the_calibrated_threshold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fit, unseen = quality.halves(quality.trusted_ids(labels))
+    ratios = quality.train(docs, fit)
+    out = quality.rate(docs, ratios, quality.calibrated(docs, unseen, ratios)).join(labels, "doc_id").where("not base_failed")
+    good, poor = out.where("quality = 1"), out.where("quality = 0")
+    assert poor.count() >= 20 and poor.where("kept").count() <= 0.02 * poor.count() and good.where("kept").count() >= 0.99 * good.count()
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
