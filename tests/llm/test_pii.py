@@ -78,6 +78,12 @@ def test_masking(spark):
     assert "4111" not in out[4].text and out[4].text.endswith("é [EMAIL]") and len(out) == 5
 
 
+def test_masking_needs_no_id_of_its_own(spark):
+    rows = [(None, "ip 10.0.0.1 or a@b.org", "n"), (None, "call +1 (555) 010-9999", "o"), (5, "mail a@b.org now", "p"), (5, "now a card 4111 1111 1111 1111", "q"), (5, None, "r")]
+    out = {r.email: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string, email string")).collect()}
+    assert out == {"n": "ip [IP] or [EMAIL]", "o": "call [PHONE]", "p": "mail [EMAIL] now", "q": "now a card [CARD]", "r": None}
+
+
 def test_plan_is_native(spark, odd):
     plan = pii.spotted(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

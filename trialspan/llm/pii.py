@@ -151,17 +151,25 @@ def _with_ids(spots: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all rows and columns, with every span in the text replaced by its kind in brackets."""
+    """docs, all rows and columns, with every span in the text replaced by its kind in brackets.
+
+    Base spans are those of the row's own text; discovered ones are joined by id, so a row without one has none.
+    """
     spots = written(spotted(docs, doc_id, text), "spots")
-    kinds = [*(k for k, _, _ in KINDS), "id"]
-    spans = "array_sort(concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '[{k.upper()}]'))" for k in kinds) + "))"
-    held = _with_ids(spots).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.expr(spans).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id"])
-    held = written(held, "spans")
+    ids = discovered(spots)
     dropped(spots)
-    if (held.agg(F.sum(F.size("__spans") + 1)).head()[0] or 0) <= NARROW:
-        held = F.broadcast(held)
-    t = f"`{text}`"
-    new = f"""case when __spans is null or {t} is null then {t} else aggregate(__spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    if (ids.agg(F.sum(F.size("ids") + 1)).head()[0] or 0) <= NARROW:
+        ids = F.broadcast(ids)
+    # the row goes along as one column, so no name of its own is mistaken for one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = rows.select("row", "id", *(_matches(e, q).alias(k) for k, q, e in KINDS))
+    own = found.select("row", "id", *(_valid(k).alias(k) for k, _, _ in KINDS))
+    joined = own.join(ids, F.col("id") == F.col("doc_id"), "left")
+    marked = "transform({0}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '[{1}]'))"
+    empty = "cast(array() as array<struct<start:int,end:int,kind:string>>)"
+    spans = "array_sort(concat(" + ", ".join(marked.format(k, k.upper()) for k, _, _ in KINDS) + f", coalesce({marked.format('ids', 'ID')}, {empty})))"
+    t = f"row.`{text}`"
+    new = f"""case when {t} is null then {t} else aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)),
       (a, s) -> case when s.end <= a.at then a else named_struct('at', s.end, 'out', concat(a.out, array(substring({t}, a.at + 1, greatest(s.start - a.at, 0)), s.kind))) end,
       a -> concat(array_join(a.out, ''), substring({t}, a.at + 1))) end"""
-    return docs.join(held, F.col(doc_id) == F.col("__id"), "left").select(*(F.expr(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return joined.select(*(F.expr(new if c == text else f"row.`{c}`").alias(c) for c in docs.columns))
