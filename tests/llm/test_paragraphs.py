@@ -86,6 +86,46 @@ def test_paragraphs_do_not_depend_on_what_is_around():
         assert len(own & there) >= len(own) - 4
 
 
+def test_equal_and_nearly_equal_lines_among_other_lines(spark):
+    rng = random.Random(4)
+    rows, at = [], {}
+    for k in range(80):
+        line = [f"q{k}x{i}" for i in range([7, 8, 10, 15, 60][k % 5])]
+        for half in (0, 1):
+            before = prose(rng, rng.randint(8, 20))
+            if half and len(line) == 60:
+                line[20] = "edit"
+            rows.append((2 * k + half, before + "\n" + " ".join(line) + "\n" + prose(rng, 12)))
+            at[2 * k + half] = len(before.split()), len(line)
+    out = {(r.doc_id, r.first_word, r.n_words) for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, *w) for k, w in at.items()} <= out
+
+
+def test_passages_in_short_lines(spark):
+    rng = random.Random(5)
+    items = [f"a{k} b{k} c{k}" + f" d{k}" * (k % 4) for k in range(30)]
+    head = "one short head"
+    rows = []
+    for k in (0, 1):
+        rows.append((k, "\n".join([prose(rng, 20), f"x{k} y{k}", *items, f"z{k}", prose(rng, 20)])))
+        rows.append((k + 2, "\n".join([prose(rng, 20), head, " ".join(f"r{i}" for i in range(9)), prose(rng, 20)])))
+    words = {k: set() for k, _ in rows}
+    for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words[r.doc_id] |= set(rows[[k for k, _ in rows].index(r.doc_id)][1].split()[r.first_word : r.first_word + r.n_words])
+    listed = set(" ".join(items).split())
+    assert all(len(words[k] & listed) >= 0.8 * len(listed) and words[k] <= listed | {f"x{k}", f"y{k}", f"z{k}"} for k in (0, 1))
+    assert all(words[k] >= set(head.split()) for k in (2, 3))
+
+
+def test_every_place_of_a_linked_class(spark):
+    rng = random.Random(6)
+    line = [f"q{i}" for i in range(60)]
+    edited = " ".join([*line[:20], "edit", *line[21:]])
+    rows = [(1, " ".join(line)), (2, "\n".join([prose(rng, 20), edited, prose(rng, 20), edited]))]
+    out = {(r.doc_id, r.first_word) for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_words == 60}
+    assert out == {(1, 0), (2, 20), (2, 100)}
+
+
 def test_odd_rows(odd, odd_rows, empty):
     out = paragraphs.repeated(odd).collect()
     rows = sorted({(r[0], r[1]) for r in odd_rows if r[0] is not None and r[1]})

@@ -1,8 +1,11 @@
 """Repeated passages across documents by paragraph MinHash banding.
 
-A paragraph is a line, cut further where the hash of three words is the least among its
-neighbours. Such cuts depend on a few words around them only, so a passage pasted anywhere into
-another text has the same paragraphs inside. Equal paragraphs are one class by their hash.
+A paragraph is a line, or a run of lines of fewer than `LEAST` words each, and each piece of it
+cut where the hash of three words is the least among its neighbours in it. Such cuts depend on a
+few words around them and never on other lines, so equal lines have the same paragraphs, and a
+passage pasted anywhere into another text has the same paragraphs inside. A line or first piece of
+fewer than `LEAST` words makes a paragraph with what stands beside it, so every word of a text of
+as many words is in one. Paragraphs may overlap. Equal paragraphs are one class by their hash.
 Different ones are sketched by minimum hashes of their five-word shingles; those that collide
 in a band are compared on their full shingle sets, and pairs of Jaccard similarity of at least
 80 percent are links. Components of links are clusters. In a cluster that spans several
@@ -12,8 +15,7 @@ Bands are tuned for recall: six of two rows miss a pair at 0.8 with probability
 0.9 with 5e-5, and equal ones never. Rows are packed by task and bucket; repeats within a task are
 merged before the shuffle. Identifiers of words, shingles and classes are 64-bit hashes.
 
-Defined cases: a null, empty or short text has no paragraphs; those under `LEAST` words are not
-looked at. A row without an id takes no part. Rows that repeat an id are one document. An
+Defined cases: a null or empty text, or one of fewer than `LEAST` words, has no paragraphs. A row without an id takes no part. Rows that repeat an id are one document. An
 empty table gives an empty result. Other columns are not looked at.
 """
 
@@ -39,9 +41,13 @@ PERCENT = 80
 BUCKET_BYTES = 8 << 20
 #: Bytes of text whose rows a task holds before it sends them on.
 FLUSH_BYTES = 4 << 20
+#: Links that a task holds before it sends them on.
+SENT_LINKS = 10_000
 _MIN = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
+#: Bits of a band's key that are kept; what they confuse is told apart on full sets.
+_KEY = _U((1 << 40) - 1)
 
 
 def _around(x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +61,37 @@ def _around(x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def _segments(of: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """First words of the segments of texts: lines, where consecutive ones under LEAST words are one."""
+    line = np.flatnonzero(np.concatenate(([True], (lines[1:] != lines[:-1]) | (of[1:] != of[:-1]))))
+    short = np.diff(np.append(line, len(of))) < LEAST
+    goes_on = np.concatenate(([False], short[1:] & short[:-1] & (of[line[1:]] == of[line[:-1]])))
+    return line[~goes_on]
+
+
+def _units(s: np.ndarray, seg: np.ndarray, whole: np.ndarray, inside: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of the paragraphs, from the first words of pieces and the segments they lie in.
+
+    They are the whole segments, their pieces, a first piece under LEAST words with the next one, and
+    segments under LEAST words with the nearest paragraph before and after them in their text.
+    """
+    size = np.diff(np.append(s, len(of)))
+    e, end = s + size, (seg + whole)[inside[s]]
+    head = np.flatnonzero((s == seg[inside[s]]) & (e < end) & (size < LEAST))
+    begins = np.searchsorted(s, seg)
+    ends = np.append(begins[1:], len(s)) - 1
+    first, last = e[begins], s[ends]  # where the first paragraph of a segment ends, and its last one begins
+    first = np.where((first - seg < LEAST) & (ends > begins), e[np.minimum(begins + 1, ends)], first)
+    last = np.where((seg + whole - last < LEAST) & (ends > begins), s[np.maximum(ends - 1, begins)], last)
+    few = whole < LEAST
+    same = of[seg[1:]] == of[seg[:-1]]
+    on, back = np.flatnonzero(few[:-1] & same), np.flatnonzero(few[1:] & same) + 1
+    start = np.concatenate((s, seg, s[head], seg[on], last[back - 1]))
+    stop = np.concatenate((e, seg + whole, e[head + 1], first[on + 1], (seg + whole)[back]))
+    both = np.unique(np.stack((start, stop - start), 1)[stop - start >= LEAST], axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word within it, words, class, shingle hashes with one more at the end) of the paragraphs of folded texts; the shingles of paragraph k start at its first word's place, the last column of first places."""
     starts, ends, first = A.words(data, off)
@@ -64,19 +101,19 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h = A.spans(A.prefix(data), starts, ends)
     n = len(h)
     of = A.of_rows(first)
+    lines = np.concatenate(([0], np.cumsum(data == 10)))[starts]
+    seg = _segments(of, lines)
+    size = np.diff(np.append(seg, n))
+    inside = np.repeat(np.arange(len(seg)), size)
     three = np.concatenate((A.grams(h, 3), np.full(min(2, n), _TOP)))[:n]
-    three[np.arange(n) + 2 >= first[of + 1]] = _TOP
-    place = np.arange(n) + REACH * of  # texts are kept apart, so a cut depends on its own text only
+    three[np.arange(n) + 2 >= (seg + size)[inside]] = _TOP
+    place = np.arange(n) + REACH * inside  # segments are kept apart, so a cut depends on its own segment only
     apart = np.full(place[-1] + 1, _TOP)
     apart[place] = three
     before, after = (x[place] for x in _around(apart, REACH))
     cut = (three < before) & (three <= after) & (three != _TOP)
-    lines = np.concatenate(([0], np.cumsum(data == 10)))[starts]
-    cut[1:] |= lines[1:] != lines[:-1]
-    cut[first[:-1][np.diff(first) > 0]] = True
-    s = np.flatnonzero(cut)
-    size = np.diff(np.append(s, n))
-    s, size = s[size >= LEAST], size[size >= LEAST]
+    cut[seg] = True
+    s, size = _units(np.flatnonzero(cut), seg, size, inside, of)
     power, inverse = A._power_tables(n + 1)
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * power[:n], dtype=_U)))
     name = A.mix((sums[s + size] - sums[s]) * inverse[s] + size.astype(_U) * _U(0xA24BAED4963EE407))
@@ -93,13 +130,23 @@ def _bands(shingles: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
         key = np.full(len(s), _U(b))
         for r in range(ROWS):
             key += np.minimum.reduceat(A.mix(shingles ^ _MIN[b * ROWS + r]), where)[::2] * A._LANES[r]
-        out[:, b] = A.mix(key)
+        out[:, b] = A.mix(key) & _KEY
     return out
 
 
+def _repeats(shingles: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each paragraph holds a shingle twice."""
+    order = np.argsort(shingles, kind="stable")
+    same = shingles[order][1:] == shingles[order][:-1]
+    last = np.full(len(shingles), -1)
+    last[order[1:][same]] = order[:-1][same]
+    return np.maximum.reduceat(last, np.stack((s, s + size - SHINGLE + 1), 1).ravel())[::2] >= s
+
+
+#: again: an earlier document of the task has the class too; with a band's key, that the paragraph holds a shingle twice.
 _PACKED = "bucket int, kind int, rows binary"
 _FIELDS = np.dtype([("key", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("again", "?")])
-#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class shares.
+#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class of a like size shares; kind 2: members of classes that repeat in one document only.
 _FOUND = "kind int, key long, name long, doc long, start int, size int"
 
 
@@ -123,8 +170,10 @@ def _dealt(rows: np.ndarray, many: int, kind: int, by: np.ndarray) -> Iterator[t
 def _made(many: int):
     def sent(units: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
         unit, keys = np.concatenate(units), np.concatenate(bands)
+        units.clear(), bands.clear()
         order = np.lexsort((unit["start"], unit["doc"], unit["name"]))
         unit, keys = unit[order], keys[order]
+        twice = unit["again"].copy()
         new = np.concatenate(([True], unit["name"][1:] != unit["name"][:-1]))
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         lost = unit["doc"] > unit["doc"][first][group]  # an earlier document of this task has it
@@ -134,7 +183,7 @@ def _made(many: int):
             out += _dealt(unit[lost], many, 2, A.mix(unit["doc"][lost].astype(_U)))
         for b in range(BANDS):
             rows = unit[first].copy()
-            rows["key"] = keys[first, b]
+            rows["key"], rows["again"] = keys[first, b], twice[first]
             out += _dealt(rows, many, 1, rows["key"])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "rows"])
 
@@ -150,6 +199,7 @@ def _made(many: int):
                 shingles, s = rest[: -len(text)], rest[-len(text) :].astype(np.int64)
                 unit = np.zeros(len(text), _FIELDS)
                 unit["name"], unit["doc"], unit["start"], unit["size"] = name, ids[i + text], start, size
+                unit["again"] = _repeats(shingles, s, size)
                 units.append(unit)
                 bands.append(_bands(shingles, s, size))
                 held += len(data)
@@ -181,6 +231,17 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list]]:
         yield held
 
 
+def _alike(rows: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places of rows that another of their key may be linked with, by the sizes of the sets; where a shingle repeats, sizes say nothing."""
+    group = np.repeat(np.arange(len(first)), many)
+    order = np.lexsort((rows["size"], group))
+    size = rows["size"][order].astype(np.int64) - SHINGLE + 1
+    near = (group[1:] == group[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
+    keep = np.concatenate(([False], near)) | np.concatenate((near, [False]))
+    keep |= (np.logical_or.reduceat(rows["again"], first) & (many > 1))[group]
+    return order[keep]
+
+
 @A.lean
 def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held in _grouped(batches):
@@ -191,14 +252,16 @@ def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = rows[np.argsort(rows["name"], kind="stable")]
             first = np.flatnonzero(np.concatenate(([True], rows["name"][1:] != rows["name"][:-1])))
             spread = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)) | np.logical_or.reduceat(rows["again"], first)
-            yield _found(rows[np.repeat(spread, np.diff(np.append(first, len(rows))))], 0)
+            many = np.diff(np.append(first, len(rows)))
+            yield _found(rows[np.repeat(spread, many)], 0)
+            yield _found(rows[np.repeat(~spread & (many > 1), many)], 2)
         if 1 in held:
             rows = _unplanes(held[1])
             rows = rows[np.lexsort((rows["start"], rows["doc"], rows["name"], rows["key"]))]
             rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["name"][1:] != rows["name"][:-1])))]
             first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
             many = np.diff(np.append(first, len(rows)))
-            yield _found(rows[np.repeat(many > 1, many)], 1)
+            yield _found(rows[_alike(rows, first, many)], 1)
 
 
 @A.lean
@@ -208,16 +271,22 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column("wanted")
         keys, names, sets = [], [], []
         for i, j, off, data in A.slices(batch.column("text")):
-            text, start, size, _, rest = paragraphs(A.LOWER[data], off)
-            shingles = rest[: -len(text)] if len(text) else rest
-            place = rest[-len(text) :].astype(np.int64) if len(text) else start
+            text, start, size, name, rest = paragraphs(A.LOWER[data], off)
+            if not len(text):
+                continue
+            shingles, place = rest[: -len(text)], rest[-len(text) :].astype(np.int64)
             edge = np.searchsorted(text, np.arange(j - i + 1))
+            code = start << 32 | size
             for k in range(i, j):
+                lo, hi = edge[k - i], edge[k - i + 1]
                 rows = wanted[k].values
-                at = edge[k - i] + np.searchsorted(start[edge[k - i] : edge[k - i + 1]], rows.field("start").to_numpy())
-                keys.append(rows.field("key"))
-                names.append(rows.field("name"))
-                sets += [np.unique(shingles[place[a] : place[a] + size[a] - SHINGLE + 1]).tobytes() for a in at]
+                want = rows.field("start").to_numpy().astype(np.int64) << 32 | rows.field("size").to_numpy()
+                at = lo + np.searchsorted(code[lo:hi], want)
+                here = np.flatnonzero(at < hi)  # another text of the same id may hold the others
+                here = here[(code[at[here]] == want[here]) & (name[at[here]].view(np.int64) == rows.field("name").to_numpy()[here])]
+                keys.append(rows.field("key").take(pa.array(here)))
+                names.append(rows.field("name").take(pa.array(here)))
+                sets += [np.unique(shingles[place[a] : place[a] + size[a] - SHINGLE + 1]).tobytes() for a in at[here]]
         if keys:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.concat_arrays(names), pa.array(sets, pa.binary())], names=["key", "name", "shingles"])
 
@@ -226,14 +295,22 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect the classes of each key, from rows in the order of keys."""
     now, names, sets = None, [], []
-
-    def links() -> pa.RecordBatch:
+    a, b = [], []
+
+    def links() -> None:
+        if len(sets) == 2:
+            short, long = sorted(sets, key=len)
+            if 100 * len(short) >= PERCENT * len(long):
+                both = np.count_nonzero(short[np.minimum(np.searchsorted(short, long), len(short) - 1)] == long)
+                if 100 * both >= PERCENT * (len(short) + len(long) - both):
+                    a.append(names[0])
+                    b.append(names[1])
+            return
         size = np.array([len(s) for s in sets])
         order = np.argsort(size, kind="stable")
         values, of = np.concatenate([sets[k] for k in order]), np.repeat(np.arange(len(order)), size[order])
         size, root = size[order], np.arange(len(order))
         edge = np.concatenate(([0], np.cumsum(size)))
-        a, b = [], []
         for i in range(len(order) - 1):
             to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
             if to <= i + 1:
@@ -246,22 +323,28 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.append(names[order[i]])
                     b.append(names[order[j]])
                     root[root == root[j]] = root[i]
+
+    def sent() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         for key, name, s in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist(), batch.column("shingles"), strict=True):
             if key != now:
                 if len(sets) > 1:
-                    yield links()
+                    links()
                 now, names, sets = key, [], []
+                if len(a) > SENT_LINKS:
+                    yield sent()
+                    a, b = [], []
             names.append(name)
             sets.append(np.frombuffer(s.as_buffer(), _U))
     if len(sets) > 1:
-        yield links()
+        links()
+    yield sent()
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first_word, n_words, component_id, first_doc, kept): a row for each paragraph whose cluster spans documents."""
+    """(doc_id, first_word, n_words, component_id, first_doc, kept): a row for each paragraph whose cluster spans documents, in the order of first_doc."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
@@ -269,15 +352,16 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = written(packed.mapInArrow(_collided, _FOUND), "paragraphs")
 
     near = found.where("kind = 1")
-    lists = written(near.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start")).alias("wanted")), "wanted")
+    lists = written(near.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted")), "wanted")
     texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
-    sets = texts.dropDuplicates(["id"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
+    sets = texts.dropDuplicates(["id", "text"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
     links = written(sets.repartition(many, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"), "links")
     parts = written(components(links), "components")
 
-    holders = near.select("name", "doc", "start", "size").join(parts.select(F.col("node").alias("name")), "name", "left_semi")
+    holders = found.where("kind in (1, 2)").select("name", "doc", "start", "size").join(parts.select(F.col("node").alias("name")), "name", "left_semi")
     units = found.where("kind = 0").select("name", "doc", "start", "size").unionByName(holders).distinct()
     units = units.join(parts, F.col("name") == F.col("node"), "left").select("doc", "start", "size", F.coalesce("component", "name").alias("component_id"))
     first = units.groupBy("component_id").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last")).where("first_doc < last").drop("last")
     out = units.join(first, "component_id")
+    out = out.orderBy("first_doc", "doc", "start", "size")
     return out.select(F.col("doc").alias(doc_id), F.col("start").cast("long").alias("first_word"), F.col("size").cast("long").alias("n_words"), "component_id", "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
