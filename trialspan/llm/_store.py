@@ -5,26 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a temporary folder of this machine."""
+    """spark.checkpoint.dir of the session; only where it is unset and the master is local (tests), a temporary folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="trialspan-"))
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again. The columns keep their names, types and order."""
+def written(df: DataFrame, name: str, *stats: Column) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again. The columns keep their names, types and order.
+
+    Aggregates given as stats are taken in the same pass and are in the attribute `stats` of the result.
+    """
     path = f"{folder(df.sparkSession)}/trialspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if stats else None
+    (df.observe(seen, *(s.alias(f"s{k}") for k, s in enumerate(stats))) if seen else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._trialspan_path = path
+    out.stats = [seen.get[f"s{k}"] for k in range(len(stats))] if seen else []
     return out
 
 
@@ -39,8 +46,8 @@ def dropped(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a few numbers that may be broadcast, 16 to 64 MB; beyond them a join is shuffled.
-NARROW = 1_000_000
+#: Rows of a few numbers that may be broadcast, 4 to 16 MB; beyond them a join is shuffled.
+NARROW = 250_000
 
 
 def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -55,5 +62,18 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch, 64 MB by default, so that a worker and its executor hold little of a partition at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def col(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, lengthened until it clashes with no column in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,16 +7,16 @@ coordinate fills, and the share of equal coordinates is concentrated around the
 similarity at least as well as with independent functions.
 
 Equal sets become one class. Classes that share a band are candidates: in each bucket all are
-compared with the first, on their full sets. Classes that buckets connect form a family; a
-family that still holds several components is compared within itself, in blocks of bounded
-size: sketches rule pairs out by the concentration bound, full sets decide the rest, and only
-links that join two components leave the worker. No candidate is capped, and a link is a
-link only if full sets say so.
+compared with the first, on their full sets, and verified links give parts. In a bucket that
+still holds several parts, sketches tell which parts may be linked, by the concentration bound;
+parts so connected, a family, are compared on full sets, in blocks of bounded size where pairs
+of one part never meet. No candidate is capped, and a link is a link only if full sets say so.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing. A
 text with fewer words than a shingle is one shingle. A row without an id is linked with
-nothing and its component is null. Repeated rows each get a row, with the same component. An
-empty table gives an empty result. Other columns are not looked at.
+nothing and its component is null. Repeated rows each get a row, with the same component. Ids
+are integers; rows that repeat an id with different texts are one document with the links of
+all of them. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
 from trialspan.llm._components import components
-from trialspan.llm._store import bounded_batches, dropped, narrow, written
+from trialspan.llm._store import bounded_batches, col, dropped, narrow, written
 
 SIZE = 128
 BITS = 7
@@ -38,8 +38,8 @@ BITS = 7
 BANDS, ROWS = 25, 5
 #: Standard deviations under the threshold from which an estimate rules a pair out.
 DEVIATIONS = 5.0
-#: Shingles in a block of a family; a task holds two blocks.
-BLOCK = 1 << 20
+#: Shingles in a block of a family, and sketches in a block of a bucket; a task holds two blocks.
+BLOCK, BLOCK_ROWS = 1 << 20, 1 << 13
 SHINGLE = 5
 _ROUND = np.random.default_rng(11).integers(0, 1 << 63, 2 * SIZE, dtype=np.uint64)
 _BAND = np.random.default_rng(13).integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -105,7 +105,9 @@ def _set_bytes(n: int):
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), A.binary([s.tobytes() for s in _sets(batch.column("text"), n)])], names=["id", "shingles"])
+            sets = list(_sets(batch.column("text"), n))
+            one = np.array([A.mix(s + _U(1)).sum(dtype=_U) for s in sets], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(one), A.binary([s.tobytes() for s in sets])], names=["id", "one", "shingles"])
 
     return run
 
@@ -124,101 +126,128 @@ def _alike(percent: int):
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             same = [int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= least for p, q in zip(x, y, strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "a1", "b", "b1"])
 
     return run
 
 
-def _joined(percent: int):
-    """Links that join components within two blocks of a family."""
+def _spans_parts(percent: int, verify: bool):
+    """Links between parts that a pair in two blocks of a group gives, as many as join parts here: by full sets, or else by sketches that do not rule the pair out."""
     least = _least_equal(percent)
 
+    @A.lean_table
     def run(table: pa.Table) -> pa.Table:
-        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
-        lo, hi = int(table.column("p")[0].as_py()), int(table.column("q")[0].as_py())
+        block = table.column("block").to_numpy()
+        lo, hi = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, SIZE)
-        sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        _, root = np.unique(table.column("part").to_numpy(), return_inverse=True)
+        size = table.column("n").to_numpy()
+        parts, root = np.unique(table.column("part").to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("shingles").combine_chunks()] if verify else None
+        part = root.copy()
         a, b = [], []
-        for i in range(len(ids)):
-            if block[i] != lo:
-                continue
-            other = np.flatnonzero((root != root[i]) & (block == hi) & ((block != lo) | (np.arange(len(ids)) > i)))
+        for i in np.flatnonzero(root != np.bincount(root).argmax()):  # of a pair in two parts, one is not in the largest
+            other = np.flatnonzero((root != root[i]) & (block == (hi if block[i] == lo else lo)))
             other = other[np.minimum(size[i], size[other]) * 100 >= percent * np.maximum(size[i], size[other])]
             other = other[(marks[other] == marks[i]).sum(1) >= least]
-            if not len(other):
-                continue
-            all_ = np.concatenate([sets[k] for k in other])
-            at = np.minimum(np.searchsorted(sets[i], all_), size[i] - 1)
-            both = np.add.reduceat((sets[i][at] == all_).astype(np.int64), np.concatenate(([0], np.cumsum(size[other])[:-1])))
-            for k in other[100 * both >= percent * (size[i] + size[other] - both)]:
-                if root[k] != root[i]:
-                    a.append(ids[i])
-                    b.append(ids[k])
+            for k in other:
+                if root[k] != root[i] and (not verify or _similar(sets[i], sets[k], percent)):
+                    a.append(parts[part[i]])
+                    b.append(parts[part[k]])
                     root[root == root[k]] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _linked(percent: int):
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
             for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
-                s, t = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                same.append(100 * both >= percent * (len(s) + len(t) - both))
+                same.append(_similar(np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U), percent))
             yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
     return run
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    left = table.select(F.col("id").alias("a"), F.col(value).alias("x"))
-    right = table.select(F.col("id").alias("b"), F.col(value).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    left = table.select(F.col("id").alias("a"), F.col("one").alias("a1"), F.col(value).alias("x"))
+    right = table.select(F.col("id").alias("b"), F.col("one").alias("b1"), F.col(value).alias("y"))
+    return pairs.join(left, ["a", "a1"]).join(right, ["b", "b1"]).select("a", "a1", "b", "b1", "x", "y")
+
+
+def _block_pairs(rows: DataFrame, group: str, weight: Column, bound: int) -> DataFrame:
+    """rows with block, p and q: those of groups with several parts, once for each pair of blocks that may hold two parts.
+
+    A part over the bound is dealt by hash to blocks of its own, which are never compared with
+    each other; the other parts share blocks. So a group that is one large part and some small
+    ones costs as many copies of the small ones as the large one has blocks, and one of the large.
+    """
+    sized = rows.groupBy(group, "part").agg(F.sum(weight).alias("w"))
+    blocks = F.struct(F.col("part"), F.ceil(F.col("w") / bound).alias("n"))
+    of = sized.groupBy(group).agg(F.count("*").alias("parts"), F.ceil(F.coalesce(F.sum(F.when(F.col("w") < bound, F.col("w"))), F.lit(0)) / bound).alias("mixed"), F.collect_list(F.when(F.col("w") >= bound, blocks)).alias("big")).where("parts > 1")
+    x = rows.join(of, group).withColumn("k", F.expr("array_position(transform(big, x -> x.part), part)"))
+    x = x.withColumn("lo", F.expr("mixed + aggregate(slice(big, 1, greatest(int(k) - 1, 0)), 0L, (a, x) -> a + x.n)")).withColumn("many", F.expr("if(k > 0, big[int(k) - 1].n, mixed)"))
+    x = x.withColumn("block", F.expr("if(k > 0, lo + pmod(xxhash64(id), many), pmod(xxhash64(part), many))")).withColumn("all", F.expr("mixed + aggregate(big, 0L, (a, x) -> a + x.n)"))
+    x = x.withColumn("o", F.explode(F.expr("filter(sequence(0L, all - 1), o -> k = 0 or o < lo or o >= lo + many)")))
+    return x.select(*rows.columns, "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
+
+
+def _linked_parts(rows: DataFrame, group: str, weight: Column, bound: int, payload: list[tuple[DataFrame, str]], percent: int) -> DataFrame:
+    """(a, b): parts that pairs in one group link."""
+    blocks = _block_pairs(rows, group, weight, bound)
+    for table, value in payload:
+        blocks = blocks.join(table.select("id", "one", value), ["id", "one"])
+    verify = any(value == "shingles" for _, value in payload)
+    columns = ["block", "p", "q", "part", "n", *(value for _, value in payload)]
+    return blocks.select(group, *columns).groupBy(group, "p", "q").applyInArrow(_spans_parts(percent, verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union, percent from 80."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     made = written(rows.mapInArrow(_sketched(shingle), "id long, n long, one long, two long, bands array<long>, marks binary"), "sketches")
     sets = made.where("n > 0 and id is not null")
     classes = written(sets.groupBy("one", "two", "n").agg(F.min_by(F.struct("id", "bands", "marks"), "id").alias("r")).select("one", "two", "n", "r.id", "r.bands", "r.marks"), "classes")
-
-    keyed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
-    members = written(keyed.join(buckets, "key").select("key", "id", "centre"), "members")
-
-    needed = narrow(written(members.select("id").distinct(), "needed"))
-    marks = classes.join(needed, "id", "left_semi").select("id", "marks")
-    full = written(rows.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_bytes(shingle), "id long, shingles binary"), "sets")
-
-    star = written(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    near = _with_both(star, marks, "marks").mapInArrow(_alike(percent), "a long, b long")
-    links = written(_with_both(near, full, "shingles").mapInArrow(_linked(percent), "a long, b long"), "verified")
-    found = written(components(links), "components")
-
-    family = components(star).join(found.withColumnRenamed("component", "part"), "node", "left").select(F.col("component").alias("family"), F.col("node").alias("id"), F.coalesce("part", "node").alias("part"))
-    family = written(family, "families")
-    several = family.groupBy("family").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("family")
-    sized = family.join(several, "family", "left_semi").join(classes.select("id", "n"), "id")
-    before = F.sum("n").over(Window.partitionBy("family").orderBy("id")) - F.col("n")
-    blocks = sized.select("family", "id", "part", F.floor(before / BLOCK).alias("block"))
-    last = blocks.groupBy("family").agg(F.max("block").alias("last"))
-    blocks = blocks.join(last, "family").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    blocks = blocks.select("family", "id", "part", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).join(marks, "id").join(full, "id")
-    more = written(blocks.groupBy("family", "p", "q").applyInArrow(_joined(percent), "a long, b long"), "joined")
-    if not more.isEmpty():
-        dropped(found)
-        found = written(components(links.unionByName(more)), "components")
-    dropped(members, star, full, links, family, more)
+    marks = classes.select("id", "one", "marks")
+
+    keyed = classes.select("id", "one", "n", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "one")).alias("centre")).where("size > 1").drop("size")
+    members = written(keyed.join(buckets, "key"), "members")
+    needed = members.select("id", "one").distinct()
+    full = written(rows.join(narrow(needed.select("id").distinct()), "id", "left_semi").mapInArrow(_set_bytes(shingle), "id long, one long, shingles binary").dropDuplicates(["id", "one"]).join(needed, ["id", "one"], "left_semi"), "sets")
+
+    star = members.where("id <> centre.id").select(F.col("centre.id").alias("a"), F.col("centre.one").alias("a1"), F.col("id").alias("b"), F.col("one").alias("b1")).distinct()
+    near = _with_both(star, marks, "marks").mapInArrow(_alike(percent), "a long, a1 long, b long, b1 long")
+    links = _with_both(near, full, "shingles").mapInArrow(_linked(percent), "a long, b long")
+    several = sets.groupBy("id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo <> hi").select("id")  # texts of one id belong together
+    own = sets.join(several, "id", "left_semi").select("id", "one", "two", "n").join(classes.select("one", "two", "n", F.col("id").alias("a")), ["one", "two", "n"]).select("a", F.col("id").alias("b"))
+    found = written(components(links.unionByName(own)), "parts")
+
+    part = F.coalesce("component", "id").alias("part")
+    inside = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "one", "n", part)
+    maybe = written(_linked_parts(inside, "key", F.lit(1), BLOCK_ROWS, [(marks, "marks")], percent), "maybe", F.count(F.lit(1)))
+    if maybe.stats[0]:
+        family = components(maybe).select(F.col("node").alias("part"), F.col("component").alias("family"))
+        nodes = inside.select("id", "one", "n", "part").distinct().join(family, "part")
+        more = written(_linked_parts(nodes, "family", F.col("n"), BLOCK, [(marks, "marks"), (full, "shingles")], percent), "joined", F.count(F.lit(1)))
+        if more.stats[0]:
+            whole = components(more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+            every = found.select("node", F.col("component").alias("part")).unionByName(whole.select(F.col("part").alias("node"), "part")).distinct()
+            after = written(every.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component")), "components")
+            dropped(found)
+            found = after
+        dropped(more)
+    dropped(members, full, maybe)
     part = classes.join(found, F.col("id") == F.col("node"), "left").select("one", "two", "n", F.coalesce("component", "id").alias("part"))
     out = made.select("id", "n", "one", "two").join(part, ["one", "two", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
@@ -228,10 +257,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """docs, all columns, with one document of each group; repeated rows of an id count as one document."""
+    """docs, all columns, with one document of each group; of rows that repeat an id the one with the least text stays."""
     found = near_duplicates(docs, doc_id, text, percent)
-    gone = narrow(written(found.where(~F.col("kept")).select(doc_id).distinct(), "gone"))
-    kept = docs.join(gone, doc_id, "left_anti").select(docs.columns)
-    once = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    gone = narrow(written(found.where(~F.col("kept")).select(col(doc_id).alias("__id")).distinct(), "gone"))
+    columns = [col(c) for c in docs.columns]
+    kept = docs.select(F.struct(*columns).alias("row"), col(doc_id).cast("long").alias("__id"), F.coalesce(col(text), F.lit("")).alias("__text")).join(gone, "__id", "left_anti")
+    again = written(found.where(col(doc_id).isNotNull()).groupBy(col(doc_id).alias("__id")).count().where("count > 1").select("__id"), "again", F.count(F.lit(1)))
     dropped(found)
-    return kept if once else kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    if not again.stats[0]:
+        rows = kept.select("row")
+    else:
+        once = kept.join(again, "__id", "left_semi").groupBy("__id").agg(F.min_by("row", "__text").alias("row")).select("row")
+        rows = kept.join(again, "__id", "left_anti").select("row").unionByName(once)
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
