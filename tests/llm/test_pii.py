@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -84,6 +85,64 @@ def test_masking_needs_no_id_of_its_own(spark):
     assert out == {"n": "ip [IP] or [EMAIL]", "o": "call [PHONE]", "p": "mail [EMAIL] now", "q": "now a card [CARD]", "r": None}
 
 
+def test_masking_by_row(spark):
+    """Ids that are missing or repeat, and names that clash with the operator's own, change no other row's text."""
+    rows = [(1, "long a@b.org before e@f.org x", 1, 2, 3), (1, "ip 10.0.0.1", 1, 2, 3), (None, "mail a@b.org now", 1, 2, 3), (None, None, 1, 2, 3), (1, "plain", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, key long, `a.b` long")
+    out = pii.masked(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, (r[1] for r in out.collect()))) == sorted(["long [EMAIL] before [EMAIL] x", "ip [IP]", "mail [EMAIL] now", "None", "plain"])
+    assert {(r[0], r[2], r[3], r[4]) for r in out.collect()} == {(1, 1, 2, 3), (None, 1, 2, 3), (1, 4, 5, 6)}
+
+
+def test_no_base_match_is_left(spark):
+    rng = random.Random(11)
+    pieces = ["a@b.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (555) 010-9999", "plain", "é", "x=7", "\n", "token = 9f8e7d6c5b4a"]
+    rows = [(rng.choice([None, 1, 2, k]), " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))) for k in range(300)]
+    out = pii.masked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 300 and not any(base(r.text) for r in out.collect())
+
+
+def brute_ids(occurrences):
+    """The accepted instances, by the rule in plain Python: occurrences are (instance, fixed, patterns)."""
+    edges, fixed = {(i, p) for i, _, ps in occurrences for p in ps}, {i: f for i, f, _ in occurrences}
+    score, states = {}, []
+    while True:
+        at = {i: fixed[i] if fixed[i] is not None else score.get(i, 0.0) for i in fixed}
+        doubt = {}
+        for p in {p for _, p in edges}:
+            mine = [i for i, q in edges if q == p]
+            good = [at[i] for i in mine if at[i] >= pii.INSTANCE_SCORE]
+            bad = sum(1.0 if fixed[i] == 0.0 else pii.UNJUDGED for i in mine if at[i] < pii.INSTANCE_SCORE)
+            sure = sum(good) / (sum(good) + bad + pii.DOUBT)
+            if sure >= pii.PATTERN_CONFIDENCE and len(good) >= pii.PATTERN_SUPPORT:
+                doubt[p] = math.log(max(1 - sure, 1e-9))
+        score = {i: 1 - math.exp(sum(doubt[p] for j, p in edges if j == i and p in doubt)) for i in fixed if fixed[i] is None and any(j == i and p in doubt for j, p in edges)}
+        accepted = frozenset(i for i, v in score.items() if v >= pii.INSTANCE_SCORE)
+        if accepted in states or not accepted:
+            return accepted
+        states.append(accepted)
+
+
+def test_scores_match_the_rule(spark):
+    rng = random.Random(4)
+    lead, tail = ["user", "account", "badge", "in", "at"], ["today", "was", "and", "for"]
+    ids = [lambda: f"EMP-{rng.randint(10000, 99999)}", lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", lambda: f"u{rng.randint(0, 9)}@x.org", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"build{rng.randint(100, 999)}"]
+    texts = [" ".join(f"{rng.choice(lead)} {rng.choice(ids)()} {rng.choice(tail)}" for _ in range(3)) for _ in range(60)]
+    texts += [f"badge u{k}@x.org today" for k in range(20)] + [f"badge {rng.randint(100, 999)}-45-{rng.randint(1000, 9999)} today" for _ in range(5)]
+    spots = pii.written(pii.spotted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "spots")
+    seen = [(r.instance, r.fixed, r.patterns) for r in pii._occurrences(spots).collect()]
+    ids_of = pii.discovered(spots).select(pii.F.explode("ids").alias("s"), "key").join(pii._occurrences(spots), "key").where("s.start = start and s.end = end").select("instance").distinct().collect()
+    assert {r.instance for r in ids_of} == brute_ids(seen) != set()
+
+
+def test_identifiers_of_digits_and_short_ones(spark):
+    rows = [(k, f"alpha contact user{k}@example.org today beta") for k in range(40)]
+    rows += [(40, "alpha contact 123-45-6789 today"), (41, "alpha contact EMP-48213 today"), (42, "alpha contact 987654321 today"), (43, "alpha contact 2024-05-06 today"), (44, "alpha contact 4041894974608795 today")]
+    out = {r.doc_id: r.n_id for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k] for k in range(40, 45)] == [1, 1, 1, 0, 0]  # a date, and a card number that fails its check
+
+
 def test_plan_is_native(spark, odd):
     plan = pii.spotted(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
