@@ -1,11 +1,16 @@
-"""Prediction by partial matching over byte classes: count, freeze, score.
-
-Bytes are mapped to a small alphabet of classes. For every context of up to `order` classes
-the frozen statistics give each next class an escape-coded probability: with n of N
-occurrences and D distinct successors seen, a seen class has n/(N+D); the escape mass D/(N+D)
-is spread over the unseen ones as the next shorter context has it, renormalised over them
-(exclusion). Below the empty context every class is equally likely. The code lengths of all
-(context, class) pairs are tabled once, so scoring a text is exact and takes one lookup a byte.
+"""Prediction by partial matching over bytes: count, freeze, score.
+
+For every context of up to ORDER bytes the frozen statistics give each next byte an
+escape-coded probability: with n of N occurrences and D distinct successors seen, a seen byte
+has n/(N+D); the escape mass D/(N+D) is spread over the unseen ones as the next shorter context
+has it, renormalised over them (exclusion). Below the empty context every byte is equally
+likely. Byte 0 stands before a text.
+
+Contexts are kept as sparse trees, one table an order: the code lengths of all (context, byte)
+pairs that any model of a block has seen, under each of its models, and the code lengths of
+their escapes. A pair is looked up at the longest order; only pairs that no model has seen go
+on to shorter ones. So scores are exact, cost one lookup a byte, and the order is the same
+however many models there are. Models are scored in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -18,84 +23,122 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspan.llm._arrays import lean, release, slices
+from trialspan.llm._arrays import lean, mix, release, slices
+from trialspan.llm._store import dropped, written
 
-#: Memory that the table of all models may take in a worker; beyond it the order is lowered.
-TABLE_BYTES = 64 << 20
 ORDER = 3
+#: Bytes of the tables of one block of models; a model that is larger is a block of its own.
+BLOCK_BYTES = 64 << 20
 #: Distinct (model, context) counts that a task keeps before it merges them.
 PENDING = 1_000_000
+_U = np.uint64
 
 
-def packed(data: np.ndarray, off: np.ndarray, classes: np.ndarray, size: int, order: int) -> np.ndarray:
-    """For each byte the number, base `size`, of its context and itself; class 0 stands before a text."""
-    here = classes[data].astype(np.int64)
+def packed(data: np.ndarray, off: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """For each byte its context and itself, as one number, the byte lowest."""
+    here = fold[data].astype(np.uint32)
     out = here.copy()
     starts = off[:-1][np.diff(off) > 0]
-    scale = 1
-    for k in range(1, order + 1):
-        scale *= size
-        back = np.zeros(len(here), np.int64)
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(here), np.uint32)
         back[k:] = here[:-k] if k < len(here) else 0
         for j in range(k):  # a context does not reach into the text before
             at = starts + j
             back[at[at < len(back)]] = 0
-        out += back * scale
+        out |= back << np.uint32(8 * k)
     return out
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
-def order_for(size: int, models: int, order: int = ORDER, table_bytes: int = TABLE_BYTES) -> int:
-    """The largest order up to `order` whose table keeps within the bound."""
-    while order > 1 and size ** (order + 1) * models * 4 > table_bytes:
-        order -= 1
-    return order
-
-
-def code_lengths(keys: np.ndarray, counts: np.ndarray, size: int, counted_order: int, order: int) -> np.ndarray:
-    """Bits of each (context, class), float32, of one model; keys count contexts of counted_order classes."""
-    full = np.bincount(keys % (size ** (order + 1)), counts, size ** (order + 1))
-    lower = np.full((1, size), 1.0 / size)
-    for k in range(order + 1):
-        n = full.reshape(-1, size**k, size).sum(0) if k < order else full.reshape(size**order, size)
-        lower = _blend(n, np.broadcast_to(lower, (size, *lower.shape)).reshape(n.shape) if k else lower)
-    return (-np.log2(lower)).astype(np.float32).ravel()
-
-
-def _blend(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    seen = n > 0
-    total, kinds = n.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-    rest = np.where(seen, 0.0, lower).sum(1, keepdims=True)
-    whole = kinds == n.shape[1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(seen, n / np.where(whole, total, total + kinds), kinds / (total + kinds) * lower / rest)
-    return np.where(total > 0, out, lower)
-
-
-def summed(table: np.ndarray, keys: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Code length in bits of each text (rows) under each model (columns)."""
-    out = np.zeros((len(off) - 1, table.shape[1]))
-    full = np.flatnonzero(np.diff(off) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(table[keys], off[:-1][full], axis=0, dtype=np.float64)
-    return out
-
-
-def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.ndarray]:
-    """(labels, table of code lengths) from rows (label, text), one model a label.
-
-    Each task sends the counts of the contexts it saw; the driver gets at most size**4 numbers
-    a model, however large the input. With no rows there are no models.
+class Lookup:
+    """Places of keys, found by a table of the top bits of their hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = _U(max(1, int(2 * len(keys)).bit_length()))
+        h = mix(keys.astype(_U))
+        self.order = np.argsort(h, kind="stable")
+        self.keys = keys[self.order].astype(np.uint32)
+        self.start = np.searchsorted(h[self.order] >> (_U(64) - self.bits), np.arange((1 << int(self.bits)) + 1, dtype=_U)).astype(np.int32)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        out = np.full(len(q), -1, np.int32)
+        bucket = (mix(q.astype(_U)) >> (_U(64) - self.bits)).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.keys[here] == q[open_]
+            out[open_[hit]] = here[hit]
+            at[open_] += 1
+            open_ = open_[~hit & (here + 1 < end[open_])]
+        return out
+
+
+class Models:
+    """Code lengths in bits under the models `names`, from counts (model, key, n) of contexts of ORDER bytes."""
+
+    def __init__(self, names: list[str], model: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.names, many = names, len(names)
+        lower = np.full((256, many), 1.0 / 256)
+        pairs = np.arange(256)
+        self.tables: list[tuple[Lookup, np.ndarray, Lookup, np.ndarray]] = []
+        for k in range(ORDER + 1):
+            own = key & ((1 << 8 * (k + 1)) - 1)
+            union, at = np.unique(own, return_inverse=True)
+            count = np.zeros((len(union), many))
+            np.add.at(count, (at, model), n)
+            below = lower[np.searchsorted(pairs, union & ((1 << 8 * max(k, 1)) - 1))]
+            first = np.flatnonzero(np.diff(union >> 8, prepend=-1))
+            spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(union))))
+            seen = count > 0
+            total, kinds, taken = (np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, many)) for x in (count, seen.astype(float), below * seen))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total == 0, 1.0, kinds / (total + kinds) / (1.0 - taken))
+                p = np.where(seen, count / np.where(kinds == 256, total, total + kinds)[spread], escape[spread] * below)
+                lower, pairs = p, union
+                look, contexts = Lookup(union), Lookup((union >> 8)[first])
+                self.tables.append((look, -np.log2(p[look.order]).astype(np.float32).T.copy(), contexts, -np.log2(escape[contexts.order]).astype(np.float32).T.copy()))
+
+    def summed(self, keys: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Code length in bits of each text (rows) under each model (columns)."""
+        out = np.zeros((len(off) - 1, len(self.names)))
+        full = np.flatnonzero(np.diff(off) > 0)
+        if not len(full) or not self.names:
+            return out
+        look, bits, _, _ = self.tables[ORDER]
+        at = look.find(keys)
+        rest = np.flatnonzero(at < 0)
+        for m in range(len(self.names)):
+            value = bits[m][at]
+            value[rest] = 0.0
+            out[full, m] = np.add.reduceat(value, off[:-1][full], dtype=np.float64)
+        of = np.searchsorted(off, rest, "right") - 1
+        for k in range(ORDER, -1, -1):  # pairs that no model has seen with k bytes of context
+            if not len(rest):
+                break
+            q = keys[rest] & np.uint32((1 << 8 * (k + 1)) - 1)
+            look, bits, contexts, escapes = self.tables[k]
+            at = look.find(q) if k < ORDER else np.full(len(q), -1)
+            escape = np.where(at < 0, contexts.find(q >> np.uint32(8)), -1)
+            for m in range(len(self.names)):
+                value = np.where(at >= 0, bits[m][at], np.where(escape >= 0, escapes[m][escape], 0.0))
+                out[:, m] += np.bincount(of, value, len(out))
+            rest, of = rest[at < 0], of[at < 0]
+        out[:, :] += np.bincount(of, minlength=len(out))[:, None] * 8.0  # equally likely bytes
+        return out
+
+
+def fit(rows: DataFrame, fold: np.ndarray) -> list[Models]:
+    """Models of all labels in rows (label, text), in the order of labels, in blocks.
+
+    Each task sends the counts of the contexts it saw; the driver gets those of one block at a
+    time, as many numbers as its languages have contexts, however large the input.
     """
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        room = size ** (ORDER + 1)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
@@ -105,28 +148,31 @@ def fit(rows: DataFrame, classes: np.ndarray, size: int) -> tuple[list[str], np.
             names = batch.column("label").to_pylist()
             for i, j, off, data in slices(batch.column("text")):
                 code = np.array([codes.setdefault(x, len(codes)) for x in names[i:j]], np.int64)
-                keys = packed(data, off, classes, size, ORDER)
-                held.append(counted(keys + np.repeat(code, np.diff(off)) * room))
+                held.append(np.unique(packed(data, off, fold) | np.repeat(code, np.diff(off)) << 32, return_counts=True))
             if sum(len(k) for k, _ in held) > PENDING:
                 held = [merged()]
         if held:
             keys, n = merged()
             for name, c in codes.items():
-                at = keys // room == c
-                k = keys[at] % room
+                at = keys >> 32 == c
+                k = keys[at] & 0xFFFFFFFF
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(n[at])], names=["label", "key", "n"])
 
-    counts = rows.select("label", "text").mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(pc.unique(counts.column("label")).to_pylist())
-    order = order_for(size, max(1, len(names)))
-    table = np.zeros((size ** (order + 1), len(names)), np.float32)
-    for c, name in enumerate(names):
-        own = counts.filter(pc.equal(counts.column("label"), name))
-        table[:, c] = code_lengths(own.column("key").to_numpy(), own.column("n").to_numpy(), size, ORDER, order)
-    del counts
-    release()
-    return names, table
-
-
-def order_of(table: np.ndarray, size: int) -> int:
-    return round(np.log(len(table)) / np.log(size)) - 1
+    counts = written(rows.select("label", "text").mapInArrow(count, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n")), "contexts")
+    sizes = sorted(map(tuple, counts.groupBy("label").count().collect()))
+    blocks: list[list[str]] = []
+    filled = 0
+    for name, size in sizes:
+        if not blocks or filled + size * 16 > BLOCK_BYTES:
+            blocks, filled = [*blocks, []], 0
+        blocks[-1].append(name)
+        filled += size * 16
+    out = []
+    for names in blocks:
+        found = counts.where(F.col("label").isin(names)).toArrow()
+        model = pc.index_in(found.column("label"), pa.array(names)).to_numpy()
+        out.append(Models(names, model, found.column("key").to_numpy(), found.column("n").to_numpy()))
+        del found, model
+        release()
+    dropped(counts)
+    return out

@@ -179,7 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the rows whose text holds a window of the benchmark."""
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = [c.lower() for c in columns].index("text")
+    docs = docs.toDF(*(f"c{k}" for k in range(len(columns))))  # Arrow functions take no dotted names
     for index in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -192,4 +194,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*columns)

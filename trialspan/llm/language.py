@@ -1,9 +1,8 @@
 """Language identification by prediction by partial matching.
 
-Per language one byte-context model with escape probabilities is counted over all labelled
-training rows; a text goes to the language that codes it in the fewest bits. Letter case is
-folded and bytes are mapped to 38 classes (letters, non-letters, UTF-8 lead and continuation
-bytes), so the code lengths are exact over that alphabet.
+Per language one byte-context tree with escape probabilities is counted over all labelled
+training rows; a text goes to the language that codes it in the fewest bits. A-Z are folded to
+lower case; all other bytes stand for themselves.
 
 Defined cases: a null text, an empty one, or one without a letter has language `und` and score
 0; with no training rows every text is `und`. Rows with a null or empty label do not train. Equal code
@@ -17,86 +16,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trialspan.llm import _context
-from trialspan.llm._arrays import lean, slices
-from trialspan.llm._store import bounded_batches
-
-#: 0: before a text or no letter; 1-26 letters; 27-29 lead bytes; 30-37 continuation bytes.
-SIZE = 38
-CLASSES = np.zeros(256, np.uint8)
-CLASSES[0x61:0x7B] = np.arange(1, 27)
-CLASSES[0x41:0x5B] = np.arange(1, 27)
-CLASSES[0xC0:0x100], CLASSES[0xC3], CLASSES[0xE0:] = 27, 28, 29
-CLASSES[0x80:0xC0] = 30 + ((np.arange(0x80, 0xC0) & 0x1F) >> 2)
+from trialspan.llm._arrays import LOWER, lean, slices
+from trialspan.llm._store import bounded_batches, col, fresh
 
 #: Bytes of text whose code-length difference decides the score; longer texts count as so many.
 SCORE_BYTES = 64
+#: Bits a byte without any model.
+UNCODED = 8.0
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, table of code lengths) from all rows of docs with a label."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[_context.Models]:
+    """The models of all languages from all rows of docs with a label, in blocks."""
     bounded_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    return _context.fit(rows.select(F.col(lang).alias("label"), F.col(text).alias("text")), CLASSES, SIZE)
-
-
-def scored(column: pa.Array, letters: np.ndarray, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the language or -1, score, bits a byte) of each text."""
-    best, score, bits = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
-    if not names:
-        return best, score, bits
-    order = _context.order_of(table, SIZE)
-    for i, j, off, data in slices(column):
-        total = _context.summed(table, _context.packed(data, off, CLASSES, SIZE, order), off)
-        size = np.maximum(np.diff(off), 1)
-        win = total.argmin(1)
-        gap = (total - total.min(1, keepdims=True)) * (np.minimum(size, SCORE_BYTES) / size)[:, None]
-        best[i:j], bits[i:j] = win, total.min(1) / size
-        score[i:j] = 1.0 / np.exp2(-gap).sum(1)
-    best[~letters] = -1
-    score[~letters] = 0.0
-    return best, score, bits
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
+    rows = docs.where(col(lang).isNotNull() & (col(lang) != "") & col(text).isNotNull())
+    return _context.fit(rows.select(col(lang).alias("label"), col(text).alias("text")), LOWER)
+
+
+class _Best:
+    """The best language of each text so far, its bits, and the mass of all: the sum of 2 ** -(bits more than the best, per SCORE_BYTES)."""
+
+    def __init__(self, rows: int):
+        self.name = np.full(rows, None, object)
+        self.bits, self.mass = np.full(rows, np.inf), np.zeros(rows)
+
+    def add(self, column: pa.Array, block: _context.Models) -> None:
+        for i, j, off, data in slices(column):
+            total = block.summed(_context.packed(data, off, LOWER), off)
+            size = np.maximum(np.diff(off), 1)
+            scale = np.minimum(size, SCORE_BYTES) / size
+            low = total.min(1)
+            bits = np.minimum(self.bits[i:j], low)
+            with np.errstate(invalid="ignore"):
+                before = np.where(np.isinf(self.bits[i:j]), 0.0, self.mass[i:j] * np.exp2((bits - self.bits[i:j]) * scale))
+            self.mass[i:j] = before + np.exp2((bits[:, None] - total) * scale[:, None]).sum(1)
+            better = low < self.bits[i:j]
+            self.name[i:j][better] = np.array(block.names, object)[total.argmin(1)[better]]
+            self.bits[i:j] = bits
+
+
+def _predicted(rows: DataFrame, models: list[_context.Models], at: int, emit: int) -> DataFrame:
+    """The first `emit` columns of rows with lang_pred, score and bits_per_byte appended.
+
+    Column `at` is the text and the last one tells whether it has a letter. Rows pass through
+    one worker for each block of models, which is mostly one.
+    """
+    spark, names = rows.sparkSession, rows.columns[:emit]
+    rows = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))  # Arrow functions take no dotted names
+    base = rows.schema
+    width = len(base)
+    result = StructType(base.fields[:emit]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    partial = StructType(list(base.fields)).add("name", "string").add("bits", "double").add("mass", "double")
+    for k, block in enumerate(models or [None]):
+        last = k + 1 >= len(models)
+        shared = spark.sparkContext.broadcast(block)
+
+        @lean
+        def predict(batches: Iterator[pa.RecordBatch], k=k, last=last, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = _Best(len(batch))
+                if k:
+                    best.name = np.array(batch.column(width).to_pylist(), object)
+                    best.bits, best.mass = (batch.column(width + 1 + j).to_numpy().copy() for j in range(2))
+                if shared.value is not None:
+                    best.add(batch.column(at), shared.value)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(best.name, pa.string()), pa.array(best.bits), pa.array(best.mass)], names=partial.names)
+                    continue
+                letters = batch.column(width - 1).to_numpy(zero_copy_only=False).astype(bool) & ~np.isinf(best.bits)
+                size = np.maximum(_bytes(batch.column(at)), 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:emit], pa.array(np.where(letters, best.name, "und"), pa.string()), pa.array(np.where(letters, 1.0 / np.maximum(best.mass, 1.0), 0.0)), pa.array(np.where(np.isinf(best.bits), 0.0, best.bits) / size)], names=result.names)
+
+        rows = rows.mapInArrow(predict, result if last else partial)
+    return rows.toDF(*names, "lang_pred", "score", "bits_per_byte")
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    out = np.zeros(len(column), np.int64)
+    for i, j, off, _ in slices(column):
+        out[i:j] = np.diff(off)
+    return out
+
+
+def _letters(text: str) -> Column:
+    return F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+
+
+def identify(docs: DataFrame, models: list[_context.Models], keep: list[str], text: str = "text") -> DataFrame:
     """The columns named in keep, with lang_pred, score and bits_per_byte, for each row of docs."""
-    names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-
-    @lean
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
-            best, score, bits = scored(batch.column("__text"), letters, names, shared.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(score), pa.array(bits)], names=[*keep, "lang_pred", "score", "bits_per_byte"])
-
-    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return rows.mapInArrow(predict, schema)
-
-
-def known(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that identify() calls `und`."""
-    names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    flag = "__letters"
-    while flag in docs.columns:
-        flag += "_"
-    rows = docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    names_out, at = docs.columns, docs.columns.index(text)
-
-    @lean
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            best, _, _ = scored(batch.column(at), letters, names, shared.value)
-            kept = batch.filter(pa.array(best >= 0))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names_out)
-
-    return rows.mapInArrow(passed, docs.schema)
+    rows = docs.select(*(col(c) for c in keep), col(text).alias("text"), _letters(text))
+    return _predicted(rows, models, len(keep), len(keep))
+
+
+def known(docs: DataFrame, models: list[_context.Models], text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that identify() calls `und` and those that the best model codes no better than equally likely bytes."""
+    columns = docs.columns
+    own = [fresh(c, columns) for c in ("lang_pred", "score", "bits_per_byte")]
+    rows = docs.select(*(col(c) for c in columns), _letters(text))
+    at = [c.lower() for c in columns].index(text.lower())
+    found = _predicted(rows, models, at, len(columns)).toDF(*columns, *own)
+    return found.where((col(own[0]) != "und") & (col(own[2]) < UNCODED)).select(*(col(c) for c in columns))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

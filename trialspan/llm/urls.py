@@ -1,14 +1,14 @@
 """URL filters: host and path rules first, a character language-model ratio for the rest.
 
-The longest rule that fits decides. URLs that a rule decides also train two smoothed
-variable-order Markov models, of accepted and of rejected URLs. Another URL's score is the
-difference of their log-likelihoods in bits a character; it is blocked below a threshold
-calibrated on the rule-decided URLs, so that at most a stated share of the accepted ones would
-be blocked.
+The longest rule that fits decides. Half of the URLs that a rule decides, by a hash of
+their ids, train two smoothed variable-order Markov models, of accepted and of rejected URLs.
+Another URL's score is the difference of their log-likelihoods in bits a byte; it is blocked
+below a threshold calibrated on the other half, so that at most a stated share of its accepted
+URLs would be blocked.
 
 Defined cases: a null URL, or one without `://`, has empty host and path, fits no rule and has
-score 0. If the rules accept nothing or reject nothing there is no model and the rest is
-allowed. Repeated rows count as often as they occur. Other columns are not looked at.
+score 0. If the URLs to train on have none that is accepted, or none rejected, there is no
+model and the rest is allowed. Repeated rows count as often as they occur. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _context
-from trialspan.llm._arrays import lean, slices
+from trialspan.llm._arrays import LOWER, lean, slices
 from trialspan.llm._store import bounded_batches
 
 #: (host, path, verdict)
@@ -30,13 +30,9 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 FALSE_BLOCKS = 0.001
 #: Scores are calibrated on a grid of so many steps a bit.
 GRID = 100
-#: 0: before an URL; letters, digits, ten marks, anything else.
-SIZE = 39
-CLASSES = np.full(256, 38, np.uint8)
-CLASSES[0x61:0x7B] = np.arange(1, 27)
-CLASSES[0x41:0x5B] = np.arange(1, 27)
-CLASSES[0x30:0x3A] = 27
-CLASSES[list(b"./-_:?=&#%")] = np.arange(28, 38)
+#: Bytes as the models see them: A-Z in lower case, digits as 0.
+FOLD = LOWER.copy()
+FOLD[0x30:0x3A] = 0x30
 
 
 def parts(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -61,16 +57,15 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path")).select("*", _first(rules, None).alias("rule"), _first(rules, 2).alias("decided"))
 
 
-def _scored(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+def _scored(rows: DataFrame, models: _context.Models, keep: list[str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = _context.order_of(shared.value, SIZE)
         for batch in batches:
             score = np.zeros(len(batch))
             for i, j, off, data in slices(batch.column("url")):
-                bits = _context.summed(shared.value, _context.packed(data, off, CLASSES, SIZE, order), off)
+                bits = shared.value.summed(_context.packed(data, off, FOLD), off)
                 score[i:j] = (bits[:, 1] - bits[:, 0]) / np.maximum(np.diff(off), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
@@ -81,14 +76,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, false_blo
     """(page_id, host, path, rule, verdict, score) for each row of pages (page_id, url)."""
     bounded_batches(pages.sparkSession)
     rows = ruled(pages, rules)
-    labelled = rows.where(F.col("decided").isNotNull())
-    names, table = _context.fit(labelled.select(F.col("decided").alias("label"), F.col("url").alias("text")), CLASSES, SIZE)
+    labelled = rows.where(F.col("decided").isNotNull()).withColumn("odd", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(2)) == 1, F.lit(False)))
+    fit = labelled.where(~F.col("odd")).select(F.col("decided").alias("label"), F.col("url").alias("text"))
+    models = _context.fit(fit, FOLD)
     keep = ["page_id", "host", "path", "rule", "decided"]
-    if names != ["allow", "block"]:
+    if [n for m in models for n in m.names] != ["allow", "block"]:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("decided", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    good = _scored(labelled.where("decided = 'allow'"), table, ["decided"]).groupBy(F.floor(F.col("score") * GRID).alias("step")).count().toPandas()
+    table = models[0]
+    good = _scored(labelled.where("odd and decided = 'allow'"), table, ["decided"]).groupBy(F.floor(F.col("score") * GRID).alias("step")).count().toPandas()
     good = good.sort_values("step")  # bits a character are bounded, so the grid is
     at = int(np.searchsorted(good["count"].cumsum(), false_blocks * good["count"].sum(), "right"))
-    threshold = min(good["step"].iloc[at] / GRID, 0.0)
+    threshold = min(good["step"].iloc[min(at, len(good) - 1)] / GRID, 0.0) if len(good) else 0.0
     verdict = F.coalesce("decided", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return _scored(rows, table, keep).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
