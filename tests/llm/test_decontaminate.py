@@ -1,4 +1,7 @@
 import random
+import resource
+
+import numpy as np
 
 from trialspan.llm import decontaminate as D
 
@@ -9,23 +12,31 @@ def prose(rng, n):
 
 def distance(window, text):
     """Least edits between window and any part of text."""
-    row = [0] * (len(text) + 1)
+    text, ramp = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, c in enumerate(window, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(text, 1):
-            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
-    return min(row)
+        new = np.minimum(row + 1, np.concatenate(([i], row[:-1] + (text != c))))
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return row.min()
+
+
+def folded(text):
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    return bytes(0x20 if b in (0x20, 9, 10, 11, 12, 13) else b for b in t)
+
+
+def windows(text):
+    """(bytes, edits allowed) of all windows of an item."""
+    t = folded(text)
+    for length, step, share in D.WINDOWS if len(t) >= D.Q else ():
+        last = max(0, len(t) - length)
+        for s in {*range(0, last + 1, step), last}:
+            w = t[s : s + length]
+            yield w, min(len(w) // share, max((len(w) - D.Q) // D.Q, 0))
 
 
 def brute(docs, items):
-    index = D.Index(items)
-    out = set()
-    for k, t in docs:
-        text = bytes(D._FOLD[list((t or "").encode())]) if t else b""
-        for w in range(len(index.text)):
-            if distance(bytes(index.text[w]), text) <= index.edits[w]:
-                out.add((k, index.item[w]))
-    return out
+    return {(k, item) for k, t in docs for item, text in items if t and any(distance(w, folded(t)) <= e for w, e in windows(text))}
 
 
 def edited(rng, t, n):
@@ -76,3 +87,39 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     kept = D.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(odd_rows) - 3
     assert D.contaminated(empty, bench).count() == 0 and D.contaminated(odd, bench.limit(0)).count() == 0 and D.clean(odd, bench.limit(0)).count() == len(odd_rows)
+
+
+def test_unchanged_quotations_of_87_bytes(spark):
+    rng = random.Random(8)
+    item = prose(rng, 60)
+    docs = [(k, prose(rng, 20) + " " + item[3 * k : 3 * k + 87] + " " + prose(rng, 20)) for k in range(80)]
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(80))
+
+
+def test_a_long_run_of_one_character_is_bounded():
+    """10 MB of one character, or of a short period, against items that hold such runs, in little memory."""
+    index = D.Index([(1, "a question" + " " * 300 + "and more"), (2, "ab" * 100), (3, "plain words that stand here and nowhere else in the texts")])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text, expected in ((b" " * 10_000_000, {1}), (b"x" + b"ab" * 3_000_000 + b" " * 3_000_000, {1, 2}), (b"plain words that stand here and nowhere else in the texts" + b"z" * 100_000, {3})):
+        _, window, _ = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert {int(index.item[w]) for w in window} == expected
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 2 << 20
+
+
+def test_thinned_repeats_change_nothing(monkeypatch):
+    rng = random.Random(12)
+    index = D.Index([(1, "x" * 150), (2, "ab" * 70), (3, "abc" * 50 + prose(rng, 20))])
+    texts = ["x" * rng.randint(50, 3000) + rng.choice(["ab", "abc", "y"]) * rng.randint(1, 1500) + prose(rng, 5) for _ in range(10)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = index.search(data, off)
+    monkeypatch.setattr(D, "CHUNK", 1000)
+    thin = index.search(data, off)
+    assert {(d, w) for d, w, _ in zip(*whole, strict=True)} == {(d, w) for d, w, _ in zip(*thin, strict=True)} and len(whole[0])
+
+
+def test_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "some text", 1), (2, None, 2)], "doc_id long, text string, `a.b` long")
+    out = D.clean(docs, spark.createDataFrame([(1, "an item that is not there at all")], "item_id long, text string"))
+    assert out.columns == docs.columns and out.count() == 2

@@ -11,8 +11,8 @@ Texts and items are compared as bytes with A-Z lower-cased and every blank byte
 The benchmark is sent to the workers in blocks of bounded size; a larger benchmark takes more
 passes over the texts and not more memory.
 
-Defined cases: null and empty texts match nothing; null items and items shorter than q bytes are not
-searched. Repeated rows are each judged. An empty benchmark or table gives an empty result.
+Defined cases: null and empty texts match nothing; null items and items shorter than q bytes,
+which chance would find, are not searched. Repeated rows are each judged. An empty benchmark or table gives an empty result.
 Other columns are not looked at.
 """
 
@@ -30,11 +30,13 @@ from trialspan.llm import _arrays as A
 from trialspan.llm._store import bounded_batches
 
 Q = 16
-WINDOW, STEP = 100, 50
-#: Edits allowed: one in so many bytes.
-BYTES_AN_EDIT = 20
+#: (bytes of a window, bytes between windows, bytes for each edit that is allowed): long ones with more edits, and short ones close together, so that an unchanged quotation of 87 bytes holds a whole window.
+WINDOWS = [(100, 50, 20), (80, 8, 25)]
 #: Bytes of benchmark that are searched in one pass over the texts.
 BLOCK_BYTES = 4 << 20
+#: Shared q-grams that are counted at once.
+CHUNK = 1 << 20
+_REACH = 512
 _FOLD = A.LOWER.copy()
 _FOLD[~A.IS_WORD] = 0x20
 _MARK_BITS = 22
@@ -49,34 +51,61 @@ def _qgrams(data: np.ndarray) -> np.ndarray:
     return A.spans(A.prefix(data), at, at + Q)
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts of equal (text, window, band) added up."""
+    doc, window, band, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
+    if not len(doc):
+        return doc, window, band, n
+    order = np.lexsort((band, window, doc))
+    doc, window, band, n = doc[order], window[order], band[order], n[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(window) != 0) | (np.diff(band) != 0))))
+    return doc[new], window[new], band[new], np.add.reduceat(n, new)
+
+
+def _outside_repeats(g: np.ndarray, off: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """False for places far inside a run of equal q-grams at a period of up to Q bytes.
+
+    What lies around such a place is repeated, byte for byte, nearer to the ends of the run, and
+    no region reaches that far, so the same windows are found there.
+    """
+    drop = np.zeros(len(g), bool)
+    doc = np.searchsorted(off, np.arange(len(g)), "right")
+    for period in range(1, min(Q, len(g) - 1) + 1):
+        same = (g[:-period] == g[period:]) & (doc[:-period] == doc[period:])
+        change = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
+        first, last = change[::2], change[1::2]
+        for a, b in zip(first[last - first > 2 * _REACH].tolist(), last[last - first > 2 * _REACH].tolist(), strict=True):
+            drop[a + _REACH : b - _REACH] = True
+    return ~drop[pos]
+
+
 class Index:
-    """The windows of some items and their q-grams."""
+    """The q-grams of some items by their places, and the windows that cover a place."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.start, self.text, keys, of, at = [], [], [], [], [], []
-        for item, text in items:
-            data = _FOLD[np.frombuffer((text or "").encode(), np.uint8)]
-            if len(data) < Q:
-                continue
-            last = max(0, len(data) - WINDOW)
-            for s in sorted({*range(0, last + 1, STEP), last}):
-                window = data[s : s + WINDOW]
-                g = _qgrams(window)
-                keys.append(g)
-                of.append(np.full(len(g), len(self.text)))
-                at.append(np.arange(len(g)))
-                self.item.append(item)
-                self.start.append(s)
-                self.text.append(window)
-        key = np.concatenate(keys) if keys else np.empty(0, _U)
-        order = np.argsort(key, kind="stable")
-        self.of = np.concatenate(of)[order] if keys else np.empty(0, np.int64)
-        self.at = np.concatenate(at)[order] if keys else np.empty(0, np.int64)
-        self.keys, first = np.unique(key[order], return_index=True)
-        self.first = np.append(first, len(key))
-        self.size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.minimum(self.size // BYTES_AN_EDIT, np.maximum((self.size - Q) // Q, 0))
+        folded = [(item, _FOLD[np.frombuffer((text or "").encode(), np.uint8)]) for item, text in items]
+        folded = [(item, data) for item, data in folded if len(data) >= Q]
+        self.data = np.concatenate([d for _, d in folded]) if folded else np.empty(0, np.uint8)
+        off = np.concatenate(([0], np.cumsum([len(d) for _, d in folded]))).astype(np.int64)
+        start, size, edits, item, self.families = [], [], [], [], []
+        for length, step, share in WINDOWS:
+            first = len(start)
+            for (name, data), at in zip(folded, off[:-1].tolist(), strict=True):
+                last = max(0, len(data) - length)
+                for s in sorted({*range(0, last + 1, step), last}):
+                    m = min(length, len(data))
+                    start.append(at + s), size.append(m), item.append(name)
+                    edits.append(min(m // share, max((m - Q) // Q, 0)))
+            self.families.append((length, first, np.array(start[first:], np.int64)))
+        self.start, self.size, self.edits, self.item = (np.array(x, np.int64) for x in (start, size, edits, item))
         self.least = self.size - Q + 1 - Q * self.edits
+        g = _qgrams(self.data)
+        place = np.arange(len(g))
+        place = place[place + Q <= off[np.searchsorted(off, place, "right")]] if len(g) else place
+        order = np.argsort(g[place], kind="stable")
+        self.place = place[order].astype(np.int32)
+        self.keys, first = np.unique(g[place][order], return_index=True)
+        self.first = np.append(first, len(place))
         self.mark = np.zeros(1 << _MARK_BITS, bool)
         self.mark[(self.keys >> _U(64 - _MARK_BITS)).astype(np.int64)] = True
 
@@ -92,39 +121,57 @@ class Index:
         good = (self.keys[key] == g[pos]) & (pos + Q <= off[doc + 1])
         pos, key, doc = pos[good], key[good], doc[good]
         many = self.first[key + 1] - self.first[key]
-        total = int(many.sum())
-        if not total:
+        if int(many.sum()) > CHUNK:
+            good = _outside_repeats(g, off, pos)
+            pos, key, doc, many = pos[good], key[good], doc[good], many[good]
+        if not len(pos):
             return none, none, none
-        entry = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
-        doc, window = np.repeat(doc, many), self.of[entry]
-        diagonal = np.repeat(pos, many) - off[doc] - self.at[entry]
-        step = self.edits[window] + 1
-        band = (diagonal + WINDOW) // step
-        doc, window, band = (np.concatenate((x, y)) for x, y in ((doc, doc), (window, window), (band, band - 1)))
-        order = np.lexsort((band, window, doc))
-        doc, window, band = doc[order], window[order], band[order]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(window) != 0) | (np.diff(band) != 0))))
-        count = np.diff(np.append(new, len(doc)))
-        new = new[count >= self.least[window[new]]]
-        doc, window = doc[new], window[new]
-        low = band[new] * (self.edits[window] + 1) - WINDOW
+        counted: list[tuple[np.ndarray, ...]] = []
+        edge = np.searchsorted(np.cumsum(many), np.arange(CHUNK, int(many.sum()) + CHUNK, CHUNK))
+        for lo, hi in zip(np.concatenate(([0], edge[:-1] + 1)).tolist(), (edge + 1).tolist(), strict=True):
+            part = slice(lo, min(hi, len(pos)))
+            if lo < len(pos):
+                counted.append(self._bands(pos[part] - off[doc[part]], doc[part], key[part], many[part]))
+        doc, window, band, count = _added(counted)
+        good = count >= self.least[window]
+        doc, window, band = doc[good], window[good], band[good]
+        low = band * (self.edits[window] + 1) - _REACH
         good = self._verified(data, off, doc, window, low)
         return doc[good], window[good], low[good]
 
+    def _bands(self, pos: np.ndarray, doc: np.ndarray, key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, window, band of diagonals, shared q-grams) of q-grams at places of texts."""
+        total = int(many.sum())
+        place = self.place[np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)].astype(np.int64)
+        pos, doc = np.repeat(pos, many), np.repeat(doc, many)
+        out = []
+        for length, first, start in self.families:
+            lo, hi = np.searchsorted(start, place - length + Q), np.searchsorted(start, place, "right")
+            n = hi - lo
+            at = np.repeat(np.arange(total), n)
+            window = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) + first
+            fits = self.start[window] + self.size[window] >= place[at] + Q
+            at, window = at[fits], window[fits]
+            band = (pos[at] - place[at] + self.start[window] + _REACH) // (self.edits[window] + 1)
+            out += [(doc[at], window, band), (doc[at], window, band - 1)]
+        doc, window, band = (np.concatenate(x) for x in zip(*out, strict=True))
+        return _added([(doc, window, band, np.ones(len(doc), np.int64))])
+
     def _verified(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, window: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Whether the window aligns within its edits, on diagonals of the band and as many more on both sides."""
         out = np.zeros(len(doc), bool)
-        for m in np.unique(self.size[window]):
-            which = np.flatnonzero(self.size[window] == m)
+        kind = self.size[window] << 16 | self.edits[window]
+        for m in np.unique(kind):
+            which = np.flatnonzero(kind == m)
             for part in np.array_split(which, len(which) // 2048 + 1):
                 if len(part):
-                    out[part] = self._aligned(data, off, doc[part], window[part], low[part], int(m))
+                    out[part] = self._aligned(data, off, doc[part], window[part], low[part], int(m >> 16))
         return out
 
     def _aligned(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, window: np.ndarray, low: np.ndarray, m: int) -> np.ndarray:
         e = int(self.edits[window[0]])
         wide = 2 * (e + 1) + 2 * e
-        texts = np.stack([self.text[w] for w in window])
+        texts = self.data[self.start[window][:, None] + np.arange(m)[None, :]]
         j = (off[doc] + low - e)[:, None] + np.arange(m + wide)[None, :]
         inside = (j >= off[doc][:, None]) & (j < off[doc + 1][:, None])
         region = np.where(inside, data[np.clip(j, 0, len(data) - 1)], 0)
