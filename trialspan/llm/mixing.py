@@ -7,7 +7,7 @@ is to match its target share, by projected-gradient least squares with a pull to
 
 A document's rate after any number of steps follows from its own row and the residuals of the
 steps so far, so each step is one distributed sum of as many numbers as there are domains, and
-no rates are stored or sent between steps.
+no rates are sent between steps. Steps go on until the residual is met or as low as it gets.
 
 Defined cases: a null or empty text has no tokens and uniform posteriors. A domain
 without labelled rows has posterior 0 everywhere and its target is left out. With no labelled
@@ -24,10 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from trialspan.llm import _arrays as A
-from trialspan.llm._store import bounded_batches, dropped, written
+from trialspan.llm._store import bounded_batches, col, dropped, fresh, written
 
 BUCKETS = 1 << 15
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
@@ -35,8 +35,12 @@ LABELLED_ROWS = 20_000
 #: Words that a text counts for in its posterior at most.
 EVIDENCE = 100.0
 PRIOR = 200.0
-#: Steps of the projected gradient at most, their length, the weight of the pull towards rate 1, and the residual that ends them.
-STEPS, STEP, PULL, DONE = 20, 0.8, 0.002, 2e-4
+#: Length of a step of the projected gradient, the weight of the pull towards rate 1, and the residual that ends the steps.
+STEP, PULL, DONE = 0.8, 0.002, 2e-4
+#: Steps end as well where so many in a row have not lowered the least residual by this share: it is as low as it gets.
+PATIENCE, GAIN = 8, 0.01
+#: Steps after which the rates so far are written.
+KEPT = 16
 #: Share of tokens that each (quality, toxic) domain is to have.
 TARGETS = {"good": 0.80, "poor": 0.13, "good_toxic": 0.06, "poor_toxic": 0.01}
 _U = np.uint64
@@ -88,11 +92,14 @@ def train(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate((np.log((counts + PRIOR * overall) / (counts.sum(0) + PRIOR)), prior))
 
 
-def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = ("doc_id",), out: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
-    """The columns to keep, tokens and posterior for each row: posterior is an array in the order of the model's domains."""
+def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = ("doc_id",), moves: list[list[float]] | None = None, text: str = "text") -> DataFrame:
+    """The columns to keep, then tokens and posterior, an array in the order of the model's domains; or, given moves, the rate after them."""
     keep, at = list(keep), len(keep)
     names, likelihood = model
     shared = docs.sparkSession.sparkContext.broadcast(likelihood.astype(np.float32))
+    rows = docs.select(*(col(c) for c in keep), col(text).alias("text")).toDF(*(f"c{k}" for k in range(at + 1)))  # Arrow functions take no dotted names
+    schema = StructType(rows.schema.fields[:at])
+    schema = schema.add("tokens", "long").add("posterior", ArrayType(DoubleType())) if moves is None else schema.add("rate", "double")
 
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,66 +116,87 @@ def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[
                     score = mean * np.minimum(n[full], EVIDENCE)[:, None] + shared.value[BUCKETS]
                     weight = np.exp(score - score.max(1, keepdims=True))
                     share[i + full] = weight / weight.sum(1, keepdims=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * k + 1, k) if k else np.zeros(len(batch) + 1), pa.int32()), pa.array(share.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), pa.array(tokens), lists], names=[*keep, *out])
+            if moves is None:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * k + 1, k) if k else np.zeros(len(batch) + 1), pa.int32()), pa.array(share.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(tokens), lists], names=schema.names)
+            else:
+                rate = np.ones(len(batch))
+                for move in moves:
+                    rate = np.maximum(0.0, rate - STEP * (PULL * (rate - 1.0) + share @ np.array(move)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(rate)], names=schema.names)
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    return rows.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(out[0], "long").add(out[1], ArrayType(DoubleType())))
+    return rows.mapInArrow(run, schema).toDF(*keep, *schema.names[at:])
 
 
-def _rate(moves: list[list[float]], pull: float) -> F.Column:
-    """The rate after the moves so far: max(0, rate - STEP * (pull * (rate - 1) + p . move)) each time, from 1; the posterior p is in columns __x0, __x1 and so on."""
-    rate = "1.0D"
+def _moved(rate: str, moves: list[list[float]]) -> F.Column:
+    """rate after moves: max(0, rate - STEP * (PULL * (rate - 1) + p . move)) each time."""
     for move in moves:
-        drop = " + ".join(f"__x{k} * {STEP * v!r}D" for k, v in enumerate(move))
-        rate = f"greatest(0.0D, {rate} * {1.0 - STEP * pull!r}D + ({STEP * pull!r}D - ({drop})))"
+        drop = " + ".join(f"posterior[{k}] * {STEP * v!r}D" for k, v in enumerate(move))
+        rate = f"greatest(0.0D, {rate} * {1.0 - STEP * PULL!r}D + ({STEP * PULL!r}D - ({drop})))"
     return F.expr(rate)
 
 
-def fitted(members: DataFrame, names: list[str], targets: dict[str, float] | None = None, steps: int = STEPS, pull: float = PULL) -> tuple[DataFrame, list[list[float]]]:
-    """(members with rate, moves of all steps). Totals are shares of all tokens."""
+def fitted(members: DataFrame, names: list[str], targets: dict[str, float] | None = None) -> tuple[DataFrame, list[list[float]], float]:
+    """(members with rate, moves of all steps, largest difference of an expected share and its target). members has tokens and posterior; totals are shares of all tokens."""
     targets = TARGETS if targets is None else targets
     aim = np.array([targets.get(n, 0.0) for n in names])
     total = members.agg(F.sum("tokens")).head()[0]
+    x = members.withColumn("rate", F.lit(1.0))
     if not names or not total or not aim.sum():
-        return members.withColumn("rate", F.lit(1.0)), []
+        return x, [], 0.0
     aim = aim / aim.sum()
     k = len(names)
-    x = members.withColumns({f"__x{i}": F.col("posterior")[i] for i in range(k)})
-    curve = [F.sum(F.col("tokens") * F.col(f"__x{a}") * F.col(f"__x{b}")) for a in range(k) for b in range(a, k)]
-    upper = iter(x.agg(*curve).head())
+    p = [F.col("posterior")[i] for i in range(k)]
+    upper = iter(x.agg(*(F.sum(F.col("tokens") * p[a] * p[b]) for a in range(k) for b in range(a, k))).head())
     square = np.zeros((k, k))
     for a in range(k):
         for b in range(a, k):
             square[a, b] = square[b, a] = next(upper)
-    weight = np.linalg.inv(square / total + pull * np.eye(k))
+    weight = np.linalg.inv(square / total + PULL * np.eye(k))
     moves: list[list[float]] = []
-    for _ in range(steps):
-        rate = _rate(moves, pull)
-        residual = np.array(x.agg(*(F.sum(F.col("tokens") * rate * F.col(f"__x{a}")) for a in range(k))).head()) / total - aim
-        if np.abs(residual).max() < DONE:
+    least, since, best, late, held = np.inf, 0, 0, [], None
+    while True:
+        residual = np.array(x.agg(*(F.sum(F.col("tokens") * _moved("rate", late) * q) for q in p)).head()) / total - aim
+        worst = float(np.abs(residual).max())
+        since = 0 if worst < least * (1.0 - GAIN) else since + 1
+        if worst < least:
+            least, best = worst, len(moves)
+        if worst < DONE or since >= PATIENCE:
             break
         moves.append([float(v) for v in weight @ residual])
-    return x.withColumn("rate", _rate(moves, pull)).drop(*(f"__x{i}" for i in range(k))), moves
+        late.append(moves[-1])
+        if len(late) == KEPT:
+            x = written(x.withColumn("rate", _moved("rate", late)), "rates")
+            if held is not None:
+                dropped(held)
+            late, held = [], x
+    moves = moves[:best]  # the steps up to the least residual
+    return members.withColumn("rate", F.lit(1.0)).withColumn("rate", _moved("rate", moves)) if best <= KEPT else _replayed(members, moves), moves, least
+
+
+def _replayed(members: DataFrame, moves: list[list[float]]) -> DataFrame:
+    """members with the rate after moves, in stretches that are written, so that no expression grows with the steps."""
+    x = members.withColumn("rate", F.lit(1.0))
+    for k in range(0, len(moves), KEPT):
+        x = written(x.withColumn("rate", _moved("rate", moves[k : k + KEPT])), "rates")
+    return x
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, tokens, a posterior p_<domain> for each domain, rate) for each row."""
+    """(doc_id, tokens, a posterior p_<domain> for each domain, rate, residual) for each row; residual, the same everywhere, is the largest difference of a domain's expected share and its target."""
     model = train(docs, domains(labels))
     members = written(posteriors(docs, model), "posteriors")
-    out, _ = fitted(members, model[0], targets)
-    return out.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(model[0])), "rate")
+    out, _, residual = fitted(members, model[0], targets)
+    return out.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(model[0])), "rate", F.lit(residual).alias("residual"))
 
 
 def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, all columns, with mix_rate; documents whose rate is 0 go. Posteriors are taken again in the pass that adds the rates, so no text is shuffled."""
     model = train(docs, domains(labels))
     members = written(posteriors(docs, model), "posteriors")
-    _, moves = fitted(members, model[0], targets)
+    _, moves, _ = fitted(members, model[0], targets)
     dropped(members)
-    name, columns = "mix_rate", docs.columns
-    while name in columns:
-        name += "_"
-    again = posteriors(docs, model, columns, ("__tokens", "__posterior"))
-    x = again.withColumns({f"__x{i}": F.col("__posterior")[i] for i in range(len(model[0]))}) if moves else again
-    return x.withColumn(name, _rate(moves, PULL)).where(F.col(name) > 0).select(*columns, name)
+    columns = docs.columns
+    name = fresh("mix_rate", columns)
+    out = posteriors(docs, model, columns, moves).toDF(*columns, name)
+    return out.where(col(name) > 0)
