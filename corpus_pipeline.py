@@ -8,8 +8,6 @@ and drops those with rate 0. All stages but the last return the columns of the d
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspan.llm import _store, decontaminate, language, mixing, neardup, pii
@@ -48,11 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written as Parquet and read again."""
+    """All stages over the documents; each stage's result is written as Parquet and read again, and removed once the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{_store.folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{where}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        after = _store.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        _store.dropped(docs)
+        docs = after
     return docs
