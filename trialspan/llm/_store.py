@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ def written(df: DataFrame, name: str, *stats: Column) -> DataFrame:
     (df.observe(seen, *(s.alias(f"s{k}") for k, s in enumerate(stats))) if seen else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._trialspan_path = path
+    trimmed(df.sparkSession)
     out.stats = [seen.get[f"s{k}"] for k in range(len(stats))] if seen else []
     return out
 
@@ -46,6 +48,20 @@ def dropped(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trimmed(spark: SparkSession) -> None:
+    """Lets the driver's JVM give native memory that it freed back to the system, as a worker does; many short jobs leave much of it."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    types, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[k] = of(name)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # other JVMs and systems lack the command
+        return
+
+
 #: Rows of a few numbers that may be broadcast, 4 to 16 MB; beyond them a join is shuffled.
 NARROW = 250_000
 
