@@ -30,6 +30,61 @@ def test_exact_sum_of_doubles(spark):
         assert {r.k: r.exact_sum for r in A.exact_float_sum(df.repartition(n), ["k"], "v").collect()} == {"a": 2.0, "b": math.fsum([0.1, 0.2])}
 
 
+def test_exact_sum_at_the_ends_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    values = [1e-19] * 11 + [1e21, 1e300, -1e300, 5e-324, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 0.0, -0.0]
+    values += (rng.standard_normal(500) * 10.0 ** rng.integers(-300, 300, 500)).tolist()
+    rows = [("a", v) for v in values] + [("tiny", 5e-324)] * 3 + [("inf", float("inf")), ("inf", 1.0), ("over", 1.7976931348623157e308), ("over", 1.7976931348623157e308), ("none", None)]
+    out = {r.k: r.exact_sum for r in A.exact_sum(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v").collect()}
+    assert out.pop("none") is None
+    assert out == {"a": math.fsum(values), "tiny": 1.5e-323, "inf": float("inf"), "over": float("inf")}
+
+
+def test_latest_goes_on_after_a_restart_and_repeats_nothing(spark, tmp_path):
+    """Several files, one a batch; a stream that is started again goes on from its last version, and a batch given twice writes the same one."""
+    from trialspan.streaming import rounds as T
+
+    source, where = f"{tmp_path}/in", f"{tmp_path}/table"
+    put = lambda lo, hi: spark.range(lo, hi).select((F.col("id") % 3).alias("k"), F.lit(1).cast("long").alias("n")).coalesce(1).write.mode("append").parquet(source)
+    put(0, 9), put(9, 20)
+    stream = lambda: T.table_stream(spark, source)
+    first = T.latest(stream(), T.added(["k"], ["n"]), "append", where)
+    assert sum(r.n for r in first.collect()) == 20
+    put(20, 33)
+    assert sum(r.n for r in T.latest(stream(), T.added(["k"], ["n"]), "append", where).collect()) == 33
+    commits = sorted((tmp_path / "table/_state/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    commits[-1].unlink()  # as if the run had been killed after its write
+    assert sum(r.n for r in T.latest(stream(), T.added(["k"], ["n"]), "append", where).collect()) == 33
+
+
+def test_streams_carry_state_over_batches(spark, tmp_path):
+    from trialspan.streaming import rounds as T
+
+    for part in range(4):  # rounds come out of order over four batches
+        spark.createDataFrame([("s", r) for r in range(1, 25) if r % 4 == part], "s string, r long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/rounds")
+        spark.createDataFrame([(k, part, 4) for k in range(5) if k < 4 or part < 3], "k long, f long, t long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts")
+    out = T.drained(T.ready_windows(T.table_stream(spark, f"{tmp_path}/rounds"), "s", "r", 3, 2)).collect()
+    assert sorted(r["index"] for r in out) == list(range(7))
+    whole = T.latest(T.assembled(T.table_stream(spark, f"{tmp_path}/parts"), ["k"], "f", "t"), T.upsert(["k"], -F.col("have")))
+    assert {r.k for r in whole.collect()} == {0, 1, 2, 3}
+
+
+def test_slots_match_the_recursion(spark):
+    from trialspan.operators import devices as D
+    from trialspan.operators.simulate import pool_times
+
+    rng = np.random.default_rng(5)
+    ready, service = np.sort(rng.integers(0, 500, 60)), rng.integers(1, 40, 60)
+    jobs = spark.createDataFrame([(1, k, int(r), int(s)) for k, (r, s) in enumerate(zip(ready, service, strict=True))], "run long, k long, ready long, service long")
+    for n in (1, 2, 5):
+        out = D.slots(jobs, ["run"], ["ready", "k"], "ready", "service", n).orderBy("k").toPandas()
+        start, end = pool_times(ready, service, n)
+        assert out.start.tolist() == start.tolist() and out.end.tolist() == end.tolist() and (out.waited == start - ready).all()
+    store = D.ported_accesses(jobs, ["run"], ["ready", "k"], "ready", F.col("service"), 8, 3, 2).orderBy("k").toPandas()
+    assert store.end.tolist() == pool_times(ready, -(-service // 8) * 3, 2)[1].tolist()
+
+
 def test_nearest_percentile_is_numpys(spark):
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 6, 11, 100):
@@ -207,7 +262,8 @@ def test_trace_round_trip_and_follow(spark, tmp_path):
     with pytest.raises(ValueError, match="no window"):
         M.follow(t, "window", "w9")
     sinks.write_trace(t.drop("lane", "place"), f"{tmp_path}/out", now=9.0)
-    assert spark.read.json(f"{tmp_path}/out").count() == 3
+    back = scans.trace(spark, f"{tmp_path}/out")
+    assert back.count() == 3 and sorted(r.ts for r in back.collect()) == [3.0, 4.0, 5.0]
 
 
 def test_texts(spark, tmp_path):

@@ -18,16 +18,17 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
     Paths double in each round, so the rounds grow with the logarithm of the longest path.
     """
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
-    now = checkpointed(base.withColumn("depth", F.lit(1)))
+    now, before = checkpointed(base.withColumn("depth", F.lit(1))), None
     for _ in range(most):
         hop = now.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
         longer = now.join(hop, "ancestor").select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         after = checkpointed(now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")))
-        if not after.where("child = ancestor").isEmpty():
+        pairs, depths, cycle = after.agg(F.count("*"), F.sum("depth"), F.bool_or(F.col("child") == F.col("ancestor"))).head()
+        if cycle:
             raise ValueError("the edges hold a cycle")
-        if after.agg(F.count("*"), F.sum("depth")).head() == now.agg(F.count("*"), F.sum("depth")).head():
+        if (pairs, depths) == before:
             return after
-        now = after
+        now, before = after, (pairs, depths)
     raise ValueError("paths are too long")
 
 

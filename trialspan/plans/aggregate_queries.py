@@ -167,9 +167,9 @@ def any_wrong(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.bool_or(F.col("n_chars") > 5000).alias("any_long"))
 
 
-@query("select label, bit_xor(bits) as folded from (select label, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then cast(pow(2, i - 1) as bigint) else 0 end))::bigint as bits from embeddings) group by all")
+@query("select label, bit_xor(bits) as folded from (select label, list_sum(list_transform(range(1, 63), lambda i: case when embedding[i] > 0 then cast(pow(2, i - 1) as bigint) else 0 end))::bigint as bits from embeddings) group by all")
 def xor_fold(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("label", _sign_bits(32).alias("bits"))
+    v = table(spark, sf_dir, "embeddings").select("label", _sign_bits(62).alias("bits"))
     return v.groupBy("label").agg(A.xor_fold(F.col("bits")).alias("folded"))
 
 
@@ -189,12 +189,12 @@ def odd_ids(spark, sf_dir):
     return A.odd_ids(table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_partkey") % 50), ["l_suppkey"], "id")
 
 
-@query("""with recipe as (select d, (d * 7 + k * 3) % 32 as bit from range(16) a(d), range(3) b(k)), bits as (select vec_id, i as bit, cast(embedding[i + 1] > 0 as int) as v from embeddings, range(32) r(i))
+@query("""with recipe as (select d, (d * 7 + k * 3) % 64 as bit from range(16) a(d), range(3) b(k)), bits as (select vec_id, i as bit, cast(embedding[i + 1] > 0 as int) as v from embeddings, range(64) r(i))
 select vec_id, cast(d as bigint) as detector, bit_xor(v) as value from bits join recipe using (bit) group by all""")
 def formation(spark, sf_dir):
-    recipe = spark.range(16).select(F.col("id").alias("detector"), F.explode(F.array(*((F.col("id") * 7 + 3 * k) % 32 for k in range(3)))).alias("bit"))
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 32))).select("vec_id", F.col("pos").cast("long").alias("bit"), (F.col("col") > 0).cast("int").alias("v"))
-    return bits.join(F.broadcast(recipe), "bit").groupBy("vec_id", "detector").agg(F.bit_xor("v").alias("value"))
+    recipe = spark.range(16).select(F.col("id").alias("detector"), F.explode(F.array(*((F.col("id") * 7 + 3 * k) % 64 for k in range(3)))).alias("bit"))
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding")).select("vec_id", F.col("pos").cast("long").alias("bit"), (F.col("col") > 0).cast("int").alias("v"))
+    return bits.join(recipe, "bit").groupBy("vec_id", "detector").agg(F.bit_xor("v").alias("value"))
 
 
 @query(f"select user_id, round((1 - product(1 - 2 * p)) / 2, 9) as p from (select user_id, (event_id % 20) / 1000.0 as p from {EVENTS}) group by all")
@@ -253,9 +253,9 @@ def link_span(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.max(d) - F.min(d)).alias("span"), F.sum(F.col("l_quantity").cast("long")).alias("delay"), F.max("l_linenumber").alias("landed"), F.min(F.when(F.col("l_returnflag") != "R", d)).alias("first_send"))
 
 
-@query("select vec_id, list_sum(list_transform(embedding[1:32], lambda x: cast(x > 0 as int)))::bigint as weight from embeddings")
+@query("select vec_id, list_sum(list_transform(embedding[1:62], lambda x: cast(x > 0 as int)))::bigint as weight from embeddings")
 def bit_weight(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.bit_count(_sign_bits(32)).cast("long").alias("weight"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.bit_count(_sign_bits(62)).cast("long").alias("weight"))
 
 
 @query("""with v as (select l_orderkey, l_returnflag, count(*) as votes, min(l_linenumber) as first from lineitem group by all)

@@ -155,10 +155,10 @@ def interp(spark, sf_dir):
 _SEEDS = "(select distinct o_custkey as seed from orders where o_orderpriority = '{}')"
 
 
-@query("select o_orderkey, o_custkey, null::bigint as l_suppkey from orders where o_orderkey % 10 = 0 union all select l_orderkey, null, l_suppkey from lineitem where l_orderkey % 10 = 1")
+@query("select o_orderkey, o_custkey, null::bigint as l_suppkey from orders union all select l_orderkey, null, l_suppkey from lineitem")
 def union_by_name(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey")
-    return sets.union(a, table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"))
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sets.union(a, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"))
 
 
 @query(f"select seed from {_SEEDS.format('1-URGENT')} intersect select seed from {_SEEDS.format('2-HIGH')} intersect select seed from {_SEEDS.format('5-LOW')}")
@@ -173,7 +173,7 @@ def seed_difference(spark, sf_dir):
     return sets.only_in(o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderpriority = '2-HIGH'"), "seed")
 
 
-_RANGES = f"(select l_suppkey, {day_sql('l_shipdate')} as lo, {day_sql('l_shipdate')} + 1 + l_linenumber % 3 as hi from lineitem where l_quantity < 10)"
+_RANGES = f"(select l_suppkey, {day_sql('l_shipdate')} as lo, {day_sql('l_shipdate')} + 1 + l_linenumber % 3 as hi from lineitem)"
 
 
 @query(f"with b as (select *, max(hi) over (partition by l_suppkey order by lo, hi rows between unbounded preceding and 1 preceding) as p from {_RANGES}), i as (select *, sum(cast(p is null or p < lo as int)) over (partition by l_suppkey order by lo, hi rows unbounded preceding) as island from b) select l_suppkey, min(lo) as lo, max(hi) as hi from i group by l_suppkey, island")
@@ -183,7 +183,7 @@ def interval_union(spark, sf_dir):
 
 def _ranges(spark, sf_dir):
     d = day("l_shipdate")
-    return table(spark, sf_dir, "lineitem").where("l_quantity < 10").select("l_suppkey", d.cast("long").alias("lo"), (d + 1 + F.col("l_linenumber") % 3).cast("long").alias("hi"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", d.cast("long").alias("lo"), (d + 1 + F.col("l_linenumber") % 3).cast("long").alias("hi"))
 
 
 @query(f"with b as (select l_suppkey, lo, max(hi) over (partition by l_suppkey order by lo, hi rows unbounded preceding) as hi from {_RANGES}), g as (select l_suppkey, greatest(hi, 9000) as lo, least(coalesce(lead(lo) over (partition by l_suppkey order by lo, hi), 11000), 11000) as hi from b union all select l_suppkey, 9000, least(min(lo), 11000) from b group by l_suppkey) select distinct l_suppkey, lo, hi from g where lo < hi")

@@ -10,9 +10,9 @@ from trialspan.plans.catalogue import query
 from trialspan.plans.tables import EVENTS, events, table
 
 
-@query("select l_orderkey, l_linenumber, l_suppkey, l_partkey from lineitem where l_quantity < 5")
+@query("select l_orderkey, l_linenumber, l_suppkey, l_partkey from lineitem")
 def ordered_merge(spark, sf_dir):
-    return L.merged(table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    return L.merged(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query(f"select event_id from (select event_id, value, lag(value) over (partition by user_id order by event_id) as before from {EVENTS}) where before > value")
@@ -51,9 +51,9 @@ def region_coupling(spark, sf_dir):
     return L.coupled(c, ["conv_id"], "turn", 2).select("conv_id", "turn", "partner_turn", "partner_bits")
 
 
-@query("select distinct p_brand as kind, l_partkey as row, l_suppkey as col from lineitem join part on p_partkey = l_partkey where l_quantity < 10")
+@query("select distinct p_brand as kind, l_partkey as row, l_suppkey as col from lineitem join part on p_partkey = l_partkey")
 def basis_split(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_quantity < 10").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"))
     return L.split_by_basis(e, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("kind")), "row", "col", "kind")
 
 

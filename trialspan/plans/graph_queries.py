@@ -21,9 +21,14 @@ def closure(spark, sf_dir):
     return G.closure(_tree(spark, sf_dir), "child", "parent")
 
 
-@query(f"with recursive e as (select child as a, parent as b from {_TREE} where child % 5 <> 0 union select parent, child from {_TREE} where child % 5 <> 0), r as (select a as node, a as c from e union select r.node, e.b from r join e on e.a = r.c) select node, min(c) as component from r group by all")
+#: Parts in a tree for each of three remainders.
+_FOREST = "(select p_partkey as child, p_partkey - 3 * greatest(cast(p_partkey // 6 as bigint), 1) as parent from part where p_partkey > 3)"
+
+
+@query(f"with recursive e as (select child as a, parent as b from {_FOREST} union select parent, child from {_FOREST}), r as (select a as node, a as c from e union select r.node, e.b from r join e on e.a = r.c) select node, min(c) as component from r group by all")
 def components(spark, sf_dir):
-    return G.components(_tree(spark, sf_dir).where("child % 5 <> 0"), "child", "parent")
+    forest = table(spark, sf_dir, "part").where("p_partkey > 3").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - 3 * F.greatest(F.floor(F.col("p_partkey") / 6), F.lit(1))).alias("parent"))
+    return G.components(forest, "child", "parent")
 
 
 @query(f"with recursive s as (select p_partkey as node, p_size as cost, 0::bigint as start from part where p_partkey <= 1 union all select p.p_partkey, p.p_size, s.start + s.cost from s join {_TREE} t on t.parent = s.node join part p on p.p_partkey = t.child) select node, start, start + cost as end from s")
@@ -45,11 +50,11 @@ def prior_items(spark, sf_dir):
 
 @query()
 def union_find(spark, sf_dir):
-    """Corrections of a line of eight nodes, marks from the signs of an embedding; the ends of a correction are its marks."""
-    edge = F.array(*(F.struct(F.lit(k).alias("a"), F.lit(k + 1).alias("b"), F.lit(1.0 + k % 3).alias("w")) for k in range(7)))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at("embedding", i + 1) > 0).alias("marked"))
-    v = v.withColumn("marked", F.when(F.size("marked") % 2 == 0, F.col("marked")).otherwise(F.slice("marked", 2, 8)))
-    return G.decoded(v.select("vec_id", F.lit(8).alias("nodes"), edge.alias("edges"), "marked"), "vec_id")
+    """Corrections of a ring of 64 nodes, marks from the signs of a whole embedding; the ends of a correction are its marks."""
+    edge = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct(k.alias("a"), ((k + 1) % 64).alias("b"), (1.0 + k % 3).alias("w")))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("embedding", i + 1) > 0).alias("marked"))
+    v = v.withColumn("marked", F.when(F.size("marked") % 2 == 0, F.col("marked")).otherwise(F.slice("marked", 2, 63)))
+    return G.decoded(v.select("vec_id", F.lit(64).alias("nodes"), edge.alias("edges"), "marked"), "vec_id")
 
 
 _JOBS = f"(select user_id, event_id, tick, cast(round(value * 1000000) as bigint) as s, row_number() over (partition by user_id order by tick, event_id) as k from {EVENTS})"

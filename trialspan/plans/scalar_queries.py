@@ -103,11 +103,14 @@ def capacity_stalls(spark, sf_dir):
     return M.capacity_stalls(t, ["k"], "a", "b", 8)
 
 
-@query(f"select event_id, event_type from {EVENTS} where user_id = 7 or event_type || ':' || user_id like 'purchase:7%' or (event_id % 50 <= 7 and 7 <= event_id % 50 + 3 and event_type = 'click')")
+@query(f"select event_id, event_type from {EVENTS} where event_type = 'click' and (user_id = 7 or (event_id % 50 <= 7 and 7 <= event_id % 50 + 3))")
 def trace_follow(spark, sf_dir):
-    e = events(spark, sf_dir)
-    lo = F.col("event_id") % 50
-    return e.where((F.col("user_id") == 7) | F.concat_ws(":", "event_type", F.col("user_id").cast("string")).startswith("purchase:7") | ((lo <= 7) & (lo + 3 >= 7) & (F.col("event_type") == "click"))).select("event_id", "event_type")
+    kind, low = F.col("event_type"), F.col("event_id") % 50
+    text = lambda *parts: F.concat_ws(":", *(p.cast("string") for p in parts))
+    covered = F.concat(kind, F.lit(":"), low.cast("string"), F.lit(".."), (low + 3).cast("string"))
+    args = F.create_map(F.lit("round"), text(kind, F.col("user_id")), F.lit("request"), text(kind, F.col("user_id"), F.col("event_id")), F.lit("rounds"), covered)
+    trace = events(spark, sf_dir).select("event_id", "event_type", F.col("tick").alias("ts"), F.col("user_id").alias("tid"), F.col("event_id").alias("place"), args.alias("args"))
+    return M.follow(trace, "round", "click:7").select("event_id", "event_type")
 
 
 @query(f"with r as (select tick, user_id, event_id, sum(cast(coalesce(tick - p >= 1800000000, true) as int)) over (partition by user_id order by tick, event_id rows unbounded preceding) as s from (select *, lag(tick) over (partition by user_id order by tick, event_id) as p from {EVENTS})) select user_id, min(tick) as start, max(tick) + 1800000000 as end, count(*) as n from r group by user_id, s")

@@ -28,7 +28,7 @@ def stream_ready_windows(spark, sf_dir):
 @query("select l_orderkey from lineitem group by all having count(distinct l_linenumber) >= max(l_partkey % 4)")
 def stream_assembled(spark, sf_dir):
     line = _stream(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("fragment"), (F.col("l_partkey") % 4).alias("total"))
-    return T.drained(T.assembled(line, ["l_orderkey"], "fragment", "total"))
+    return T.latest(T.assembled(line, ["l_orderkey"], "fragment", "total"), T.upsert(["l_orderkey"], -F.col("have"))).select("l_orderkey")
 
 
 @query(f"select user_id, event_type, event_id, rank from (select user_id, event_type, event_id, event_id % 5 as rank, row_number() over (partition by user_id, event_type order by event_id % 5, event_id desc) as r from {EVENTS}) where r = 1")

@@ -88,15 +88,18 @@ def task_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).withColumn("task_id", F.element_at(F.split("_metadata.file_path", "/"), -2))
 
 
+#: Names of threads that may be broadcast; beyond them the join is shuffled.
+LANES = 100_000
 TRACE = "name string, cat string, ph string, ts double, dur double, pid long, tid long, args map<string,string>"
 
 
 def trace(spark: SparkSession, path: str) -> DataFrame:
     """Events of trace documents, plain or gzip, with the name of their thread, from metadata rows, and their place."""
-    raw = spark.read.json(path, multiLine=True, schema=TRACE)
+    head = spark.read.text(path).where("trim(value) <> ''").head()
+    raw = spark.read.json(path, multiLine=not (head and head[0].lstrip().startswith("{")), schema=TRACE)  # one document, or one event a line
     lanes = raw.where("ph = 'M' and name = 'thread_name'").select("pid", "tid", F.col("args")["name"].alias("lane")).distinct()
     rows = raw.where("ph <> 'M'").withColumn("place", F.monotonically_increasing_id())
-    return rows.join(F.broadcast(lanes.limit(100_000)), ["pid", "tid"], "left")
+    return rows.join(F.broadcast(lanes) if lanes.limit(LANES + 1).count() <= LANES else lanes, ["pid", "tid"], "left")
 
 
 def shot_dataset(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:

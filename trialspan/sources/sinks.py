@@ -41,6 +41,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], where: str, last:
     stage = f"{where}/_fold-{uuid.uuid4().hex}"
     for name, rows in tables.items():
         rows.write.parquet(f"{stage}/{name}")
+    files.remove(spark, f"{where}/{last}")  # from here until the end no reader takes the fold for whole
     for name in [n for n in tables if n != last] + [last]:
         files.remove(spark, f"{where}/{name}")
         files.rename(spark, f"{stage}/{name}", f"{where}/{name}")

@@ -33,22 +33,24 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "update") -> DataFrame:
-    """The table that remains when each micro-batch is merged into the one before; each version is whole and a repeated batch writes the same one."""
-    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "latest")
-    versions: list[str] = []
+def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "update", path: str | None = None) -> DataFrame:
+    """The table that remains when each micro-batch is merged into the one before.
+
+    Batch n writes version n from version n - 1, so a batch that is given again writes the same
+    version, and a stream started again on the same path goes on from its last version.
+    """
+    spark = stream.sparkSession
+    path = path or fresh_path(spark, "latest")
 
     def put(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(versions[-1]) if versions else None
+        before = spark.read.parquet(f"{path}/v{number - 1}") if number else None
         merge(before, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        if f"{path}/v{number}" not in versions:
-            versions.append(f"{path}/v{number}")
-        for old in versions[:-2]:
-            files.remove(spark, old)
-        del versions[:-2]
+        files.remove(spark, f"{path}/v{number - 2}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = [int(name[1:]) for name in files.folders(spark, path) if name[0] == "v"]
+    return spark.read.parquet(f"{path}/v{max(last)}") if last else spark.createDataFrame([], stream.schema)
 
 
 def upsert(keys: list[str], rank: F.Column) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
@@ -102,20 +104,14 @@ def ready_windows(stream: DataFrame, key: str, index: str, commit: int, buffer:
 
 
 def assembled(stream: DataFrame, keys: list[str], fragment: str, total: str) -> DataFrame:
-    """Keys whose fragments have all come, once each; the state of a key is one set, cleared when it is whole."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema)
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have, need, sent = state.get if state.exists else ([], 0, False)
-        seen = set(have)
-        for frame in frames:
-            seen |= set(frame[fragment].astype(int))
-            need = max(need, int(frame[total].max()))
-        whole = not sent and len(seen) >= need
-        state.update(([] if whole or sent else sorted(seen), need, sent or whole))
-        yield pd.DataFrame([name] if whole else [], columns=keys)
-
-    return stream.select(*keys, fragment, total).groupBy(*keys).applyInPandasWithState(step, fields, "have array<long>, need long, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    """(keys, have): keys whose fragments have all come, in update mode; the state of a key is the set of its fragments.
+
+    A native aggregate: a fragment that comes twice counts once, and a key that gets a fragment
+    after it is whole is given again, so merge the result by key. Give the stream a watermark and
+    a time among the keys to let old state go.
+    """
+    found = stream.groupBy(*keys).agg(F.size(F.collect_set(fragment)).alias("have"), F.max(total).alias("need"))
+    return found.where("have >= need").select(*keys, "have")
 
 
 def adapted(stream: DataFrame, key: str, order: str, gap: str, target: float, threshold: float, step_size: float) -> DataFrame:
