@@ -122,3 +122,29 @@ def test_template_markup():
     yes = ["copyright all rights reserved", "copyright c x y all rights reserved", "copyright x all rights fully reserved tail", "copyright c all all rights reserved"]
     no = ["copyright x y z all rights reserved", "copyright all right reserved", "c all rights reserved", "copyright", "copyright c x y z all rights reserved"]
     assert all(a.accepts(licenses.hashed(t.split())) for t in yes) and not any(a.accepts(licenses.hashed(t.split())) for t in no)
+
+
+def test_whole_licence_texts(spark):
+    """Mandatory wording must match word for word; optional and replaceable regions may differ."""
+    rng = np.random.default_rng(6)
+
+    def filled(template, broken=False):
+        out = []
+        for x in re.findall(r"\[[^\]]*\]|\{\d+\}|\S+", template):
+            if x[0] == "[":
+                out += x[1:-1].split() if rng.random() < 0.5 else []
+            elif x[0] == "{":
+                out += ["Some", "Holder"][: int(x[1:-1])]
+            else:
+                out.append(x)
+        if broken:
+            fixed = [k for k, w in enumerate(out) if w.islower() and w.isalpha()]
+            out[fixed[len(fixed) // 2]] = "otherwise0"
+        return "Intro. " + ", ".join(out).upper() + " and more"
+
+    long = [(t, label) for t, label in licenses.TEMPLATES if len(t.split()) > 30]
+    rows = [(2 * k + b, filled(t, bool(b))) for k, (t, _) in enumerate(long) for b in (0, 1)]
+    out = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, label) in enumerate(long):
+        assert label in out[2 * k] and label not in out[2 * k + 1]
+    assert "bsd-3-clause" not in out[2] and "bsd-2-clause" not in out[4]

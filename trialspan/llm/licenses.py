@@ -27,17 +27,25 @@ IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
 
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: (template, label)
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "[3] neither the name of {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_WARRANTY = "this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+#: (template, label); fixed wording of public licences, whole texts first and the notices that refer to them next.
 TEMPLATES = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit-text"),
+    (f"{_BSD_GRANT} {_BSD_WARRANTY}", "bsd-2-clause"),
+    (f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_WARRANTY}", "bsd-3-clause"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "isc"),
+    ("licensed under the apache license version 2 0 the license you may not use {4} except in compliance with the license you may obtain a copy of the license at {8} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache-2.0-notice"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {1} of the license or at your option any later version", "gpl-or-later"),
     ("licensed under [the] apache license [version] 2 0", "apache-2.0"),
     ("released under [the] [terms of the] mit license", "mit-notice"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
     ("[this work is] licensed under [the] [terms of the] gnu general public license [as published by the free software foundation] [either] version 3", "gpl-3.0"),
     ("[this work is] licensed under [the] [terms of the] gnu general public license [as published by the free software foundation] [either] version 2", "gpl-2.0"),
     ("licensed under [a] [the] [creative commons] cc by nc 4 0", "cc-by-nc-4.0"),
     ("licensed under [a] [the] [creative commons] cc by sa 4 0", "cc-by-sa-4.0"),
     ("licensed under [a] [the] [creative commons] cc by 4 0", "cc-by-4.0"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("copyright [c] {6} all rights reserved", "all-rights-reserved"),
     ("spdx license identifier {1} apache 2 0", "apache-2.0"),
     ("spdx license identifier mit", "mit-notice"),
