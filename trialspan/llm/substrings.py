@@ -15,7 +15,7 @@ that are not settled are refined further.
 3. Of the runs still open, the strings in their first holders are told apart one by one, by
    the identifiers of their q-grams at offsets 0, q and LENGTH - q.
 
-Identifiers are 64-bit hashes. Rows are packed into one value per task and bucket. Within a
+Buckets and runs are 64-bit hashes each, and strings are told apart by 128 bits. Rows are packed into one value per task and bucket. Within a
 task, repeats of a run travel no further than that they go, so a passage that very many
 documents share loads no bucket with more than a row per batch.
 
@@ -48,6 +48,8 @@ RUN = 64
 FLUSH_BYTES = 4 << 20
 #: Bytes of text for each bucket of packed rows.
 BUCKET_BYTES = 8 << 20
+#: Shuffle partitions at most; beyond them a task goes through several buckets, one after the other.
+PARTITIONS = 20_000
 _U = np.uint64
 
 
@@ -111,7 +113,7 @@ def _from_planes(raw: np.ndarray, n: int, k: int, kind: type) -> np.ndarray:
 
 
 #: Bytes kept of bucket, identity, document, start, number of starts, sides.
-_WIDTHS = ((6, _U), (6, _U), (8, np.int64), (4, np.int64), (1, np.int64), (2, np.int64), (2, np.int64))
+_WIDTHS = ((8, _U), (8, _U), (8, np.int64), (4, np.int64), (1, np.int64), (2, np.int64), (2, np.int64))
 
 
 def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
@@ -129,12 +131,12 @@ def _unpack(blobs: list[pa.Scalar]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.empty(0, kind) for p, (_, kind) in zip(parts, _WIDTHS, strict=True)]
 
 
-def _rows(groups: np.ndarray, many: int, columns: tuple[np.ndarray, ...], kind: int) -> Iterator[tuple[int, int, bytes]]:
+def _rows(groups: np.ndarray, columns: tuple[np.ndarray, ...], kind: int) -> Iterator[tuple[int, int, bytes]]:
     order = np.argsort(groups, kind="stable")
-    edges = np.searchsorted(groups[order], np.arange(many + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        part = order[edges[b] : edges[b + 1]]
-        yield int(b), kind, _pack(tuple(c[part] for c in columns))
+    first = np.flatnonzero(np.diff(groups[order], prepend=-1))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        part = order[lo:hi]
+        yield int(groups[part[0]]), kind, _pack(tuple(c[part] for c in columns))
 
 
 def _bucket(h: np.ndarray, many: int) -> np.ndarray:
@@ -160,15 +162,14 @@ def _settled(key: np.ndarray, identity: np.ndarray, doc: np.ndarray) -> tuple[np
 def _first_runs(many: int):
     def sent(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         columns = tuple(np.concatenate(c) for c in zip(*found, strict=True))
-        columns = (columns[0] & _U((1 << 48) - 1), columns[1] & _U((1 << 48) - 1), *columns[2:])
         low, same, doc = columns[:3]
         if len(low):
             order, group, first = _settled(low, same, doc)
             gone = doc[order] > doc[order][first][group]  # an earlier document of this task has the run
             kept, lost = np.sort(order[~gone]), np.sort(order[gone])
-            out = list(_rows(_bucket(low[kept], many), many, tuple(c[kept] for c in columns), 0))
+            out = list(_rows(_bucket(low[kept], many), tuple(c[kept] for c in columns), 0))
             if len(lost):
-                out += _rows(np.abs(doc[lost]) % many, many, tuple(c[lost] for c in columns), 1)
+                out += _rows(np.abs(doc[lost]) % many, tuple(c[lost] for c in columns), 1)
             yield _packed(out)
 
     @A.lean
@@ -252,7 +253,7 @@ def _strings(many: int):
     def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, other, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
         one, zero = np.ones(len(key), np.int64), np.zeros(len(key), np.int64)
-        return _packed(list(_rows(_bucket(key, many), many, (key, other, doc, start, one, zero, zero), 0)))
+        return _packed(list(_rows(_bucket(key, many), (key, other, doc, start, one, zero, zero), 0)))
 
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,8 @@ def _strings(many: int):
                     at = s + off[k - i]
                     three = [A.spans(sums, at + o, at + o + Q) for o in (0, Q, LENGTH - Q)]
                     key = A.mix(three[0] * A._LANES[0] + three[1] * A._LANES[1] + three[2] * A._LANES[2])
-                    parts.append((key, key >> _U(48), np.full(len(s), ids[k]), s))
+                    other = A.mix(three[0] * A._LANES[3] + three[1] * A._LANES[4] + three[2] * A._LANES[5])
+                    parts.append((key, other, np.full(len(s), ids[k]), s))
                     held += len(s)
                 if held > FLUSH_BYTES // 16:
                     yield sent(parts)
@@ -333,7 +335,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(many, "bucket").sortWithinPartitions("bucket")
+        return df.repartition(min(many, PARTITIONS), "bucket").sortWithinPartitions("bucket")
 
     found = written(by_bucket(rows.mapInArrow(_first_runs(many), _PACKED)).mapInArrow(_refined, _GONE), "runs")
     open_ = _with_runs(rows, found.where("open"))
