@@ -39,6 +39,8 @@ BANDS, ROWS = 6, 2
 PERCENT = 80
 #: Bytes of text for each bucket of packed rows.
 BUCKET_BYTES = 8 << 20
+#: Shuffle partitions at most; beyond them a task goes through several buckets, one after the other.
+PARTITIONS = 20_000
 #: Bytes of text whose rows a task holds before it sends them on.
 FLUSH_BYTES = 4 << 20
 #: Links that a task holds before it sends them on.
@@ -162,9 +164,9 @@ def _unplanes(blobs: list[pa.Scalar]) -> np.ndarray:
 def _dealt(rows: np.ndarray, many: int, kind: int, by: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     group = ((by & _U(0xFFFFFFFF)) * _U(many) >> _U(32)).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(many + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), kind, _planes(rows[order[edges[b] : edges[b + 1]]])
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield int(group[order[lo]]), kind, _planes(rows[order[lo:hi]])
 
 
 def _made(many: int):
@@ -348,14 +350,14 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
-    packed = rows.mapInArrow(_made(many), _PACKED).repartition(many, "bucket").sortWithinPartitions("bucket")
+    packed = rows.mapInArrow(_made(many), _PACKED).repartition(min(many, PARTITIONS), "bucket").sortWithinPartitions("bucket")
     found = written(packed.mapInArrow(_collided, _FOUND), "paragraphs")
 
     near = found.where("kind = 1")
     lists = written(near.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted")), "wanted")
     texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
     sets = texts.dropDuplicates(["id", "text"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
-    links = written(sets.repartition(many, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"), "links")
+    links = written(sets.repartition(min(many, PARTITIONS), "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"), "links")
     parts = written(components(links), "components")
 
     holders = found.where("kind in (1, 2)").select("name", "doc", "start", "size").join(parts.select(F.col("node").alias("name")), "name", "left_semi")
