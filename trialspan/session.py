@@ -31,9 +31,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests), a temporary folder of this machine."""
+    """spark.checkpoint.dir; only where it is unset and the master is local (tests), a temporary folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="trialspan-"))
     return where.rstrip("/")
 
