@@ -70,6 +70,16 @@ def test_streams_carry_state_over_batches(spark, tmp_path):
     assert {r.k for r in whole.collect()} == {0, 1, 2, 3}
 
 
+def test_seal_fires_the_tail_and_lets_state_go(spark, tmp_path):
+    from trialspan.streaming import rounds as T
+
+    batches = [[("a", 1, None), ("a", 3, None), ("b", 1, None)], [("a", 2, None), ("a", 5, 8), ("b", 2, 4)], [("a", 4, None), ("a", 6, None), ("a", 7, None), ("a", 8, None), ("b", 4, None)], [("a", 9, None), ("b", 3, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "s string, r long, last long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = T.drained(T.ready_windows(T.table_stream(spark, f"{tmp_path}/in"), "s", "r", 3, 2, "last")).collect()
+    assert sorted((r.s, r["index"], r.commit_lo, r.commit_hi) for r in out) == [("a", 0, 1, 3), ("a", 1, 4, 6), ("a", 2, 7, 8), ("b", 0, 1, 3), ("b", 1, 4, 4)]
+
+
 def test_slots_match_the_recursion(spark):
     from trialspan.operators import devices as D
     from trialspan.operators.simulate import pool_times

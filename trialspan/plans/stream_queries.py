@@ -25,6 +25,14 @@ def stream_ready_windows(spark, sf_dir):
     return T.drained(T.ready_windows(c, "conv_id", "r", 3, 2))
 
 
+@query("select conv_id, i as index, i * 3 + 1 as commit_lo, least((i + 1) * 3, n) as commit_hi from (select conv_id, max(turn) + 1 as n from conversations group by conv_id having count(distinct turn) = max(turn) + 1), range(1000) t(i) where i < ceil(n / 3)")
+def stream_sealed_windows(spark, sf_dir):
+    c = _stream(spark, sf_dir, "conversations")
+    ends = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg((F.max("turn") + 1).alias("last"))
+    rounds = c.join(ends, "conv_id").select("conv_id", (F.col("turn") + 1).alias("r"), "last")
+    return T.drained(T.ready_windows(rounds, "conv_id", "r", 3, 2, "last"))
+
+
 @query("select l_orderkey from lineitem group by all having count(distinct l_linenumber) >= max(l_partkey % 4)")
 def stream_assembled(spark, sf_dir):
     line = _stream(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("fragment"), (F.col("l_partkey") % 4).alias("total"))

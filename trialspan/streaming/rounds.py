@@ -87,20 +87,33 @@ class DoneRounds:
             self.ahead.discard(self.watermark)
 
 
-def ready_windows(stream: DataFrame, key: str, index: str, commit: int, buffer: int) -> DataFrame:
-    """(key, index, commit_lo, commit_hi): windows of the lookahead scheme as soon as all rounds up to their buffer's end are there."""
+def ready_windows(stream: DataFrame, key: str, index: str, commit: int, buffer: int, last: str | None = None) -> DataFrame:
+    """(key, index, commit_lo, commit_hi): windows of the lookahead scheme as soon as all rounds up to their buffer's end are there.
+
+    A stream is sealed by any row that holds its last round in column `last`: once all rounds up
+    to it have come, the windows still open fire, the tail cut to that round, and of the
+    stream's state only the mark that it is closed is left, so what comes late opens nothing.
+    """
     kind = stream.schema[key].dataType.simpleString()
+    closed = -1
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = DoneRounds(*(state.get if state.exists else (0, [])))
-        before = done.watermark
-        for frame in frames:
-            done.add(frame[index].astype(int).tolist())
-        state.update((done.watermark, sorted(done.ahead)))
-        first, end = max(0, (before - buffer) // commit), max(0, (done.watermark - buffer) // commit)
-        yield pd.DataFrame([(name[0], i, i * commit + 1, (i + 1) * commit) for i in range(first, end)], columns=[key, "index", "commit_lo", "commit_hi"])
-
-    return stream.select(key, index).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, index long, commit_lo long, commit_hi long", "watermark long, ahead array<long>", "append", GroupStateTimeout.NoTimeout)
+        watermark, ahead, end = state.get if state.exists else (0, [], 0)
+        rows = []
+        if end != closed:
+            done = DoneRounds(watermark, ahead)
+            for frame in frames:
+                done.add(frame[index].dropna().astype(int).tolist())
+                if last is not None:
+                    end = max([end, *frame[last].dropna().astype(int).tolist()])
+            sealed = 0 < end <= done.watermark
+            first = max(0, (watermark - buffer) // commit)
+            until = -(-end // commit) if sealed else max(0, (done.watermark - buffer) // commit)
+            rows = [(name[0], i, i * commit + 1, min((i + 1) * commit, end) if sealed else (i + 1) * commit) for i in range(first, until)]
+            state.update((0, [], closed) if sealed else (done.watermark, sorted(done.ahead), end))
+        yield pd.DataFrame(rows, columns=[key, "index", "commit_lo", "commit_hi"])
+
+    return stream.select(key, index, *([last] if last else [])).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, index long, commit_lo long, commit_hi long", "watermark long, ahead array<long>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def assembled(stream: DataFrame, keys: list[str], fragment: str, total: str) -> DataFrame:
