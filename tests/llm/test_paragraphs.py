@@ -62,6 +62,31 @@ def test_matches_brute_force(spark):
     assert all(out[k].first_doc == expected[k] and out[k].kept == (k[0] == expected[k]) for k in out)
 
 
+def test_keys_of_many_paragraphs_are_split(spark, monkeypatch):
+    """With a bound of three on a key, texts of one template, of chains of edits, and of pairs in them give what all pairs give."""
+    rng = random.Random(7)
+    template = [f"t{k}" for k in range(30)]
+    rows = []
+    for k in range(90):
+        w = list(template)
+        w[29 - k % 12] = f"edit{k}"
+        if k % 3 == 0:
+            w[: k % 9] = [f"own{k % 4}x{j}" for j in range(k % 9)]
+        rows.append((k, " ".join(w)))
+    chain = [f"c{k}" for k in range(40)]
+    for k in range(90, 120):
+        chain[(k - 90) % 40] = f"link{k}"
+        rows.append((k, " ".join(chain) + "\n" + prose(rng, 20)))
+    rows += rows[:5]
+    expected = brute(list(dict(rows).items()))
+    seen = []
+    deal = paragraphs._of_large_keys
+    monkeypatch.setattr(paragraphs, "HOT", 3)
+    monkeypatch.setattr(paragraphs, "_of_large_keys", lambda *a: seen.append(1) or deal(*a))
+    out = {(r.doc_id, r.first_word): r.first_doc for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and out == expected
+
+
 def test_pasted_passages_are_caught_and_others_left(spark):
     rng = random.Random(2)
     rows, pasted = [], set()

@@ -11,6 +11,10 @@ in a band are compared on their full shingle sets, and pairs of Jaccard similari
 80 percent are links. Components of links are clusters. In a cluster that spans several
 documents the paragraphs of the smallest document id stay and all others go.
 
+A key of more than `HOT` different paragraphs is not compared in one task. Its sets are compared
+with the first of them; what is then in several parts is dealt by the rarest shingles of each set,
+of which two sets that are alike must share one, and so on to cells of a bounded number of sets.
+
 Bands are tuned for recall: six of two rows miss a pair at 0.8 with probability 0.002, one at
 0.9 with 5e-5, and equal ones never. Rows are packed by task and bucket; repeats within a task are
 merged before the shuffle. Identifiers of words, shingles and classes are 64-bit hashes.
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
@@ -41,6 +45,8 @@ PERCENT = 80
 BUCKET_BYTES = 8 << 20
 #: Shuffle partitions at most; beyond them a task goes through several buckets, one after the other.
 PARTITIONS = 20_000
+#: Different paragraphs of one key that a task compares with each other; those of larger keys are dealt to several.
+HOT = 2_000
 #: Bytes of text whose rows a task holds before it sends them on.
 FLUSH_BYTES = 4 << 20
 #: Links that a task holds before it sends them on.
@@ -148,7 +154,7 @@ def _repeats(shingles: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarra
 #: again: an earlier document of the task has the class too; with a band's key, that the paragraph holds a shingle twice.
 _PACKED = "bucket int, kind int, rows binary"
 _FIELDS = np.dtype([("key", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("again", "?")])
-#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class of a like size shares; kind 2: members of classes that repeat in one document only.
+#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class of a like size shares; kind 2: members of classes that repeat in one document only; kind 3: as 1, of keys with many.
 _FOUND = "kind int, key long, name long, doc long, start int, size int"
 
 
@@ -244,26 +250,33 @@ def _alike(rows: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return order[keep]
 
 
-@A.lean
-def _collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for held in _grouped(batches):
-        if 2 in held:
-            yield _found(_unplanes(held[2]), 0)
-        if 0 in held:
-            rows = _unplanes(held[0])
-            rows = rows[np.argsort(rows["name"], kind="stable")]
-            first = np.flatnonzero(np.concatenate(([True], rows["name"][1:] != rows["name"][:-1])))
-            spread = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)) | np.logical_or.reduceat(rows["again"], first)
-            many = np.diff(np.append(first, len(rows)))
-            yield _found(rows[np.repeat(spread, many)], 0)
-            yield _found(rows[np.repeat(~spread & (many > 1), many)], 2)
-        if 1 in held:
-            rows = _unplanes(held[1])
-            rows = rows[np.lexsort((rows["start"], rows["doc"], rows["name"], rows["key"]))]
-            rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["name"][1:] != rows["name"][:-1])))]
-            first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-            many = np.diff(np.append(first, len(rows)))
-            yield _found(rows[_alike(rows, first, many)], 1)
+def _collided(hot: int):
+    @A.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(batches):
+            if 2 in held:
+                yield _found(_unplanes(held[2]), 0)
+            if 0 in held:
+                rows = _unplanes(held[0])
+                rows = rows[np.argsort(rows["name"], kind="stable")]
+                first = np.flatnonzero(np.concatenate(([True], rows["name"][1:] != rows["name"][:-1])))
+                spread = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)) | np.logical_or.reduceat(rows["again"], first)
+                many = np.diff(np.append(first, len(rows)))
+                yield _found(rows[np.repeat(spread, many)], 0)
+                yield _found(rows[np.repeat(~spread & (many > 1), many)], 2)
+            if 1 in held:
+                rows = _unplanes(held[1])
+                rows = rows[np.lexsort((rows["start"], rows["doc"], rows["name"], rows["key"]))]
+                rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["name"][1:] != rows["name"][:-1])))]
+                first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+                rows = rows[_alike(rows, first, np.diff(np.append(first, len(rows))))]
+                _, of, many = np.unique(rows["key"], return_inverse=True, return_counts=True)
+                large = many[of] > hot
+                yield _found(rows[~large], 1)
+                if large.any():
+                    yield _found(rows[large], 3)
+
+    return run
 
 
 @A.lean
@@ -293,29 +306,41 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.concat_arrays(names), pa.array(sets, pa.binary())], names=["key", "name", "shingles"])
 
 
+def _similar(s: np.ndarray, t: np.ndarray) -> bool:
+    short, long = sorted((s, t), key=len)
+    if 100 * len(short) < PERCENT * len(long):
+        return False
+    both = np.count_nonzero(short[np.minimum(np.searchsorted(short, long), len(short) - 1)] == long)
+    return 100 * both >= PERCENT * (len(short) + len(long) - both)
+
+
+@A.lean
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = [_similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+
+
 @A.lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect the classes of each key, from rows in the order of keys."""
-    now, names, sets = None, [], []
+    """Links that connect the classes of each key, from rows in the order of keys; classes of one part need none."""
+    now, names, sets, parts = None, [], [], []
     a, b = [], []
 
     def links() -> None:
         if len(sets) == 2:
-            short, long = sorted(sets, key=len)
-            if 100 * len(short) >= PERCENT * len(long):
-                both = np.count_nonzero(short[np.minimum(np.searchsorted(short, long), len(short) - 1)] == long)
-                if 100 * both >= PERCENT * (len(short) + len(long) - both):
-                    a.append(names[0])
-                    b.append(names[1])
+            if parts[0] != parts[1] and _similar(*sets):
+                a.append(names[0])
+                b.append(names[1])
             return
         size = np.array([len(s) for s in sets])
         order = np.argsort(size, kind="stable")
         values, of = np.concatenate([sets[k] for k in order]), np.repeat(np.arange(len(order)), size[order])
-        size, root = size[order], np.arange(len(order))
+        size, root = size[order], np.unique(parts, return_inverse=True)[1][order]
         edge = np.concatenate(([0], np.cumsum(size)))
         for i in range(len(order) - 1):
             to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
-            if to <= i + 1:
+            if to <= i + 1 or (root[i + 1 : to] == root[i]).all():
                 continue
             mine, rest = values[edge[i] : edge[i + 1]], values[edge[i + 1] : edge[to]]
             hit = mine[np.minimum(np.searchsorted(mine, rest), len(mine) - 1)] == rest
@@ -330,37 +355,79 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for key, name, s in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist(), batch.column("shingles"), strict=True):
+        part = batch.column("part" if "part" in batch.schema.names else "name")
+        for key, name, p, s in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist(), part.to_pylist(), batch.column("shingles"), strict=True):
             if key != now:
                 if len(sets) > 1:
                     links()
-                now, names, sets = key, [], []
+                now, names, sets, parts = key, [], [], []
                 if len(a) > SENT_LINKS:
                     yield sent()
                     a, b = [], []
             names.append(name)
+            parts.append(p)
             sets.append(np.frombuffer(s.as_buffer(), _U))
     if len(sets) > 1:
         links()
     yield sent()
 
 
+@A.lean
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name, size, s): a row for each shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+        if sets:
+            n = np.array([len(s) for s in sets])
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("name").take(at), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(sets))], names=["key", "name", "size", "s"])
+
+
+def _of_large_keys(sets: DataFrame, most: int, partitions: int) -> DataFrame:
+    """Links that connect the classes of each key, from written sets (key, name, shingles), a row for each key and name.
+
+    Sets linked with the first one of their key are a part. Of two sets alike to PERCENT, each holds
+    that share of the other, so among the rarest `size - share + 1` shingles of each is a common one:
+    sets that share such a shingle and are in several parts are compared, in cells of two blocks.
+    """
+    first = sets.groupBy("key").agg(F.min_by(F.struct("name", "shingles"), "name").alias("c"))
+    pairs = sets.join(first, "key").where("name <> c.name").select(F.col("c.name").alias("a"), F.col("name").alias("b"), F.col("c.shingles").alias("x"), F.col("shingles").alias("y"))
+    star = written(pairs.mapInArrow(_compared, "a long, b long"), "star")
+    part = components(star).select(F.col("node").alias("name"), "component")
+
+    each = sets.mapInArrow(_shingles, "key long, name long, size int, s long")
+    shared = each.groupBy("key", "s").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy("key", "name").orderBy(F.coalesce("n", F.lit(1)), "s"))
+    rare = each.join(shared, ["key", "s"], "left").withColumn("rank", rank).where(F.expr(f"n is not null and rank <= size - (size * {PERCENT} + 99) div 100 + 1"))
+    rare = written(rare.select("key", "s", "name").join(part, "name", "left").select("key", "s", "name", F.coalesce("component", "name").alias("part")), "rare")
+    several = rare.groupBy("key", "s").agg(F.ceil(F.count("*") / most).alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    x = rare.join(several.select("key", "s", "many"), ["key", "s"]).withColumn("block", F.expr("pmod(xxhash64(name), many)")).withColumn("o", F.explode(F.expr("sequence(0L, many - 1)")))
+    cells = x.select("key", "name", "part", F.xxhash64("key", "s", F.least("block", "o"), F.greatest("block", "o")).alias("cell")).join(sets, ["key", "name"])
+    dealt = cells.select(F.col("cell").alias("key"), "name", "part", "shingles").repartition(partitions, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_linked, "a long, b long").unionByName(star)
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words, component_id, first_doc, kept): a row for each paragraph whose cluster spans documents, in the order of first_doc."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
-    packed = rows.mapInArrow(_made(many), _PACKED).repartition(min(many, PARTITIONS), "bucket").sortWithinPartitions("bucket")
-    found = written(packed.mapInArrow(_collided, _FOUND), "paragraphs")
-
-    near = found.where("kind = 1")
-    lists = written(near.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted")), "wanted")
-    texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
-    sets = texts.dropDuplicates(["id", "text"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
-    links = written(sets.repartition(min(many, PARTITIONS), "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long"), "links")
-    parts = written(components(links), "components")
-
-    holders = found.where("kind in (1, 2)").select("name", "doc", "start", "size").join(parts.select(F.col("node").alias("name")), "name", "left_semi")
+    partitions = min(many, PARTITIONS)
+    packed = rows.mapInArrow(_made(many), _PACKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    found = written(packed.mapInArrow(_collided(HOT), _FOUND), "paragraphs", F.max("kind"))
+
+    def sets(kind: int) -> DataFrame:
+        wanted = found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted"))
+        lists = written(wanted, "wanted")
+        texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
+        return texts.dropDuplicates(["id", "text"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
+
+    links = sets(1).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    if found.stats[0] == 3:
+        links = links.unionByName(_of_large_keys(written(sets(3).dropDuplicates(["key", "name"]), "sets"), HOT, partitions))
+    parts = written(components(written(links, "links")), "components")
+
+    holders = found.where("kind in (1, 2, 3)").select("name", "doc", "start", "size").join(parts.select(F.col("node").alias("name")), "name", "left_semi")
     units = found.where("kind = 0").select("name", "doc", "start", "size").unionByName(holders).distinct()
     units = units.join(parts, F.col("name") == F.col("node"), "left").select("doc", "start", "size", F.coalesce("component", "name").alias("component_id"))
     first = units.groupBy("component_id").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last")).where("first_doc < last").drop("last")
