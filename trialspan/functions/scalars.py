@@ -230,3 +230,8 @@ def frames(kind: str, bits: Column, width: int = 64, header: int = 0, payload: i
 def seed_of(*parts: Column) -> Column:
     """A seed for a row, the same on every run: the first 15 hex digits of a sha256."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("long")
+
+
+def json_number(text: Column) -> Column:
+    """A number as JSON holds it, and any other number as its exact text in quotes, so no two values share an identity."""
+    return F.when(text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), text).when(text.isNotNull(), F.concat(F.lit('"'), text, F.lit('"')))

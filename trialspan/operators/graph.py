@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -139,13 +140,16 @@ def union_find_decode(nodes: int, edges: list[tuple[int, int, float]], marked: s
     return sorted(out)
 
 
-def decoded(windows: DataFrame, key: str) -> DataFrame:
-    """(key, correction): rows (key, nodes, edges, marked) decoded one window at a time; a window's graph has a bounded size."""
+Decoder = Callable[[int, list[tuple[int, int, float]], set[int]], list[int]]
+
+
+def decoded(windows: DataFrame, key: str, decoder: Decoder = union_find_decode) -> DataFrame:
+    """(key, correction): rows (key, nodes, edges, marked) decoded one window at a time by any function of them; a window's graph has a bounded size."""
     schema = f"`{key}` {windows.schema[key].dataType.simpleString()}, correction array<int>"
 
     def run(frames):
         for frame in frames:
-            answers = [union_find_decode(int(n), [(e["a"], e["b"], e["w"]) for e in edges], set(m)) for n, edges, m in zip(frame.nodes, frame.edges, frame.marked, strict=True)]
+            answers = [decoder(int(n), [(e["a"], e["b"], e["w"]) for e in edges], set(m)) for n, edges, m in zip(frame.nodes, frame.edges, frame.marked, strict=True)]
             yield pd.DataFrame({key: frame[key], "correction": answers})
 
     return windows.select(key, "nodes", "edges", "marked").mapInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,19 @@ def checked_answers(df: DataFrame, escalated: Column, strong: Column, weak: Colu
     """Counts of rows, of answers as expected, and of others."""
     expected = F.when(escalated, strong).otherwise(weak)
     return [F.count("*").alias("rows"), F.count_if(expected.eqNullSafe(actual)).alias("agreed"), F.count_if(~expected.eqNullSafe(actual)).alias("differed")]
+
+
+def nearest_row(df: DataFrame, table: DataFrame, keys: list[str], at: str, size: str, value: str) -> DataFrame:
+    """df with the value of the table's row nearest in size, of two as near the smaller, of one size the least value.
+
+    Both sides are sorted once by size within a key; rows whose key the table lacks get null.
+    """
+    rows = table.groupBy(*keys, F.col(size).alias("__size")).agg(F.min(value).alias("__value"))
+    both = df.withColumns({"__size": F.col(at), "__own": F.lit(1)}).unionByName(rows.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    card = F.when(F.col("__own") == 0, F.struct("__size", "__value"))
+    w = Window.partitionBy(*keys).orderBy("__size", "__own")
+    below = F.last(card, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(card, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    x = both.withColumns({"__below": below, "__above": above}).where("__own = 1")
+    lower = F.col("__above").isNull() | (F.col(at) - F.col("__below")["__size"] <= F.col("__above")["__size"] - F.col(at))
+    return x.select(*df.columns, F.when(lower, F.col("__below")["__value"]).otherwise(F.col("__above")["__value"]).alias(value))

@@ -79,3 +79,8 @@ def with_signal(windows: DataFrame, signal: str | Callable[[Column, Column], Col
 def refereed(answers: DataFrame, keys: list[str], answer: Column, second: Column) -> DataFrame:
     """(keys, checked, disagreed) of answers that a second decoder gave as well."""
     return answers.where(second.isNotNull()).groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if(~answer.eqNullSafe(second)).alias("disagreed"))
+
+
+def strong_decodes(decodes: DataFrame, keys: list[str], tier: str, strong: list[str], rounds: str, start: str, done: str) -> DataFrame:
+    """(keys, windows, rounds, service_ticks) of the committed decodes of the strong tiers; ticks are whole, so the sum is exact."""
+    return decodes.where(F.col(tier).isin(strong)).groupBy(*keys).agg(F.count("*").alias("windows"), F.sum(rounds).alias("rounds"), F.sum(F.col(done) - F.col(start)).alias("service_ticks"))

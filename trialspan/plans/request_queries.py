@@ -10,7 +10,9 @@ from trialspan.functions import scalars as S
 from trialspan.functions import selection as X
 from trialspan.operators import devices as D
 from trialspan.operators import joins as J
+from trialspan.operators import aggregates as A
 from trialspan.operators import measures as M
+from trialspan.operators import plugins as P
 from trialspan.operators import requests as R
 from trialspan.operators import sets
 from trialspan.plans.catalogue import query
@@ -192,3 +194,54 @@ def queue_references(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     share = E.capacity_share(F.col("l_quantity"), F.lit(1.0), F.lit(60.0))
     return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(share, 8).alias("share"), F.round(E.offered_load(F.col("l_discount"), F.lit(3), F.lit(5)), 8).alias("load"), F.round(E.utilisation_wait(F.col("l_discount") * 9), 6).alias("wait"))
+
+
+_LINE = "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+
+
+@query("""with t as (select case p_partkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as flag, p_size // 7 * 7 as size, min(p_partkey) as card from part group by all),
+n as (select flag, l_quantity, arg_min(card, abs(size - l_quantity) * 1000 + size) as card from (select distinct l_returnflag as flag, l_quantity from lineitem) join t using (flag) group by all)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag as flag, l.l_quantity as quantity, card from lineitem l left join n on n.flag = l.l_returnflag and n.l_quantity = l.l_quantity""")
+def nearest_card(spark, sf_dir):
+    third = F.col("p_partkey") % 3
+    cards = table(spark, sf_dir, "part").select(F.when(third == 0, "A").when(third == 1, "N").otherwise("R").alias("flag"), (F.floor(F.col("p_size") / 7) * 7).cast("double").alias("size"), F.col("p_partkey").alias("card"))
+    line = table(spark, sf_dir, "lineitem").select(*_LINE, F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("double").alias("quantity"))
+    return J.nearest_row(line, cards, ["flag"], "quantity", "size", "card")
+
+
+@query("select o_orderpriority, count(*) as windows, cast(sum(o_custkey % 9) as bigint) as rounds, cast(sum(o_orderkey % 50) as bigint) as service_ticks from orders where o_orderstatus in ('F', 'P') group by all")
+def strong_decodes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 9).alias("rounds"), F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 50).alias("done"))
+    return R.strong_decodes(o, ["o_orderpriority"], "o_orderstatus", ["F", "P"], "rounds", "start", "done")
+
+
+@query("select l_orderkey, cast(sum(l_linenumber * 7) as bigint) as one_by_one, cast(max(l_linenumber * 7) as bigint) as together from lineitem group by all")
+def batch_prices(spark, sf_dir):
+    price = (F.col("l_linenumber") * 7).cast("long")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(A.batch_price("sum", price).alias("one_by_one"), A.batch_price("max", price).alias("together"))
+
+
+@query("select distinct o_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
+def unsettled(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    return M.unsettled(o, o.where("o_orderstatus = 'F'"), "o_custkey")
+
+
+@query("select o_orderkey, o_custkey % 23 + 1 as rounds, 0 as \"index\", 1 as buffer_lo, 1 as commit_lo, o_custkey % 23 + 1 as commit_hi, o_custkey % 23 + 1 as buffer_hi from orders")
+def named_scheme(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 23 + 1).cast("long").alias("rounds"))
+    return P.laid(o, "whole_batch", "rounds")
+
+
+@query(f"select event_id, row_number() over (partition by user_id order by event_id % 97, tick, event_id) as shortest, row_number() over (partition by user_id order by tick + event_id % 1000, tick, event_id) as earliest_deadline from {EVENTS}")
+def scheduled(spark, sf_dir):
+    out = events(spark, sf_dir)
+    for name in ("shortest", "earliest_deadline"):
+        out = P.scheduled(out, ["user_id"], name, F.col("tick"), F.col("event_id") % 97, F.col("tick") + F.col("event_id") % 1000, "event_id").withColumnRenamed("turn", name)
+    return out.select("event_id", "shortest", "earliest_deadline")
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then c_custkey || '.5' else '\"' || c_custkey || '/11\"' end as number from customer")
+def exact_numbers(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", S.json_number(F.concat(key, F.when(F.col("c_custkey") % 2 == 0, ".5").otherwise("/11"))).alias("number"))
