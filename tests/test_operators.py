@@ -320,3 +320,22 @@ def test_bootstrap_covers(spark):
     rows = [("k", s, r, bool(rng.random() < (1 - (1 - 0.02) ** r) / 2)) for s in range(400) for r in (5, 10, 20)]
     r = E.cluster_bootstrap(spark.createDataFrame(rows, "k string, s long, r long, f boolean"), ["k"], "s", "r", "f", 300).head()
     assert 0.0 <= r.low < 0.01 < r.high < 0.05
+
+
+def test_plugins_of_ones_own(spark):
+    from trialspan.operators import plugins
+
+    df = spark.createDataFrame([(1, 5), (2, 8)], "id long, n long")
+    laid = plugins.laid(df, lambda x, rounds, width: x.withColumn("index", F.expr(f"explode(sequence(0L, ({rounds} - 1) div {width}))")), "n", width=4)
+    assert sorted((r.id, r["index"]) for r in laid.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    turns = plugins.scheduled(df.withColumn("k", F.lit(0)), ["k"], lambda ready, service, deadline: [service.desc()], F.col("n"), F.col("n"), F.col("n"), "id")
+    assert {r.id: r.turn for r in turns.collect()} == {2: 1, 1: 2}
+    graphs = spark.createDataFrame([(1, 2, [(0, 1, 1.0)], [0, 1])], "id long, nodes int, edges array<struct<a:int,b:int,w:double>>, marked array<int>")
+    assert G.decoded(graphs, "id", lambda nodes, edges, marked: sorted(marked)).collect()[0].correction == [0, 1]
+
+
+def test_nearest_row_at_ties_and_beyond_the_ends(spark):
+    cards = spark.createDataFrame([("a", 2.0, 7), ("a", 2.0, 5), ("a", 6.0, 9)], "k string, size double, card long")
+    df = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("a", 4.0), ("a", 4.5), ("a", 50.0), ("b", 1.0)], "k string, at double")
+    out = {(r.k, r["at"]): r.card for r in J.nearest_row(df, cards, ["k"], "at", "size", "card").collect()}
+    assert out == {("a", 0.0): 5, ("a", 2.0): 5, ("a", 4.0): 5, ("a", 4.5): 9, ("a", 50.0): 9, ("b", 1.0): None}
