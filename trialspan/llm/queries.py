@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspan.llm import decontaminate, language, licenses, mixing, neardup, paragraphs, pii, quality, substrings, urls
+from trialspan.llm import decontaminate, divergence, language, licenses, lines, mixing, neardup, paragraphs, pii, quality, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,34 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 """
 
 
+OP12_SQL = r"""
+with line as materialized (select doc_id, i, x[i] as l, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents))),
+often as (select k from line where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(o.k) as n_dropped, sha256(coalesce(string_agg(l, chr(10) order by i) filter (o.k is null), '')) as kept_sha256 from line left join often o using (k) group by doc_id
+"""
+
+
+OP13_SQL = r"""
+with doc as materialized (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+posting as materialized (select lang, source, term, count(*) as n from (select lang, source, r, unnest(w) as term from (select *, row_number() over () as r from doc)) group by lang, source, r, term),
+kept as materialized (select lang, term, sum(n) as n from posting group by lang, term having count(*) >= 10),
+of_lang as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+grp as materialized (select distinct lang, source from doc),
+cell as materialized (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as all_n from grp g join kept k on g.lang = k.lang
+  left join (select lang, source, term, sum(n) as n from posting group by lang, source, term) c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+share as materialized (select c.lang, c.source, c.term, c.n, 1 + (1000000000::hugeint * (c.n + 2)) // (sum(c.n) over (partition by c.lang, c.source) + 2 * v) as p, 1 + (1000000000::hugeint * (all_n + 2)) // (total + 2 * v) as q
+  from cell c join of_lang l on c.lang = l.lang),
+pair as (select x.lang, x.source, y.source as item, coalesce(s.value, 0) as value from grp x join grp y on x.lang = y.lang and x.source <> y.source
+  left join (select a.lang, a.source as a, b.source as b, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source) s
+  on s.lang = x.lang and s.a = x.source and s.b = y.source),
+term as (select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from share where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from (
+  select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from pair
+  union all by name select *, 'term' as part, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from term) where part = 'pair' or rank <= 10
+"""
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.held_out()))
@@ -87,6 +115,15 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(_table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -112,4 +149,4 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(h) as bigint) as n_ba
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_neardup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
+    return {"op2_minhash_neardup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_license_scan": _op9_sql(), "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
