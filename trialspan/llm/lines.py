@@ -89,6 +89,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     common = written(frequent(docs, doc_id, text, least).select("line"), "lines")
     rows = docs.select(F.xxhash64(col(doc_id), col(text)).alias("key"), col(doc_id).alias("id"), col(text).alias("text"))
     gone = _exploded(rows.select("key", "text")).join(common, "line", "left_semi").groupBy("key").agg(F.collect_set("line").alias("gone"))
-    rows = rows.join(written(gone, "gone"), "key", "left").select("id", "text", "gone")
+    rows = rows.hint("merge").join(written(gone, "gone"), "key", "left").select("id", "text", "gone")
     out = rows.mapInArrow(_reassembled, StructType().add("id", rows.schema["id"].dataType).add("n_lines", "long").add("n_dropped", "long").add("kept", "string"))
     return out.select(col("id").alias(doc_id), "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
