@@ -83,10 +83,15 @@ def test_against_whole_texts(spark, both, odd, odd_rows):
 
 
 def test_small_blocks_change_nothing(spark, monkeypatch, both):
-    texts = [f"word{k % 7} and {k} more été {k % 3}" for k in range(60)]
+    texts = [f"word{k % 7} and {k} more été {k % 3}" for k in range(60)] + [None, "", "▁ own", "▁ own more"]
     monkeypatch.setattr(alignment, "SLICE", 64)  # reaches the workers with the function
-    out = alignment.aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sorted(map(tuple, out)) == [(k, *e) for k, e in enumerate(expected(both, texts))]
+    monkeypatch.setattr(alignment, "BUCKET_BYTES", 100)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = alignment.blocked(docs, 9, "doc_id", "text").collect()
+    assert len(blocks) > 20 and sum(len(b.ids) for b in blocks) == len(texts) and {p.bucket for b in blocks for p in b.packed} == set(range(9))
+    for pairs in (alignment.PAIRS, 3):  # counts broadcast, and joined to the pairs of each block
+        monkeypatch.setattr(alignment, "PAIRS", pairs)
+        assert sorted(map(tuple, alignment.aligned(docs).collect())) == [(k, *e) for k, e in enumerate(expected(both, texts))]
 
 
 def test_given_table(spark, both, sf):
@@ -105,6 +110,9 @@ def test_tokens_of_a_text_are_those_of_its_segments(both, text):
     assert many.tolist() == [len(bounds) - 1] and full.tobytes() == b" " + text.encode()
     parts = [full[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     a, b = both.encoded(parts)
+    if whole(both, text) is None:
+        assert [] in a and [] in b
+        return
     assert sum(a, []) == both.a.encode(" " + text, add_special_tokens=False).ids
     assert sum(b, []) == both.b.encode(text)
 

@@ -7,12 +7,13 @@ starts anew there. So the tokens of a text are the tokens of its segments in a r
 
 1. texts are coded block by block, a block being some whole texts of SLICE bytes or one longer
    text: its distinct segments, and for each document their numbers;
-2. each distinct segment of the corpus is tokenised by both and aligned once;
-3. alignments are joined back to the blocks, a row for each distinct segment of a block, and
-   there documents are composed: counts add, groups follow each other.
+2. segments are dealt to buckets by their hashes, packed into one row for each block and bucket;
+   each distinct segment of a bucket, so of the corpus, is tokenised by both once;
+3. the tokens go back to the blocks that hold the segment, again packed, and are kept beside the
+   blocks' codes. Documents are composed from them: counts add, groups follow each other.
 
-How many documents hold a pair of ids linked is counted block by block and added up; what a
-segment's links weigh by these counts is worked out once a segment and joined back as well.
+How many documents hold a pair of ids linked is counted block by block and added up. The counts
+are broadcast while they are at most PAIRS, and joined to the distinct pairs of each block beyond that.
 
 The first tokenizer is a byte-level BPE without a normaliser (a tokenizers JSON file), the second
 a BPE of pieces that adds a blank and keeps white space (a sentencepiece model). Both files must be at their path on all executors.
@@ -34,15 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from trialspan.llm._arrays import lean, lean_tables, slices
-from trialspan.llm._store import bounded_batches, col, dropped, narrow, written
+from trialspan.llm import _arrays as A
+from trialspan.llm._store import bounded_batches, col, dropped, written
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of whole texts in a block.
 SLICE = 4 << 20
+#: Bytes of text for each bucket of segments, and segments that are tokenised at once.
+BUCKET_BYTES, AT_ONCE = 16 << 20, 10_000
+#: Pairs of ids whose counts are broadcast, 24 bytes each.
+PAIRS = 1 << 20
 _BLANK = 0x20
 #: White space as one byte, and as the two or three bytes of its UTF-8 form.
 _WHITE = np.zeros(256, bool)
@@ -106,25 +111,18 @@ class Pair:
             raise ValueError(f"{b} does not add a blank and keep white space")
         self.blank = self.b.encode("a ")[len(self.b.encode("a")) :]  # a segment of one blank, which cannot be encoded alone
         self.a_size, self.b_size = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = ([str(k) for k in range(len(tokens))] for tokens in (self.a_bytes, self.b_bytes))
 
     def encoded(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each segment; none for segments that one of both does not give back."""
         texts = [s.decode() for s in segments]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x if len(s) > 1 else self.blank for x, s in zip(b, segments, strict=True)]
-
-    def aligned(self, segments: list[bytes]) -> Iterator[tuple[bool, int, int, int, str, np.ndarray]]:
-        """(whether both give the segment back, tokens of each, groups, their text, linked pairs with one entry a link) of each segment."""
-        for segment, a, b in zip(segments, *self.encoded(segments), strict=True):
-            if b"".join(map(self.a_bytes.__getitem__, a)) != segment or b"".join(map(self.b_bytes.__getitem__, b)) != segment:
-                yield False, 0, 0, 0, "", np.empty(0, np.int64)
-                continue
-            ends = [np.cumsum(size[ids]) for size, ids in ((self.a_size, a), (self.b_size, b))]
-            every = np.union1d(*ends)  # between two of these one token of each overlaps
-            links = np.array(a, np.int64)[np.searchsorted(ends[0], every)] << 32 | np.array(b, np.int64)[np.searchsorted(ends[1], every)]
-            both = np.intersect1d(*ends)
-            to_a, to_b = (np.searchsorted(e, both, "right").tolist() for e in ends)
-            groups = [f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, strict=True)]
-            yield True, len(a), len(b), len(both), ";".join(groups), links
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [x if len(s) > 1 else self.blank for x, s in zip(self.b.encode([t[1:] for t in texts], num_threads=1), segments, strict=True)]
+        same = lambda ids, tokens, s: b"".join(map(tokens.__getitem__, ids)) == s
+        for k, s in enumerate(segments):
+            if not (same(a[k], self.a_bytes, s) and same(b[k], self.b_bytes, s)):
+                a[k] = b[k] = []
+        return a, b
 
 
 @lru_cache(maxsize=2)
@@ -133,125 +131,221 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
-def _planes(codes: np.ndarray) -> bytes:
+def _planes(numbers: np.ndarray) -> bytes:
     """32-bit numbers byte by byte: high bytes, mostly 0, stand together and compress."""
-    return codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _codes(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32).astype(np.int64)
+def _numbers(planes: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(planes.as_buffer(), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32).astype(np.int64)
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(block, ids, many, codes, segments): a row for each block; a document's codes are its segments' numbers in the block."""
-    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text"))
-    out = StructType().add("block", "string").add("ids", ArrayType(rows.schema["id"].dataType)).add("many", ArrayType(_type("long"))).add("codes", "binary").add("segments", ArrayType(_type("binary")))
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, off, data in slices(batch.column("text"), SLICE):
-                full, bounds, many = segmented(data, off)
-                found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(full)]).dictionary_encode()
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(batch.column("id")[i:j]), one(pa.array(many)), pa.array([_planes(found.indices.to_numpy())], pa.binary()), one(found.dictionary.cast(pa.binary()))], names=out.names)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
 
-    return rows.mapInArrow(run, out)
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs of so many from each start, run after run."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-def _type(name: str):
-    return StructType().add("x", name)["x"].dataType
 
+_PACKED = "block long, many array<long>, codes binary, packed array<struct<bucket: int, at: binary, segments: array<binary>>>"
 
-def alignments(segments: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE) -> DataFrame:
-    """(segment, ok, n_a, n_b, n_groups, groups, links) for each row of segments (segment)."""
 
-    @lean
+def blocked(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
+    """(block, ids, many, codes, packed): a row for each block; a document's codes are the numbers in the block of its segments."""
+    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text"))
+    block, *more = StructType.fromDDL(_PACKED).fields
+    out = StructType([block, StructField("ids", ArrayType(rows.schema["id"].dataType)), *more])
+
+    def packed(segments: pa.Array) -> pa.Array:
+        _, _, off, data = next(A.slices(segments, 1 << 62), (0, 0, np.zeros(1, np.int64), np.empty(0, np.uint8)))
+        bucket = (A.spans(A.prefix(data), off[:-1], off[1:]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        parts = [order[lo:hi] for lo, hi in zip(first, [*first[1:], len(order)], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), segments.take(pa.array(order)))
+        fields = [pa.array(bucket[order[first]], pa.int32()), pa.array([_planes(p) for p in parts], pa.binary()), lists]
+        return pa.StructArray.from_arrays(fields, names=["bucket", "at", "segments"])
+
+    @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
-            found = list(zip(*pair(a, b).aligned(batch.column(0).to_pylist()), strict=True)) or [()] * 6
-            columns = [pa.array(found[0], pa.bool_()), *(pa.array(found[k], pa.int64()) for k in (1, 2, 3)), pa.array(found[4], pa.string()), pa.array(found[5], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["segment", "ok", "n_a", "n_b", "n_groups", "groups", "links"])
+            for i, j, off, data in A.slices(batch.column("text"), SLICE):
+                full, bounds, many = segmented(data, off)
+                found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(full)]).dictionary_encode()
+                name = pa.array([uuid.uuid4().int >> 65], pa.int64())
+                codes = pa.array([_planes(found.indices.to_numpy())], pa.binary())
+                yield pa.RecordBatch.from_arrays([name, one(batch.column("id")[i:j]), one(pa.array(many)), codes, one(packed(found.dictionary.cast(pa.binary())))], names=out.names)
 
-    return segments.mapInArrow(run, "segment binary, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>")
+    return rows.mapInArrow(run, out)
 
 
-class _Block:
-    """The documents of one block as segment numbers, and a column of what was joined to its segments."""
+_TOKENS = "at binary, n_a binary, n_b binary, a binary, b binary"
+
+
+def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
+    """(block, at, n_a, n_b, a, b) for each row of packed (bucket, block, at, segments): the ids of both, none where a text is not given back."""
+
+    @A.lean_table
+    def run(rows: pa.Table) -> pa.Table:
+        both, segments = pair(a, b), rows.column("segments").combine_chunks()
+        found = segments.flatten().dictionary_encode()
+        sizes, ids = ([], []), ([], [])
+        for lo in range(0, len(found.dictionary), AT_ONCE):
+            for k, lists in enumerate(both.encoded(found.dictionary[lo : lo + AT_ONCE].to_pylist())):
+                sizes[k].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids[k].append(np.fromiter((x for one in lists for x in one), np.int64))
+        sizes, ids = (tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in parts) for parts in (sizes, ids))
+        starts, code = [_starts(s) for s in sizes], found.indices.to_numpy().astype(np.int64)
+        bounds = _starts(segments.value_lengths().to_numpy())
+        out: dict[str, list[bytes]] = {"n_a": [], "n_b": [], "a": [], "b": []}
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for k, side in enumerate("ab"):
+                here = code[lo:hi]
+                out[f"n_{side}"].append(_planes(sizes[k][here]))
+                out[side].append(_planes(ids[k][_places(starts[k][here], sizes[k][here])]))
+        return pa.table({"block": rows.column("block"), "at": rows.column("at"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    return packed.groupBy("bucket").applyInArrow(run, f"block long, {_TOKENS}")
+
+
+@A.lean_tables
+def _together(block: pa.Table, parts: pa.Table) -> pa.Table:
+    """The block with the tokens of its segments in the order of their numbers."""
+    numbers = lambda c: [_numbers(x) for x in parts.column(c)] or [np.empty(0, np.int64)]
+    order = np.argsort(np.concatenate(numbers("at")))
+    out = {c: block.column(c) for c in ("block", "ids", "many", "codes")}
+    for side in "ab":
+        sizes = np.concatenate(numbers(f"n_{side}"))
+        starts = _starts(sizes)[:-1][order]
+        out[f"n_{side}"] = pa.array([_planes(sizes[order])], pa.binary())
+        out[side] = pa.array([_planes(np.concatenate(numbers(side))[_places(starts, sizes[order])])], pa.binary())
+    return pa.table(out)
 
-    def __init__(self, block: pa.Table, joined: pa.Table):
-        self.codes = _codes(block.column("codes")[0].as_py())
-        self.many = block.column("many")[0].values.to_numpy()
-        self.doc = np.repeat(np.arange(len(self.many)), self.many)
-        self.joined = joined.sort_by("at").combine_chunks()
-        good = self.column("ok").astype(bool)
-        self.good = np.bincount(self.doc, ~good[self.codes], len(self.many)) == 0 if len(self.codes) else np.ones(len(self.many), bool)
 
-    def column(self, name: str) -> np.ndarray:
-        return self.joined.column(name).to_numpy()
+class _Block:
+    """The documents of one block, and the groups and links of its segments."""
 
-    def summed(self, name: str) -> np.ndarray:
+    def __init__(self, row: dict[str, pa.Scalar], both: Pair):
+        self.both, self.many = both, row["many"].values.to_numpy()
+        self.codes, self.n_a, self.n_b, self.a, self.b = (_numbers(row[c]) for c in ("codes", "n_a", "n_b", "a", "b"))
+        self.doc = np.repeat(np.arange(len(self.many)), self.many)
+        self.good = np.bincount(self.doc, self.n_a[self.codes] == 0, len(self.many)) == 0
+        ends = [np.cumsum(size[ids]) for size, ids in ((both.a_size, self.a), (both.b_size, self.b))]
+        every = np.union1d(*ends)  # between two of these one token of each overlaps
+        self.links = self.a[np.searchsorted(ends[0], every)] << 32 | self.b[np.searchsorted(ends[1], every)]
+        own = np.concatenate(([0], ends[0]))[np.cumsum(self.n_a)]  # where segments end, in bytes
+        self.n_links = np.diff(np.searchsorted(every, own, "right"), prepend=0)
+        both_end = np.intersect1d(*ends)
+        self.to_a, self.to_b = (np.searchsorted(e, both_end, "right") for e in ends)
+        self.n_groups = np.diff(np.searchsorted(both_end, own, "right"), prepend=0)
+
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs of the block, number of each link's pair among them, documents that hold each pair)."""
+        pairs, at = np.unique(self.links, return_inverse=True)
+        keep, many = self.good[self.doc], max(len(self.n_links), 1)
+        once = np.unique(self.doc[keep] * many + self.codes[keep])
+        n = self.n_links[once % many] if len(once) else once
+        start = _starts(self.n_links)
+        mine = np.unique(np.repeat(once // many, n) * max(len(pairs), 1) + at[_places(start[once % many], n)])
+        return pairs, at, np.bincount(mine % max(len(pairs), 1), minlength=len(pairs))[: len(pairs)]
+
+    def summed(self, of_segment: np.ndarray) -> np.ndarray:
         """Sums over the segments of each document that both tokenizers give back, else 0."""
-        after = np.concatenate(([0], np.cumsum(self.column(name)[self.codes] if len(self.codes) else [], dtype=np.int64)))
-        ends = np.cumsum(self.many)
+        after, ends = _starts(of_segment[self.codes]), np.cumsum(self.many)
         return np.where(self.good, after[ends] - after[ends - self.many], 0)
 
+    def groups(self) -> list[str]:
+        a, b = [self.both.a_text[k] for k in self.a.tolist()], [self.both.b_text[k] for k in self.b.tolist()]
+        to_a, to_b = self.to_a.tolist(), self.to_b.tolist()
+        every = [f"{a[i] if j - i == 1 else ','.join(a[i:j])}|{b[k] if m - k == 1 else ','.join(b[k:m])}" for i, j, k, m in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, strict=True)]
+        bounds = _starts(self.n_groups).tolist()
+        of_segment = [every[i] if j - i == 1 else ";".join(every[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        codes, ends = self.codes.tolist(), np.cumsum(self.many).tolist()
+        return [";".join(map(of_segment.__getitem__, codes[i:j])) if good else "" for i, j, good in zip([0, *ends[:-1]], ends, self.good.tolist(), strict=True)]
 
-@lean_tables
-def _pair_counts(block: pa.Table, joined: pa.Table) -> pa.Table:
-    """(pair, docs): documents of the block that hold the pair linked."""
-    here = _Block(block, joined)
-    lists = here.joined.column("links").combine_chunks() if len(joined) else pa.array([], pa.list_(pa.int64()))
-    size = lists.value_lengths().to_numpy().astype(np.int64)
-    pairs, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    start = np.cumsum(size) - size
-    keep = here.good[here.doc]
-    once = np.unique(here.doc[keep] * max(len(size), 1) + here.codes[keep])
-    doc, segment = once // max(len(size), 1), once % max(len(size), 1)
-    n = size[segment]
-    place = np.repeat(start[segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    held = np.unique(np.repeat(doc, n) * max(len(pairs), 1) + at[place])
-    docs = np.bincount(held % max(len(pairs), 1), minlength=len(pairs)) if len(pairs) else np.empty(0, np.int64)
-    return pa.table({"pair": pa.array(pairs[docs > 0], pa.int64()), "docs": pa.array(docs[docs > 0], pa.int64())})
+    def composed(self, ids: pa.Array, docs: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        """A row for each document; docs and best tell of each link of the segments how many documents hold its pair, and whether that is the most."""
+        of = lambda values: np.add.reduceat(np.append(values, 0), _starts(self.n_links)[:-1]) * (self.n_links > 0) if len(self.n_links) else self.n_links
+        sums = [self.n_a, self.n_b, self.n_groups, self.n_links, of(best), of(docs)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(self.summed(x), pa.int64()) for x in sums), pa.array(self.groups(), pa.string())], names=["id", *_SUMS, "groups"])
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-@lean_tables
-def _composed(block: pa.Table, joined: pa.Table) -> pa.Table:
-    here = _Block(block, joined)
-    groups = here.joined.column("groups").to_pylist() if len(joined) else []
-    text, at, codes = [], 0, here.codes.tolist()
-    for n, good in zip(here.many.tolist(), here.good.tolist(), strict=True):
-        text.append(";".join(map(groups.__getitem__, codes[at : at + n])) if good else "")
-        at += n
-    return pa.table({"id": block.column("ids")[0].values, **{c: here.summed(c) for c in _SUMS}, "groups": pa.array(text, pa.string())})
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for k in range(table.num_rows):
+        yield {c: table.column(c)[k] for c in table.schema.names}
 
 
 def aligned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str = BYTE_BPE, b: str = PIECE_BPE) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each row of docs; groups as `a1,a2|b1;a3|b2,b3`."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     pair(a, b)  # what does not fit fails here
-    blocks = written(blocked(docs, doc_id, text), "blocks")
-    table = written(alignments(blocks.select(F.explode("segments").alias("segment")).distinct(), a, b), "alignments")
-    places = blocks.select(F.col("block").alias("of"), F.posexplode("segments").alias("at", "segment"))
-
-    def by_block(columns: list[str], values: DataFrame, run, schema) -> DataFrame:
-        joined = places.join(values, "segment").drop("segment")
-        return blocks.select("block", *columns).groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(run, schema)
-
-    counts = by_block(["many", "codes"], table.select("segment", "ok", "links"), _pair_counts, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+    size = docs.agg(F.sum(F.octet_length(col(text)))).head()[0] or 0
+    coded = written(blocked(docs, max(4, int(size / BUCKET_BYTES)), doc_id, text), "coded")
+    packed = coded.select(F.col("block").alias("of"), F.explode("packed").alias("p")).select(F.col("of").alias("block"), "p.*")
+    tokens = tokenised(packed, a, b)
+    kept = StructType(coded.schema.fields[:4])
+    for c in ("n_a", "n_b", "a", "b"):
+        kept = kept.add(c, "binary")
+    blocks = written(coded.drop("packed").groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(_together, kept), "blocks")
+    dropped(coded)
+
+    @A.lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in _rows(batch)):
+            pairs, _, n = _Block(row, pair(a, b)).held()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[n > 0]), pa.array(n[n > 0], pa.int64())], names=["pair", "docs"])
+
+    counts = blocks.drop("ids").mapInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     counts = written(counts.select("pair", "docs", (F.col("docs") == most).cast("long").alias("best")), "pairs", F.count(F.lit(1)))
-    links = table.select("segment", F.explode("links").alias("pair")).join(narrow(counts, counts.stats[0]), "pair")
-    weights = links.groupBy("segment").agg(F.sum("docs").alias("count_sum"), F.sum("best").alias("n_best"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    values = table.join(weights, "segment", "left").select("segment", "ok", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), zero("n_best"), zero("count_sum"), "groups")
-    values = written(values, "segments")
-    dropped(table, counts)
+
     out = StructType().add("id", docs.select(col(doc_id)).schema[0].dataType)
     for c in _SUMS:
         out = out.add(c, "long")
-    found = by_block(["ids", "many", "codes"], values, _composed, out.add("groups", "string"))
+    out = out.add("groups", "string")
+    if counts.stats[0] <= PAIRS:
+        table = counts.orderBy("pair").toArrow()
+        shared = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "docs", "best")))
+        dropped(counts)
+
+        @A.lean
+        def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in (r for batch in batches for r in _rows(batch)):
+                yield _weighed(_Block(row, pair(a, b)), row["ids"].values, *shared.value)
+
+        found = blocks.mapInArrow(compose, out)
+    else:
+
+        @A.lean
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in (r for batch in batches for r in _rows(batch)):
+                pairs = np.unique(_Block(row, pair(a, b)).links)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"].as_py()] * len(pairs), pa.int64()), pa.array(pairs)], names=["of", "pair"])
+
+        @A.lean_tables
+        def compose_joined(block: pa.Table, weights: pa.Table) -> pa.Table:
+            row, weights = next(_rows(block)), weights.sort_by("pair")
+            return pa.Table.from_batches([_weighed(_Block(row, pair(a, b)), row["ids"].values, *(weights.column(c).to_numpy() for c in ("pair", "docs", "best")))])
+
+        weights = blocks.drop("ids").mapInArrow(asked, "of long, pair long").join(counts, "pair")
+        found = blocks.groupBy("block").cogroup(weights.groupBy("of")).applyInArrow(compose_joined, out)
     return found.select(col("id").alias(doc_id), *_SUMS, "groups")
+
+
+def _weighed(block: _Block, ids: pa.Array, pairs: np.ndarray, docs: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """The block's documents, with the counts of sorted pairs; pairs of texts without tokens may be missing there."""
+    if not len(pairs):
+        none = np.zeros(len(block.links), np.int64)
+        return block.composed(ids, none, none)
+    at = np.minimum(np.searchsorted(pairs, block.links), len(pairs) - 1)
+    known = pairs[at] == block.links
+    return block.composed(ids, docs[at] * known, best[at] * known)
