@@ -41,7 +41,9 @@ TOP = 10
 #: The sketch.
 ROWS, WIDTH = 4, 1 << 22
 #: Bytes of whole texts looked at together.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Rows that a task holds before it merges them.
+PENDING = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -83,11 +85,31 @@ def _hashed(values: pa.Array) -> np.ndarray:
     return out
 
 
+def _merged(parts: Iterator[pa.RecordBatch], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of parts with sums taken by keys within the task, sent on whenever so many keys are held that merging does not help."""
+
+    def summed(held: list[pa.RecordBatch]) -> pa.Table:
+        out = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+        return out.select([*keys, *(f"{c}_sum" for c in sums)]).rename_columns([*keys, *sums])
+
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n > PENDING:
+            held = summed(held).to_batches()
+            n = sum(map(len, held))
+            if n > PENDING // 2:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from summed(held).to_batches()
+
+
 def sketched(rows: DataFrame) -> DataFrame:
     """(cell, n): the merged sketch of the document frequencies of rows (lang, text), without empty cells."""
 
-    @A.lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, langs = _coded(batch.column("lang"))
             for lang, term, docs, _, terms in _postings(batch.column("text"), code):
@@ -95,6 +117,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                 n = np.bincount(at.reshape(-1), np.tile(docs, ROWS)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
+    run = A.lean(lambda batches: _merged(read(batches), ["cell"], ["n"]))
     return rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
@@ -110,8 +133,7 @@ def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, source, term, n, docs) of the terms that the sketch does not rule out, exactly; rows are (lang, source, text) without nulls."""
     shared = rows.sparkSession.sparkContext.broadcast(_reached(sketched(rows.select("lang", "text")), least))
 
-    @A.lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value.view(np.uint64)
         for batch in batches:
             (lang, langs), (source, sources) = _coded(batch.column("lang")), _coded(batch.column("source"))
@@ -123,6 +145,7 @@ def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
                 found = [pc.take(langs, pa.array(group // many)), pc.take(sources, pa.array(group % many)), pc.take(terms, pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.array(n[may]), pa.array(docs[may])]
                 yield pa.RecordBatch.from_arrays(found, names=["lang", "source", "term", "n", "docs"])
 
+    run = A.lean(lambda batches: _merged(read(batches), ["lang", "source", "term"], ["n", "docs"]))
     out = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return out.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
