@@ -46,6 +46,8 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 4 << 20
 #: Bytes of text for each bucket of segments, and segments that are tokenised at once.
 BUCKET_BYTES, AT_ONCE = 16 << 20, 10_000
+#: Documents times pairs of a block that are marked at once.
+CELLS = 1 << 24
 #: Pairs of ids whose counts are broadcast, 24 bytes each.
 PAIRS = 1 << 20
 _BLANK = 0x20
@@ -131,13 +133,25 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _restored(value: pa.Scalar) -> bytes:
+    raw = value.as_buffer()
+    return _ZSTD.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), asbytes=True)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte: high bytes, mostly 0, stand together and compress."""
-    return numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit numbers byte by byte, compressed: high bytes, mostly 0, stand together."""
+    return _squeezed(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _numbers(planes: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(planes.as_buffer(), np.uint8)
+def _numbers(value: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(_restored(value), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32).astype(np.int64)
 
 
@@ -151,7 +165,7 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_PACKED = "block long, many array<long>, codes binary, packed array<struct<bucket: int, at: binary, segments: array<binary>>>"
+_PACKED = "block long, many array<long>, codes binary, packed array<struct<bucket: int, at: binary, sizes: binary, bytes: binary>>"
 
 
 def blocked(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
@@ -162,13 +176,12 @@ def blocked(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
 
     def packed(segments: pa.Array) -> pa.Array:
         _, _, off, data = next(A.slices(segments, 1 << 62), (0, 0, np.zeros(1, np.int64), np.empty(0, np.uint8)))
-        bucket = (A.spans(A.prefix(data), off[:-1], off[1:]) % np.uint64(buckets)).astype(np.int64)
+        bucket, size = (A.spans(A.prefix(data), off[:-1], off[1:]) % np.uint64(buckets)).astype(np.int64), np.diff(off)
         order = np.argsort(bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         parts = [order[lo:hi] for lo, hi in zip(first, [*first[1:], len(order)], strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), segments.take(pa.array(order)))
-        fields = [pa.array(bucket[order[first]], pa.int32()), pa.array([_planes(p) for p in parts], pa.binary()), lists]
-        return pa.StructArray.from_arrays(fields, names=["bucket", "at", "segments"])
+        fields = [[_planes(np.diff(p, prepend=0)) for p in parts], [_planes(size[p]) for p in parts], [_squeezed(data[_places(off[p], size[p])].tobytes()) for p in parts]]
+        return pa.StructArray.from_arrays([pa.array(bucket[order[first]], pa.int32()), *(pa.array(f, pa.binary()) for f in fields)], names=["bucket", "at", "sizes", "bytes"])
 
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +201,13 @@ _TOKENS = "at binary, n_a binary, n_b binary, a binary, b binary"
 
 
 def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
-    """(block, at, n_a, n_b, a, b) for each row of packed (bucket, block, at, segments): the ids of both, none where a text is not given back."""
+    """(block, at, n_a, n_b, a, b) for each row of packed (bucket, block, at, sizes, bytes): the ids of both, none where a segment is not given back."""
 
     @A.lean_table
     def run(rows: pa.Table) -> pa.Table:
-        both, segments = pair(a, b), rows.column("segments").combine_chunks()
-        found = segments.flatten().dictionary_encode()
+        both, many = pair(a, b), [_numbers(x) for x in rows.column("sizes")]
+        bounds, data = _starts(np.concatenate(many)), b"".join(map(_restored, rows.column("bytes")))
+        found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         sizes, ids = ([], []), ([], [])
         for lo in range(0, len(found.dictionary), AT_ONCE):
             for k, lists in enumerate(both.encoded(found.dictionary[lo : lo + AT_ONCE].to_pylist())):
@@ -201,7 +215,7 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
                 ids[k].append(np.fromiter((x for one in lists for x in one), np.int64))
         sizes, ids = (tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in parts) for parts in (sizes, ids))
         starts, code = [_starts(s) for s in sizes], found.indices.to_numpy().astype(np.int64)
-        bounds = _starts(segments.value_lengths().to_numpy())
+        bounds = _starts(np.array([len(n) for n in many]))
         out: dict[str, list[bytes]] = {"n_a": [], "n_b": [], "a": [], "b": []}
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             for k, side in enumerate("ab"):
@@ -217,7 +231,7 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
 def _together(block: pa.Table, parts: pa.Table) -> pa.Table:
     """The block with the tokens of its segments in the order of their numbers."""
     numbers = lambda c: [_numbers(x) for x in parts.column(c)] or [np.empty(0, np.int64)]
-    order = np.argsort(np.concatenate(numbers("at")))
+    order = np.argsort(np.concatenate([np.cumsum(n) for n in numbers("at")]))
     out = {c: block.column(c) for c in ("block", "ids", "many", "codes")}
     for side in "ab":
         sizes = np.concatenate(numbers(f"n_{side}"))
@@ -235,24 +249,33 @@ class _Block:
         self.codes, self.n_a, self.n_b, self.a, self.b = (_numbers(row[c]) for c in ("codes", "n_a", "n_b", "a", "b"))
         self.doc = np.repeat(np.arange(len(self.many)), self.many)
         self.good = np.bincount(self.doc, self.n_a[self.codes] == 0, len(self.many)) == 0
-        ends = [np.cumsum(size[ids]) for size, ids in ((both.a_size, self.a), (both.b_size, self.b))]
-        every = np.union1d(*ends)  # between two of these one token of each overlaps
-        self.links = self.a[np.searchsorted(ends[0], every)] << 32 | self.b[np.searchsorted(ends[1], every)]
-        own = np.concatenate(([0], ends[0]))[np.cumsum(self.n_a)]  # where segments end, in bytes
-        self.n_links = np.diff(np.searchsorted(every, own, "right"), prepend=0)
-        both_end = np.intersect1d(*ends)
-        self.to_a, self.to_b = (np.searchsorted(e, both_end, "right") for e in ends)
-        self.n_groups = np.diff(np.searchsorted(both_end, own, "right"), prepend=0)
-
-    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct pairs of the block, number of each link's pair among them, documents that hold each pair)."""
+        bounds = [np.cumsum(size[ids]) for size, ids in ((both.a_size, self.a), (both.b_size, self.b))]
+        total = int(bounds[0][-1]) if len(bounds[0]) else 0
+        ends = np.zeros((2, total + 1), bool)
+        ends[0, bounds[0]] = ends[1, bounds[1]] = True
+        before = [np.cumsum(e) - e for e in ends]  # tokens that end before each byte
+        every = np.flatnonzero(ends[0] | ends[1])  # between two of these one token of each overlaps
+        self.links = self.a[before[0][every]] << 32 | self.b[before[1][every]]
+        both_end = np.flatnonzero(ends[0] & ends[1])
+        self.to_a, self.to_b = (n[both_end] + 1 for n in before)
+        own = np.concatenate(([0], bounds[0]))[np.cumsum(self.n_a)]  # where segments end
+        self.n_links, self.n_groups = (np.diff(np.searchsorted(x, own, "right"), prepend=0) for x in (every, both_end))
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct pairs of the block, documents that hold each)."""
         pairs, at = np.unique(self.links, return_inverse=True)
-        keep, many = self.good[self.doc], max(len(self.n_links), 1)
-        once = np.unique(self.doc[keep] * many + self.codes[keep])
-        n = self.n_links[once % many] if len(once) else once
-        start = _starts(self.n_links)
-        mine = np.unique(np.repeat(once // many, n) * max(len(pairs), 1) + at[_places(start[once % many], n)])
-        return pairs, at, np.bincount(mine % max(len(pairs), 1), minlength=len(pairs))[: len(pairs)]
+        docs, start, ends = np.zeros(len(pairs), np.int64), _starts(self.n_links), np.cumsum(self.many)
+        step = max(1, CELLS // max(len(pairs), 1))
+        for lo in range(0, len(self.many), step):
+            hi = min(lo + step, len(self.many))
+            span = slice(ends[lo] - self.many[lo], ends[hi - 1])
+            keep = self.good[self.doc[span]]
+            code, doc = self.codes[span][keep], self.doc[span][keep] - lo
+            n = self.n_links[code]
+            seen = np.zeros((hi - lo, len(pairs)), bool)
+            seen[np.repeat(doc, n), at[_places(start[code], n)]] = True
+            docs += seen.sum(0)
+        return pairs, docs
 
     def summed(self, of_segment: np.ndarray) -> np.ndarray:
         """Sums over the segments of each document that both tokenizers give back, else 0."""
@@ -301,7 +324,7 @@ def aligned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str
     @A.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in _rows(batch)):
-            pairs, _, n = _Block(row, pair(a, b)).held()
+            pairs, n = _Block(row, pair(a, b)).held()
             yield pa.RecordBatch.from_arrays([pa.array(pairs[n > 0]), pa.array(n[n > 0], pa.int64())], names=["pair", "docs"])
 
     counts = blocks.drop("ids").mapInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
