@@ -168,3 +168,26 @@ def of_rows(first: np.ndarray) -> np.ndarray:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(raw: bytes) -> bytes:
+    """raw, compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def restored(value: pa.Scalar) -> bytes:
+    raw = value.as_buffer()
+    return _ZSTD.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), asbytes=True)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, compressed: high bytes, mostly 0, stand together."""
+    return squeezed(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def numbers(value: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(restored(value), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32).astype(np.int64)

@@ -133,28 +133,6 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
-_ZSTD = pa.Codec("zstd", compression_level=3)
-
-
-def _squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
-
-
-def _restored(value: pa.Scalar) -> bytes:
-    raw = value.as_buffer()
-    return _ZSTD.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), asbytes=True)
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, compressed: high bytes, mostly 0, stand together."""
-    return _squeezed(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _numbers(value: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(_restored(value), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.int32).astype(np.int64)
-
-
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 
@@ -180,7 +158,7 @@ def blocked(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         parts = [order[lo:hi] for lo, hi in zip(first, [*first[1:], len(order)], strict=True)]
-        fields = [[_planes(np.diff(p, prepend=0)) for p in parts], [_planes(size[p]) for p in parts], [_squeezed(data[_places(off[p], size[p])].tobytes()) for p in parts]]
+        fields = [[A.planes(np.diff(p, prepend=0)) for p in parts], [A.planes(size[p]) for p in parts], [A.squeezed(data[_places(off[p], size[p])].tobytes()) for p in parts]]
         return pa.StructArray.from_arrays([pa.array(bucket[order[first]], pa.int32()), *(pa.array(f, pa.binary()) for f in fields)], names=["bucket", "at", "sizes", "bytes"])
 
     @A.lean
@@ -191,7 +169,7 @@ def blocked(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
                 full, bounds, many = segmented(data, off)
                 found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(full)]).dictionary_encode()
                 name = pa.array([uuid.uuid4().int >> 65], pa.int64())
-                codes = pa.array([_planes(found.indices.to_numpy())], pa.binary())
+                codes = pa.array([A.planes(found.indices.to_numpy())], pa.binary())
                 yield pa.RecordBatch.from_arrays([name, one(batch.column("id")[i:j]), one(pa.array(many)), codes, one(packed(found.dictionary.cast(pa.binary())))], names=out.names)
 
     return rows.mapInArrow(run, out)
@@ -205,8 +183,8 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
 
     @A.lean_table
     def run(rows: pa.Table) -> pa.Table:
-        both, many = pair(a, b), [_numbers(x) for x in rows.column("sizes")]
-        bounds, data = _starts(np.concatenate(many)), b"".join(map(_restored, rows.column("bytes")))
+        both, many = pair(a, b), [A.numbers(x) for x in rows.column("sizes")]
+        bounds, data = _starts(np.concatenate(many)), b"".join(map(A.restored, rows.column("bytes")))
         found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         sizes, ids = ([], []), ([], [])
         for lo in range(0, len(found.dictionary), AT_ONCE):
@@ -220,8 +198,8 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             for k, side in enumerate("ab"):
                 here = code[lo:hi]
-                out[f"n_{side}"].append(_planes(sizes[k][here]))
-                out[side].append(_planes(ids[k][_places(starts[k][here], sizes[k][here])]))
+                out[f"n_{side}"].append(A.planes(sizes[k][here]))
+                out[side].append(A.planes(ids[k][_places(starts[k][here], sizes[k][here])]))
         return pa.table({"block": rows.column("block"), "at": rows.column("at"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
     return packed.groupBy("bucket").applyInArrow(run, f"block long, {_TOKENS}")
@@ -230,14 +208,14 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
 @A.lean_tables
 def _together(block: pa.Table, parts: pa.Table) -> pa.Table:
     """The block with the tokens of its segments in the order of their numbers."""
-    numbers = lambda c: [_numbers(x) for x in parts.column(c)] or [np.empty(0, np.int64)]
+    numbers = lambda c: [A.numbers(x) for x in parts.column(c)] or [np.empty(0, np.int64)]
     order = np.argsort(np.concatenate([np.cumsum(n) for n in numbers("at")]))
     out = {c: block.column(c) for c in ("block", "ids", "many", "codes")}
     for side in "ab":
         sizes = np.concatenate(numbers(f"n_{side}"))
         starts = _starts(sizes)[:-1][order]
-        out[f"n_{side}"] = pa.array([_planes(sizes[order])], pa.binary())
-        out[side] = pa.array([_planes(np.concatenate(numbers(side))[_places(starts, sizes[order])])], pa.binary())
+        out[f"n_{side}"] = pa.array([A.planes(sizes[order])], pa.binary())
+        out[side] = pa.array([A.planes(np.concatenate(numbers(side))[_places(starts, sizes[order])])], pa.binary())
     return pa.table(out)
 
 
@@ -246,7 +224,7 @@ class _Block:
 
     def __init__(self, row: dict[str, pa.Scalar], both: Pair):
         self.both, self.many = both, row["many"].values.to_numpy()
-        self.codes, self.n_a, self.n_b, self.a, self.b = (_numbers(row[c]) for c in ("codes", "n_a", "n_b", "a", "b"))
+        self.codes, self.n_a, self.n_b, self.a, self.b = (A.numbers(row[c]) for c in ("codes", "n_a", "n_b", "a", "b"))
         self.doc = np.repeat(np.arange(len(self.many)), self.many)
         self.good = np.bincount(self.doc, self.n_a[self.codes] == 0, len(self.many)) == 0
         bounds = [np.cumsum(size[ids]) for size, ids in ((both.a_size, self.a), (both.b_size, self.b))]

@@ -40,10 +40,10 @@ LEAST = 10
 TOP = 10
 #: The sketch.
 ROWS, WIDTH = 4, 1 << 22
+#: Cells of a sketch that travel as one row.
+CHUNK = 1 << 12
 #: Bytes of whole texts looked at together.
 SLICE = 2 << 20
-#: Rows that a task holds before it merges them.
-PENDING = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -85,67 +85,68 @@ def _hashed(values: pa.Array) -> np.ndarray:
     return out
 
 
-def _merged(parts: Iterator[pa.RecordBatch], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of parts with sums taken by keys within the task, sent on whenever so many keys are held that merging does not help."""
+def sketched(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(chunk, reached): the merged sketch of rows (lang, text) in chunks of CHUNK cells, one bit a cell that tells whether it reaches least.
 
-    def summed(held: list[pa.RecordBatch]) -> pa.Table:
-        out = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
-        return out.select([*keys, *(f"{c}_sum" for c in sums)]).rename_columns([*keys, *sums])
+    A task adds up its own sketch and sends the chunks that are not empty; chunks are added one by one as they come.
+    """
 
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part)
-        if n > PENDING:
-            held = summed(held).to_batches()
-            n = sum(map(len, held))
-            if n > PENDING // 2:
-                yield from held
-                held, n = [], 0
-    if held:
-        yield from summed(held).to_batches()
-
-
-def sketched(rows: DataFrame) -> DataFrame:
-    """(cell, n): the merged sketch of the document frequencies of rows (lang, text), without empty cells."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @A.lean
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(ROWS * WIDTH, np.uint32)
         for batch in batches:
             code, langs = _coded(batch.column("lang"))
             for lang, term, docs, _, terms in _postings(batch.column("text"), code):
-                cell, at = np.unique(_cells(langs, lang, terms, term), return_inverse=True)
-                n = np.bincount(at.reshape(-1), np.tile(docs, ROWS)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+                for cell in _cells(langs, lang, terms, term):
+                    np.add.at(own, cell, docs.astype(np.uint32))
+        own = own.reshape(-1, CHUNK)
+        full = np.flatnonzero(own.any(1))
+        for k in range(0, len(full), 256):
+            part = full[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([A.planes(own[c]) for c in part], pa.binary())], names=["chunk", "cells"])
+
+    @A.lean
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(CHUNK, np.int64)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["chunk", "reached"])
+        for batch in batches:
+            for chunk, cells in zip(batch.column("chunk").to_pylist(), batch.column("cells"), strict=True):
+                if chunk != now and now is not None:
+                    yield done()
+                    total[:] = 0
+                now = chunk
+                total += A.numbers(cells)
+        if now is not None:
+            yield done()
 
-    run = A.lean(lambda batches: _merged(read(batches), ["cell"], ["n"]))
-    return rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    chunks = rows.mapInArrow(add, "chunk int, cells binary").repartition("chunk").sortWithinPartitions("chunk")
+    return chunks.mapInArrow(merge, "chunk int, reached binary")
 
 
-def _reached(sketch: DataFrame, least: int) -> np.ndarray:
-    """One bit for each cell: whether it reaches least. At most ROWS * WIDTH / 64 words come to the driver."""
-    bits = sketch.where(F.col("n") >= least).groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(ROWS * WIDTH // 64, np.int64)
-    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
-    return out
+def _reached(sketch: DataFrame) -> np.ndarray:
+    """One bit for each cell; ROWS * WIDTH / 8 bytes come to the driver at most."""
+    out = np.zeros((ROWS * WIDTH // CHUNK, CHUNK // 8), np.uint8)
+    for chunk, reached in sketch.collect():
+        out[chunk] = np.frombuffer(reached, np.uint8)
+    return out.reshape(-1)
 
 
 def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, source, term, n, docs) of the terms that the sketch does not rule out, exactly; rows are (lang, source, text) without nulls."""
-    shared = rows.sparkSession.sparkContext.broadcast(_reached(sketched(rows.select("lang", "text")), least))
+    shared = rows.sparkSession.sparkContext.broadcast(_reached(sketched(rows.select("lang", "text"), least)))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.view(np.uint64)
+    @A.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (lang, langs), (source, sources) = _coded(batch.column("lang")), _coded(batch.column("source"))
             many = max(len(sources), 1)
             for group, term, docs, n, terms in _postings(batch.column("text"), lang * many + source):
-                cells = _cells(langs, group // many, terms, term).astype(np.uint64)
-                may = (bits[cells >> np.uint64(6)] >> (cells & np.uint64(63)) & np.uint64(1)).all(0)
+                cells = _cells(langs, group // many, terms, term)
+                may = (shared.value[cells >> 3] >> (7 - (cells & 7)) & 1).all(0)
                 group, term = group[may], term[may]
                 found = [pc.take(langs, pa.array(group // many)), pc.take(sources, pa.array(group % many)), pc.take(terms, pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.array(n[may]), pa.array(docs[may])]
                 yield pa.RecordBatch.from_arrays(found, names=["lang", "source", "term", "n", "docs"])
 
-    run = A.lean(lambda batches: _merged(read(batches), ["lang", "source", "term"], ["n", "docs"]))
     out = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return out.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
