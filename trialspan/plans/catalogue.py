@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["aggregate_queries", "analytic_queries", "join_queries", "window_queries", "graph_queries", "stream_queries", "scalar_queries", "flow_queries", "request_queries"]
+MODULES = ["aggregate_queries", "analytic_queries", "join_queries", "window_queries", "graph_queries", "scalar_queries", "flow_queries", "request_queries", "stream_queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,6 +26,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def oracle(name: str) -> str:
+    """The SQL of another query, which must be registered before."""
+    for module in MODULES:
+        if name not in _SQL:
+            import_module(f"trialspan.plans.{module}")
+    return _SQL[name]
+
+
 def _load() -> None:
     """Imports the modules whose functions register themselves."""
     for name in MODULES:

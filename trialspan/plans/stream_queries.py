@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialspan.plans.catalogue import query
-from trialspan.plans.tables import EVENTS
+from trialspan.plans.catalogue import oracle, query
+from trialspan.plans.tables import EVENTS, table
+from trialspan.session import fresh_path
+from trialspan.streaming import arrivals, records, stateful
 from trialspan.streaming import rounds as T
 
 
@@ -59,3 +61,108 @@ def stream_tumbling(spark, sf_dir):
     e = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("t"), "event_type")
     counts = T.tumbling(e, "t", "1 hour", "365 days", ["event_type"])
     return T.latest(counts, T.upsert(["start", "event_type"], -F.col("n"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_VIEW = F.when(F.col("event_type") == "view", 0).when(F.col("event_type").isin("purchase", "click"), 1).otherwise(2)
+
+
+def _timed(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(oracle("hold_lifetime"))
+def stream_hold_lifetime(spark, sf_dir):
+    """Users' events in four files in no order; the last file closes all of them."""
+    e = arrivals.in_files(_timed(spark, sf_dir).select("user_id", "ts", "event_type", "event_id"), F.col("event_id") % 4, 4, "ts")
+    return arrivals.drained(stateful.hold_lifetimes(e, "user_id", _VIEW, "ts", 365 * 86_400_000, "365 days")).rows
+
+
+#: Windows commit 3 rounds and read 2 more; w<i> holds what window i reads until it is complete, and if its last round escalates, s<i> holds it one round on.
+_HOLD_OPS = F.array(
+    *(
+        F.when(when, F.struct((F.col("r") * 10).alias("tick"), F.lit(place).alias("place"), F.lit(op).alias("op"), holder.alias("holder"), other.alias("other"), rounds.alias("rounds")))
+        for place, op, when, holder, other, rounds in (
+            (0, "store", F.lit(True), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array("r")),
+            (1, "register", F.expr("(r - 1) % 3 = 0"), F.expr("concat('w', (r - 1) div 3)"), F.lit(None).cast("string"), F.expr("sequence(r, r + 4)")),
+            (2, "release", F.expr("r >= 6 and (r - 6) % 3 = 0"), F.expr("concat('s', (r - 6) div 3)"), F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")),
+            (3, "transfer", F.expr("r >= 5 and (r - 5) % 3 = 0 and up"), F.expr("concat('w', (r - 5) div 3)"), F.expr("concat('s', (r - 5) div 3)"), F.lit(None).cast("array<bigint>")),
+            (4, "release", F.expr("r >= 5 and (r - 5) % 3 = 0 and not up"), F.expr("concat('w', (r - 5) div 3)"), F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")),
+        )
+    )
+)
+
+
+@query("""with c as (select conv_id, turn + 1 as r, length(text) % 4 = 0 as up, count(*) over (partition by conv_id) as n from conversations),
+w as (select conv_id, (r - 5) // 3 as i, case when not up then 10 * r when n > r then 10 * (r + 1) end as released from c where r >= 5 and (r - 5) % 3 = 0),
+h as (select c.conv_id, c.r, i.i, w.released from c cross join range(1000) i(i) left join w on w.conv_id = c.conv_id and w.i = i.i where c.r between 3 * i.i + 1 and 3 * i.i + 5 and 3 * i.i + 1 <= c.n)
+select conv_id, r as round, 10 * r as stored, max(released) as freed from h group by conv_id, r having count(*) = count(released)""")
+def stream_round_holds(spark, sf_dir):
+    """Rounds leave their store when the last window that reads them is complete, or its escalation is."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("r"), (F.length("text") % 4 == 0).alias("up"))
+    s = arrivals.in_files(c, F.least(F.floor((F.col("r") - 1) / 2), F.lit(3)), 4)
+    ops = s.select("conv_id", F.explode(F.filter(_HOLD_OPS, lambda x: x.isNotNull())).alias("op")).select("conv_id", "op.*")
+    return arrivals.drained(stateful.round_holds(ops, "conv_id")).rows
+
+
+def _slice(date):
+    """Two years a file, 0 to 3."""
+    return F.greatest(F.lit(0), F.least(F.lit(3), F.floor((F.year(date) - 1995) / 2)))
+
+
+@query(oracle("timers_fired"))
+def stream_timers_fired(spark, sf_dir):
+    """Orders set a timer of 60 days, returned lines cancel it; two streams of four files each in the order of time."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("made")).withColumn("due", F.col("made") + F.expr("interval 60 days"))
+    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    timers, cancels = arrivals.in_files(o, _slice("made"), 4, "made"), arrivals.in_files(c, _slice("at"), 4, "at")
+    out = arrivals.drained(stateful.fired_timers(timers, cancels, "o_orderkey", "made", "due", "at", "1 day", 3000 * 86_400_000)).rows
+    return out.select("o_orderkey", F.unix_date(F.col("due").cast("date")).cast("long").alias("due"))
+
+
+@query(oracle("cut_regions"))
+def stream_growing_regions(spark, sf_dir):
+    """Turns come in five files in no order."""
+    c = arrivals.in_files(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), (F.col("turn") * 7 + F.col("conv_id")) % 5, 5)
+    laid = stateful.growing_regions(c, "conv_id", "turn", F.length("text") % 7 == 0, 3)
+    with arrivals.rocks(spark):
+        return T.latest(laid, T.upsert(["conv_id", "region"], -F.col("hi")), "append").select("conv_id", "region", "lo", "hi")
+
+
+@query(oracle("pending_release"))
+def stream_pending_release(spark, sf_dir):
+    """Orders are held until a returned and a finished line are there; a stream-stream join over files in the order of time."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("begun"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("at"), "l_returnflag", "l_linestatus", "l_suppkey", "l_partkey")
+    facts = F.array(F.when(F.col("l_returnflag") == "R", F.struct(F.lit("committed").alias("kind"), F.col("l_suppkey").alias("value"))), F.when(F.col("l_linestatus") == "F", F.struct(F.lit("stored").alias("kind"), F.col("l_partkey").alias("value"))))
+    line = line.select("o_orderkey", "at", F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("f")).select("o_orderkey", "at", "f.*")
+    joined = stateful.pending_releases(arrivals.in_files(o, _slice("begun"), 4, "begun"), arrivals.in_files(line, _slice("at"), 4, "at"), "o_orderkey", "begun", "at", "value", "kind", "3000 days", "3000 days", "1 day")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    both = arrivals.drained(joined).rows.groupBy("o_orderkey").agg(of("committed").alias("c"), of("stored").alias("s"))
+    return both.where("c is not null and s is not null").select("o_orderkey", F.greatest("c", "s").alias("released"))
+
+
+@query(oracle("stream_revisions"))
+def stream_revisions_over_files(spark, sf_dir):
+    """Twenty files; each batch writes a run of its own size and runs are merged in powers of eight."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("event_id") % 5).alias("rank"))
+    s = arrivals.in_files(e, F.col("event_id") % 20, 20)
+    return T.latest(s, T.upsert(["user_id", "event_type"], F.struct(F.col("rank"), -F.col("event_id"))), "append")
+
+
+@query(f"select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids, cast(max(user_id) as bigint) as last_user from {EVENTS} group by all")
+def stream_recorded(spark, sf_dir):
+    """Events in three files, written by the record sink and read back by its manifests."""
+    s = arrivals.in_files(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), F.col("event_id") % 3, 3)
+    path = fresh_path(spark, "records")
+    records.record(s, path, f"{path}-state")
+    return records.recorded(spark, path, s.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.max("user_id").alias("last_user"))
+
+
+@query("select l_orderkey, min(l_linenumber)::bigint as line from lineitem group by all")
+def stream_requested_once(spark, sf_dir):
+    """Each order is requested once, by the first of its lines that comes: lines in the order of their numbers, two files."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"))
+    first = line.groupBy("l_orderkey").agg(F.min("line").alias("first"))
+    staged = line.join(first, "l_orderkey").select("l_orderkey", "line", (F.col("line") > F.col("first")).cast("int").alias("later"), F.timestamp_seconds("line").alias("t"))
+    s = arrivals.in_files(staged, F.col("later"), 2)
+    return arrivals.drained(T.once(s, ["l_orderkey"], "t", "1 hour")).rows.select("l_orderkey", "line")

@@ -7,6 +7,7 @@ far rounds run ahead, not by how long the stream is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,24 +34,48 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+#: Runs of a log that are merged into one.
+FAN = 8
+
+
 def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "update", path: str | None = None) -> DataFrame:
-    """The table that remains when each micro-batch is merged into the one before.
+    """The table that remains when all micro-batches are merged, in whatever groups.
 
-    Batch n writes version n from version n - 1, so a batch that is given again writes the same
-    version, and a stream started again on the same path goes on from its last version.
+    A log of runs: batch n writes run n, as large as the batch, and whenever FAN runs of one size
+    stand in a row they become one run. So a row is written again once for each power of FAN in the number
+    of batches, and readers merge at most FAN - 1 runs of each size. Which runs are merged follows from n, so a batch that is given again writes the same
+    runs, and a stream started again on the same path goes on.
     """
     spark = stream.sparkSession
     path = path or fresh_path(spark, "latest")
 
     def put(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        files.remove(spark, f"{path}/v{number - 2}")
+        if not any(lo <= number <= hi for lo, hi in _runs(spark, path)):
+            merge(None, batch).write.mode("overwrite").parquet(f"{path}/run-{number}-{number}")
+        size = FAN
+        while (number + 1) % size == 0:
+            lo, step = number + 1 - size, size // FAN
+            if (lo, number) not in _runs(spark, path):
+                parts = [spark.read.parquet(f"{path}/run-{k}-{k + step - 1}") for k in range(lo, number + 1, step)]
+                merge(None, _together(parts)).write.mode("overwrite").parquet(f"{path}/run-{lo}-{number}")
+            for k in range(lo, number + 1, step):
+                files.remove(spark, f"{path}/run-{k}-{k + step - 1}")
+            size *= FAN
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = [int(name[1:]) for name in files.folders(spark, path) if name[0] == "v"]
-    return spark.read.parquet(f"{path}/v{max(last)}") if last else spark.createDataFrame([], stream.schema)
+    whole = [spark.read.parquet(f"{path}/run-{lo}-{hi}") for lo, hi in _runs(spark, path)]
+    return merge(None, _together(whole)) if whole else spark.createDataFrame([], stream.schema)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The finished runs that no longer run holds, in order."""
+    found = [tuple(map(int, name.split("-")[1:])) for name in files.folders(spark, path) if name.startswith("run-") and files.exists(spark, f"{path}/{name}/_SUCCESS")]
+    return sorted((lo, hi) for lo, hi in found if not any(a <= lo and hi <= b and (a, b) != (lo, hi) for a, b in found))
 
 
 def upsert(keys: list[str], rank: F.Column) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
