@@ -71,3 +71,30 @@ def test_odd_rows(spark, odd, odd_rows, empty):
         else:
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id]
     assert substrings.deduplicated(empty).count() == 0
+
+
+def brute_rows(rows):
+    """The same for rows of which several may have one id: each loses what a smaller id holds."""
+    first = {}
+    for k, t in sorted(((k, (t or "").encode()) for k, t in rows if k is not None), key=lambda r: r[0]):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], k)
+    for k, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if k is not None and first[b[i : i + 50]] < k:
+                gone[i : i + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        yield k, len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()
+
+
+def test_texts_that_share_an_id_keep_their_own_bytes(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for n in (200, 75, 130))
+    order = lambda r: tuple(str(x) for x in r)
+    for narrow in (_store.NARROW, -1):
+        monkeypatch.setattr(_store, "NARROW", narrow)
+        for rows in ([(1, a), (2, a), (2, b)], [(1, a), (2, b), (2, a)], [(1, a), (2, a), (2, b), (2, b), (2, a), (3, b + c), (3, c + a), (3, None), (4, c), (4, c[1:]), (None, a), (None, b)], [(7, a), (7, a), (9, a)]):
+            out = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert sorted(map(tuple, out), key=order) == sorted(brute_rows(rows), key=order)

@@ -20,8 +20,9 @@ task, repeats of a run travel no further than that they go, so a passage that ve
 documents share loads no bucket with more than a row per batch.
 
 Defined cases: a null text is empty; a text under LENGTH bytes loses nothing. A row without an
-id loses nothing and takes nothing from others. Rows that repeat an id are one document. Other
-columns are not looked at.
+id loses nothing and takes nothing from others. Rows that repeat an id are one document: they take
+nothing from each other, and each loses what a smaller id holds; where their texts differ, a text is
+known by its id and a hash. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def _from_planes(raw: np.ndarray, n: int, k: int, kind: type) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
-#: Bytes kept of bucket, identity, document, start, number of starts, sides.
-_WIDTHS = ((8, _U), (8, _U), (8, np.int64), (4, np.int64), (1, np.int64), (2, np.int64), (2, np.int64))
+#: Bytes kept of bucket, identity, document, its part (0 unless an id has several texts), start, number of starts, sides.
+_WIDTHS = ((8, _U), (8, _U), (8, np.int64), (8, np.int64), (4, np.int64), (1, np.int64), (2, np.int64), (2, np.int64))
 
 
 def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
@@ -144,7 +145,7 @@ def _bucket(h: np.ndarray, many: int) -> np.ndarray:
 
 
 _PACKED = "bucket int, kind int, rows binary"
-_GONE = "doc long, start long, starts long, open boolean"
+_GONE = "doc long, part long, start long, starts long, open boolean"
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -176,10 +177,10 @@ def _first_runs(many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, parts = batch.column("id").to_numpy(), batch.column("part").to_numpy()
             for i, _, off, data in A.slices(batch.column("text")):
                 low, same, d, *rest = _runs(data, off)
-                found.append((low, same, ids[i + d], *rest))
+                found.append((low, same, ids[i + d], parts[i + d], *rest))
                 held += len(data)
                 if held > FLUSH_BYTES:
                     yield from sent(found)
@@ -204,8 +205,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield held
 
 
-def _gone(doc: np.ndarray, start: np.ndarray, starts: np.ndarray, open_: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(starts), pa.array(np.full(len(doc), open_))], names=["doc", "start", "starts", "open"])
+def _gone(doc: np.ndarray, part: np.ndarray, start: np.ndarray, starts: np.ndarray, open_: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, (doc, part, start, starts)), pa.array(np.full(len(doc), open_))], names=["doc", "part", "start", "starts", "open"])
 
 
 @A.lean
@@ -213,14 +214,14 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that go, and runs of first holders whose strings are to be told apart."""
     for rows, lost in _grouped(batches):
         if lost:
-            yield _gone(*_unpack(lost)[2:5], False)
+            yield _gone(*_unpack(lost)[2:6], False)
         if not rows:
             continue
-        low, same, doc, start, starts, before, after = _unpack(rows)
+        low, same, doc, part, start, starts, before, after = _unpack(rows)
         order, group, first = _settled(low, same, doc)
-        low, doc, start, starts = low[order], doc[order], start[order], starts[order]
+        low, doc, part, start, starts = low[order], doc[order], part[order], start[order], starts[order]
         gone = doc > doc[first][group]
-        yield _gone(doc[gone], start[gone], starts[gone], False)
+        yield _gone(doc[gone], part[gone], start[gone], starts[gone], False)
         edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         many = np.diff(np.append(edge, len(low)))
         spread = np.repeat(np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), many)[first]
@@ -229,7 +230,7 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         still = np.zeros(len(first), bool)
         still[np.flatnonzero(spread)[open_]] = True
         still = still[group] & ~gone
-        yield _gone(doc[still], start[still], starts[still], True)
+        yield _gone(doc[still], part[still], start[still], starts[still], True)
 
 
 def _shared(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -248,18 +249,18 @@ def _shared(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarra
 
 
 def _strings(many: int):
-    """One row for each string in the runs of (id, text, runs)."""
+    """One row for each string in the runs of (id, part, text, runs)."""
 
     def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, other, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, other, doc, part, start = (np.concatenate(c) for c in zip(*parts, strict=True))
         one, zero = np.ones(len(key), np.int64), np.zeros(len(key), np.int64)
-        return _packed(list(_rows(_bucket(key, many), (key, other, doc, start, one, zero, zero), 0)))
+        return _packed(list(_rows(_bucket(key, many), (key, other, doc, part, start, one, zero, zero), 0)))
 
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            ids, runs = batch.column("id").to_numpy(), batch.column("runs")
+            ids, own, runs = batch.column("id").to_numpy(), batch.column("part").to_numpy(), batch.column("runs")
             for i, j, off, data in A.slices(batch.column("text")):
                 sums = A.prefix(data)
                 for k in range(i, j):
@@ -268,7 +269,7 @@ def _strings(many: int):
                     three = [A.spans(sums, at + o, at + o + Q) for o in (0, Q, LENGTH - Q)]
                     key = A.mix(three[0] * A._LANES[0] + three[1] * A._LANES[1] + three[2] * A._LANES[2])
                     other = A.mix(three[0] * A._LANES[3] + three[1] * A._LANES[4] + three[2] * A._LANES[5])
-                    parts.append((key, other, np.full(len(s), ids[k]), s))
+                    parts.append((key, other, np.full(len(s), ids[k]), np.full(len(s), own[k]), s))
                     held += len(s)
                 if held > FLUSH_BYTES // 16:
                     yield sent(parts)
@@ -289,21 +290,21 @@ def _starts(runs: pa.Scalar) -> np.ndarray:
 @A.lean
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, _ in _grouped(batches):
-        key, other, doc, start = _unpack(rows)[:4]
+        key, other, doc, part, start = _unpack(rows)[:5]
         order, group, first = _settled(key, other, doc)
         gone = doc[order] > doc[order][first][group]
-        doc, start = doc[order][gone], start[order][gone]
-        order = np.lexsort((start, doc))  # starts in a row become one run
-        doc, start = doc[order], start[order]
+        doc, part, start = doc[order][gone], part[order][gone], start[order][gone]
+        order = np.lexsort((start, part, doc))  # starts in a row become one run
+        doc, part, start = doc[order], part[order], start[order]
         if len(doc):
-            edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))))
-            yield _gone(doc[edge], start[edge], np.diff(np.append(edge, len(doc))), False)
+            edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1] + 1))))
+            yield _gone(doc[edge], part[edge], start[edge], np.diff(np.append(edge, len(doc))), False)
 
 
 @A.lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, runs = batch.column("id"), batch.column("runs")
+        ids, runs = [batch.column("id"), batch.column("part")], batch.column("runs")
         removed, spans, digests = [], [], []
         for i, j, off, data in A.slices(batch.column("text")):
             for k in range(i, j):
@@ -317,20 +318,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(int(out.sum()))
                 spans.append(int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()))
                 digests.append(hashlib.sha256(text[~out].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["id", "n_removed", "n_spans", "digest"])
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["id", "part", "n_removed", "n_spans", "digest"])
 
 
 def _with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """(id, text, runs) of the documents that have runs; few enough ids narrow the texts before they are shuffled."""
-    lists = written(runs.groupBy("doc").agg(F.collect_list(F.struct("start", "starts")).alias("runs")), "runs")
-    rows = rows.join(narrow(lists.select(F.col("doc").alias("id"))), "id", "left_semi")
-    return rows.dropDuplicates(["id"]).hint("merge").join(lists.withColumnRenamed("doc", "id"), "id").select("id", "text", "runs")
+    """(id, part, text, runs) of the texts that have runs; few enough ids narrow the texts before they are shuffled."""
+    lists = written(runs.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "starts")).alias("runs")), "runs").withColumnRenamed("doc", "id")
+    rows = rows.join(narrow(lists.select("id").distinct()), "id", "left_semi")
+    return rows.dropDuplicates(["id", "part"]).hint("merge").join(lists, ["id", "part"]).select("id", "part", "text", "runs")
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """rows with `part`: 0, but a hash of the text where an id has several texts."""
+    own = F.xxhash64("text")
+    several = written(rows.groupBy("id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("id", F.lit(True).alias("several")), "several", F.count(F.lit(1)))
+    if not several.stats[0]:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    return rows.join(narrow(several, several.stats[0]), "id", "left").withColumn("part", F.when(F.col("several"), own).otherwise(F.lit(0))).drop("several")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     bounded_batches(docs.sparkSession)
-    every = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = _parted(docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = every.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     many = max(4, int((rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / BUCKET_BYTES))
 
@@ -340,7 +350,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = written(by_bucket(rows.mapInArrow(_first_runs(many), _PACKED)).mapInArrow(_refined, _GONE), "runs")
     open_ = _with_runs(rows, found.where("open"))
     strings = written(by_bucket(open_.mapInArrow(_strings(many), _PACKED)).mapInArrow(_told_apart, _GONE), "strings")
-    cut = _with_runs(rows, found.where("not open").unionByName(strings)).mapInArrow(_cut, "id long, n_removed long, n_spans long, digest string")
-    out = every.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")).join(cut, "id", "left")
+    cut = _with_runs(rows, found.where("not open").unionByName(strings)).mapInArrow(_cut, "id long, part long, n_removed long, n_spans long, digest string")
+    out = every.select("id", "part", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")).join(cut, ["id", "part"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(doc_id), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
