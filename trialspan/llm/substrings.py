@@ -118,13 +118,13 @@ _WIDTHS = ((8, _U), (8, _U), (8, np.int64), (8, np.int64), (4, np.int64), (1, np
 
 
 def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
-    return b"".join(_planes(np.ascontiguousarray(c), k) for c, (k, _) in zip(columns, _WIDTHS, strict=True))
+    return A.squeezed(b"".join(_planes(np.ascontiguousarray(c), k) for c, (k, _) in zip(columns, _WIDTHS, strict=True)))
 
 
 def _unpack(blobs: list[pa.Scalar]) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in _WIDTHS]
     for blob in blobs:
-        raw = np.frombuffer(blob.as_buffer(), np.uint8)
+        raw = np.frombuffer(A.restored(blob), np.uint8)
         n, at = len(raw) // sum(k for k, _ in _WIDTHS), 0
         for part, (k, kind) in zip(parts, _WIDTHS, strict=True):
             part.append(_from_planes(raw[at : at + n * k], n, k, kind))
