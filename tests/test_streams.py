@@ -191,35 +191,38 @@ def test_rounds_are_made_in_tasks_and_a_restart_repeats_none(spark, tmp_path):
     assert batch.rdd.getNumPartitions() == 18 and batch.count() == 40 * 130
 
 
-class Killed(records.RecordSink):
-    """Stops once between writing and committing, and once after the manifest stands but before the stream knows."""
+def killed():
+    """A sink that stops once between writing and committing, and once after the manifest stands but before the stream knows; made here, so that workers get it by value."""
 
-    @classmethod
-    def name(cls):
-        return "killed"
+    class Killed(records.RecordSink):
+        @classmethod
+        def name(cls):
+            return "killed"
 
-    def streamWriter(self, schema, overwrite):
-        where, mark = self.options["path"], self.options["mark"]
+        def streamWriter(self, schema, overwrite):
+            where, mark = self.options["path"], self.options["mark"]
 
-        class Writer(records._Writer):
-            def commit(self, messages, batchId):
-                stage = len([n for n in os.listdir(mark)])
-                if stage == 0 and batchId == 1:
-                    open(f"{mark}/a", "w").close()
-                    raise RuntimeError("killed before the commit")
-                super().commit(messages, batchId)
-                if stage == 1 and batchId == 1:
-                    open(f"{mark}/b", "w").close()
-                    raise RuntimeError("killed after the commit")
+            class Writer(records._Writer):
+                def commit(self, messages, batchId):
+                    stage = len(os.listdir(mark))
+                    if stage == 0 and batchId == 1:
+                        open(f"{mark}/a", "w").close()
+                        raise RuntimeError("killed before the commit")
+                    super().commit(messages, batchId)
+                    if stage == 1 and batchId == 1:
+                        open(f"{mark}/b", "w").close()
+                        raise RuntimeError("killed after the commit")
 
-        return Writer(where)
+            return Writer(where)
+
+    return Killed
 
 
 def test_records_are_there_once_whatever_is_killed(spark, tmp_path):
     for k in range(3):
         put(spark, [(k * 10 + x, f"é{x}" if x else None) for x in range(10)], "id long, s string", f"{tmp_path}/in")
     os.makedirs(f"{tmp_path}/mark")
-    spark.dataSource.register(Killed)
+    spark.dataSource.register(killed())
     stream, out = T.table_stream(spark, f"{tmp_path}/in"), f"file://{tmp_path}/out"
     for k in range(3):
         run = stream.writeStream.format("killed").option("path", out).option("mark", f"{tmp_path}/mark").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()

@@ -10,70 +10,102 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspan.session import checkpointed
+from trialspan.session import staged
 
 
 def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
     """(child, ancestor, depth): all ancestors with the longest path to each; a cycle is an error.
 
-    Paths double in each round, so the rounds grow with the logarithm of the longest path.
+    Paths double in each round, so the rounds grow with the logarithm of the longest path. Only
+    pairs that the last round found or deepened are joined: after round k all depths up to 2^k are
+    known, and the first half of a longer path is one that round k found.
     """
-    base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
-    now, before = checkpointed(base.withColumn("depth", F.lit(1))), None
-    for _ in range(most):
-        hop = now.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
-        longer = now.join(hop, "ancestor").select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = checkpointed(now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth")))
-        pairs, depths, cycle = after.agg(F.count("*"), F.sum("depth"), F.bool_or(F.col("child") == F.col("ancestor"))).head()
-        if cycle:
+    cycle = F.count_if(F.col("child") == F.col("ancestor"))
+    base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct()
+    now, seen = staged(base.withColumn("depth", F.lit(1)), "closure", cycle=cycle)
+    for k in range(most):
+        if seen["cycle"]:
             raise ValueError("the edges hold a cycle")
-        if (pairs, depths) == before:
-            return after
-        now, before = after, (pairs, depths)
+        new = now.where(F.col("depth") > 2 ** (k - 1) if k else F.lit(True))
+        hop = now.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
+        longer = new.join(hop, "ancestor").select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        found = now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth"))
+        now, seen = staged(found, "closure", cycle=cycle, new=F.count_if(F.col("depth") > 2**k))
+        if not seen["new"] and not seen["cycle"]:
+            return now
     raise ValueError("paths are too long")
 
 
+def cycle_nodes(edges: DataFrame, child: str, parent: str, most: int = 1000) -> DataFrame:
+    """(node): the nodes that lie on a cycle.
+
+    Nodes without a way in or without a way out are peeled until none is left, a round for each step of the longest
+    path that leads into or out of the cycles. What remains are the cycles and what lies between
+    them; of these the nodes that reach themselves are on a cycle, found by doubling paths.
+    """
+    count = F.count(F.lit(1))
+    now, seen = staged(edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).where("a is not null and b is not null").distinct(), "peel", n=count)
+    for _ in range(most):
+        starts, ends = now.select(F.col("a").alias("b")).distinct(), now.select(F.col("b").alias("a")).distinct()
+        after, left = staged(now.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), "peel", n=count)
+        if left["n"] == seen["n"]:
+            break
+        now, seen = after, left
+    else:
+        raise ValueError("paths into or out of the cycles are too long")
+    reach = new = now
+    while seen["n"]:
+        hop = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        more = new.join(hop, "b").select("a", F.col("c").alias("b")).distinct().join(reach, ["a", "b"], "left_anti")
+        new, seen = staged(more, "reach", n=count)
+        reach = reach.unionByName(new)
+    return reach.where("a = b").select(F.col("a").alias("node")).distinct()
+
+
 def prior(owned: DataFrame, ancestors: DataFrame, window: str, item: str) -> DataFrame:
     """(window, item): items that a window's ancestors own."""
     return ancestors.select(F.col("child").alias("__w"), F.col("ancestor").alias(window)).join(owned, window).select(F.col("__w").alias(window), item)
 
 
-def validated(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent: str) -> DataFrame:
-    """(problem, node): repeated nodes and references to nodes that are not there."""
+def validated(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent: str, cycles: bool = False) -> DataFrame:
+    """(problem, node): repeated nodes, references to nodes that are not there, and on demand nodes on a cycle."""
     twice = nodes.groupBy(node).count().where("count > 1").select(F.lit("repeated").alias("problem"), F.col(node).alias("node"))
     named = edges.select(F.explode(F.array(child, parent)).alias("node")).distinct()
-    return twice.unionByName(named.join(nodes.select(F.col(node).alias("node")), "node", "left_anti").select(F.lit("unknown").alias("problem"), "node"))
+    found = twice.unionByName(named.join(nodes.select(F.col(node).alias("node")), "node", "left_anti").select(F.lit("unknown").alias("problem"), "node"))
+    return found.unionByName(cycle_nodes(edges, child, parent).select(F.lit("cycle").alias("problem"), "node")) if cycles else found
 
 
 def release_times(nodes: DataFrame, edges: DataFrame, node: str, cost: str, child: str, parent: str, most: int = 1000) -> DataFrame:
-    """(node, start, end): an operation starts when all before it are done; no contention. Levels are relaxed until nothing moves."""
-    now = checkpointed(nodes.select(F.col(node).alias("node"), F.col(cost).cast("long").alias("cost"), F.lit(0).cast("long").alias("start")))
+    """(node, start, end): an operation starts when all before it are done; no contention. Levels are relaxed until nothing moves; only nodes that moved push on."""
+    count = F.count_if("moved")
+    now, seen = staged(nodes.select(F.col(node).alias("node"), F.col(cost).cast("long").alias("cost"), F.lit(0).cast("long").alias("start"), F.lit(True).alias("moved")), "release", moved=count)
     links = edges.select(F.col(child).alias("node"), F.col(parent).alias("before"))
     for _ in range(most):
-        ends = now.select(F.col("node").alias("before"), (F.col("start") + F.col("cost")).alias("end"))
+        if not seen["moved"]:
+            return now.select("node", "start", (F.col("start") + F.col("cost")).alias("end"))
+        ends = now.where("moved").select(F.col("node").alias("before"), (F.col("start") + F.col("cost")).alias("end"))
         late = links.join(ends, "before").groupBy("node").agg(F.max("end").alias("ready"))
-        after = checkpointed(now.join(late, "node", "left").select("node", "cost", F.greatest("start", F.coalesce("ready", F.lit(0))).alias("start")))
-        if after.agg(F.sum("start")).head() == now.agg(F.sum("start")).head():
-            return after.select("node", "start", (F.col("start") + F.col("cost")).alias("end"))
-        now = after
+        later = F.coalesce(F.col("ready") > F.col("start"), F.lit(False))
+        after = now.join(late, "node", "left").select("node", "cost", F.when(later, F.col("ready")).otherwise(F.col("start")).alias("start"), later.alias("moved"))
+        now, seen = staged(after, "release", moved=count)
     raise ValueError("the edges hold a cycle or a path that is too long")
 
 
 def components(edges: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
     """(node, component): the least node reachable, by alternating large and small stars."""
-    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    state = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, seen = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars", **state)
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = checkpointed(pairs.where("u <> v").distinct())
-        state = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-        if after.agg(*state).head() == now.agg(*state).head():
+        after, then = staged(pairs.where("u <> v").distinct(), "stars", **state)
+        if then == seen:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        now = after
+        now, seen = after, then
     raise ValueError("the graph did not settle")
 
 

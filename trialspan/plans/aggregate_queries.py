@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspan.functions import scalars as S
 from trialspan.operators import aggregates as A
+from trialspan.operators import folds
 from trialspan.plans.catalogue import query
 from trialspan.plans.tables import EVENTS, day, day_sql, events, table
 
@@ -167,14 +168,19 @@ def any_wrong(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.bool_or(F.col("n_chars") > 5000).alias("any_long"))
 
 
-@query("select label, bit_xor(bits) as folded from (select label, list_sum(list_transform(range(1, 63), lambda i: case when embedding[i] > 0 then cast(pow(2, i - 1) as bigint) else 0 end))::bigint as bits from embeddings) group by all")
+_WORD = "list_sum(list_transform(range(1, 33), lambda i: case when embedding[i + {0}] > 0 then cast(pow(2, i - 1) as bigint) else 0 end))::bigint"
+
+
+@query(f"select label, bit_xor(low) as low, bit_xor(high) as high from (select label, {_WORD.format(0)} as low, {_WORD.format(32)} as high from embeddings) group by all")
 def xor_fold(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("label", _sign_bits(62).alias("bits"))
-    return v.groupBy("label").agg(A.xor_fold(F.col("bits")).alias("folded"))
+    """The signs of all 64 components, as two words."""
+    v = table(spark, sf_dir, "embeddings").select("label", _sign_bits(0).alias("low"), _sign_bits(32).alias("high"))
+    return v.groupBy("label").agg(A.xor_fold(F.col("low")).alias("low"), A.xor_fold(F.col("high")).alias("high"))
 
 
-def _sign_bits(n: int) -> F.Column:
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at("embedding", i + 1) > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long"))
+def _sign_bits(first: int) -> F.Column:
+    """The signs of 32 components as the bits of a long."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at("embedding", i + first + 1) > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long"))
 
 
 @query("select l_suppkey % 10 as k, l_linenumber as row, count(*) % 2 as parity from lineitem join (select distinct p_partkey from part where p_size % 2 = 1) on l_partkey = p_partkey group by all")
@@ -205,7 +211,7 @@ def probability_merge(spark, sf_dir):
 
 @query("select conv_id, sha256(string_agg(text, '|' order by turn)) as digest from conversations group by all")
 def ordered_digest(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(A.ordered_digest(F.col("text"), F.col("turn")).alias("digest"))
+    return folds.ordered_digest(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text")
 
 
 @query(f"select event_type, case when max(tick) > min(tick) then count(*) / ((max(tick) - min(tick)) / 1e6) else 0 end as per_second from {EVENTS} group by all")
@@ -253,9 +259,9 @@ def link_span(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.max(d) - F.min(d)).alias("span"), F.sum(F.col("l_quantity").cast("long")).alias("delay"), F.max("l_linenumber").alias("landed"), F.min(F.when(F.col("l_returnflag") != "R", d)).alias("first_send"))
 
 
-@query("select vec_id, list_sum(list_transform(embedding[1:62], lambda x: cast(x > 0 as int)))::bigint as weight from embeddings")
+@query("select vec_id, list_sum(list_transform(embedding, lambda x: cast(x > 0 as int)))::bigint as weight from embeddings")
 def bit_weight(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.bit_count(_sign_bits(62)).cast("long").alias("weight"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.bit_count(_sign_bits(0)) + F.bit_count(_sign_bits(32))).cast("long").alias("weight"))
 
 
 @query("""with v as (select l_orderkey, l_returnflag, count(*) as votes, min(l_linenumber) as first from lineitem group by all)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialspan.operators import aggregates as A
 from trialspan.operators import analytic as W
-from trialspan.operators import sets
-from trialspan.plans.catalogue import query
+from trialspan.operators import folds, scans, sets
+from trialspan.plans.catalogue import oracle, query
 from trialspan.plans.tables import EVENTS, day, day_sql, events, table
 
 
@@ -113,7 +114,7 @@ def serial_channel(spark, sf_dir):
 union all select e.user_id, e.n, r.theta + 0.5 * (0.2 - cast(e.g < r.theta as int)), r.k + cast(e.g < r.theta as int) from r join e on e.user_id = r.user_id and e.n = r.n + 1)
 select user_id, round(arg_max(theta, n), 9) as threshold, cast(arg_max(k, n) as bigint) as escalated from r group by all""")
 def adaptive_threshold(spark, sf_dir):
-    return W.adaptive_threshold(events(spark, sf_dir), ["user_id"], "event_id", "value", 0.2, 20.0, 0.5).withColumn("threshold", F.round("threshold", 9))
+    return folds.adaptive_threshold(events(spark, sf_dir), ["user_id"], "event_id", "value", 0.2, 20.0, 0.5).withColumn("threshold", F.round("threshold", 9))
 
 
 @query(f"""with recursive b0 as (select event_type, (row_number() over (partition by event_type order by event_id) - 1) // 25 as block, cast(value as bigint) as v from {EVENTS}), b as (select event_type, block, avg(v) as mean from b0 group by all having count(*) = 25),
@@ -122,7 +123,7 @@ r as (select event_type, 0 as n, 0 as level, 0 as since from (select distinct ev
 select event_type, arg_max(level, n) as level from r group by all""")
 def controller_steps(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("v", F.round("value").cast("long"))
-    return W.target_steps(e, ["event_type"], ["event_id"], "v", 25, 2, 3, 1.0)
+    return folds.target_steps(e, ["event_type"], ["event_id"], "v", 25, 2, 3, 1.0)
 
 
 @query(f"select user_id, event_type, event_id, rank from (select user_id, event_type, event_id, event_id % 5 as rank, row_number() over (partition by user_id, event_type order by event_id % 5, event_id desc) as r from {EVENTS}) where r = 1")
@@ -207,3 +208,44 @@ def tiling_check(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("lo"), F.col("turn").alias("hi"), (F.length("text") % 8).cast("long").alias("bit"))
     last = c.groupBy("conv_id").agg(F.max("hi").alias("last"))
     return sets.tiling(c.join(last, "conv_id"), ["conv_id"], "lo", "hi", F.lit(0).cast("long"), F.col("last"), "bit")
+
+
+#: Rows of a block in the queries below: small, so that every key has many.
+_ROWS = 700
+
+
+@query(oracle("level_time_mean"))
+def blocked_level(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", F.floor(F.col("tick") / 1000000).alias("s"), "event_id", F.floor("value").alias("level"))
+    return scans.level_summary(e, ["user_id"], "s", "event_id", "level", rows=_ROWS)
+
+
+@query(oracle("sweep_line_peak"))
+def blocked_sweep_line(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", day("l_shipdate").cast("long").alias("a"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("b"))
+    return scans.sweep_line_peak(line, ["l_suppkey"], "a", "b", rows=_ROWS)
+
+
+@query(oracle("serial_channel"))
+def blocked_serial_channel(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("s", F.round(F.col("value") * 1000000).cast("long"))
+    return scans.serial_channel(e, ["user_id"], ["tick", "event_id"], "tick", "s", 29, rows=_ROWS).select("event_id", "start", "end", "landed")
+
+
+@query(oracle("asof_last"))
+def blocked_asof(spark, sf_dir):
+    e = events(spark, sf_dir)
+    right = e.where("event_type = 'purchase'").groupBy("user_id", "tick").agg(F.max_by("value", "event_id").alias("last_value"))
+    return scans.asof(e.where("event_type = 'view'").select("event_id", "user_id", "tick"), right, ["user_id"], "tick", "last_value", rows=_ROWS).where("last_value is not null").select("event_id", "last_value")
+
+
+@query(oracle("nearest_percentile"))
+def blocked_percentile(spark, sf_dir):
+    counts = A.value_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return scans.nearest_percentile(counts, ["l_returnflag"], "l_quantity", {"p50": 0.5, "p90": 0.9}, rows=20)
+
+
+@query(f"select event_id, cast(sum(event_id) over w as bigint) as total, max(value) over w as high from {EVENTS} window w as (partition by event_type order by tick, event_id rows unbounded preceding)")
+def blocked_running(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return scans.running(e, ["event_type"], ["tick", "event_id"], {"total": "event_id"}, {"high": "value"}, rows=_ROWS).select("event_id", "total", "high")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialspan.operators import flows as L
+from trialspan.operators import folds
 from trialspan.operators import graph as G
 from trialspan.plans.catalogue import query
 from trialspan.plans.tables import EVENTS, events, table
@@ -100,7 +101,7 @@ select user_id, n, theta2, case when audited then greatest(0, least(1, target +
 select user_id, round(arg_max(theta, n), 8) as threshold, round(arg_max(target, n), 8) as target, arg_max(bad, n) as audited_bad from r group by all""")
 def online_controller(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("bad", F.col("event_id") % 3 == 0)
-    out = L.online_controller(e, ["user_id"], "event_id", "value", "bad", 0.2, 20.0, 0.5, 4, 0.01, 0.3)
+    out = folds.online_controller(e, ["user_id"], "event_id", "value", "bad", 0.2, 20.0, 0.5, 4, 0.01, 0.3)
     return out.withColumns({"threshold": F.round("threshold", 8), "target": F.round("target", 8)})
 
 

@@ -8,6 +8,7 @@ from trialspan.operators import graph as G
 from trialspan.operators import simulate as Q
 from trialspan.plans.catalogue import query
 from trialspan.plans.tables import EVENTS, events, table
+from trialspan.sources import scans
 
 _TREE = "(select p_partkey as child, p_partkey // 2 as parent from part where p_partkey > 1)"
 
@@ -81,3 +82,43 @@ def credit_channel(spark, sf_dir):
 @query()
 def reliable_channel(spark, sf_dir):
     return Q.reliable_channel(_jobs(spark, sf_dir), ["user_id"], ["tick", "event_id"], "tick", "s", 50, 0.05, 7).select("event_id", "landed", "sends")
+
+
+#: The tree of parts, and from some parts a way down again: to a grandchild's child, or beyond the last part, which closes no cycle.
+_LOOPS = f"(select child, parent from {_TREE} union all select p_partkey // 8 as child, p_partkey as parent from part where p_partkey % 101 = 0 union all select p_partkey, 10000000 + p_partkey from part where p_partkey % 7 = 0)"
+
+
+@query(f"with recursive e as (select distinct child, parent from {_LOOPS}), r as (select child as a, parent as b from e union select r.a, e.parent from r join e on e.child = r.b) select 'cycle' as problem, a as node from r where a = b union all select 'unknown', parent from e where parent >= 10000000")
+def graph_cycles(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    id_ = F.col("p_partkey")
+    down = p.where(id_ % 101 == 0).select(F.floor(id_ / 8).alias("child"), id_.alias("parent"))
+    out = p.where(id_ % 7 == 0).select(id_.alias("child"), (id_ + 10000000).alias("parent"))
+    return G.validated(p, _tree(spark, sf_dir).unionByName(down).unionByName(out), "p_partkey", "child", "parent", cycles=True)
+
+
+#: A model of three nested blocks for each part; c is how often each turns.
+_LINES = ["error(0.125) D0 L1", "repeat {a} {{", "  error(0.5) D1 D3", "  repeat {b} {{", "    shift_detectors(0, 1) 2", "    error(0.25) D0 ^ D2", "    repeat {c} {{", "      error(0.0625) D5", "      shift_detectors 1", "    }}", "  }}", "  error(0.75) D1", "  shift_detectors 10", "}}", "error(0.375) D4"]
+
+
+@query("""with p as (select p_partkey as k, 1 + p_size % 3 as a, p_size % 4 as b, p_size % 5 as c from part where p_size < 12), t as (select *, 10 + b * (2 + c) as s, 2 + b * (1 + c) as e from p),
+r as (select k, 0 as ordinal, 0.125 as probability, 0 as d from t union all select k, 1 + i * e, 0.5, i * s + 1 from t, range(9) x(i) where i < a
+union all select k, 1 + i * e + 1 + j * (1 + c), 0.25, i * s + j * (2 + c) + 2 from t, range(9) x(i), range(9) y(j) where i < a and j < b
+union all select k, 1 + i * e + 1 + j * (1 + c) + 1 + m, 0.0625, i * s + j * (2 + c) + 2 + m + 5 from t, range(9) x(i), range(9) y(j), range(9) z(m) where i < a and j < b and m < c
+union all select k, 1 + i * e + 1 + b * (1 + c), 0.75, i * s + b * (2 + c) + 1 from t, range(9) x(i) where i < a union all select k, 1 + a * e, 0.375, a * s + 4 from t)
+select k, cast(ordinal as bigint) as ordinal, cast(probability as double) as probability, cast(d as bigint) as first_detector from r""")
+def unrolled_models(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_size < 12")
+    times = {"a": 1 + F.col("p_size") % 3, "b": F.col("p_size") % 4, "c": F.col("p_size") % 5}
+    texts = F.array(*(F.concat_ws("", *(x for part in line.replace("{{", "{").replace("}}", "}").split("|") for x in _filled(part, times))) for line in _LINES))
+    lines = p.select(F.col("p_partkey").alias("k"), F.posexplode(texts).alias("no", "line"))
+    return scans.unrolled(lines, ["k"], "no", "line").select("k", "ordinal", "probability", F.col("detectors")[0].alias("first_detector"))
+
+
+def _filled(line, times):
+    """The line as pieces, with the column of times for its {name}."""
+    for name, column in times.items():
+        if f"{{{name}}}" in line:
+            before, after = line.split(f"{{{name}}}")
+            return [F.lit(before), column.cast("string"), F.lit(after)]
+    return [F.lit(line)]

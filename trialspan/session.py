@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,6 +52,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, name: str, **stats: Column) -> tuple[DataFrame, dict]:
+    """df written once to the shared folder and read again, and aggregates of its rows taken in the same pass."""
+    seen, path = Observation(), fresh_path(df.sparkSession, name)
+    (df.observe(seen, *(c.alias(k) for k, c in stats.items())) if stats else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if stats else {}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the Python workers, once a context, so that they need no installation or shared folder."""
     sc = spark.sparkContext

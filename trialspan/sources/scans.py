@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialspan.session import staged
 from trialspan.sources import files
 
 
@@ -116,10 +118,55 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def error_model(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, probability, detectors, observables) of `error(p) D.. L..` lines in order; dropped lines count in the ordinal."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x).startswith("error"))).alias("ordinal", "line"))
-    ids = lambda kind: F.transform(F.regexp_extract_all("line", F.lit(rf"\b{kind}(\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    return lines.select("ordinal", F.regexp_extract("line", r"error\(([^)]*)\)", 1).try_cast("double").alias("probability"), ids("D").alias("detectors"), ids("L").alias("observables")).where("probability > 0")
+    """(ordinal, probability, detectors, observables) of the `error(p) D.. L..` instructions of a model in order, repeat blocks unrolled; dropped lines count in the ordinal."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+    return unrolled(lines, [], "no", "line").where("probability > 0")
+
+
+def unrolled(lines: DataFrame, keys: list[str], no: str, line: str) -> DataFrame:
+    """(keys, ordinal, probability, detectors, observables) of every error of the models in lines, one model for each of keys.
+
+    `repeat n {` and its `}`, each on a line of its own, may be nested; `shift_detectors n` moves the
+    detectors of all that comes later. Nothing is run line by line: a block's shift and number of
+    errors are sums over its lines, deepest blocks first; what comes before a line within its block
+    is a running sum; and blocks become rows, one for each turn, with what came before the turn. The
+    steps are as many as blocks are nested, whatever they repeat.
+    """
+    text = F.trim(F.col(line))
+    at = Window.partitionBy(*keys).orderBy("no")
+    depth = F.sum(F.when(F.col("kind") == "repeat", 1).when(F.col("kind") == "}", -1).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, -1))
+    number = lambda pattern: F.regexp_extract("text", pattern, 1).try_cast("long")
+    rows = lines.select(*keys, (F.col(no).cast("long") + 1).alias("no"), text.alias("text"))
+    rows = rows.withColumn("kind", F.regexp_extract("text", r"^(error|repeat|shift_detectors|\})", 1)).where("kind <> ''").withColumn("level", F.coalesce(depth, F.lit(0)))
+    rows = rows.select(*keys, "no", "text", "kind", "level", F.when(F.col("kind") == "repeat", number(r"^repeat(?:\[.*?\])?\s+(\d+)")).alias("times"), F.when(F.col("kind") == "shift_detectors", number(r"(\d+)\s*(?:#.*)?$")).alias("shift"))
+    rows, seen = staged(rows.where("kind <> '}'"), "model", deepest=F.max("level"))
+    heads = rows.where("kind = 'repeat'").select(*keys, "no", (F.col("level") + 1).alias("level"), F.lit(None).cast("string").alias("kind"))
+    inside = Window.partitionBy(*keys, "level").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.coalesce(F.last(F.when(F.col("kind").isNull(), F.col("no")), ignorenulls=True).over(inside), F.lit(0))
+    rows = rows.unionByName(heads, allowMissingColumns=True).withColumn("block", block).where("kind is not null")
+    deepest, sums, items = int(seen["deepest"] or 0), None, {}
+    for level in range(deepest, -1, -1):  # what one turn of each block at this level adds
+        here = rows.where(F.col("level") == level)
+        if sums is None:
+            here = here.withColumns({"turn_shift": F.lit(0).cast("long"), "turn_errors": F.lit(0).cast("long")})
+        else:
+            here = here.join(sums, [*keys, "no"], "left").fillna(0, ["turn_shift", "turn_errors"])
+        here = here.withColumns({"own_shift": F.coalesce("shift", F.col("times") * F.col("turn_shift"), F.lit(0)), "own_errors": F.when(F.col("kind") == "error", 1).otherwise(F.coalesce(F.col("times") * F.col("turn_errors"), F.lit(0)))})
+        earlier = Window.partitionBy(*keys, "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+        items[level] = here.withColumns({"before_shift": F.coalesce(F.sum("own_shift").over(earlier), F.lit(0)), "before_errors": F.coalesce(F.sum("own_errors").over(earlier), F.lit(0))})
+        sums = here.groupBy(*keys, F.col("block").alias("no")).agg(F.sum("own_shift").alias("turn_shift"), F.sum("own_errors").alias("turn_errors"))
+    zero = F.lit(0).cast("long")
+    turns, out = None, []
+    for level in range(deepest + 1):
+        here = items[level].join(turns, [*keys, "block"]) if level else items[level].withColumns({"shift_at": zero, "errors_at": zero})
+        here = here.withColumns({"shift_at": F.col("shift_at") + F.col("before_shift"), "errors_at": F.col("errors_at") + F.col("before_errors")})
+        out.append(here.where("kind = 'error'").select(*keys, "text", F.col("errors_at").alias("ordinal"), "shift_at"))
+        again = here.where("kind = 'repeat' and times > 0").select(*keys, F.col("no").alias("block"), "shift_at", "errors_at", "turn_shift", "turn_errors", F.explode(F.sequence(zero, F.col("times") - 1)).alias("turn"))
+        turns = again.select(*keys, "block", (F.col("shift_at") + F.col("turn") * F.col("turn_shift")).alias("shift_at"), (F.col("errors_at") + F.col("turn") * F.col("turn_errors")).alias("errors_at"))
+    found = reduce(DataFrame.unionByName, out)
+    ids = lambda kind: F.transform(F.regexp_extract_all("text", F.lit(rf"\b{kind}(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    shifted = F.transform(ids("D"), lambda d: d + F.col("shift_at"))
+    return found.select(*keys, "ordinal", F.regexp_extract("text", r"^error(?:\[.*?\])?\(([^)]*)\)", 1).try_cast("double").alias("probability"), shifted.alias("detectors"), ids("L").alias("observables"))
 
 
 def schedule(spark: SparkSession, path: str) -> DataFrame:

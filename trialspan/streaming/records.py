@@ -23,6 +23,11 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _manifest(where: fs.FileSystem, path: str) -> dict:
+    with where.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Part(WriterCommitMessage):
     name: str
@@ -59,9 +64,12 @@ class _Writer(DataSourceStreamWriter):
                 where.delete_file(f"{root}/parts/{m.name}")
 
     def abort(self, messages: list[Part | None], batchId: int) -> None:
+        """Removes parts that no manifest names; a batch may be aborted after its manifest stands, and then is there."""
         where, root = _at(self.path)
+        manifest = f"{root}/batches/{batchId:012d}.json"
+        known = _manifest(where, manifest)["parts"] if where.get_file_info(manifest).type != fs.FileType.NotFound else []
         for m in messages:
-            if m:
+            if m and m.name not in known:
                 where.delete_file(f"{root}/parts/{m.name}")
 
 
@@ -89,5 +97,5 @@ def recorded(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The records of all committed batches."""
     where, root = _at(path)
     manifests = where.get_file_info(fs.FileSelector(f"{root}/batches", allow_not_found=True))
-    names = [name for m in sorted(manifests, key=lambda m: m.path) for name in json.loads(where.open_input_stream(m.path).read())["parts"]]
+    names = [name for m in sorted(manifests, key=lambda m: m.path) for name in _manifest(where, m.path)["parts"]]
     return spark.read.schema(schema).json([f"{path}/parts/{n}" for n in names]) if names else spark.createDataFrame([], schema)
