@@ -102,3 +102,30 @@ def test_odd_rows(odd, empty):
     kept = language.known(odd, model)
     assert kept.columns == odd.columns and kept.where("text is null or text = ''").count() == 0
     assert {7, 8, 9, 10, 11, 12, 13, 14, 15, 21, 22} <= {r.doc_id for r in kept.collect()}
+
+
+def test_many_languages_of_disjoint_contexts_stay_within_the_bound(spark, monkeypatch):
+    """20 languages with 100,000 contexts of their own each: blocks are bounded by contexts times languages, and building them needs little more."""
+    import tracemalloc
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from trialspan.llm import _context
+
+    rng = np.random.default_rng(5)
+    sizes, built = [], _context.Models.__init__
+
+    def spied(self, names, *arrays):
+        built(self, names, *arrays)
+        sizes.append((len(names), sum(t[1].nbytes + t[3].nbytes for t in self.tables)))
+
+    monkeypatch.setattr(_context.Models, "__init__", spied)
+    words = ["".join(map(chr, rng.integers(33, 127, 33_400))) for _ in range(20)]
+    docs = spark.createDataFrame([(f"l{k:02}", words[k][i : i + 3340]) for k in range(20) for i in range(0, 33_400, 3340)], "label string, text string").withColumn("text", F.concat(*(F.translate("text", "abcdefgh", x) for x in ("ABCDEFGH", "12345678", "hgfedcba"))))
+    tracemalloc.start()
+    models = _context.fit(docs, np.arange(256, dtype=np.uint8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 20 and len(models) > 1 and all(b <= 2 * _context.BLOCK_BYTES for _, b in sizes)
+    assert peak < 300 << 20

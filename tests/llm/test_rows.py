@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from trialspan.llm import licenses, quality, urls
+from trialspan.llm import _context, licenses, quality, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,6 +103,14 @@ def test_url_model_learns_the_rules(spark):
     assert out[1000].verdict == "allow" and out[1001].verdict == "block" and out[1000].score > out[1001].score
 
 
+def test_url_models_in_several_blocks_score_alike(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://{'good' if k % 2 else 'evil'}{k}.{'net/de' if k % 2 else 'com/en'}/{k % 17}x") for k in range(300)] + [(1000 + k, f"http://{x}.shop/{k}") for k, x in enumerate(("good7", "evil8", "other"))], "page_id long, url string")
+    judged = lambda: sorted((*r[:5], round(r.score, 4)) for r in urls.judge(pages).collect())
+    whole = judged()
+    monkeypatch.setattr(_context, "BLOCK_BYTES", 1)
+    assert judged() == whole
+
+
 def test_license_base(odd, odd_rows, empty):
     out = licenses.scan(odd).collect()
     assert len(out) == len(odd_rows)

@@ -27,8 +27,8 @@ from trialspan.llm._arrays import lean, mix, release, slices
 from trialspan.llm._store import dropped, written
 
 ORDER = 3
-#: Bytes of the tables of one block of models; a model that is larger is a block of its own.
-BLOCK_BYTES = 64 << 20
+#: Bytes of the tables of one block of models, and of one context under one model in them; a model that is larger is a block of its own.
+BLOCK_BYTES, CELL_BYTES = 64 << 20, 8
 #: Distinct (model, context) counts that a task keeps before it merges them.
 PENDING = 1_000_000
 _U = np.uint64
@@ -79,25 +79,31 @@ class Models:
 
     def __init__(self, names: list[str], model: np.ndarray, key: np.ndarray, n: np.ndarray):
         self.names, many = names, len(names)
-        lower = np.full((256, many), 1.0 / 256)
         pairs = np.arange(256)
+        shape = []
         self.tables: list[tuple[Lookup, np.ndarray, Lookup, np.ndarray]] = []
         for k in range(ORDER + 1):
-            own = key & ((1 << 8 * (k + 1)) - 1)
-            union, at = np.unique(own, return_inverse=True)
-            count = np.zeros((len(union), many))
-            np.add.at(count, (at, model), n)
-            below = lower[np.searchsorted(pairs, union & ((1 << 8 * max(k, 1)) - 1))]
+            union, at = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
             first = np.flatnonzero(np.diff(union >> 8, prepend=-1))
-            spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(union))))
-            seen = count > 0
-            total, kinds, taken = (np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, many)) for x in (count, seen.astype(float), below * seen))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total == 0, 1.0, kinds / (total + kinds) / (1.0 - taken))
-                p = np.where(seen, count / np.where(kinds == 256, total, total + kinds)[spread], escape[spread] * below)
-                lower, pairs = p, union
-                look, contexts = Lookup(union), Lookup((union >> 8)[first])
-                self.tables.append((look, -np.log2(p[look.order]).astype(np.float32).T.copy(), contexts, -np.log2(escape[contexts.order]).astype(np.float32).T.copy()))
+            spread = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(union))))
+            below = np.searchsorted(pairs, union & ((1 << 8 * max(k, 1)) - 1)).astype(np.int32)
+            look, contexts = Lookup(union), Lookup((union >> 8)[first])
+            self.tables.append((look, np.empty((many, len(union)), np.float32), contexts, np.empty((many, len(first)), np.float32)))
+            shape.append((at.astype(np.int32), below, first, spread))
+            pairs = union
+        for m in range(many):  # one model at a time, so that only tables are as wide as there are models
+            own = np.flatnonzero(model == m)
+            lower = np.full(256, 1.0 / 256)
+            for (at, below, first, spread), (look, bits, contexts, escapes) in zip(shape, self.tables, strict=True):
+                if not len(first):
+                    break
+                count, under = np.bincount(at[own], n[own], len(below)), lower[below]
+                seen = count > 0
+                total, kinds, taken = (np.add.reduceat(x, first) for x in (count, seen.astype(float), under * seen))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(total == 0, 1.0, kinds / (total + kinds) / (1.0 - taken))
+                    lower = np.where(seen, count / np.where(kinds == 256, total, total + kinds)[spread], escape[spread] * under)
+                    bits[m], escapes[m] = -np.log2(lower[look.order]), -np.log2(escape[contexts.order])
 
     def summed(self, keys: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (rows) under each model (columns)."""
@@ -163,10 +169,10 @@ def fit(rows: DataFrame, fold: np.ndarray) -> list[Models]:
     blocks: list[list[str]] = []
     filled = 0
     for name, size in sizes:
-        if not blocks or filled + size * 16 > BLOCK_BYTES:
+        if not blocks or (filled + size) * (len(blocks[-1]) + 1) * CELL_BYTES > BLOCK_BYTES:  # every context stands under every model of its block
             blocks, filled = [*blocks, []], 0
         blocks[-1].append(name)
-        filled += size * 16
+        filled += size
     out = []
     for names in blocks:
         found = counts.where(F.col("label").isin(names)).toArrow()

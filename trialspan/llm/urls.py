@@ -57,7 +57,8 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path")).select("*", _first(rules, None).alias("rule"), _first(rules, 2).alias("decided"))
 
 
-def _scored(rows: DataFrame, models: _context.Models, keep: list[str]) -> DataFrame:
+def _scored(rows: DataFrame, models: list[_context.Models], keep: list[str]) -> DataFrame:
+    """keep and score: bits a byte that the model of rejected URLs needs beyond that of accepted ones, whichever blocks hold them."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     @lean
@@ -65,8 +66,9 @@ def _scored(rows: DataFrame, models: _context.Models, keep: list[str]) -> DataFr
         for batch in batches:
             score = np.zeros(len(batch))
             for i, j, off, data in slices(batch.column("url")):
-                bits = shared.value.summed(_context.packed(data, off, FOLD), off)
-                score[i:j] = (bits[:, 1] - bits[:, 0]) / np.maximum(np.diff(off), 1)
+                keys = _context.packed(data, off, FOLD)
+                bits = {name: column for block in shared.value for name, column in zip(block.names, block.summed(keys, off).T, strict=True)}
+                score[i:j] = (bits["block"] - bits["allow"]) / np.maximum(np.diff(off), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
     return rows.select(*dict.fromkeys([*keep, "url"])).mapInArrow(run, rows.select(*keep).schema.add("score", "double"))
@@ -82,10 +84,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, false_blo
     keep = ["page_id", "host", "path", "rule", "decided"]
     if [n for m in models for n in m.names] != ["allow", "block"]:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("decided", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    table = models[0]
-    good = _scored(labelled.where("odd and decided = 'allow'"), table, ["decided"]).groupBy(F.floor(F.col("score") * GRID).alias("step")).count().toPandas()
+    good = _scored(labelled.where("odd and decided = 'allow'"), models, ["decided"]).groupBy(F.floor(F.col("score") * GRID).alias("step")).count().toPandas()
     good = good.sort_values("step")  # bits a character are bounded, so the grid is
     at = int(np.searchsorted(good["count"].cumsum(), false_blocks * good["count"].sum(), "right"))
     threshold = min(good["step"].iloc[min(at, len(good) - 1)] / GRID, 0.0) if len(good) else 0.0
     verdict = F.coalesce("decided", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return _scored(rows, table, keep).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return _scored(rows, models, keep).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
