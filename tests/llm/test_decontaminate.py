@@ -123,3 +123,25 @@ def test_dotted_names(spark):
     docs = spark.createDataFrame([(1, "some text", 1), (2, None, 2)], "doc_id long, text string, `a.b` long")
     out = D.clean(docs, spark.createDataFrame([(1, "an item that is not there at all")], "item_id long, text string"))
     assert out.columns == docs.columns and out.count() == 2
+
+
+def test_a_stem_that_many_items_share_is_searched_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(12)
+    stem = prose(rng, 40)[:110]
+    items = [(k, stem + prose(rng, 12)[:60]) for k in range(20_000)]
+    index = D.Index(items)
+    text = stem + items[77][1][110:160] + " x"
+    data = D._FOLD[np.frombuffer(text.encode(), np.uint8)]
+    tracemalloc.start()
+    began = time.perf_counter()
+    _, window, _ = index.search(data, np.array([0, len(data)]))
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = index.item[window]
+    assert 77 in found and len(set(found.tolist())) == 20_000  # all of them hold whole windows of the stem
+    assert peak < 500 << 20 and took < 30
+    whole = [(k, w) for k in (5, 77) for w in np.flatnonzero(index.item == k).tolist() if distance(index.data[index.start[w] : index.start[w] + index.size[w]].tobytes(), data.tobytes()) <= index.edits[w]]
+    assert {w for _, w in whole} == {w for w in window.tolist() if index.item[w] in (5, 77)}

@@ -124,38 +124,59 @@ class Index:
         if int(many.sum()) > CHUNK:
             good = _outside_repeats(g, off, pos)
             pos, key, doc, many = pos[good], key[good], doc[good], many[good]
-        if not len(pos):
-            return none, none, none
-        counted: list[tuple[np.ndarray, ...]] = []
-        edge = np.searchsorted(np.cumsum(many), np.arange(CHUNK, int(many.sum()) + CHUNK, CHUNK))
-        for lo, hi in zip(np.concatenate(([0], edge[:-1] + 1)).tolist(), (edge + 1).tolist(), strict=True):
-            part = slice(lo, min(hi, len(pos)))
-            if lo < len(pos):
-                counted.append(self._bands(pos[part] - off[doc[part]], doc[part], key[part], many[part]))
-        doc, window, band, count = _added(counted)
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        open_: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, ...]] = []
+        for lo in range(0, total, CHUNK):
+            pair = np.arange(lo, min(lo + CHUNK, total))
+            hit = np.searchsorted(ends, pair, "right")
+            place = self.place[self.first[key[hit]] + pair - (ends[hit] - many[hit])].astype(np.int64)
+            here = doc[hit]
+            open_ = [_added([*open_, *self._bands(pos[hit] - off[here], here, place)])]
+            rows = open_[0]
+            if pair[-1] + 1 < total:  # bands that later q-grams can still add to stay open
+                at = hit[-1]
+                passed = (rows[0] < doc[at]) | (rows[2] * (self.edits[rows[1]] + 1) - _REACH + self.size[rows[1]] + 4 * (self.edits[rows[1]] + 1) < pos[at] - off[doc[at]])
+                open_ = [tuple(x[~passed] for x in rows)]
+                rows = tuple(x[passed] for x in rows)
+            found.append(self._regions(data, off, *rows))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+
+    def _regions(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, window: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, window, diagonal) of the bands that reach their bound and are verified."""
         good = count >= self.least[window]
         doc, window, band = doc[good], window[good], band[good]
         low = band * (self.edits[window] + 1) - _REACH
         good = self._verified(data, off, doc, window, low)
         return doc[good], window[good], low[good]
 
-    def _bands(self, pos: np.ndarray, doc: np.ndarray, key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, window, band of diagonals, shared q-grams) of q-grams at places of texts."""
-        total = int(many.sum())
-        place = self.place[np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)].astype(np.int64)
-        pos, doc = np.repeat(pos, many), np.repeat(doc, many)
-        out = []
-        for length, first, start in self.families:
-            lo, hi = np.searchsorted(start, place - length + Q), np.searchsorted(start, place, "right")
+    def _bands(self, pos: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """(text, window, band of diagonals, shared q-grams) of q-grams that stand at a position of a text and at a place of the benchmark.
+
+        Q-grams in a row on one diagonal are one stretch, so a stretch and a window meet once, with
+        as many q-grams as both cover; the rows of a chunk are made in parts of bounded size.
+        """
+        order = np.lexsort((pos, place - pos, doc))
+        pos, doc, place = pos[order], doc[order], place[order]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(pos) != 1) | (np.diff(place) != 1))))
+        first, length = place[new], np.diff(np.append(new, len(place)))
+        doc, shift = doc[new], pos[new] - first
+        out: list[tuple[np.ndarray, ...]] = []
+        for size, start_at, start in self.families:
+            lo, hi = np.searchsorted(start, first - size + Q), np.searchsorted(start, first + length - 1, "right")
             n = hi - lo
-            at = np.repeat(np.arange(total), n)
-            window = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) + first
-            fits = self.start[window] + self.size[window] >= place[at] + Q
-            at, window = at[fits], window[fits]
-            band = (pos[at] - place[at] + self.start[window] + _REACH) // (self.edits[window] + 1)
-            out += [(doc[at], window, band), (doc[at], window, band - 1)]
-        doc, window, band = (np.concatenate(x) for x in zip(*out, strict=True))
-        return _added([(doc, window, band, np.ones(len(doc), np.int64))])
+            ends = np.cumsum(n)
+            for part in np.split(np.arange(len(n)), np.unique(np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]), CHUNK)))):
+                k = n[part]
+                at = np.repeat(part, k)
+                window = np.repeat(lo[part] - (np.cumsum(k) - k), k) + np.arange(int(k.sum())) + start_at
+                begin = self.start[window]
+                shared = np.minimum(first[at] + length[at], begin + self.size[window] - Q + 1) - np.maximum(first[at], begin)
+                at, window, begin, shared = (x[shared > 0] for x in (at, window, begin, shared))
+                band = (shift[at] + begin + _REACH) // (self.edits[window] + 1)
+                out.append(_added([(doc[at], window, band, shared), (doc[at], window, band - 1, shared)]))
+        return out
 
     def _verified(self, data: np.ndarray, off: np.ndarray, doc: np.ndarray, window: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Whether the window aligns within its edits, on diagonals of the band and as many more on both sides."""
@@ -175,14 +196,21 @@ class Index:
         j = (off[doc] + low - e)[:, None] + np.arange(m + wide)[None, :]
         inside = (j >= off[doc][:, None]) & (j < off[doc + 1][:, None])
         region = np.where(inside, data[np.clip(j, 0, len(data) - 1)], 0)
-        ramp = np.arange(wide)
-        cost = np.zeros((len(doc), wide), np.int64)
+        ramp = np.arange(wide, dtype=np.int16)
+        still = np.arange(len(doc))  # alignments that are within their edits so far
+        cost = np.zeros((len(doc), wide), np.int16)
         for i in range(m):
             across = cost + (region[:, i : i + wide] != texts[:, i : i + 1])
             skipped = np.full_like(cost, m)
             skipped[:, :-1] = cost[:, 1:] + 1
             cost = np.minimum.accumulate(np.minimum(across, skipped) - ramp, axis=1) + ramp
-        return cost.min(1) <= e
+            if i % 16 == 15:
+                good = cost.min(1) <= e
+                if not good.all():
+                    still, cost, region, texts = still[good], cost[good], region[good], texts[good]
+        out = np.zeros(len(doc), bool)
+        out[still] = cost.min(1) <= e
+        return out
 
 
 def _blocks(benchmark: DataFrame) -> list[Index]:
