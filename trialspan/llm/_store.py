@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -29,7 +31,8 @@ def written(df: DataFrame, name: str, *stats: Column) -> DataFrame:
     """
     path = f"{folder(df.sparkSession)}/trialspan/{name}-{uuid.uuid4().hex}"
     seen = Observation() if stats else None
-    (df.observe(seen, *(s.alias(f"s{k}") for k, s in enumerate(stats))) if seen else df).write.parquet(path)
+    with _shuffles_end(df.sparkSession):
+        (df.observe(seen, *(s.alias(f"s{k}") for k, s in enumerate(stats))) if seen else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._trialspan_path = path
     trimmed(df.sparkSession)
@@ -37,6 +40,18 @@ def written(df: DataFrame, name: str, *stats: Column) -> DataFrame:
     return out
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within go when it has run, and not when the driver happens to collect its plans: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() made and nothing reads any more."""
     for df in tables:
