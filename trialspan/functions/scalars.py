@@ -142,9 +142,32 @@ def identity_bytes(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.length(value).cast("string"), F.lit(":"), value)
 
 
-def content_id(*columns: Column) -> Column:
-    """sha256 of the columns' compact JSON, keys in the order of names."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def nested_identity(*parts: Column) -> Column:
+    """An identity made of identities: how many, then each with its length, so that no two nestings have one text. A null part is `-`."""
+    framed = (F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts)
+    return F.concat(F.lit(f"tuple:{len(parts)}:"), *framed)
+
+
+def identity_parts(identity: Column) -> Column:
+    """The parts of a nested identity as an array, null for what is no nested identity."""
+    head = F.regexp_extract(identity, r"^tuple:(\d+):", 0)
+    begin = F.struct(F.substring(identity, F.length(head) + 1, F.length(identity)).alias("rest"), F.array().cast("array<string>").alias("parts"))
+
+    def step(a: Column, _: Column) -> Column:
+        absent = a["rest"].startswith("-")
+        size = F.regexp_extract(a["rest"], r"^(\d+):", 1)
+        n, at = size.try_cast("int"), F.length(size) + 2
+        part = F.when(~absent, F.substring(a["rest"], at, n))
+        rest = F.when(absent, F.substring(a["rest"], F.lit(2), F.length(a["rest"]))).otherwise(F.substring(a["rest"], at + n, F.length(a["rest"])))
+        return F.struct(rest.alias("rest"), F.concat(a["parts"], F.array(part)).alias("parts"))
+
+    many = F.regexp_extract(identity, r"^tuple:(\d+):", 1).try_cast("int")
+    return F.when(head != "", F.when(many > 0, F.aggregate(F.sequence(F.lit(1), many), begin, step)["parts"]).otherwise(F.array().cast("array<string>")))
+
+
+def content_id(**columns: Column) -> Column:
+    """sha256 of the columns' compact JSON, keys in the order of names whatever the order they are given in."""
+    return F.sha2(F.to_json(F.struct(*(columns[name].alias(name) for name in sorted(columns)))), 256)
 
 
 def range_of(text: Column) -> tuple[Column, Column]:

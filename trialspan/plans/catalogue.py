@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["aggregate_queries", "analytic_queries", "join_queries", "window_queries", "graph_queries", "scalar_queries", "flow_queries", "request_queries", "stream_queries"]
+MODULES = ["aggregate_queries", "analytic_queries", "join_queries", "window_queries", "graph_queries", "scalar_queries", "flow_queries", "request_queries", "stream_queries", "io_queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}

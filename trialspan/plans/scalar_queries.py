@@ -67,7 +67,7 @@ def bit_text(spark, sf_dir):
 
 @query("select c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}') as id, 's:' || length(c_mktsegment) || ':' || c_mktsegment as tagged from customer")
 def content_ids(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", S.content_id(F.col("c_custkey"), F.col("c_mktsegment")).alias("id"), S.identity_bytes(F.lit("s"), F.col("c_mktsegment")).alias("tagged"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.content_id(c_mktsegment=F.col("c_mktsegment"), c_custkey=F.col("c_custkey")).alias("id"), S.identity_bytes(F.lit("s"), F.col("c_mktsegment")).alias("tagged"))
 
 
 @query("select p_partkey, p_size * 1000.0::double as ticks, (p_size + 0.5) * 1e6 as slow from part")

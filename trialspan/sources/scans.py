@@ -58,11 +58,29 @@ def piece_folders(spark: SparkSession, experiment: str, tasks: list[str] | None
     return sorted(out, key=lambda o: (order[o[0]], o[1]))
 
 
+def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The columns of CSV files or folders of them, all read in one scan: of each file its first line."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    cells = F.split(first["line"], ",")  # names of columns hold no commas or quotes
+    found = [(r["file"], r["cells"]) for r in first.select("file", cells.alias("cells")).collect()]
+    tail = lambda path: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path).rstrip("/")
+    folder = {tail(p): p for p in paths}
+    out: dict[str, list[str]] = {}
+    for name, columns in found:
+        at = tail(name)
+        path = folder.get(at) or folder[at.rpartition("/")[0]]
+        if out.setdefault(path, columns) != columns:
+            raise ValueError(f"files of {path} differ in their columns")
+    return out
+
+
 def piece_rows(spark: SparkSession, pieces: list[tuple[str, int, int, str]], name: str) -> DataFrame:
     """Rows of one table of many pieces, with task_id, first_seed and row order; pieces of one task must agree on columns."""
+    found = headers_of(spark, [f"{path}/{name}" for _, _, _, path in pieces])
     headers: dict[str, list[str]] = {}
     for task, _, _, path in pieces:
-        columns = header_of(spark, f"{path}/{name}")
+        columns = found[f"{path}/{name}"]
         if headers.setdefault(task, columns) != columns:
             raise ValueError(f"pieces of {task} differ in their columns")
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -77,6 +95,12 @@ def piece_rows(spark: SparkSession, pieces: list[tuple[str, int, int, str]], nam
     return out.withColumn("first_seed", at)
 
 
+def piece_facts(spark: SparkSession, experiment: str) -> DataFrame:
+    """(task_id, first_seed, seeds, ...): what the documents of all whole pieces state."""
+    facts = spark.read.option("pathGlobFilter", "piece.json").option("recursiveFileLookup", "true").json(experiment, multiLine=True)
+    return facts.where(~F.col("_metadata.file_path").rlike(r"/_[^/]*/piece\.json$"))
+
+
 def checked_state(spark: SparkSession, path: str, sha256: str) -> bytes:
     """The bytes of a saved state, whose hash must be the recorded one."""
     row = spark.read.format("binaryFile").load(path).select("content", F.sha2("content", 256).alias("h")).head()
@@ -185,8 +209,9 @@ def schedule(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workload(spark: SparkSession, path: str) -> DataFrame:
-    """Operation rows of an operations document."""
-    return spark.read.json(f"{path}/operations.json", multiLine=True)
+    """Operation rows of an operations document, which is one JSON file, or a folder with a row a line."""
+    where = f"{path}/operations.json"
+    return spark.read.json(where, multiLine=files.is_file(spark, where))
 
 
 def constants(text: str) -> dict[str, tuple[str, str]]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import platform
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,22 +57,36 @@ def write_record(tables: dict[str, DataFrame], where: str) -> None:
 
 
 def write_manifest(spark: SparkSession, where: str, facts: dict) -> None:
-    files.write_text(spark, json.dumps(facts, sort_keys=True, indent=1, default=str), f"{where}/run.json")
+    """The facts of a run, with the versions it ran under and when it was written."""
+    stated = {"versions": {"spark": spark.version, "python": platform.python_version()}, "written_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    files.write_text(spark, json.dumps(stated | facts, sort_keys=True, indent=1, default=str), f"{where}/run.json")
 
 
 def write_trace(events: DataFrame, path: str, now: float | None = None) -> None:
-    """Events (name, cat, ph, ts, dur, pid, tid, args) as JSON lines in order; spans still open are closed at now."""
+    """Events (name, cat, ph, ts, dur, pid, tid, args) as JSON lines in order; spans still open are closed at now.
+
+    If events have a `lane`, a metadata row names each thread by it, before all others.
+    """
+    if "lane" in events.columns:
+        named = events.where("lane is not null").groupBy("pid", "tid").agg(F.min("lane").alias("lane"))
+        named = named.select("pid", "tid", F.lit("thread_name").alias("name"), F.lit("M").alias("ph"), F.lit(float("-inf")).alias("ts"), F.create_map(F.lit("name"), F.col("lane")).alias("args"))
+        events = events.drop("lane").unionByName(named, allowMissingColumns=True)
     closed = events if now is None else events.withColumn("dur", F.when((F.col("ph") == "X") & F.col("dur").isNull(), F.lit(now) - F.col("ts")).otherwise(F.col("dur")))
-    closed.orderBy("ts", "tid", "name").write.json(path, mode="overwrite", ignoreNullFields=True)
+    closed = closed.orderBy("ts", "tid", "name").withColumn("ts", F.when(F.col("ph") != "M", F.col("ts")))
+    closed.write.json(path, mode="overwrite", ignoreNullFields=True)
 
 
 def write_lines(df: DataFrame, path: str, order: list[str], line: F.Column) -> None:
     df.orderBy(*order).select(line.cast("string").alias("value")).write.text(path)
 
 
-def write_trajectory(df: DataFrame, path: str) -> None:
-    """(window_count, threshold_db, event) rows in order."""
-    df.select("window_count", "threshold_db", "event").orderBy("window_count").write.csv(path, header=True)
+def write_trajectory(df: DataFrame, path: str, end: bool = True) -> None:
+    """(window_count, threshold_db, event) rows in order, and a last row `end` with what stood then."""
+    rows = df.select("window_count", "threshold_db", "event").withColumn("last", F.lit(0))
+    if end:
+        last = rows.agg(F.max_by(F.struct("window_count", "threshold_db"), "window_count").alias("x")).where("x is not null")
+        rows = rows.unionByName(last.select("x.*", F.lit("end").alias("event"), F.lit(1).alias("last")))
+    rows.orderBy("window_count", "last").drop("last").write.csv(path, header=True)
 
 
 def write_dataset(shots: DataFrame, path: str, chunk: int = 1000) -> None:
