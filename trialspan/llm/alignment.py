@@ -9,8 +9,8 @@ starts anew there. So the tokens of a text are the tokens of its segments in a r
    text: its distinct segments, and for each document their numbers;
 2. segments are dealt to buckets by their hashes, packed into one row for each block and bucket;
    each distinct segment of a bucket, so of the corpus, is tokenised by both once;
-3. the tokens go back to the blocks that hold the segment, again packed, and are kept beside the
-   blocks' codes. Documents are composed from them: counts add, groups follow each other.
+3. the tokens go back to the blocks that hold the segment, again packed. Documents are composed
+   from them and the blocks' codes: counts add, groups follow each other.
 
 How many documents hold a pair of ids linked is counted block by block and added up. The counts
 are broadcast while they are at most PAIRS, and joined to the distinct pairs of each block beyond that.
@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from trialspan.llm import _arrays as A
-from trialspan.llm._store import bounded_batches, col, dropped, written
+from trialspan.llm._store import bounded_batches, col, written
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -205,12 +205,12 @@ def tokenised(packed: DataFrame, a: str, b: str) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, f"block long, {_TOKENS}")
 
 
-@A.lean_tables
-def _together(block: pa.Table, parts: pa.Table) -> pa.Table:
-    """The block with the tokens of its segments in the order of their numbers."""
-    numbers = lambda c: [A.numbers(x) for x in parts.column(c)] or [np.empty(0, np.int64)]
+@A.lean_table
+def _together(parts: pa.Table) -> pa.Table:
+    """The tokens of a block's segments in the order of their numbers."""
+    numbers = lambda c: [A.numbers(x) for x in parts.column(c)]
     order = np.argsort(np.concatenate([np.cumsum(n) for n in numbers("at")]))
-    out = {c: block.column(c) for c in ("block", "ids", "many", "codes")}
+    out = {"block": parts.column("block").slice(0, 1)}
     for side in "ab":
         sizes = np.concatenate(numbers(f"n_{side}"))
         starts = _starts(sizes)[:-1][order]
@@ -223,8 +223,10 @@ class _Block:
     """The documents of one block, and the groups and links of its segments."""
 
     def __init__(self, row: dict[str, pa.Scalar], both: Pair):
-        self.both, self.many = both, row["many"].values.to_numpy()
-        self.codes, self.n_a, self.n_b, self.a, self.b = (A.numbers(row[c]) for c in ("codes", "n_a", "n_b", "a", "b"))
+        self.both = both
+        # What a row lacks is empty: a block of empty texts has no tokens, and its links need no documents.
+        self.many = row["many"].values.to_numpy() if "many" in row else np.empty(0, np.int64)
+        self.codes, self.n_a, self.n_b, self.a, self.b = (A.numbers(row[c]) if c in row else np.empty(0, np.int64) for c in ("codes", "n_a", "n_b", "a", "b"))
         self.doc = np.repeat(np.arange(len(self.many)), self.many)
         self.good = np.bincount(self.doc, self.n_a[self.codes] == 0, len(self.many)) == 0
         bounds = [np.cumsum(size[ids]) for size, ids in ((both.a_size, self.a), (both.b_size, self.b))]
@@ -279,9 +281,9 @@ class _Block:
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
-    for k in range(table.num_rows):
-        yield {c: table.column(c)[k] for c in table.schema.names}
+def _row(*tables: pa.Table) -> dict[str, pa.Scalar]:
+    """The columns of tables of one row each; an empty one adds none."""
+    return {c: t.column(c)[0] for t in tables if t.num_rows for c in t.schema.names}
 
 
 def aligned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str = BYTE_BPE, b: str = PIECE_BPE) -> DataFrame:
@@ -292,20 +294,18 @@ def aligned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str
     size = docs.agg(F.sum(F.octet_length(col(text)))).head()[0] or 0
     coded = written(blocked(docs, max(4, int(size / BUCKET_BYTES)), doc_id, text), "coded")
     packed = coded.select(F.col("block").alias("of"), F.explode("packed").alias("p")).select(F.col("of").alias("block"), "p.*")
-    tokens = tokenised(packed, a, b)
-    kept = StructType(coded.schema.fields[:4])
-    for c in ("n_a", "n_b", "a", "b"):
-        kept = kept.add(c, "binary")
-    blocks = written(coded.drop("packed").groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(_together, kept), "blocks")
-    dropped(coded)
+    tokens = "block long, n_a binary, n_b binary, a binary, b binary"
+    blocks = written(tokenised(packed, a, b).groupBy("block").applyInArrow(_together, tokens), "tokens")
 
-    @A.lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for batch in batches for r in _rows(batch)):
-            pairs, n = _Block(row, pair(a, b)).held()
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[n > 0]), pa.array(n[n > 0], pa.int64())], names=["pair", "docs"])
+    def with_codes(columns: list[str], values: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+        """run(codes of a block, values of the same block), block by block."""
+        return coded.select("block", *columns).groupBy("block").cogroup(values.groupBy("block")).applyInArrow(A.lean_tables(run), schema)
+
+    def count(codes: pa.Table, held: pa.Table) -> pa.Table:
+        pairs, n = _Block(_row(codes, held), pair(a, b)).held()
+        return pa.table({"pair": pa.array(pairs[n > 0], pa.int64()), "docs": pa.array(n[n > 0], pa.int64())})
 
-    counts = blocks.drop("ids").mapInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+    counts = with_codes(["many", "codes"], blocks, count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     counts = written(counts.select("pair", "docs", (F.col("docs") == most).cast("long").alias("best")), "pairs", F.count(F.lit(1)))
 
@@ -316,30 +316,33 @@ def aligned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str
     if counts.stats[0] <= PAIRS:
         table = counts.orderBy("pair").toArrow()
         shared = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "docs", "best")))
-        dropped(counts)
-
-        @A.lean
-        def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in (r for batch in batches for r in _rows(batch)):
-                yield _weighed(_Block(row, pair(a, b)), row["ids"].values, *shared.value)
-
-        found = blocks.mapInArrow(compose, out)
+        weighed = blocks
+        known = lambda row: shared.value
     else:
 
         @A.lean
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in (r for batch in batches for r in _rows(batch)):
-                pairs = np.unique(_Block(row, pair(a, b)).links)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"].as_py()] * len(pairs), pa.int64()), pa.array(pairs)], names=["of", "pair"])
+            for batch in batches:
+                for k in range(len(batch)):
+                    row = _row(batch.slice(k, 1))
+                    pairs = np.unique(_Block(row, pair(a, b)).links)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"].as_py()] * len(pairs), pa.int64()), pa.array(pairs)], names=["of", "pair"])
 
         @A.lean_tables
-        def compose_joined(block: pa.Table, weights: pa.Table) -> pa.Table:
-            row, weights = next(_rows(block)), weights.sort_by("pair")
-            return pa.Table.from_batches([_weighed(_Block(row, pair(a, b)), row["ids"].values, *(weights.column(c).to_numpy() for c in ("pair", "docs", "best")))])
+        def with_weights(held: pa.Table, weights: pa.Table) -> pa.Table:
+            weights = weights.sort_by("pair")
+            raw = {c: pa.array([A.squeezed(weights.column(c).to_numpy().astype(np.int64).tobytes())], pa.binary()) for c in ("pair", "docs", "best")}
+            return pa.table({**{c: held.column(c) for c in held.schema.names}, **raw})
+
+        weights = blocks.mapInArrow(asked, "of long, pair long").join(counts, "pair")
+        weighed = blocks.groupBy("block").cogroup(weights.groupBy("of")).applyInArrow(with_weights, f"{tokens}, pair binary, docs binary, best binary")
+        known = lambda row: tuple(np.frombuffer(A.restored(row[c]), np.int64) if c in row else np.empty(0, np.int64) for c in ("pair", "docs", "best"))
+
+    def compose(codes: pa.Table, held: pa.Table) -> pa.Table:
+        row = _row(codes, held)
+        return pa.Table.from_batches([_weighed(_Block(row, pair(a, b)), row["ids"].values, *known(row))])
 
-        weights = blocks.drop("ids").mapInArrow(asked, "of long, pair long").join(counts, "pair")
-        found = blocks.groupBy("block").cogroup(weights.groupBy("of")).applyInArrow(compose_joined, out)
-    return found.select(col("id").alias(doc_id), *_SUMS, "groups")
+    return with_codes(["ids", "many", "codes"], weighed, compose, out).select(col("id").alias(doc_id), *_SUMS, "groups")
 
 
 def _weighed(block: _Block, ids: pa.Array, pairs: np.ndarray, docs: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
