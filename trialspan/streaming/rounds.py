@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialspan.session import fresh_path
@@ -27,10 +28,22 @@ def table_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> Da
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def _run(writer: DataStreamWriter, once: bool) -> None:
+    """Runs a stream to its end; a live source, which knows no end, until nothing new is there."""
+    if once:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    run = writer.trigger(processingTime="0 seconds").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+
+
+def drained(stream: DataFrame, mode: str = "append", path: str | None = None, once: bool = True) -> DataFrame:
     """All that a stream has to give, written to the shared folder in micro-batches and read back."""
-    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "stream")
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_state").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
+    spark, path = stream.sparkSession, path or fresh_path(stream.sparkSession, "stream")
+    _run(stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_state").option("path", f"{path}/rows"), once)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -38,7 +51,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 FAN = 8
 
 
-def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "update", path: str | None = None) -> DataFrame:
+def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "update", path: str | None = None, once: bool = True) -> DataFrame:
     """The table that remains when all micro-batches are merged, in whatever groups.
 
     A log of runs: batch n writes run n, as large as the batch, and whenever FAN runs of one size
@@ -62,8 +75,7 @@ def latest(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], Dat
                 files.remove(spark, f"{path}/run-{k}-{k + step - 1}")
             size *= FAN
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").foreachBatch(put).trigger(availableNow=True).start()
-    run.awaitTermination()
+    _run(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").foreachBatch(put), once)
     whole = [spark.read.parquet(f"{path}/run-{lo}-{hi}") for lo, hi in _runs(spark, path)]
     return merge(None, _together(whole)) if whole else spark.createDataFrame([], stream.schema)
 
