@@ -242,3 +242,11 @@ def test_a_key_is_requested_once_within_the_watermark(spark, tmp_path):
     df = spark.createDataFrame(rows, "k string, t long, file int").select("k", stamp("t").alias("t"), "file")
     out = arrivals.drained(T.once(arrivals.in_files(df, F.col("file"), 3), ["k"], "t", "1 hour"))
     assert sorted((r.k, int(r.t.timestamp())) for r in out.rows.collect()) == [("a", 10), ("b", 20), ("c", 40)]
+
+
+def test_assemblies_fire_once_and_are_let_go(spark, tmp_path):
+    rows = [("a", 1, 2, 10, 0), ("b", 1, 2, 10, 0), ("a", 1, 2, 11, 0), ("a", 2, 2, 20, 1), ("a", 3, 2, 21, 1), ("c", 1, 1, 20, 1), ("b", 1, 2, 30, 2), ("a", 2, 2, 30, 2), ("d", 1, 2, 5000, 2), ("d", 2, 2, 5000, 3)]
+    df = spark.createDataFrame(rows, "k string, f long, total long, t long, file int").withColumn("t", stamp("t"))
+    out = arrivals.drained(stateful.assembled(arrivals.in_files(df, F.col("file"), 4, "t"), "k", "f", "total", "t", "10 seconds", 60_000))
+    assert sorted((r.k, r.complete) for r in out.rows.collect()) == [("a", True), ("b", False), ("c", True), ("d", True)]
+    assert out.state_rows == 0

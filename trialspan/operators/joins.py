@@ -43,9 +43,9 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, l
 def shallowest_owner(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, lo: str, hi: str, owner: str, depth: str, width: int, point: str) -> DataFrame:
     """(keys, point, owner, ties): each point goes to the range of least depth that holds it; ties counts ranges of that depth."""
     found = range_join(points, ranges, keys, at, lo, hi, width)
-    least = F.min(F.struct(depth, owner))
-    best = found.groupBy(*keys, point).agg(least.alias("m"), F.array_sort(F.collect_list(depth)).alias("d"))
-    return best.select(*keys, point, F.col("m")[owner].alias(owner), F.size(F.filter("d", lambda x: x == F.col("m")[depth])).alias("ties"))
+    by_depth = found.groupBy(*keys, point, depth).agg(F.min(owner).alias("__owner"), F.count(F.lit(1)).cast("int").alias("__ties"))
+    best = by_depth.groupBy(*keys, point).agg(F.min_by(F.struct("__owner", "__ties"), depth).alias("m"))
+    return best.select(*keys, point, F.col("m.__owner").alias(owner), F.col("m.__ties").alias("ties"))
 
 
 def paired(key: list[str], **frames: DataFrame) -> DataFrame:

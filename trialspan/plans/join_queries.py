@@ -188,4 +188,4 @@ def posthoc_check(spark, sf_dir):
 @query("select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
 def swept_enrichment(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return table(spark, sf_dir, "nation").join(F.broadcast(r), "n_regionkey").select("n_nationkey", "n_name", "r_name")
+    return table(spark, sf_dir, "nation").join(r, "n_regionkey").select("n_nationkey", "n_name", "r_name")

@@ -166,3 +166,13 @@ def stream_requested_once(spark, sf_dir):
     staged = line.join(first, "l_orderkey").select("l_orderkey", "line", (F.col("line") > F.col("first")).cast("int").alias("later"), F.timestamp_seconds("line").alias("t"))
     s = arrivals.in_files(staged, F.col("later"), 2)
     return arrivals.drained(T.once(s, ["l_orderkey"], "t", "1 hour")).rows.select("l_orderkey", "line")
+
+
+@query("select l_orderkey, count(distinct l_linenumber) >= 1 + l_orderkey % 6 as complete from lineitem where l_orderkey % 5 = 0 group by l_orderkey")
+def stream_assembled_and_evicted(spark, sf_dir):
+    """Orders whose lines come in three files in no order: whole ones at once, the others when their time is over, and no state is left."""
+    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    line = line.select("l_orderkey", "l_linenumber", (1 + F.col("l_orderkey") % 6).alias("total"), F.col("l_shipdate").cast("timestamp").alias("t"))
+    s = arrivals.in_files(line, (F.col("l_linenumber") * 5 + F.col("l_orderkey")) % 3, 3, "t")
+    done = arrivals.drained(stateful.assembled(s, "l_orderkey", "l_linenumber", "total", "t", "4000 days", 86_400_000))
+    return done.rows.select("l_orderkey", "complete")

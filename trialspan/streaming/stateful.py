@@ -281,3 +281,58 @@ def pending_releases(windows: DataFrame, facts: DataFrame, key: str, begun: str,
     f = facts.withWatermark(at, late).select(key, at, kind, value)
     on = (F.col("__key") == F.col(key)) & (F.col(at) >= F.col("__begun") - F.expr(f"interval {before}")) & (F.col(at) <= F.col("__begun") + F.expr(f"interval {within}"))
     return w.join(f, on, "left_outer").select(F.col("__key").alias(key), kind, value)
+
+
+class _Assembly(StatefulProcessor):
+    def __init__(self, key: str, patience: int):
+        self.key, self.patience = key, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "fragment long", "seen boolean")
+        self.head = handle.getValueState("head", "have long, need long, due long, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:
+            return
+        frame = pd.concat(rows)
+        have, need, due, done = self.head.get() if self.head.exists() else (0, 0, -1, False)
+        if not done:
+            for fragment in dict.fromkeys(frame["fragment"].tolist()):
+                if not self.parts.containsKey((fragment,)):
+                    self.parts.updateValue((fragment,), (True,))
+                    have += 1
+            need = max(need, int(frame["total"].max()))
+            if have >= need:
+                done = True
+                self.parts.clear()
+        later = int(frame["at"].max()) + self.patience
+        if later > due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(later)
+            due = later
+        before = self.head.get()[3] if self.head.exists() else False
+        self.head.update((have, need, due, done))
+        if done and not before:
+            yield pd.DataFrame([(key[0], have, need, True)], columns=[self.key, "have", "need", "complete"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        have, need, _, done = self.head.get()
+        self.parts.clear()
+        self.head.clear()
+        if not done:
+            yield pd.DataFrame([(key[0], have, need, False)], columns=[self.key, "have", "need", "complete"])
+
+    def close(self) -> None:
+        pass
+
+
+def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str, late: str, patience_ms: int) -> DataFrame:
+    """(key, have, need, complete): a key as soon as so many different fragments have come as any of its rows says, once.
+
+    Its fragments leave the state then; a mark that it is done, and what is incomplete, leave it when the watermark
+    is patience_ms past the key's latest row, and incomplete keys are given then.
+    """
+    rows = stream.withWatermark(time, late).select(key, time, F.col(fragment).cast("long").alias("fragment"), F.col(total).cast("long").alias("total"), F.unix_millis(time).alias("at"))
+    return rows.groupBy(key).transformWithStateInPandas(_Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
