@@ -63,7 +63,8 @@ def stream_tumbling(spark, sf_dir):
     return T.latest(counts, T.upsert(["start", "event_type"], -F.col("n"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-_VIEW = F.when(F.col("event_type") == "view", 0).when(F.col("event_type").isin("purchase", "click"), 1).otherwise(2)
+def _stored_or_released():
+    return F.when(F.col("event_type") == "view", 0).when(F.col("event_type").isin("purchase", "click"), 1).otherwise(2)
 
 
 def _timed(spark, sf_dir):
@@ -74,22 +75,21 @@ def _timed(spark, sf_dir):
 def stream_hold_lifetime(spark, sf_dir):
     """Users' events in four files in no order; the last file closes all of them."""
     e = arrivals.in_files(_timed(spark, sf_dir).select("user_id", "ts", "event_type", "event_id"), F.col("event_id") % 4, 4, "ts")
-    return arrivals.drained(stateful.hold_lifetimes(e, "user_id", _VIEW, "ts", 365 * 86_400_000, "365 days")).rows
-
-
-#: Windows commit 3 rounds and read 2 more; w<i> holds what window i reads until it is complete, and if its last round escalates, s<i> holds it one round on.
-_HOLD_OPS = F.array(
-    *(
-        F.when(when, F.struct((F.col("r") * 10).alias("tick"), F.lit(place).alias("place"), F.lit(op).alias("op"), holder.alias("holder"), other.alias("other"), rounds.alias("rounds")))
-        for place, op, when, holder, other, rounds in (
-            (0, "store", F.lit(True), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array("r")),
-            (1, "register", F.expr("(r - 1) % 3 = 0"), F.expr("concat('w', (r - 1) div 3)"), F.lit(None).cast("string"), F.expr("sequence(r, r + 4)")),
-            (2, "release", F.expr("r >= 6 and (r - 6) % 3 = 0"), F.expr("concat('s', (r - 6) div 3)"), F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")),
-            (3, "transfer", F.expr("r >= 5 and (r - 5) % 3 = 0 and up"), F.expr("concat('w', (r - 5) div 3)"), F.expr("concat('s', (r - 5) div 3)"), F.lit(None).cast("array<bigint>")),
-            (4, "release", F.expr("r >= 5 and (r - 5) % 3 = 0 and not up"), F.expr("concat('w', (r - 5) div 3)"), F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")),
-        )
+    return arrivals.drained(stateful.hold_lifetimes(e, "user_id", _stored_or_released(), "ts", 365 * 86_400_000, "365 days")).rows
+
+
+def _hold_ops():
+    """Windows commit 3 rounds and read 2 more; w<i> holds what window i reads until it is complete, and if its last round escalates, s<i> holds it one round on."""
+    none, no_rounds, at_end = F.lit(None).cast("string"), F.lit(None).cast("array<bigint>"), "r >= 5 and (r - 5) % 3 = 0"
+    ops = (
+        ("store", "true", none, none, F.array("r")),
+        ("register", "(r - 1) % 3 = 0", F.expr("concat('w', (r - 1) div 3)"), none, F.expr("sequence(r, r + 4)")),
+        ("release", "r >= 6 and (r - 6) % 3 = 0", F.expr("concat('s', (r - 6) div 3)"), none, no_rounds),
+        ("transfer", f"{at_end} and up", F.expr("concat('w', (r - 5) div 3)"), F.expr("concat('s', (r - 5) div 3)"), no_rounds),
+        ("release", f"{at_end} and not up", F.expr("concat('w', (r - 5) div 3)"), none, no_rounds),
     )
-)
+    every = (F.when(F.expr(when), F.struct((F.col("r") * 10).alias("tick"), F.lit(place).alias("place"), F.lit(op).alias("op"), holder.alias("holder"), other.alias("other"), rounds.alias("rounds"))) for place, (op, when, holder, other, rounds) in enumerate(ops))
+    return F.filter(F.array(*every), lambda x: x.isNotNull())
 
 
 @query("""with c as (select conv_id, turn + 1 as r, length(text) % 4 = 0 as up, count(*) over (partition by conv_id) as n from conversations),
@@ -100,7 +100,7 @@ def stream_round_holds(spark, sf_dir):
     """Rounds leave their store when the last window that reads them is complete, or its escalation is."""
     c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("r"), (F.length("text") % 4 == 0).alias("up"))
     s = arrivals.in_files(c, F.least(F.floor((F.col("r") - 1) / 2), F.lit(3)), 4)
-    ops = s.select("conv_id", F.explode(F.filter(_HOLD_OPS, lambda x: x.isNotNull())).alias("op")).select("conv_id", "op.*")
+    ops = s.select("conv_id", F.explode(_hold_ops()).alias("op")).select("conv_id", "op.*")
     return arrivals.drained(stateful.round_holds(ops, "conv_id")).rows
 
 
