@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialspan.functions import estimators as E
 from trialspan.functions import scalars as S
 from trialspan.operators import joins as J
-from trialspan.plans.catalogue import query
+from trialspan.plans.catalogue import oracle, query
 from trialspan.plans.tables import EVENTS, events, table
 
 
@@ -105,9 +105,10 @@ def mcnemar_counts(spark, sf_dir):
     return j.agg(F.count_if(F.col("a_failed") & ~F.col("b_failed")).alias("first_only"), F.count_if(F.col("b_failed") & ~F.col("a_failed")).alias("second_only"))
 
 
-@query()
+@query(f"""with c as ({oracle("mcnemar_counts")}), m as (select *, first_only + second_only as n, least(first_only, second_only) as k from c)
+select first_only, second_only, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) as p from m""")
 def mcnemar_p(spark, sf_dir):
-    return mcnemar_counts(spark, sf_dir).withColumn("p", E.mcnemar_p("first_only", "second_only"))
+    return mcnemar_counts(spark, sf_dir).withColumn("p", F.round(E.mcnemar_p("first_only", "second_only"), 9))
 
 
 _FAIL = "(select o_orderpriority as k, o_custkey % 5 * 10 + 5 as rounds, count(*) as n, count(*) filter (where o_orderkey % 11 < 1 + o_custkey % 5 * 0.7) as x from orders group by all)"
@@ -144,9 +145,19 @@ def decay_bootstrap(spark, sf_dir):
     return E.cluster_bootstrap(rows, ["k"], "stream", "rounds", "failed", 200)
 
 
-@query()
+#: A limit is where the chance of at least `least` failures of `shots` is `aim`, found by halving.
+@query(f"""with recursive f as (select *, case when rounds > 30 then 'target' else 'cap' end as state from {_FAIL}),
+asked as (select k, rounds, 'low' as side, n as shots, x as least, 0.025::double as aim from f where x > 0 union all
+select k, rounds, 'high', case when x > 0 and state = 'target' then n - 1 else n end, case when x > 0 and state = 'cap' then x + 1 else greatest(x, 1) end, 0.975 from f where x < n),
+halved as (select *, 0.0::double as lo, 1.0::double as hi, 0 as step from asked union all
+select k, rounds, side, shots, least, aim, case when tail < aim then (lo + hi) / 2 else lo end, case when tail < aim then hi else (lo + hi) / 2 end, step + 1 from
+(select *, list_sum(list_transform(range(least, shots + 1), lambda j: exp(lgamma(shots + 1) - lgamma(j + 1) - lgamma(shots - j + 1) + j * ln((lo + hi) / 2) + (shots - j) * ln(1 - (lo + hi) / 2)))) as tail from halved where step < 50)),
+limit_ as (select k, rounds, side, round((lo + hi) / 2, 8) as at from halved where step = 50)
+select f.k, f.rounds, f.n, f.x, f.state, case when f.x > 0 then f.x / f.n end as estimate, l.at as low, case when f.x = f.n then 1.0 else h.at end as high
+from f left join limit_ l on l.k = f.k and l.rounds = f.rounds and l.side = 'low' left join limit_ h on h.k = f.k and h.rounds = f.rounds and h.side = 'high'""")
 def exact_interval(spark, sf_dir):
-    return E.intervals(_failures(spark, sf_dir).withColumn("state", F.when(F.col("rounds") > 30, "target").otherwise("cap")), "x", "n", "state")
+    rows = _failures(spark, sf_dir).withColumn("state", F.when(F.col("rounds") > 30, "target").otherwise("cap"))
+    return E.intervals(rows, "x", "n", "state").withColumns({"low": F.round("low", 8), "high": F.round("high", 8)})
 
 
 @query(f"select k, rounds, case when rounds > 30 then (x - 1) / (n - 1) else x / n end as estimate, (x + 2) / (n + 2) as bound from {_FAIL}")
