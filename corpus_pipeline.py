@@ -46,10 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written as Parquet and read again, and removed once the next one stands."""
+    """All stages over the documents; each stage's result is written as Parquet and read again. Once it stands, all tables that it was made of go, the one before it included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = _store.standing()
     for name, stage in STAGES:
-        after = _store.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        _store.dropped(docs)
-        docs = after
+        docs = _store.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        _store.swept(before, docs)
     return docs

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from trialspan.llm import decontaminate, neardup, pii
+from trialspan.llm import _store, decontaminate, neardup, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +30,10 @@ def test_run_equals_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "text", "mix_rate").collect())) == sorted(map(tuple, docs.select("doc_id", "text", "mix_rate").collect()))
+    before = _store.standing()
+    out = corpus_pipeline.run(spark, SF)
+    assert _store.standing() - before == {out._trialspan_path}  # what the stages wrote on the way is gone
+    assert sorted(map(tuple, out.select("doc_id", "text", "mix_rate").collect())) == sorted(map(tuple, docs.select("doc_id", "text", "mix_rate").collect()))
 
 
 def test_odd_rows(spark, odd, odd_rows, empty):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+#: Paths of the tables that were written and not dropped, in order.
+_MADE: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,6 +37,7 @@ def written(df: DataFrame, name: str, *stats: Column) -> DataFrame:
         (df.observe(seen, *(s.alias(f"s{k}") for k, s in enumerate(stats))) if seen else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._trialspan_path = path
+    _MADE.append(path)
     trimmed(df.sparkSession)
     out.stats = [seen.get[f"s{k}"] for k in range(len(stats))] if seen else []
     return out
@@ -56,11 +59,26 @@ def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() made and nothing reads any more."""
     for df in tables:
         path = getattr(df, "_trialspan_path", None)
-        if not path:
-            continue
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path:
+            _removed(df.sparkSession, path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def standing() -> frozenset[str]:
+    """The tables that were made and not removed, by their paths."""
+    return frozenset(_MADE)
+
+
+def swept(before: frozenset[str], kept: DataFrame) -> None:
+    """Removes the tables that were made since, but for the one that was made of them and is kept."""
+    for path in [p for p in _MADE if p not in before and p != kept._trialspan_path]:
+        _removed(kept.sparkSession, path)
 
 
 def trimmed(spark: SparkSession) -> None:
