@@ -98,3 +98,24 @@ def test_texts_that_share_an_id_keep_their_own_bytes(spark, monkeypatch):
         for rows in ([(1, a), (2, a), (2, b)], [(1, a), (2, b), (2, a)], [(1, a), (2, a), (2, b), (2, b), (2, a), (3, b + c), (3, c + a), (3, None), (4, c), (4, c[1:]), (None, a), (None, b)], [(7, a), (7, a), (9, a)]):
             out = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
             assert sorted(map(tuple, out), key=order) == sorted(brute_rows(rows), key=order)
+
+
+def test_buckets_of_strings_are_refined_from_those_at_later_offsets():
+    """Equal identifiers for equal strings only, whichever text and place they stand at."""
+    import numpy as np
+
+    from trialspan.llm import _arrays as A
+
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(4)] + ["a" * 120]
+    seen, ids = {}, set()
+    for _ in range(30):
+        text = "".join(rng.choice(pool) for _ in range(3)).encode()
+        sums = A.prefix(np.frombuffer(text, np.uint8))
+        lo, hi = 5, len(text) - substrings.LENGTH + 1
+        both = substrings._buckets(sums, lo, hi)
+        assert [len(x) for x in both] == [hi - lo] * 2
+        for i, pair in zip(range(lo, hi), zip(*(x.tolist() for x in both), strict=True), strict=True):
+            assert seen.setdefault(text[i : i + substrings.LENGTH], pair) == pair
+            ids.add(pair)
+    assert len(ids) == len(seen)

@@ -12,10 +12,13 @@ that are not settled are refined further.
    All strings of a run that an earlier document holds too are settled: they go. A string
    reaches at least SIDE bytes beyond its bucket's q-gram on one side, so different runs are
    settled too unless they agree on SIDE bytes before or after it.
-3. Of the runs still open, the strings in their first holders are told apart one by one, by
-   the identifiers of their q-grams at offsets 0, q and LENGTH - q.
+3. Of the runs still open, the strings are told apart one by one. The bucket of q bytes at each
+   place is refined by the bucket at the place q further on, which makes buckets of 2q bytes; these,
+   updated, are refined by one another in turn until buckets hold strings of LENGTH bytes. A sort
+   by the last buckets and documents settles them.
 
-Buckets and runs are 64-bit hashes each, and strings are told apart by 128 bits. Rows are packed into one value per task and bucket. Within a
+Bucket identifiers are hashes and not ranks, so a level of refinement needs no sort of all places:
+64 bits for buckets and runs, 128 for strings. Rows are packed into one value per task and bucket. Within a
 task, repeats of a run travel no further than that they go, so a passage that very many
 documents share loads no bucket with more than a row per batch.
 
@@ -248,6 +251,21 @@ def _shared(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarra
     return out
 
 
+def _buckets(sums: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    """Two identifiers of the bucket of each string of LENGTH bytes that starts in [lo, hi): q-grams, refined by the refined buckets at later offsets."""
+    at = np.arange(lo, hi + LENGTH - Q)
+    grams = A.spans(sums, at, at + Q)
+    out = []
+    for lane in (0, 2):
+        ids, length = grams, Q
+        while length < LENGTH:
+            step = min(length, LENGTH - length)
+            ids = A.mix(ids[:-step] * A._LANES[lane] + ids[step:] * A._LANES[lane + 1])
+            length += step
+        out.append(ids)
+    return out
+
+
 def _strings(many: int):
     """One row for each string in the runs of (id, part, text, runs)."""
 
@@ -265,10 +283,8 @@ def _strings(many: int):
                 sums = A.prefix(data)
                 for k in range(i, j):
                     s = _starts(runs[k])
-                    at = s + off[k - i]
-                    three = [A.spans(sums, at + o, at + o + Q) for o in (0, Q, LENGTH - Q)]
-                    key = A.mix(three[0] * A._LANES[0] + three[1] * A._LANES[1] + three[2] * A._LANES[2])
-                    other = A.mix(three[0] * A._LANES[3] + three[1] * A._LANES[4] + three[2] * A._LANES[5])
+                    lo = int(s.min()) + int(off[k - i])
+                    key, other = (x[s + off[k - i] - lo] for x in _buckets(sums, lo, int(s.max()) + int(off[k - i]) + 1))
                     parts.append((key, other, np.full(len(s), ids[k]), np.full(len(s), own[k]), s))
                     held += len(s)
                 if held > FLUSH_BYTES // 16:
