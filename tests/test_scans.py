@@ -235,3 +235,18 @@ def test_stream_from_the_command_line(spark, tmp_path, capsys):
     assert cli.main(["stream", f"{tmp_path}/out", "--streams", "3", "--rounds", "40", "--warmup", "10", "--step", "9"]) == 0
     told = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
     assert [(t["stream_id"], t["rounds"], t["windows"]) for t in told] == [(k, 30, 11) for k in range(3)]
+
+
+def test_records_have_eleven_tables_and_join(spark, tmp_path):
+    from trialspan.schemas import RECORD
+
+    assert len(RECORD) == 11
+    counts = spark.createDataFrame([("a", "uf", "p", "weak", 5, 2), ("b", "uf", "p", "weak", 5, 1)], "task_id string, algorithm string, point string, tier string, value_us long, count long")
+    sinks.write_record({"latency_samples": counts}, f"{tmp_path}/one")
+    sinks.write_record({"latency_samples": counts.where("task_id = 'a'")}, f"{tmp_path}/two")
+    both = io.read_record(spark, [f"{tmp_path}/one", f"{tmp_path}/two"], "latency_samples")
+    assert sorted((r.task_id, r["count"]) for r in both.collect()) == [("a", 4), ("b", 1)]
+    with pytest.raises(ValueError, match="no table"):
+        sinks.write_record({"other": counts}, f"{tmp_path}/three")
+    with pytest.raises(ValueError, match="lacks"):
+        sinks.write_record({"shot_links": counts}, f"{tmp_path}/three")

@@ -167,3 +167,15 @@ def binomial(hits: Column, trials: Column) -> tuple[Column, Column]:
     """(rate, standard error)"""
     p = hits / trials
     return p, F.sqrt(p * (1.0 - p) / trials)
+
+
+def count_by_kind(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """(keys, a column for each of the kinds, other): how many rows of each kind, 0 where there are none."""
+    known = F.col(kind).isin(kinds)
+    return df.groupBy(*keys).agg(*(F.count_if(F.col(kind) == k).alias(k) for k in kinds), F.count_if(~F.coalesce(known, F.lit(False))).alias("other"))
+
+
+def mean_and_max(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, <value>_mean, <value>_max) of all values that df holds, in one aggregation; a value that no row holds is null."""
+    held = [v for v in values if v in df.columns]
+    return df.groupBy(*keys).agg(*(c for v in held for c in (F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max"))))

@@ -128,6 +128,12 @@ def follow(trace: DataFrame, kind: str, key: str, landed: Column | None = None)
     return out
 
 
+def stage_life(stages: DataFrame, keys: list[str], start: str, end: str, cancelled: Column | None = None) -> DataFrame:
+    """(keys, first, last, life): from the first start to the last end of the stages of a run; cancelled ones do not count."""
+    live = stages if cancelled is None else stages.where(~F.coalesce(cancelled, F.lit(False)))
+    return live.groupBy(*keys).agg(F.min(start).alias("first"), F.max(end).alias("last")).withColumn("life", F.col("last") - F.col("first"))
+
+
 def path_counts(events: DataFrame) -> DataFrame:
     """Counts by phase and category, distinct requests, and the longest event, the first on ties."""
     longest = F.max_by("name", F.struct(F.coalesce("dur", F.lit(0.0)), -F.col("place")))

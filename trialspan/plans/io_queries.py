@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from trialspan.functions import scalars as S
+from trialspan.operators import aggregates as A
+from trialspan.operators import measures
+from trialspan.operators import windows as R
 from trialspan.plans import fold, sweep
 from trialspan.plans.catalogue import query
 from trialspan.plans.tables import EVENTS, events, table
@@ -98,8 +104,8 @@ def io_dataset(spark, sf_dir):
 def io_record_tables(spark, sf_dir):
     """Additive tables in a folder each, a partition for each task, of which two are read."""
     where = fresh_path(spark, "record")
-    e = events(spark, sf_dir).select(F.col("event_type").alias("task_id"), "event_id", "user_id")
-    sinks.write_record({"shots": e.select("task_id", "event_id"), "shot_links": e}, where)
+    e = events(spark, sf_dir).select(F.col("event_type").alias("task_id"), F.lit("uf").alias("algorithm"), F.col("event_id").alias("seed"), "event_id", F.col("user_id").alias("link"))
+    sinks.write_record({"shots": e.drop("link"), "shot_links": e}, where)
     links = spark.read.parquet(f"{where}/shot_links").where("task_id in ('click', 'view')")
     return links.groupBy("task_id").agg(F.count("*").alias("links"), F.sum("event_id").alias("ids"))
 
@@ -168,3 +174,92 @@ def sweep_row(spark, sf_dir):
     shots = e.select(*key, k.alias("seed"), (k % 7 + 1).alias("decoded_windows"), (k % 7 + 1).alias("executed_rounds"), (k % 3).alias("escalated_windows"), (k % 4).alias("deadline_missed_windows"), (k % 5 == 0).alias("logical_failure"), (k % 11 != 0).alias("is_scored"), F.col("value").alias("load"), F.col("user_id").alias("backlog_peak_rounds"), F.col("user_id").alias("strong_wait_max_us"), F.col("user_id").alias("window_period_us"), F.lit(3).alias("commit_rounds"), F.col("value").alias("strong_service_sum_us"), F.col("value").alias("buffer0_ready_to_frame_mean_us"), F.col("value").alias("buffer0_ready_to_frame_max_us"))
     samples = e.select(*key, F.lit(sweep.SPLIT_POINT).alias("point"), F.when(k % 3 == 0, "strong").otherwise("weak").alias("tier"), F.floor("value").alias("value_us"))
     return sweep.rows(shots, samples.groupBy("task_id", "algorithm", "point", "tier", "value_us").agg(F.count("*").alias("count")))
+
+
+@query(f"select event_type as task_id, cast(floor(value) as bigint) as value_us, count(*) as count from {EVENTS} group by all")
+def io_records_together(spark, sf_dir):
+    """Value counts of two records, one of even and one of odd events, read as those of one."""
+    folders = []
+    for half in (0, 1):
+        e = events(spark, sf_dir).where(F.col("event_id") % 2 == half)
+        counts = e.groupBy(F.col("event_type").alias("task_id"), F.lit("uf").alias("algorithm"), F.lit("service").alias("point"), F.lit("weak").alias("tier"), F.floor("value").alias("value_us")).agg(F.count("*").alias("count"))
+        folders.append(fresh_path(spark, "record"))
+        sinks.write_record({"latency_samples": counts}, folders[-1])
+    return scans.read_record(spark, folders, "latency_samples").select("task_id", "value_us", "count")
+
+
+@query("select event_type, count(*) as n from events group by all")
+def io_state(spark, sf_dir):
+    """Counts by type as a saved state, read only if it has the hash that was recorded."""
+    counts = {r["event_type"]: r["count"] for r in table(spark, sf_dir, "events").groupBy("event_type").count().collect()}
+    text, path = json.dumps(counts, sort_keys=True), fresh_path(spark, "state")
+    files.write_text(spark, text, path)
+    state = json.loads(scans.checked_state(spark, path, hashlib.sha256(text.encode()).hexdigest()))
+    return spark.createDataFrame(sorted(state.items()), "event_type string, n long")
+
+
+@query("select ph, cat, count(*) as events, count(distinct user_id) as requests, arg_max(event_type, (value, -rn)) as longest from (select 'X' as ph, 'c' || (event_id % 3) as cat, *, row_number() over (order by ts, event_id) as rn from events) group by all")
+def io_trace_paths(spark, sf_dir):
+    """Of a trace by category its events, distinct requests and the longest event, the first on ties."""
+    e = events(spark, sf_dir)
+    rows = e.select(F.col("event_type").alias("name"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("cat"), F.lit("X").alias("ph"), F.col("tick").cast("double").alias("ts"), F.col("value").alias("dur"), F.lit(1).cast("long").alias("pid"), F.col("event_id").alias("tid"), F.create_map(F.lit("request"), F.col("user_id").cast("string")).alias("args"))
+    path = fresh_path(spark, "trace")
+    sinks.write_trace(rows, path)
+    return measures.path_counts(scans.trace(spark, path))
+
+
+@query(f"with t as (select event_type, round(avg(value), 6) as threshold from {EVENTS} where event_type <> 'view' group by all) select event_id, threshold from {EVENTS} left join t using (event_type)")
+def threshold_lookup(spark, sf_dir):
+    e = events(spark, sf_dir)
+    thresholds = e.where("event_type <> 'view'").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("threshold"))
+    return scans.threshold_for(e.select("event_id", "event_type"), thresholds, ["event_type"], "threshold").select("event_id", "threshold")
+
+
+@query("select o_orderpriority as task_id, count(*) as shots, count(*) filter (where o_orderkey % 7 = 0) as failures, round(sum(o_orderkey % 100 / 4.0), 6) as cost from orders group by all")
+def measured_shots(spark, sf_dir):
+    """Orders as units that a measure of one's own turns into shots, batch by batch on the workers."""
+
+    def measure(frame):
+        seed = frame["seed"]
+        return frame.assign(failed=seed % 7 == 0, cost=seed % 100 / 4.0)
+
+    units = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task_id"), F.col("o_orderkey").alias("seed"))
+    shots = fold.collected(spark, units, measure, "task_id string, seed long, failed boolean, cost double")
+    return shots.groupBy("task_id").agg(F.count("*").alias("shots"), F.count_if("failed").alias("failures"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query("select l_suppkey, count(*) filter (where l_returnflag = 'R') as R, count(*) filter (where l_returnflag = 'A') as A, count(*) filter (where l_returnflag not in ('R', 'A')) as other from lineitem group by all")
+def counts_by_kind(spark, sf_dir):
+    return A.count_by_kind(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_returnflag", ["R", "A"])
+
+
+@query("select l_suppkey, round(avg(l_quantity), 9) as l_quantity_mean, max(l_quantity) as l_quantity_max, round(avg(l_tax), 9) as l_tax_mean, max(l_tax) as l_tax_max from lineitem group by all")
+def means_and_maxima(spark, sf_dir):
+    out = A.mean_and_max(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_quantity", "absent", "l_tax"])
+    return out.withColumns({c: F.round(c, 9) for c in ("l_quantity_mean", "l_tax_mean")})
+
+
+@query("select l_orderkey, min(l_partkey) as first, max(l_suppkey + l_partkey) as last, max(l_suppkey + l_partkey) - min(l_partkey) as life from lineitem where l_returnflag <> 'R' group by all")
+def stage_lives(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").withColumn("done", F.col("l_suppkey") + F.col("l_partkey"))
+    return measures.stage_life(line, ["l_orderkey"], "l_partkey", "done", F.col("l_returnflag") == "R")
+
+
+@query(f"select event_id, (tick // 1000) / {S.TICKS_A_MICROSECOND}.0 as us, cast(floor(value * {S.TICKS_A_MICROSECOND} + 0.5) as bigint) as ticks from {EVENTS}")
+def tick_units(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.to_microseconds(F.floor(F.col("tick") / 1000).cast("long")).alias("us"), S.to_ticks(F.col("value")).alias("ticks"))
+
+
+@query("select role, count(*) as n, count(*) filter (where starts_with(conv_id || ':' || turn, (conv_id % 12)::varchar || ':')) as own from conversations group by all")
+def requests_of_windows(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    request, key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), (F.col("conv_id") % 12).cast("string")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(S.requests_window(request, key)).alias("own"))
+
+
+@query("select o_orderkey, (o_custkey % 9 + 3) - 6 > 0 and o_custkey % 4 < (o_custkey % 9 + 3) - 6 and o_orderkey % 7 >= (o_custkey % 9 + 3) - 6 as by_memory from orders")
+def released_by_memory(spark, sf_dir):
+    """Windows of 6 local rounds that memory alone lets go: what they read beyond is stored, and their successor has not got so far."""
+    o = table(spark, sf_dir, "orders")
+    flag = R.by_memory_only(F.col("o_custkey") % 9 + 3, F.lit(6), F.col("o_custkey") % 4, F.col("o_orderkey") % 7)
+    return o.select("o_orderkey", flag.alias("by_memory"))

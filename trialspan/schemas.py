@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Names of latency points.
 #: Latency points of a window, in the order of its life; the first thirteen add up on a serial path.
 POINTS = [
     "buffer_fill", "admission_wait", "queue_wait", "weak_attempt", "dep_block", "store_read", "backend_queue_wait", "input_link_per_window",
@@ -34,3 +35,29 @@ class Roles:
 
 
 SHOT_ROLES = Roles(means=["reaction_us"], maxes=["backlog_peak"], sums=["windows", "strong_windows", "strong_service_us", "core_seconds"], true_counts=["failed", "scored"])
+
+
+@dataclass(frozen=True)
+class Additive:
+    """A table of a record: the columns that name a row, and those that are counts of it. Records join by union, and counts of one name by addition."""
+
+    keys: list[str]
+    counts: list[str] = field(default_factory=list)
+
+
+_TASK = ["task_id", "algorithm"]
+# Names of the eleven tables.
+#: The additive tables of a record.
+RECORD = {
+    "shots": Additive([*_TASK, "seed"]),
+    "shot_links": Additive([*_TASK, "seed", "link"]),
+    "shot_pools": Additive([*_TASK, "seed", "pool"]),
+    "shot_stats": Additive([*_TASK, "seed", "path", "statistic", "field"]),
+    "stat_values": Additive([*_TASK, "path", "statistic", "value"], ["count"]),
+    "shot_data_movement": Additive([*_TASK, "seed", "path"]),
+    "window_samples": Additive([*_TASK, "seed", "window_index"]),
+    "latency_samples": Additive([*_TASK, "point", "tier", "value_us"], ["count"]),
+    "window_confidence": Additive([*_TASK, "seed", "window_index"]),
+    "confidence_histogram": Additive([*_TASK, "kind", "gap_bin"], ["windows", "failures"]),
+    "window_outcomes": Additive([*_TASK, "seed", "window_index"]),
+}

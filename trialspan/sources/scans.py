@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialspan.schemas import RECORD
 from trialspan.session import staged
 from trialspan.sources import files
 
@@ -101,6 +102,13 @@ def piece_facts(spark: SparkSession, experiment: str) -> DataFrame:
     return facts.where(~F.col("_metadata.file_path").rlike(r"/_[^/]*/piece\.json$"))
 
 
+def read_record(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """One table of several records as one: rows together, counts of one row's name added."""
+    law = RECORD[name]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(f"{f}/{name}") for f in folders))
+    return rows.groupBy(*law.keys).agg(*(F.sum(c).alias(c) for c in law.counts)) if law.counts else rows
+
+
 def checked_state(spark: SparkSession, path: str, sha256: str) -> bytes:
     """The bytes of a saved state, whose hash must be the recorded one."""
     row = spark.read.format("binaryFile").load(path).select("content", F.sha2("content", 256).alias("h")).head()

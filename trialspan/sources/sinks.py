@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspan.operators.sets import union
+from trialspan.schemas import RECORD
 from trialspan.sources import files
 
 
@@ -51,7 +52,13 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], where: str, last:
 
 
 def write_record(tables: dict[str, DataFrame], where: str) -> None:
-    """One folder for each additive table, partitioned by task."""
+    """One folder for each additive table of RECORD, partitioned by task; a table of another name, or without its columns, is refused."""
+    for name, rows in tables.items():
+        if name not in RECORD:
+            raise ValueError(f"a record has no table {name}")
+        lacks = [c for c in [*RECORD[name].keys, *RECORD[name].counts] if c not in rows.columns]
+        if lacks:
+            raise ValueError(f"{name} lacks {lacks}")
     for name, rows in tables.items():
         rows.write.partitionBy("task_id").parquet(f"{where}/{name}", mode="overwrite")
 
