@@ -250,3 +250,30 @@ def test_assemblies_fire_once_and_are_let_go(spark, tmp_path):
     out = arrivals.drained(stateful.assembled(arrivals.in_files(df, F.col("file"), 4, "t"), "k", "f", "total", "t", "10 seconds", 60_000))
     assert sorted((r.k, r.complete) for r in out.rows.collect()) == [("a", True), ("b", False), ("c", True), ("d", True)]
     assert out.state_rows == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_full_store_holds_rounds_back(spark, tmp_path, seed):
+    rng, ops = random.Random(seed), []
+    for k in range(60):
+        at = k * 2 + rng.randrange(2)
+        ops.append(("a", at, 1, "store", k, rng.randint(1, 5)))
+        ops.append(("a", at + rng.randint(1, 30), 0, "release", k, None))
+    ops.sort(key=lambda o: (o[1], o[2], o[4]))
+    ops = [(*o[:2], place, *o[3:]) for place, o in enumerate(ops)]
+    stored, line, expected = {}, [], []
+    for _, tick, _, op, r, bits in ops:
+        if op == "store":
+            line.append((r, bits, tick))
+        else:
+            stored.pop(r, None)
+            line = [x for x in line if x[0] != r]
+        while line and sum(stored.values()) + line[0][1] <= 9:
+            r, bits, arrived = line.pop(0)
+            stored[r] = bits
+            expected.append((r, arrived, tick))
+    for k in range(3):
+        put(spark, ops[k * 40 : (k + 1) * 40], "k string, tick long, place long, op string, round long, bits long", f"{tmp_path}/ops")
+        out = arrivals.drained(stateful.bounded_store(T.table_stream(spark, f"{tmp_path}/ops"), "k", 9), path=f"{tmp_path}/out")
+    assert sorted((r.round, r.arrived, r.admitted) for r in out.rows.collect()) == sorted(expected) and out.state_rows == 0
+    assert any(a > b for _, b, a in expected)

@@ -176,3 +176,14 @@ def stream_assembled_and_evicted(spark, sf_dir):
     s = arrivals.in_files(line, (F.col("l_linenumber") * 5 + F.col("l_orderkey")) % 3, 3, "t")
     done = arrivals.drained(stateful.assembled(s, "l_orderkey", "l_linenumber", "total", "t", "4000 days", 86_400_000))
     return done.rows.select("l_orderkey", "complete")
+
+
+@query("with c as (select conv_id, turn as round, 10 * turn as arrived, 10 * turn + 35 + length(text) % 7 as released from conversations) select conv_id, round, arrived, greatest(arrived, coalesce(lag(released, 2) over (partition by conv_id order by round), arrived)) as admitted from c")
+def stream_bounded_store(spark, sf_dir):
+    """A store with room for two rounds of eight bits: the third is held back until the first one leaves. Files are in the order of ticks."""
+    c = table(spark, sf_dir, "conversations")
+    r, ten = F.col("turn").cast("long"), F.col("turn").cast("long") * 10
+    op = lambda name, place, tick: F.struct(tick.alias("tick"), F.lit(place).alias("place"), F.lit(name).alias("op"), r.alias("round"), F.lit(8).cast("long").alias("bits"))
+    ops = c.select("conv_id", F.explode(F.array(op("release", 0, ten + 35 + F.length("text") % 7), op("store", 1, ten))).alias("x")).select("conv_id", "x.*")
+    s = arrivals.in_files(ops, F.least(F.floor(F.col("tick") / 30), F.lit(3)), 4)
+    return arrivals.drained(stateful.bounded_store(s, "conv_id", 16)).rows

@@ -336,3 +336,63 @@ def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str,
     """
     rows = stream.withWatermark(time, late).select(key, time, F.col(fragment).cast("long").alias("fragment"), F.col(total).cast("long").alias("total"), F.unix_millis(time).alias("at"))
     return rows.groupBy(key).transformWithStateInPandas(_Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
+
+
+class _Bounded(StatefulProcessor):
+    """What is stored, how much room that takes, and a line of what waits, by its place from head to tail."""
+
+    def __init__(self, key: str, room: int):
+        self.key, self.room = key, room
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getMapState("stored", "round long", "bits long")
+        self.line = handle.getMapState("line", "place long", "round long, bits long, arrived long")
+        self.place = handle.getMapState("place", "round long", "place long")
+        self.ends = handle.getValueState("ends", "taken long, head long, tail long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        taken, head, tail = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        stored, line, place, out = _Map(self.stored), _Map(self.line), _Map(self.place), []
+        for op in pd.concat(rows).sort_values(["tick", "place"]).itertuples():
+            if op.op == "store":
+                line.put(tail, (int(op.round), int(op.bits), int(op.tick)))
+                place.put(op.round, (tail,))
+                tail += 1
+            elif stored.get(op.round) is not None:
+                taken -= stored.get(op.round)[0]
+                stored.put(op.round, None)
+            elif place.get(op.round) is not None:  # let go before there was room for it
+                line.put(place.get(op.round)[0], None)
+                place.put(op.round, None)
+            while head < tail:  # the line moves in order; who does not fit holds up all behind
+                first = line.get(head)
+                if first is not None:
+                    r, bits, arrived = first
+                    if taken + bits > self.room:
+                        break
+                    taken += bits
+                    stored.put(r, (bits,))
+                    line.put(head, None)
+                    place.put(r, None)
+                    out.append((key[0], r, arrived, int(op.tick)))
+                head += 1
+        for state in (stored, line, place):
+            state.flush()
+        if taken or head < tail:
+            self.ends.update((taken, head, tail))
+        elif self.ends.exists():
+            self.ends.clear()
+        yield pd.DataFrame(out, columns=[self.key, "round", "arrived", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_store(ops: DataFrame, key: str, room: int) -> DataFrame:
+    """(key, round, arrived, admitted): rounds as a store of so many bits takes them in; the difference is how long they were held back.
+
+    ops (key, tick, place, op, round, bits): `store` brings a round, which waits in line while it
+    does not fit; `release` frees it, and the line moves up at that tick. A round that is released
+    while it waits leaves the line. Ops of a key are taken by tick and place, and micro-batches must come in that order.
+    """
+    return ops.groupBy(key).transformWithStateInPandas(_Bounded(key, room), f"{_named(ops, key)}, round long, arrived long, admitted long", "append", "None")
