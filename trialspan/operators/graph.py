@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspan.session import staged
+from trialspan.session import dismissed, staged
 
 
 def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
@@ -30,7 +30,9 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
         hop = now.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
         longer = new.join(hop, "ancestor").select("child", F.col("up").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         found = now.unionByName(longer).groupBy("child", "ancestor").agg(F.max("depth").alias("depth"))
+        before = now
         now, seen = staged(found, "closure", cycle=cycle, new=F.count_if(F.col("depth") > 2**k))
+        dismissed(before)
         if not seen["new"] and not seen["cycle"]:
             return now
     raise ValueError("paths are too long")
@@ -50,6 +52,7 @@ def cycle_nodes(edges: DataFrame, child: str, parent: str, most: int = 1000) ->
         after, left = staged(now.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), "peel", n=count)
         if left["n"] == seen["n"]:
             break
+        dismissed(now)
         now, seen = after, left
     else:
         raise ValueError("paths into or out of the cycles are too long")
@@ -87,7 +90,9 @@ def release_times(nodes: DataFrame, edges: DataFrame, node: str, cost: str, chil
         late = links.join(ends, "before").groupBy("node").agg(F.max("end").alias("ready"))
         later = F.coalesce(F.col("ready") > F.col("start"), F.lit(False))
         after = now.join(late, "node", "left").select("node", "cost", F.when(later, F.col("ready")).otherwise(F.col("start")).alias("start"), later.alias("moved"))
+        before = now
         now, seen = staged(after, "release", moved=count)
+        dismissed(before)
     raise ValueError("the edges hold a cycle or a path that is too long")
 
 
@@ -105,6 +110,7 @@ def components(edges: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
         if then == seen:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        dismissed(now)
         now, seen = after, then
     raise ValueError("the graph did not settle")
 

@@ -56,7 +56,16 @@ def staged(df: DataFrame, name: str, **stats: Column) -> tuple[DataFrame, dict]:
     """df written once to the shared folder and read again, and aggregates of its rows taken in the same pass."""
     seen, path = Observation(), fresh_path(df.sparkSession, name)
     (df.observe(seen, *(c.alias(k) for k, c in stats.items())) if stats else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if stats else {}
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._trialspan_path = path
+    return out, seen.get if stats else {}
+
+
+def dismissed(*tables: DataFrame) -> None:
+    """Removes tables that staged() made and nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._trialspan_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:
