@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialspan.operators import measures
 from trialspan.plans import catalogue, fold, sweeps
-from trialspan.session import DEFAULTS, session, ship
+from trialspan.session import DEFAULTS, register, session, ship
 from trialspan.sources import files, rounds, scans
 from trialspan.streaming import rounds as streams
 
@@ -26,7 +26,7 @@ def _named(name: str):
 
 def _streamed(spark, a) -> None:
     """Runs live rounds to their end, measured as they come: a JSON record for each stream, past its warm-up."""
-    spark.dataSource.register(rounds.RoundSource)
+    register(spark, rounds.RoundSource)
     source = spark.readStream.format("rounds").options(streams=a.streams, rounds=a.rounds, step=a.step, seed=a.seed).load()
     late = source.where(F.col("round_index") > a.warmup)
     counted = late.select("stream_id", F.lit(1).cast("long").alias("rounds"), F.bit_count("bits").cast("long").alias("set_bits"))

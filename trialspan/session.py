@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.datasource import DataSource
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -80,3 +85,20 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(archive)
         sc._trialspan_shipped = True
     return spark
+
+
+@contextmanager
+def by_value(module: str) -> Iterator[None]:
+    """What is pickled within carries the code of the module, for workers that do not see the files sent to tasks: those that plan data sources and start stateful processors."""
+    code = sys.modules[module]
+    cloudpickle.register_pickle_by_value(code)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(code)
+
+
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Registers a Python data source with its code."""
+    with by_value(source.__module__):
+        spark.dataSource.register(source)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from trialspan.session import register
+
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -89,7 +91,7 @@ class RecordSink(DataSource):
 
 def record(stream: DataFrame, path: str, state: str) -> None:
     """Runs the stream to its end into the records under path; state is its checkpoint, with which it goes on when started again."""
-    stream.sparkSession.dataSource.register(RecordSink)
+    register(stream.sparkSession, RecordSink)
     stream.writeStream.format("records").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 

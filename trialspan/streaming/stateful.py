@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trialspan.session import by_value
+
 _MICROS = 1_000_000
 
 
@@ -21,6 +23,12 @@ def _named(stream: DataFrame, key: str) -> str:
     return f"`{key}` {stream.schema[key].dataType.simpleString()}"
 
 
+def _processed(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
+    """The rows of each key through the processor."""
+    with by_value(__name__):
+        return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, time)
+
+
 class _Map:
     """A map state read once and written back once a micro-batch."""
 
@@ -118,7 +126,7 @@ def round_holds(ops: DataFrame, key: str) -> DataFrame:
     micro-batches must come in that order. State is what is stored or held now, so a store whose
     holds are all released is empty. A holder that holds nothing may be released; it frees nothing.
     """
-    return ops.groupBy(key).transformWithStateInPandas(_Holds(key), f"{_named(ops, key)}, round long, stored long, freed long", "append", "None")
+    return _processed(ops, key, _Holds(key), f"{_named(ops, key)}, round long, stored long, freed long", "append", "None")
 
 
 class _Lifetimes(StatefulProcessor):
@@ -160,7 +168,7 @@ def hold_lifetimes(stream: DataFrame, key: str, kind: Column, time: str, idle_ms
     A key is closed, given and forgotten once the watermark is idle_ms past its latest row.
     """
     rows = stream.withWatermark(time, late).select(key, time, kind.cast("int").alias("kind"), F.unix_micros(time).alias("tick"))
-    out = rows.groupBy(key).transformWithStateInPandas(_Lifetimes(key, idle_ms), f"{_named(stream, key)}, stored long, released long", "append", "EventTime")
+    out = _processed(rows, key, _Lifetimes(key, idle_ms), f"{_named(stream, key)}, stored long, released long", "append", "EventTime")
     value = F.when((F.col("stored") >= 0) & (F.col("released") >= 0), F.col("released") - F.col("stored"))
     return out.select(key, value.alias("lifetime")).where("lifetime is null or lifetime >= 0")
 
@@ -219,7 +227,7 @@ def fired_timers(timers: DataFrame, cancels: DataFrame, key: str, made: str, due
     millis = lambda c: F.unix_millis(c)
     sets = timers.withWatermark(made, late).select(key, F.col(made).alias("t"), millis(made).alias("at"), millis(due).alias("due"))
     ends = cancels.withWatermark(at, late).select(key, F.col(at).alias("t"), millis(at).alias("at"), F.lit(None).cast("long").alias("due"))
-    out = sets.union(ends).groupBy(key).transformWithStateInPandas(_Timers(key, keep_ms), f"{_named(timers, key)}, due long", "append", "EventTime")
+    out = _processed(sets.union(ends), key, _Timers(key, keep_ms), f"{_named(timers, key)}, due long", "append", "EventTime")
     return out.select(key, F.timestamp_millis("due").alias("due"))
 
 
@@ -268,7 +276,7 @@ def growing_regions(stream: DataFrame, key: str, index: str, cut: Column, most:
     order and more than once: state is the open region and the rounds beyond a gap.
     """
     rows = stream.select(key, F.col(index).cast("long").alias("round"), F.coalesce(cut, F.lit(False)).alias("cut"))
-    return rows.groupBy(key).transformWithStateInPandas(_Layout(key, first, most), f"{_named(stream, key)}, region long, lo long, hi long, closed boolean", "append", "None")
+    return _processed(rows, key, _Layout(key, first, most), f"{_named(stream, key)}, region long, lo long, hi long, closed boolean", "append", "None")
 
 
 def pending_releases(windows: DataFrame, facts: DataFrame, key: str, begun: str, at: str, value: str, kind: str, within: str, before: str, late: str) -> DataFrame:
@@ -335,7 +343,7 @@ def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str,
     is patience_ms past the key's latest row, and incomplete keys are given then.
     """
     rows = stream.withWatermark(time, late).select(key, time, F.col(fragment).cast("long").alias("fragment"), F.col(total).cast("long").alias("total"), F.unix_millis(time).alias("at"))
-    return rows.groupBy(key).transformWithStateInPandas(_Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
+    return _processed(rows, key, _Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
 
 
 class _Bounded(StatefulProcessor):
@@ -395,4 +403,4 @@ def bounded_store(ops: DataFrame, key: str, room: int) -> DataFrame:
     does not fit; `release` frees it, and the line moves up at that tick. A round that is released
     while it waits leaves the line. Ops of a key are taken by tick and place, and micro-batches must come in that order.
     """
-    return ops.groupBy(key).transformWithStateInPandas(_Bounded(key, room), f"{_named(ops, key)}, round long, arrived long, admitted long", "append", "None")
+    return _processed(ops, key, _Bounded(key, room), f"{_named(ops, key)}, round long, arrived long, admitted long", "append", "None")
