@@ -104,14 +104,18 @@ def checked_answers(df: DataFrame, escalated: Column, strong: Column, weak: Colu
 def nearest_row(df: DataFrame, table: DataFrame, keys: list[str], at: str, size: str, value: str) -> DataFrame:
     """df with the value of the table's row nearest in size, of two as near the smaller, of one size the least value.
 
-    Both sides are sorted once by size within a key; rows whose key the table lacks get null.
+    Different values of `at` and the table's sizes are sorted together within a key, once each way, so every frame only
+    grows; rows then look their value up. Rows without a value, or whose key the table lacks, get null.
     """
     rows = table.groupBy(*keys, F.col(size).alias("__size")).agg(F.min(value).alias("__value"))
-    both = df.withColumns({"__size": F.col(at), "__own": F.lit(1)}).unionByName(rows.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    asked = df.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__size")).distinct()
+    both = asked.withColumn("__own", F.lit(1)).unionByName(rows.where("__size is not null").withColumn("__own", F.lit(0)), allowMissingColumns=True)
     card = F.when(F.col("__own") == 0, F.struct("__size", "__value"))
-    w = Window.partitionBy(*keys).orderBy("__size", "__own")
-    below = F.last(card, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(card, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    x = both.withColumns({"__below": below, "__above": above}).where("__own = 1")
-    lower = F.col("__above").isNull() | (F.col(at) - F.col("__below")["__size"] <= F.col("__above")["__size"] - F.col(at))
-    return x.select(*df.columns, F.when(lower, F.col("__below")["__value"]).otherwise(F.col("__above")["__value"]).alias(value))
+    w = Window.partitionBy(*keys)
+    sides = {"__below": F.col("__size"), "__above": F.col("__size").desc()}
+    x = both.withColumns({n: F.last(card, ignorenulls=True).over(w.orderBy(o, "__own").rowsBetween(Window.unboundedPreceding, 0)) for n, o in sides.items()}).where("__own = 1")
+    lower = F.col("__above").isNull() | (F.col("__size") - F.col("__below")["__size"] <= F.col("__above")["__size"] - F.col("__size"))
+    names = [f"__k_{k}" for k in keys]
+    x = x.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "__size", F.when(lower, F.col("__below")["__value"]).otherwise(F.col("__above")["__value"]).alias(value))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return df.join(x, [*on, F.col(at) == F.col("__size")], "left").drop(*names, "__size")
