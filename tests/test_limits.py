@@ -32,3 +32,10 @@ def test_nearest_row_sorts_different_values_once_each_way(spark):
     assert {tuple(r) for r in out.distinct().collect()} == {("a", 0.0, 7), ("a", 1.0, 7), ("a", 2.0, 7), ("a", None, None), (None, 9.0, 4)}
     assert out.count() == 30_002
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_controller_rounds_halves_to_even(spark, against_sql):
+    """Values that end in .5: block means differ by how they are rounded."""
+    value = (F.pmod(F.hash("id"), F.lit(8)) + 0.5).cast("double")
+    e = spark.range(5000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), value.alias("value"), F.lit("").alias("props"))
+    against_sql("controller_steps", events=e)

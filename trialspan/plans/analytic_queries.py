@@ -122,7 +122,7 @@ f as (select event_type, row_number() over (partition by event_type order by blo
 r as (select event_type, 0 as n, 0 as level, 0 as since from (select distinct event_type from f) union all select f.event_type, f.n::int, r.level + case when rise then -1 when since + 1 >= 3 and calm then 1 else 0 end, case when rise or (since + 1 >= 3 and calm) then 0 else since + 1 end from r join f on f.event_type = r.event_type and f.n = r.n + 1)
 select event_type, arg_max(level, n) as level from r group by all""")
 def controller_steps(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("v", F.round("value").cast("long"))
+    e = events(spark, sf_dir).withColumn("v", F.rint("value").cast("long"))
     return folds.target_steps(e, ["event_type"], ["event_id"], "v", 25, 2, 3, 1.0)
 
 
