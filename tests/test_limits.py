@@ -39,3 +39,10 @@ def test_controller_rounds_halves_to_even(spark, against_sql):
     value = (F.pmod(F.hash("id"), F.lit(8)) + 0.5).cast("double")
     e = spark.range(5000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), value.alias("value"), F.lit("").alias("props"))
     against_sql("controller_steps", events=e)
+
+
+def test_pooled_sums_without_a_needless_scale(spark):
+    """5, 42 against 5, 45: scaled by the least weight both sums are 1; where exp leaves the doubles the scale stays."""
+    rows = [(1, "A", 5.0), (1, "A", 42.0), (1, "R", 5.0), (1, "R", 45.0), (2, "A", 800.0), (2, "R", 801.0), (3, "A", -800.0), (3, "R", -799.0)]
+    df = spark.createDataFrame(rows, "k long, answer string, weight double")
+    assert dict(map(tuple, A.sum_likelihood(df, ["k"], "answer", "weight").collect())) == {1: "A", 2: "A", 3: "A"}

@@ -152,10 +152,18 @@ def majority(df: DataFrame, keys: list[str], answer: str, position: str) -> Data
     return counts.groupBy(*keys).agg(best.alias("b"), F.sum("votes").alias("n")).select(*keys, F.col("b")[answer].alias(answer), (F.col("b.votes") / F.col("n")).alias("share"))
 
 
+#: exp of less than this and of its negative is a double of full precision.
+_EXP = 600.0
+
+
 def sum_likelihood(df: DataFrame, keys: list[str], answer: str, weight: str) -> DataFrame:
-    """The class with the largest sum of exp(-weight); sums are scaled by the least weight of the key."""
+    """The class with the largest sum of exp(-weight), of equal sums the largest class; sums are scaled by the least weight of the key where exp would leave the doubles.
+
+    Scaled sums are rounded to the scale's own last place, which differs from the plain sum's, so keys that need no scale get none.
+    """
     least = df.groupBy(*keys).agg(F.min(weight).alias("least"))
-    pooled = df.join(least, keys).groupBy(*keys, answer).agg(F.sum(F.exp(F.col("least") - F.col(weight))).alias("mass"))
+    scale = F.when(F.abs("least") > _EXP, F.col("least")).otherwise(F.lit(0.0))
+    pooled = df.join(least, keys).groupBy(*keys, answer).agg(F.sum(F.exp(scale - F.col(weight))).alias("mass"))
     return pooled.groupBy(*keys).agg(F.max_by(answer, F.struct("mass", answer)).alias(answer))
 
 
