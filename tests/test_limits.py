@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trialspan.operators import aggregates as A
 from trialspan.operators import joins as J
 from trialspan.plans import catalogue
+from trialspan.streaming import arrivals
 
 
 @pytest.fixture
@@ -46,3 +47,15 @@ def test_pooled_sums_without_a_needless_scale(spark):
     rows = [(1, "A", 5.0), (1, "A", 42.0), (1, "R", 5.0), (1, "R", 45.0), (2, "A", 800.0), (2, "R", 801.0), (3, "A", -800.0), (3, "R", -799.0)]
     df = spark.createDataFrame(rows, "k long, answer string, weight double")
     assert dict(map(tuple, A.sum_likelihood(df, ["k"], "answer", "weight").collect())) == {1: "A", 2: "A", 3: "A"}
+
+
+def test_state_has_no_more_parts_than_tasks_run_at_once(spark):
+    """However many partitions shuffles have: each part of the state costs its time in every micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        with arrivals.rocks(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -15,6 +15,8 @@ from trialspan.streaming.rounds import table_stream
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 #: What a closing row has for its event time: later than any row, so that all timers come due.
 THE_END = "2200-01-01"
 
@@ -37,13 +39,24 @@ def in_files(df: DataFrame, batch: Column, count: int, end: str | None = None) -
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
-    """Streams started within keep their state in RocksDB, which holds more than memory and knows maps and timers."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    """Streams started within keep their state in RocksDB, which holds more than memory and knows maps and timers.
+
+    Each part of the state is opened and committed in every micro-batch, however few rows it gets, so there are no more parts
+    than tasks run at once; a commit writes what changed. A stream that is started again keeps the number it began with.
+    """
+    parts = min(int(spark.conf.get(_PARTITIONS)), spark.sparkContext.defaultParallelism)
+    own = {_PROVIDER: _ROCKS, _CHANGES: "true", _PARTITIONS: str(max(parts, 1))}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 @dataclass(frozen=True)
