@@ -173,62 +173,22 @@ def hold_lifetimes(stream: DataFrame, key: str, kind: Column, time: str, idle_ms
     return out.select(key, value.alias("lifetime")).where("lifetime is null or lifetime >= 0")
 
 
-class _Timers(StatefulProcessor):
-    def __init__(self, key: str, keep: int):
-        self.key, self.keep = key, keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due long")
-        self.cancelled = handle.getValueState("cancelled", "at long, until long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is not None and key[0] == key[0]:
-            frame = pd.concat(rows)
-            cancels, sets = frame.loc[frame["due"].isna(), "at"], frame["due"].dropna()
-            if len(cancels):
-                at, until = self.cancelled.get() if self.cancelled.exists() else (None, None)
-                if at is None or int(cancels.min()) < at:
-                    if until is not None:
-                        self.handle.deleteTimer(until)
-                    at = int(cancels.min())
-                    until = at + self.keep
-                    self.handle.registerTimer(until)
-                    self.cancelled.update((at, until))
-            if len(sets):
-                if self.due.exists():
-                    self.handle.deleteTimer(self.due.get()[0])
-                self.due.update((int(sets.max()),))
-                self.handle.registerTimer(int(sets.max()))
-            if self.due.exists() and self.cancelled.exists() and self.cancelled.get()[0] < self.due.get()[0]:
-                self.handle.deleteTimer(self.due.get()[0])
-                self.due.clear()
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.due.exists() and self.due.get()[0] == at:
-            self.due.clear()
-            yield pd.DataFrame([(key[0], at)], columns=[self.key, "due"])
-        if self.cancelled.exists() and self.cancelled.get()[1] == at:
-            self.cancelled.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def fired_timers(timers: DataFrame, cancels: DataFrame, key: str, made: str, due: str, at: str, late: str, keep_ms: int) -> DataFrame:
     """(key, due): timers of a stream (key, made, due) that no row of the stream cancels (key, at) stops before they are due.
 
-    Both have a watermark, and the earlier one counts. A timer is an event-time timer of Spark,
-    deleted when it is cancelled and set anew when its key is; it fires when the watermark passes
-    it. A cancel may come before its timer and is remembered for keep_ms.
+    Both have a watermark, and the earlier one counts. A timer is a session from when it is made until just before it is due, and
+    a cancel one of keep_ms: sessions of a key that meet are one, in which the timer made last counts and the first cancel stops
+    it. So a timer that is set anew before it is due takes the place of the first, a cancel may come before its timer and is
+    remembered for keep_ms, and a timer fires when the watermark passes the end of its session. Rows without a key are left out.
     """
-    millis = lambda c: F.unix_millis(c)
-    sets = timers.withWatermark(made, late).select(key, F.col(made).alias("t"), millis(made).alias("at"), millis(due).alias("due"))
-    ends = cancels.withWatermark(at, late).select(key, F.col(at).alias("t"), millis(at).alias("at"), F.lit(None).cast("long").alias("due"))
-    out = _processed(sets.union(ends), key, _Timers(key, keep_ms), f"{_named(timers, key)}, due long", "append", "EventTime")
-    return out.select(key, F.timestamp_millis("due").alias("due"))
+    nothing = F.lit(None).cast("long")
+    sets = timers.withWatermark(made, late).select(key, F.col(made).alias("t"), F.unix_millis(due).alias("due"), nothing.alias("at"), F.greatest(F.unix_micros(due) - F.unix_micros(made) - 1, F.lit(1)).alias("life"))
+    ends = cancels.withWatermark(at, late).select(key, F.col(at).alias("t"), nothing.alias("due"), F.unix_millis(at).alias("at"), F.lit(keep_ms * 1000).cast("long").alias("life"))
+    life = F.when(F.col(key).isNotNull(), F.coalesce("life", F.lit(0))).otherwise(0)  # Spark drops sessions of no length, after they moved the watermark
+    session = F.session_window("t", F.concat(life.cast("string"), F.lit(" microseconds")))
+    last = F.max(F.when(F.col("due").isNotNull(), F.struct("t", "due")))["due"]
+    out = sets.union(ends).groupBy(key, session).agg(last.alias("due"), F.min("at").alias("at"))
+    return out.where("due is not null and (at is null or at >= due)").select(key, F.timestamp_millis("due").alias("due"))
 
 
 class _Layout(StatefulProcessor):
