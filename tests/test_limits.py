@@ -67,3 +67,9 @@ def test_timers_need_no_python_row_by_row(spark):
     cut = made.select("k", F.col("made").alias("at"))
     plan = stateful.fired_timers(made, cut, "k", "made", "due", "at", "1 day", 1000)._jdf.queryExecution().analyzed().toString()
     assert "Python" not in plan and "session_window" in plan
+
+
+def test_lifetimes_need_no_python_row_by_row(spark):
+    stream = spark.readStream.format("rate").load()
+    plan = stateful.hold_lifetimes(stream, "value", F.lit(0), "timestamp", 1000, "1 day")._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "session_window" in plan

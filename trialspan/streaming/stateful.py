@@ -129,48 +129,17 @@ def round_holds(ops: DataFrame, key: str) -> DataFrame:
     return _processed(ops, key, _Holds(key), f"{_named(ops, key)}, round long, stored long, freed long", "append", "None")
 
 
-class _Lifetimes(StatefulProcessor):
-    def __init__(self, key: str, idle: int):
-        self.key, self.idle = key, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "stored long, released long, latest long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is not None and key[0] == key[0]:  # a closing row has no key
-            stored, released, latest = self.seen.get() if self.seen.exists() else (-1, -1, -1)
-            for frame in rows:
-                here = frame.loc[frame["kind"] == 0, "tick"]
-                stored = min([*([stored] if stored >= 0 else []), *here.tolist()], default=-1)
-                released = max([released, *frame.loc[frame["kind"] == 1, "tick"].tolist()])
-                newest = int(frame["tick"].max()) // 1000 + self.idle
-                if newest > latest:
-                    if latest >= 0:
-                        self.handle.deleteTimer(latest)
-                    self.handle.registerTimer(newest)
-                    latest = newest
-            self.seen.update((int(stored), int(released), int(latest)))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stored, released, _ = self.seen.get()
-        self.seen.clear()
-        yield pd.DataFrame([(key[0], stored, released)], columns=[self.key, "stored", "released"])
-
-    def close(self) -> None:
-        pass
-
-
 def hold_lifetimes(stream: DataFrame, key: str, kind: Column, time: str, idle_ms: int, late: str) -> DataFrame:
     """(key, lifetime): from the first row whose kind is 0 (stored) to the last whose kind is 1 (released), in microseconds; null where one is missing, absent where negative.
 
-    A key is closed, given and forgotten once the watermark is idle_ms past its latest row.
+    The rows of a key are a session that ends where none comes for idle_ms and as long as rows may be late; it is given and
+    forgotten once the watermark is past that. Rows without a key are left out.
     """
     rows = stream.withWatermark(time, late).select(key, time, kind.cast("int").alias("kind"), F.unix_micros(time).alias("tick"))
-    out = _processed(rows, key, _Lifetimes(key, idle_ms), f"{_named(stream, key)}, stored long, released long", "append", "EventTime")
-    value = F.when((F.col("stored") >= 0) & (F.col("released") >= 0), F.col("released") - F.col("stored"))
-    return out.select(key, value.alias("lifetime")).where("lifetime is null or lifetime >= 0")
+    gap = F.when(F.col(key).isNotNull(), f"{late} {idle_ms} milliseconds").otherwise("0 seconds")  # Spark drops sessions of no length, after they moved the watermark
+    first, last = F.min(F.when(F.col("kind") == 0, F.col("tick"))), F.max(F.when(F.col("kind") == 1, F.col("tick")))
+    out = rows.groupBy(key, F.session_window(time, gap)).agg((last - first).alias("lifetime"))
+    return out.select(key, "lifetime").where("lifetime is null or lifetime >= 0")
 
 
 def fired_timers(timers: DataFrame, cancels: DataFrame, key: str, made: str, due: str, at: str, late: str, keep_ms: int) -> DataFrame:
