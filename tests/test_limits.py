@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspan.operators import aggregates as A
 from trialspan.operators import joins as J
+from trialspan.operators import scans
 from trialspan.plans import catalogue
 from trialspan.streaming import arrivals, stateful
 
@@ -73,3 +74,9 @@ def test_lifetimes_need_no_python_row_by_row(spark):
     stream = spark.readStream.format("rate").load()
     plan = stateful.hold_lifetimes(stream, "value", F.lit(0), "timestamp", 1000, "1 day")._jdf.queryExecution().analyzed().toString()
     assert "Python" not in plan and "session_window" in plan
+
+
+def test_blocks_are_bounded_in_number(spark):
+    """Bounds are part of the plan: 10,000 of them were more code than a method may have."""
+    x = scans.blocked(spark.range(4000), "id", 2).groupBy("__block").agg(F.count("*").alias("n")).collect()
+    assert len(x) == scans.BLOCKS and sum(r.n for r in x) == 4000 and max(r.n for r in x) <= 3 * 4000 / scans.BLOCKS

@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, about.
 BLOCK_ROWS = 1_000_000
+#: Blocks at most: beyond them blocks grow. Bounds are part of the plan, and the summaries that give them grow with their number.
+BLOCKS = 256
 #: Error of the quantiles that bound blocks, as a share of a block.
 SLACK = 0.1
 
 
 def blocked(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:
-    """df with __block: ranges of the order column of about so many rows each; one block if there are fewer, or all rows are of one value."""
+    """df with __block: ranges of the order column of about so many rows each, at most BLOCKS of them; one block if there are fewer, or all rows are of one value."""
     rows = rows or BLOCK_ROWS
     n = df.count()
-    many = n // rows
+    many = min(n // rows, BLOCKS)
     if many < 2:
         return df.withColumn("__block", F.lit(0))
     numbers = df.select(F.col(order).cast("double").alias("x"))
