@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trialspan.llm import quality
 from trialspan.operators import aggregates as A
 from trialspan.operators import joins as J
 from trialspan.operators import scans
@@ -80,3 +81,8 @@ def test_blocks_are_bounded_in_number(spark):
     """Bounds are part of the plan: 10,000 of them were more code than a method may have."""
     x = scans.blocked(spark.range(4000), "id", 2).groupBy("__block").agg(F.count("*").alias("n")).collect()
     assert len(x) == scans.BLOCKS and sum(r.n for r in x) == 4000 and max(r.n for r in x) <= 3 * 4000 / scans.BLOCKS
+
+
+def test_all_trusted_rows_are_trusted(spark):
+    labels = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(labels).count() == 21_000

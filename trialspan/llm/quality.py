@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspan.llm import _arrays as A
-from trialspan.llm._store import bounded_batches
+from trialspan.llm._store import bounded_batches, dropped, narrow, written
 
 BUCKETS = 1 << 16
-#: Trusted rows that the target is fitted on at most: those with the least hashes of their ids.
-TRUSTED_ROWS = 20_000
 #: Pseudo-count of every bucket, as a share of the corpus's distribution.
 PRIOR = 1000.0
 #: The threshold: this share of unseen trusted texts may score less; without such texts, a fixed one.
@@ -52,10 +50,9 @@ def buckets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[use], np.concatenate(([0], np.cumsum(counts)))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of documents labelled good and not toxic, at most `most` of them."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
 def halves(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,16 +62,19 @@ def halves(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def calibrated(docs: DataFrame, unseen: DataFrame, ratios: np.ndarray) -> float:
-    """The threshold from the scores of trusted rows that did not fit the ratios; there are at most TRUSTED_ROWS of them."""
-    rows = docs.join(F.broadcast(unseen.select("doc_id")), "doc_id", "left_semi")
-    scores = np.sort(rate(rows, ratios).where("not base_failed").select("score").toArrow().column(0).to_numpy())
-    return min(float(scores[int(len(scores) * LOWEST)]), 0.0) if len(scores) else THRESHOLD
+    """The threshold from the scores of trusted rows that did not fit the ratios; scores are counted, and only the lowest are sorted."""
+    rows = docs.join(narrow(unseen.select("doc_id")), "doc_id", "left_semi")
+    scores = written(rate(rows, ratios).where("not base_failed").select("score"), "scores")
+    at = int(scores.count() * LOWEST)
+    low = scores.orderBy("score").limit(at + 1).agg(F.max("score")).head()[0]
+    dropped(scores)
+    return min(low, 0.0) if low is not None else THRESHOLD
 
 
 def train(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(target / corpus) of each bucket; `trusted` has at most TRUSTED_ROWS ids, so it may be broadcast."""
+    """log(target / corpus) of each bucket; `trusted` is broadcast while it is narrow."""
     bounded_batches(docs.sparkSession)
-    vouched = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__t")))
+    vouched = narrow(trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__t")))
     rows = docs.join(vouched, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__t", F.lit(False)).alias("t"))
 
     @A.lean
