@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialspan.llm import quality
 from trialspan.operators import aggregates as A
 from trialspan.operators import joins as J
-from trialspan.operators import scans
+from trialspan.operators import scans, sets
 from trialspan.plans import catalogue
 from trialspan.streaming import arrivals, stateful
 
@@ -86,3 +86,11 @@ def test_blocks_are_bounded_in_number(spark):
 def test_all_trusted_rows_are_trusted(spark):
     labels = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert quality.trusted_ids(labels).count() == 21_000
+
+
+def test_intervals_are_sorted_in_as_many_tasks_as_shuffles_have(spark):
+    df = spark.range(2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"))
+    out = sets.interval_gaps(df, ["k"], "lo", "hi", F.lit(0).cast("long"), F.lit(3000).cast("long"))
+    assert out.count() == 50 * 40 + 49  # one before each key's first but the one at 0, 39 between, one after
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") + plan.count("Range (") == 1 and "REPARTITION_BY_NUM" in plan

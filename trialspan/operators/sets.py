@@ -21,8 +21,14 @@ def only_in(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return first.select(key).distinct().join(second.select(key), key, "left_anti")
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys into as many partitions as shuffles have. They are not put together by their bytes: intervals compress well, and a task would sort many more rows than its memory suits."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def joined_intervals(df: DataFrame, keys: list[str], lo: str, end: str, touching_only: bool = False) -> DataFrame:
     """(keys, lo, end) of half-open intervals joined where they touch, and where they overlap unless touching_only."""
+    df = _dealt(df.select(*keys, lo, end), keys)
     w = Window.partitionBy(*keys).orderBy(lo, end)
     before = F.lag(end).over(w) if touching_only else F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = (before.isNull() | ((before != F.col(lo)) if touching_only else (before < F.col(lo)))).cast("int")
@@ -34,9 +40,10 @@ def interval_gaps(df: DataFrame, keys: list[str], lo: str, end: str, start: Colu
     """(keys, lo, end): what the half-open intervals leave of [start, stop)."""
     merged = joined_intervals(df, keys, lo, end)
     w = Window.partitionBy(*keys).orderBy(lo)
-    inner = merged.select(*keys, F.greatest(F.col(end), start).alias("lo"), F.least(F.coalesce(F.lead(lo).over(w), stop), stop).alias("end"))
-    outer = merged.groupBy(*keys).agg(F.min(lo).alias("first")).select(*keys, start.alias("lo"), F.least(F.col("first"), stop).alias("end"))
-    return inner.unionByName(outer).where("lo < end").select(*keys, F.col("lo").alias(lo), F.col("end").alias(end))
+    after = F.struct(F.greatest(F.col(end), start).alias("lo"), F.least(F.coalesce(F.lead(lo).over(w), stop), stop).alias("end"))
+    ahead = F.when(F.row_number().over(w) == 1, F.struct(start.alias("lo"), F.least(F.col(lo), stop).alias("end")))
+    gaps = merged.select(*keys, after.alias("after"), ahead.alias("ahead")).select(*keys, F.explode(F.array("after", "ahead")).alias("g"))
+    return gaps.where("g.lo < g.end").select(*keys, F.col("g.lo").alias(lo), F.col("g.end").alias(end))
 
 
 def share(first: Column, count: Column, index: Column, jobs: int) -> tuple[Column, Column]:
