@@ -77,6 +77,27 @@ def test_lifetimes_need_no_python_row_by_row(spark):
     assert "Python" not in plan and "session_window" in plan
 
 
+def test_assemblies_are_taken_a_bucket_at_a_time(spark):
+    """A call of Python for each key and batch took 61 s for 30,000 keys; large keys, null ones and null fragments keep their values."""
+    e = spark.range(6000).select((F.col("id") % 3000 + 2**53).alias("k"), F.floor(F.col("id") / 3000).alias("f"), (1 + F.col("id") % 3).alias("total"), F.timestamp_seconds(F.lit(9)).alias("t"))
+    odd = spark.createDataFrame([(None, 1, 1, 9), (7, None, 1, 9)], "k long, f long, total long, t long").withColumn("t", F.timestamp_seconds("t"))
+    out = arrivals.drained(stateful.assembled(arrivals.in_files(e.union(odd), F.coalesce("f", F.lit(0)), 2), "k", "f", "total", "t", "10 seconds", 60_000, 16))
+    assert out.state_rows <= 16  # before: one for each key and fragment that is open, and its timer
+    got = out.rows.collect()  # whole ones at once, though the stream is open
+    assert len(got) == 2000 and {(r.k - 2**53, r.have, r.need, r.complete) for r in got} == {(k, 1 + k % 3, 1 + k % 3, True) for k in range(3000) if k % 3 < 2}
+
+
+def test_arrivals_are_as_many_files_as_their_size_needs(spark, monkeypatch):
+    """One task wrote and read each micro-batch, however large; now each has the same number of files, empty ones among them."""
+    monkeypatch.setattr(arrivals, "FILE_BYTES", 1000)
+    df = spark.range(40_000, numPartitions=8).select("id", F.timestamp_seconds("id").alias("t"))
+    s = arrivals.in_files(df, F.when(F.col("id") == 5, 1).when(F.col("id") < 20_000, 0).otherwise(2), 3, "t")
+    out = arrivals.drained(s)
+    assert out.rows.count() == 40_001 and out.batches == 4
+    sizes = out.rows.where("id is not null").groupBy(F.input_file_name()).count().count()
+    assert sizes > 3  # more than one task of a micro-batch wrote
+
+
 def test_blocks_are_bounded_in_number(spark):
     """Bounds are part of the plan: 10,000 of them were more code than a method may have."""
     x = scans.blocked(spark.range(4000), "id", 2).groupBy("__block").agg(F.count("*").alias("n")).collect()

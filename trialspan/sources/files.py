@@ -23,6 +23,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where)) and bool(fs.getFileStatus(where).isFile())
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below path."""
+    where, fs = _at(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in path, hidden and staging ones left out, in order."""
     where, fs = _at(spark, path)

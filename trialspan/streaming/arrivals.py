@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trialspan.session import fresh_path
+from trialspan.sources import files
 from trialspan.streaming.rounds import table_stream
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -19,22 +20,28 @@ _CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enable
 _PARTITIONS = "spark.sql.shuffle.partitions"
 #: What a closing row has for its event time: later than any row, so that all timers come due.
 THE_END = "2200-01-01"
+#: Bytes of a micro-batch beyond which it is more than one file, each written and read by a task of its own.
+FILE_BYTES = 8 << 20
 
 
 def in_files(df: DataFrame, batch: Column, count: int, end: str | None = None) -> DataFrame:
-    """df as a stream of `count` files in turn, a micro-batch each; batch tells for each row which one, 0 to count - 1.
+    """df as a stream of `count` micro-batches in turn, of a file each while they are small; batch tells for each row which one, 0 to count - 1.
 
+    Larger ones are as many files as tasks run at once, at most: all the same number, which a trigger takes.
     With end, the name of an event-time column, a last file holds one closing row: THE_END, and null in all other columns.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, "arrivals")
     df.withColumn("__batch", batch.cast("int")).write.partitionBy("__batch").parquet(f"{path}/staged")
     staged = spark.read.schema(StructType([*df.schema.fields, StructField("__batch", IntegerType())])).parquet(f"{path}/staged")
+    wide = max(1, min(files.size(spark, f"{path}/staged") // (count * FILE_BYTES), spark.sparkContext.defaultParallelism))
     for k in range(count):  # one after the other, as files are read in the order of their times
-        staged.where(F.col("__batch") == k).drop("__batch").coalesce(1).write.mode("append").parquet(f"{path}/files")
+        staged.where(F.col("__batch") == k).drop("__batch").coalesce(wide).write.mode("append").parquet(f"{path}/files")
+        for _ in range(len(spark.read.schema(df.schema).parquet(f"{path}/files").inputFiles()), (k + 1) * wide):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(f"{path}/files")
     if end:
         last = [F.lit(THE_END).cast(f.dataType).alias(f.name) if f.name == end else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
         spark.range(1).coalesce(1).select(*last).write.mode("append").parquet(f"{path}/files")
-    return table_stream(spark, f"{path}/files")
+    return table_stream(spark, f"{path}/files", wide)
 
 
 @contextmanager

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 from trialspan.session import by_value
 
@@ -220,59 +222,89 @@ def pending_releases(windows: DataFrame, facts: DataFrame, key: str, begun: str,
     return w.join(f, on, "left_outer").select(F.col("__key").alias(key), kind, value)
 
 
+def _packed(frame: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+
+
 class _Assembly(StatefulProcessor):
+    """Keys of one bucket: of each what it needs, when its time is over and whether it is done, and the fragments of those that are not."""
+
     def __init__(self, key: str, patience: int):
         self.key, self.patience = key, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "fragment long", "seen boolean")
-        self.head = handle.getValueState("head", "have long, need long, due long, done boolean")
+        self.state = handle.getValueState("bucket", "heads binary, parts binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None or key[0] != key[0]:
+        if key[0] < 0:  # rows without a key only move the watermark
             return
-        frame = pd.concat(rows)
-        have, need, due, done = self.head.get() if self.head.exists() else (0, 0, -1, False)
-        if not done:
-            for fragment in dict.fromkeys(frame["fragment"].tolist()):
-                if not self.parts.containsKey((fragment,)):
-                    self.parts.updateValue((fragment,), (True,))
-                    have += 1
-            need = max(need, int(frame["total"].max()))
-            if have >= need:
-                done = True
-                self.parts.clear()
-        later = int(frame["at"].max()) + self.patience
-        if later > due:
-            if due >= 0:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(later)
-            due = later
-        before = self.head.get()[3] if self.head.exists() else False
-        self.head.update((have, need, due, done))
-        if done and not before:
-            yield pd.DataFrame([(key[0], have, need, True)], columns=[self.key, "have", "need", "complete"])
+        came = pd.concat(rows)
+        heads = came.groupby(self.key, sort=False).agg(need=("total", "max"), due=("at", "max")).reset_index()
+        heads["due"] += self.patience
+        heads["done"] = False
+        parts, timer = came.loc[came["whole"], [self.key, "fragment"]], None
+        if self.state.exists():
+            known, kept = map(_unpacked, self.state.get())
+            timer = int(known["due"].min())
+            heads = pd.concat([known, heads]).groupby(self.key, sort=False).max().reset_index()
+            parts = pd.concat([kept, parts]) if len(kept) else parts
+        parts = parts[~parts[self.key].isin(heads[self.key][heads["done"]])].drop_duplicates()
+        have = self._have(heads, parts)
+        full = ~heads["done"] & (have >= heads["need"])
+        heads["done"] |= full
+        self._keep(heads, parts[~parts[self.key].isin(heads[self.key][full])], timer)
+        yield self._given(heads, have, full, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        have, need, _, done = self.head.get()
-        self.parts.clear()
-        self.head.clear()
-        if not done:
-            yield pd.DataFrame([(key[0], have, need, False)], columns=[self.key, "have", "need", "complete"])
+        heads, parts = map(_unpacked, self.state.get())
+        over = heads["due"] <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        have = self._have(heads, parts)
+        self._keep(heads[~over], parts[~parts[self.key].isin(heads[self.key][over])], None)
+        yield self._given(heads, have, over & ~heads["done"], False)
+
+    def _have(self, heads: pd.DataFrame, parts: pd.DataFrame) -> pd.Series:
+        return heads[self.key].map(parts.groupby(self.key).size()).fillna(0).astype("int64")
+
+    def _given(self, heads: pd.DataFrame, have: pd.Series, which: pd.Series, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: heads[self.key][which], "have": have[which], "need": heads["need"][which], "complete": complete})
+
+    def _keep(self, heads: pd.DataFrame, parts: pd.DataFrame, timer: int | None) -> None:
+        """Keeps the bucket, if there is any of it, with a timer for the key whose time is over first in place of the one that is set."""
+        due = int(heads["due"].min()) if len(heads) else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((_packed(heads), _packed(parts)))
 
     def close(self) -> None:
         pass
 
 
-def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str, late: str, patience_ms: int) -> DataFrame:
+def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str, late: str, patience_ms: int, buckets: int = 512) -> DataFrame:
     """(key, have, need, complete): a key as soon as so many different fragments have come as any of its rows says, once.
 
     Its fragments leave the state then; a mark that it is done, and what is incomplete, leave it when the watermark
-    is patience_ms past the key's latest row, and incomplete keys are given then.
+    is patience_ms past the key's latest row, and incomplete keys are given then. Keys are taken a bucket at a time, by columns:
+    its state and the rows it gets in a micro-batch must fit into a task.
     """
-    rows = stream.withWatermark(time, late).select(key, time, F.col(fragment).cast("long").alias("fragment"), F.col(total).cast("long").alias("total"), F.unix_millis(time).alias("at"))
-    return _processed(rows, key, _Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    whole, keyed = F.col(fragment).isNotNull(), F.col(key)
+    if isinstance(stream.schema[key].dataType, IntegralType):  # with a null among them pandas makes them floats
+        keyed = F.coalesce(keyed, F.lit(0).cast(stream.schema[key].dataType)).alias(key)
+    rows = stream.withWatermark(time, late).select(bucket.alias("__bucket"), keyed, time, whole.alias("whole"), F.coalesce(F.col(fragment).cast("long"), F.lit(0)).alias("fragment"), F.coalesce(F.col(total).cast("long"), F.lit(0)).alias("total"), F.unix_millis(time).alias("at"))
+    return _processed(rows, "__bucket", _Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
 
 
 class _Bounded(StatefulProcessor):
