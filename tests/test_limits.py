@@ -87,6 +87,19 @@ def test_assemblies_are_taken_a_bucket_at_a_time(spark):
     assert len(got) == 2000 and {(r.k - 2**53, r.have, r.need, r.complete) for r in got} == {(k, 1 + k % 3, 1 + k % 3, True) for k in range(3000) if k % 3 < 2}
 
 
+def test_windows_are_joined_a_bucket_at_a_time_and_let_go(spark):
+    """Each row was several reads of Spark's state, and the row that closes the facts was filtered out before it moved their watermark."""
+    n, big = 500, 2**53
+    w = spark.range(n).select((F.col("id") + big).alias("k"), F.timestamp_seconds(F.lit(100)).alias("begun"))
+    f = spark.range(n).where("id % 3 > 0").select((F.col("id") + big).alias("k"), F.timestamp_seconds(F.lit(150)).alias("at"), F.concat(F.lit("é\""), "id").alias("kind"), F.when(F.col("id") % 3 == 1, F.col("id") + 2**60).alias("value"))
+    odd = spark.createDataFrame([(None, 150, "x", 1), (big, None, "x", 1)], "k long, at long, kind string, value long").withColumn("at", F.timestamp_seconds("at"))
+    facts, windows = arrivals.in_files(f.union(odd), F.when(F.col("kind") == "x", 1).otherwise(0), 2, "at"), arrivals.in_files(w, F.col("k") % 2, 2, "begun")
+    out = arrivals.drained(stateful.pending_releases(windows, facts, "k", "begun", "at", "value", "kind", "1 hour", "10 seconds", "0 seconds", 16))
+    got = sorted((r.k - big, r.kind, r.value) for r in out.rows.where("k is not null").collect())
+    assert got == [(k, f'é"{k}' if k % 3 else None, k + 2**60 if k % 3 == 1 else None) for k in range(n)]
+    assert out.state_rows == 1  # the closing window
+
+
 def test_arrivals_are_as_many_files_as_their_size_needs(spark, monkeypatch):
     """One task wrote and read each micro-batch, however large; now each has the same number of files, empty ones among them."""
     monkeypatch.setattr(arrivals, "FILE_BYTES", 1000)

@@ -210,21 +210,9 @@ def growing_regions(stream: DataFrame, key: str, index: str, cut: Column, most:
     return _processed(rows, key, _Layout(key, first, most), f"{_named(stream, key)}, region long, lo long, hi long, closed boolean", "append", "None")
 
 
-def pending_releases(windows: DataFrame, facts: DataFrame, key: str, begun: str, at: str, value: str, kind: str, within: str, before: str, late: str) -> DataFrame:
-    """(key, kind, value): what came of each held window, one row for each fact about it, and one of nulls if its time went by without any.
-
-    A join of two watermarked streams: facts (key, at, kind, value) count from `before` ahead of
-    the window's begin to `within` after it, so both sides leave the state when the watermark is past that.
-    """
-    w = windows.withWatermark(begun, late).select(F.col(key).alias("__key"), F.col(begun).alias("__begun"))
-    f = facts.withWatermark(at, late).select(key, at, kind, value)
-    on = (F.col("__key") == F.col(key)) & (F.col(at) >= F.col("__begun") - F.expr(f"interval {before}")) & (F.col(at) <= F.col("__begun") + F.expr(f"interval {within}"))
-    return w.join(f, on, "left_outer").select(F.col("__key").alias(key), kind, value)
-
-
 def _packed(frame: pd.DataFrame) -> bytes:
     table, out = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema) as stream:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
         stream.write_table(table)
     return out.getvalue().to_pybytes()
 
@@ -233,18 +221,116 @@ def _unpacked(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
 
 
-class _Assembly(StatefulProcessor):
+class _Bucket(StatefulProcessor):
+    """Many keys as one: two frames of them are the state, and one timer is set for what is due first."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "one binary, other binary")
+
+    def _due(self, one: pd.DataFrame, other: pd.DataFrame) -> int | None:
+        raise NotImplementedError
+
+    def _known(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        one, other = map(_unpacked, self.state.get())
+        return one, other
+
+    def _keep(self, one: pd.DataFrame, other: pd.DataFrame, timer: int | None) -> None:
+        """Keeps what there is, with a timer in place of the one that is set."""
+        due = self._due(one, other)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((_packed(one), _packed(other)))
+
+    def close(self) -> None:
+        pass
+
+
+#: What a bucket is for rows without a key.
+_KEYLESS = -1
+
+
+def _bucketed(stream: DataFrame, key: str, buckets: int) -> list[Column]:
+    """(__bucket, key) of rows; keys that are whole numbers without nulls, with which pandas makes them floats."""
+    kind = stream.schema[key].dataType
+    bucket = F.when(F.col(key).isNull(), _KEYLESS).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    return [bucket.alias("__bucket"), F.coalesce(key, F.lit(0).cast(kind)).alias(key) if isinstance(kind, IntegralType) else F.col(key)]
+
+
+class _Releases(_Bucket):
+    """Windows (key, lo, hi, met) and facts (key, lo, hi, fact) of one bucket: both stay until the watermark is past hi."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def _due(self, windows: pd.DataFrame, facts: pd.DataFrame) -> int | None:
+        ends = [int(x["hi"].min()) for x in (windows, facts) if len(x)]
+        return min(ends) // 1000 + 1 if ends else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(rows)
+        begun = came["fact"].isna()
+        windows, facts = came.loc[begun, [self.key, "lo", "hi"]].assign(met=False), came.loc[~begun, [self.key, "lo", "hi", "fact"]]
+        if key[0] == _KEYLESS:  # nothing is a fact about them
+            facts = facts[:0]
+        held, timer, met = 0, None, []
+        if self.state.exists():
+            known, kept = self._known()
+            held, timer = len(known), self._due(known, kept)
+            met.append(self._met(known, facts))
+            windows, facts = pd.concat([known, windows]), pd.concat([kept, facts])
+        windows = windows.reset_index(drop=True)
+        met.append(self._met(windows[held:], facts))
+        for pairs in met:
+            windows.loc[pairs["index"], "met"] = True
+            yield pairs[[self.key, "fact"]]
+        self._keep(windows, facts, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        windows, facts = self._known()
+        past = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        lost = windows[(windows["hi"] < past) & ~windows["met"]]
+        self._keep(windows[windows["hi"] >= past], facts[facts["hi"] >= past], None)
+        yield pd.DataFrame({self.key: None if key[0] == _KEYLESS else lost[self.key], "fact": None}, index=lost.index)
+
+    def _met(self, windows: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        pairs = windows.reset_index().merge(facts, on=self.key, suffixes=("", "_fact"))
+        return pairs[(pairs["lo_fact"] >= pairs["lo"]) & (pairs["lo_fact"] <= pairs["hi"])]
+
+
+def pending_releases(windows: DataFrame, facts: DataFrame, key: str, begun: str, at: str, value: str, kind: str, within: str, before: str, late: str, buckets: int = 512) -> DataFrame:
+    """(key, kind, value): what came of each held window, one row for each fact about it, and one of nulls if its time went by without any.
+
+    An outer join of two watermarked streams: facts (key, at, kind, value) count from `before` ahead of
+    the window's begin to `within` after it, so both sides leave the state when the watermark is past that. Keys are
+    joined a bucket at a time, by columns, as Spark's own join of streams goes to its state several times for each row:
+    the state of a bucket must fit into a task.
+    """
+    early, long, never = F.expr(f"interval {before}"), F.expr(f"interval {within}"), F.lit(1 << 62)
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    w = windows.withWatermark(begun, late).select(*_bucketed(windows, key, buckets), F.col(begun).alias("t"), F.coalesce(F.unix_micros(F.col(begun) - early), never).alias("lo"), F.coalesce(F.unix_micros(F.col(begun) + long), never).alias("hi"), F.lit(None).cast("string").alias("fact"))
+    f = facts.withWatermark(at, late).where(F.col(at).isNotNull()).select(*_bucketed(facts, key, buckets), F.col(at).alias("t"), F.unix_micros(at).alias("lo"), F.unix_micros(F.col(at) + early).alias("hi"), F.to_json(F.struct(F.col(kind).alias("kind"), F.col(value).alias("value")), exact).alias("fact"))
+    out = _processed(w.union(f), "__bucket", _Releases(key), f"{_named(windows, key)}, fact string", "append", "EventTime")
+    fact = F.from_json("fact", f"kind {facts.schema[kind].dataType.simpleString()}, value {facts.schema[value].dataType.simpleString()}", exact)
+    return out.select(key, fact.alias("f")).select(key, F.col("f.kind").alias(kind), F.col("f.value").alias(value))
+
+
+class _Assembly(_Bucket):
     """Keys of one bucket: of each what it needs, when its time is over and whether it is done, and the fragments of those that are not."""
 
     def __init__(self, key: str, patience: int):
         self.key, self.patience = key, patience
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("bucket", "heads binary, parts binary")
+    def _due(self, heads: pd.DataFrame, parts: pd.DataFrame) -> int | None:
+        return int(heads["due"].min()) if len(heads) else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] < 0:  # rows without a key only move the watermark
+        if key[0] == _KEYLESS:  # they only move the watermark
             return
         came = pd.concat(rows)
         heads = came.groupby(self.key, sort=False).agg(need=("total", "max"), due=("at", "max")).reset_index()
@@ -252,8 +338,8 @@ class _Assembly(StatefulProcessor):
         heads["done"] = False
         parts, timer = came.loc[came["whole"], [self.key, "fragment"]], None
         if self.state.exists():
-            known, kept = map(_unpacked, self.state.get())
-            timer = int(known["due"].min())
+            known, kept = self._known()
+            timer = self._due(known, kept)
             heads = pd.concat([known, heads]).groupby(self.key, sort=False).max().reset_index()
             parts = pd.concat([kept, parts]) if len(kept) else parts
         parts = parts[~parts[self.key].isin(heads[self.key][heads["done"]])].drop_duplicates()
@@ -264,7 +350,7 @@ class _Assembly(StatefulProcessor):
         yield self._given(heads, have, full, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        heads, parts = map(_unpacked, self.state.get())
+        heads, parts = self._known()
         over = heads["due"] <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         have = self._have(heads, parts)
         self._keep(heads[~over], parts[~parts[self.key].isin(heads[self.key][over])], None)
@@ -276,21 +362,6 @@ class _Assembly(StatefulProcessor):
     def _given(self, heads: pd.DataFrame, have: pd.Series, which: pd.Series, complete: bool) -> pd.DataFrame:
         return pd.DataFrame({self.key: heads[self.key][which], "have": have[which], "need": heads["need"][which], "complete": complete})
 
-    def _keep(self, heads: pd.DataFrame, parts: pd.DataFrame, timer: int | None) -> None:
-        """Keeps the bucket, if there is any of it, with a timer for the key whose time is over first in place of the one that is set."""
-        due = int(heads["due"].min()) if len(heads) else None
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if due is None:
-            self.state.clear()
-            return
-        if timer != due:
-            self.handle.registerTimer(due)
-        self.state.update((_packed(heads), _packed(parts)))
-
-    def close(self) -> None:
-        pass
-
 
 def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str, late: str, patience_ms: int, buckets: int = 512) -> DataFrame:
     """(key, have, need, complete): a key as soon as so many different fragments have come as any of its rows says, once.
@@ -299,11 +370,8 @@ def assembled(stream: DataFrame, key: str, fragment: str, total: str, time: str,
     is patience_ms past the key's latest row, and incomplete keys are given then. Keys are taken a bucket at a time, by columns:
     its state and the rows it gets in a micro-batch must fit into a task.
     """
-    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
-    whole, keyed = F.col(fragment).isNotNull(), F.col(key)
-    if isinstance(stream.schema[key].dataType, IntegralType):  # with a null among them pandas makes them floats
-        keyed = F.coalesce(keyed, F.lit(0).cast(stream.schema[key].dataType)).alias(key)
-    rows = stream.withWatermark(time, late).select(bucket.alias("__bucket"), keyed, time, whole.alias("whole"), F.coalesce(F.col(fragment).cast("long"), F.lit(0)).alias("fragment"), F.coalesce(F.col(total).cast("long"), F.lit(0)).alias("total"), F.unix_millis(time).alias("at"))
+    whole = F.col(fragment).isNotNull()
+    rows = stream.withWatermark(time, late).select(*_bucketed(stream, key, buckets), time, whole.alias("whole"), F.coalesce(F.col(fragment).cast("long"), F.lit(0)).alias("fragment"), F.coalesce(F.col(total).cast("long"), F.lit(0)).alias("total"), F.unix_millis(time).alias("at"))
     return _processed(rows, "__bucket", _Assembly(key, patience_ms), f"{_named(stream, key)}, have long, need long, complete boolean", "append", "EventTime")
 
 
