@@ -1,13 +1,15 @@
 """Operators at ties, at their limits and on larger tables."""
 
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from trialspan.llm import quality
 from trialspan.operators import aggregates as A
+from trialspan.operators import graph, scans, sets
 from trialspan.operators import joins as J
-from trialspan.operators import scans, sets
 from trialspan.plans import catalogue
 from trialspan.streaming import arrivals, stateful
 
@@ -111,6 +113,15 @@ def test_arrivals_are_as_many_files_as_their_size_needs(spark, monkeypatch):
     assert sizes > 3  # more than one task of a micro-batch wrote
 
 
+def test_few_windows_are_objects_at_a_time(spark):
+    """A batch of 8,000 windows of 64 edges was half a million dicts at once."""
+    edge = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct(k.alias("a"), (k + 1).alias("b"), F.lit(0.5).alias("w")))
+    w = spark.range(8000, numPartitions=1).select("id", F.lit(65).alias("nodes"), edge.alias("edges"), F.array("id").alias("marked"))
+    r = graph.decoded(w, "id", lambda nodes, edges, marked: [sys.getallocatedblocks(), len(edges), *marked]).collect()
+    assert [(x.id, *x.correction[1:]) for x in r] == [(k, 64, k) for k in range(8000)]
+    assert max(x.correction[0] for x in r) < 1_000_000
+
+
 def test_blocks_are_bounded_in_number(spark):
     """Bounds are part of the plan: 10,000 of them were more code than a method may have."""
     x = scans.blocked(spark.range(4000), "id", 2).groupBy("__block").agg(F.count("*").alias("n")).collect()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,16 +182,26 @@ def union_find_decode(nodes: int, edges: list[tuple[int, int, float]], marked: s
 Decoder = Callable[[int, list[tuple[int, int, float]], set[int]], list[int]]
 
 
+#: Windows that are Python objects at a time; the rest of an Arrow batch stays in columns.
+DECODED_ROWS = 128
+
+
 def decoded(windows: DataFrame, key: str, decoder: Decoder = union_find_decode) -> DataFrame:
     """(key, correction): rows (key, nodes, edges, marked) decoded one window at a time by any function of them; a window's graph has a bounded size."""
     schema = f"`{key}` {windows.schema[key].dataType.simpleString()}, correction array<int>"
-
-    def run(frames):
-        for frame in frames:
-            answers = [decoder(int(n), [(e["a"], e["b"], e["w"]) for e in edges], set(m)) for n, edges, m in zip(frame.nodes, frame.edges, frame.marked, strict=True)]
-            yield pd.DataFrame({key: frame[key], "correction": answers})
-
-    return windows.select(key, "nodes", "edges", "marked").mapInPandas(run, schema)
+    rows = DECODED_ROWS
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(at, rows) for at in range(0, batch.num_rows, rows)):
+                edges = part.column("edges")
+                of = dict(zip((f.name for f in edges.type.value_type), edges.flatten().flatten(), strict=True))
+                every = zip(*(of[c].to_numpy(zero_copy_only=False).tolist() for c in "abw"), strict=True)
+                graphs = zip(part.column("nodes").to_pylist(), edges.value_lengths().to_pylist(), part.column("marked").to_pylist(), strict=True)
+                answers = [decoder(int(n), list(islice(every, size)), set(m)) for n, size, m in graphs]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(answers, pa.list_(pa.int32()))], [key, "correction"])
+
+    return windows.select(key, "nodes", "edges", "marked").mapInArrow(run, schema)
 
 
 def odd_walk_gap(nodes: int, edges: list[tuple[int, int, float, bool]], limit: float = float("inf")) -> float:
