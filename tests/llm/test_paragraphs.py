@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from trialspan.llm import _arrays as A
 from trialspan.llm import paragraphs
@@ -157,3 +158,50 @@ def test_odd_rows(odd, odd_rows, empty):
     expected = brute([r for r in rows if len(r[1]) < 50000])
     assert {(r.doc_id, r.first_word): r.first_doc for r in out} == expected
     assert paragraphs.repeated(empty).count() == 0
+
+
+def test_keys_of_the_same_paragraphs_are_one():
+    """Pairs that collide in several bands are handed on once, and where a third paragraph is in one band only, all are."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        line = prose(rng, 60).split()
+        for edit in ("edit", "other", "third")[: rng.randint(2, 3)]:
+            line[rng.randrange(60)] = edit
+            rows.append(" ".join(line))
+    packed = pa.Table.from_batches(paragraphs._made(4)([pa.RecordBatch.from_pydict({"id": range(len(rows)), "text": rows})])).sort_by("bucket")
+    found = [r for b in paragraphs._collided(paragraphs.HOT)(packed.to_batches()) for r in b.to_pylist() if r["kind"] == 1]
+    groups, band = {}, {}
+    for r in found:
+        groups.setdefault(r["key"], set()).add(r["name"])
+        band[r["key"], r["name"]] = band.get((r["key"], r["name"]), 0) + 1
+    assert max(band.values()) > 1  # several bands
+    assert len({frozenset(g) for g in groups.values()}) == len(groups)
+    assert all(len(g) > 1 for g in groups.values())
+
+
+def test_links_do_not_depend_on_batches():
+    rng = random.Random(9)
+    rows = []
+    for key in range(30):
+        base = rng.sample(range(1000), 40)
+        for k in range(rng.choice([1, 2, 2, 3, 9])):
+            s = sorted(set(base[: rng.randint(30, 40)]) | set(rng.sample(range(1000, 2000), rng.randint(0, 5))))
+            rows.append({"key": key, "name": 100 * key + k, "shingles": np.array(s, np.uint64).tobytes()})
+
+    def parts(links):
+        root = {r["name"]: r["name"] for r in rows}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {n: x if r == y else r for n, r in root.items()}
+        groups = {}
+        for n, r in root.items():
+            groups.setdefault(r, set()).add(n)
+        return {frozenset(g) for g in groups.values()}
+
+    sets = {r["name"]: np.frombuffer(r["shingles"], np.uint64) for r in rows}
+    expected = parts([(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and paragraphs._similar(sets[a], sets[b])])
+    table = pa.Table.from_pylist(rows, pa.schema([("key", pa.int64()), ("name", pa.int64()), ("shingles", pa.binary())]))
+    for n in (1, 2, 3, 7, len(rows)):
+        out = pa.Table.from_batches(paragraphs._linked(iter(table.to_batches(max_chunksize=n)))).to_pylist()
+        assert parts([(r["a"], r["b"]) for r in out]) == expected

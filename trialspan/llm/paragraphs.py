@@ -17,7 +17,7 @@ of which two sets that are alike must share one, and so on to cells of a bounded
 
 Bands are tuned for recall: six of two rows miss a pair at 0.8 with probability 0.002, one at
 0.9 with 5e-5, and equal ones never. Rows are packed by task and bucket; repeats within a task are
-merged before the shuffle. Identifiers of words, shingles and classes are 64-bit hashes.
+merged before the shuffle. Keys of several bands that hold the same classes are compared once. Identifiers of words, shingles and classes are 64-bit hashes.
 
 Defined cases: a null or empty text, or one of fewer than `LEAST` words, has no paragraphs. A row without an id takes no part. Rows that repeat an id are one document. An
 empty table gives an empty result. Other columns are not looked at.
@@ -49,13 +49,14 @@ PARTITIONS = 20_000
 HOT = 2_000
 #: Bytes of text whose rows a task holds before it sends them on.
 FLUSH_BYTES = 4 << 20
-#: Links that a task holds before it sends them on.
-SENT_LINKS = 10_000
+#: Words of the sets that a task makes at once, and one set alone if it has more.
+SENT_WORDS = 1 << 20
 _MIN = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
 #: Bits of a band's key that are kept; what they confuse is told apart on full sets.
 _KEY = _U((1 << 40) - 1)
+_LOW = (1 << 32) - 1
 
 
 def _around(x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,15 @@ def _units(s: np.ndarray, seg: np.ndarray, whole: np.ndarray, inside: np.ndarray
     on, back = np.flatnonzero(few[:-1] & same), np.flatnonzero(few[1:] & same) + 1
     start = np.concatenate((s, seg, s[head], seg[on], last[back - 1]))
     stop = np.concatenate((e, seg + whole, e[head + 1], first[on + 1], (seg + whole)[back]))
-    both = np.unique(np.stack((start, stop - start), 1)[stop - start >= LEAST], axis=0)
-    return both[:, 0], both[:, 1]
+    both = np.unique((start << 32 | stop - start)[stop - start >= LEAST])
+    return both >> 32, both & _LOW
+
+
+def _names(h: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The classes of runs of words, from the words' hashes."""
+    power, inverse = A._power_tables(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * power[: len(h)], dtype=_U)))
+    return A.mix((sums[s + size] - sums[s]) * inverse[s] + size.astype(_U) * _U(0xA24BAED4963EE407))
 
 
 def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,9 +130,7 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = (three < before) & (three <= after) & (three != _TOP)
     cut[seg] = True
     s, size = _units(np.flatnonzero(cut), seg, size, inside, of)
-    power, inverse = A._power_tables(n + 1)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(h * power[:n], dtype=_U)))
-    name = A.mix((sums[s + size] - sums[s]) * inverse[s] + size.astype(_U) * _U(0xA24BAED4963EE407))
+    name = _names(h, s, size)
     shingles = np.concatenate((A.grams(h, SHINGLE), np.full(min(SHINGLE, n), _TOP)))
     text = of[s]
     return text, s - first[text], size, name, np.concatenate((shingles, s.astype(_U)))
@@ -143,21 +149,28 @@ def _bands(shingles: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _repeats(shingles: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether each paragraph holds a shingle twice."""
-    order = np.argsort(shingles, kind="stable")
-    same = shingles[order][1:] == shingles[order][:-1]
+    """Whether each paragraph holds a shingle twice, by the shingles' upper bits: what they confuse is compared in vain and no more."""
+    mask = _U((1 << len(shingles).bit_length()) - 1)
+    code = np.sort(shingles & ~mask | np.arange(len(shingles), dtype=_U))
+    same = code[1:] ^ code[:-1] <= mask
     last = np.full(len(shingles), -1)
-    last[order[1:][same]] = order[:-1][same]
+    last[code[1:][same] & mask] = code[:-1][same] & mask
     return np.maximum.reduceat(last, np.stack((s, s + size - SHINGLE + 1), 1).ravel())[::2] >= s
 
 
 #: again: an earlier document of the task has the class too; with a band's key, that the paragraph holds a shingle twice.
 _PACKED = "bucket int, kind int, rows binary"
 _FIELDS = np.dtype([("key", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("again", "?")])
-#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class of a like size shares; kind 2: members of classes that repeat in one document only; kind 3: as 1, of keys with many.
+#: kind 0: members of classes that repeat; kind 1: paragraphs whose band another class of a like size shares, under a key for the classes that share it; kind 2: members of classes that repeat in one document only; kind 3: as 1, of keys with many.
 _FOUND = "kind int, key long, name long, doc long, start int, size int"
 
 
+def _several(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of some ordered values occurs more than once."""
+    same = ordered[1:] == ordered[:-1]
+    return np.concatenate(([False], same)) | np.concatenate((same, [False]))
+
+
 def _planes(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows.view(np.uint8).reshape(-1, _FIELDS.itemsize).T).tobytes()
 
@@ -169,17 +182,22 @@ def _unplanes(blobs: list[pa.Scalar]) -> np.ndarray:
 
 def _dealt(rows: np.ndarray, many: int, kind: int, by: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     group = ((by & _U(0xFFFFFFFF)) * _U(many) >> _U(32)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    order = np.argsort(group.astype(np.min_scalar_type(many)), kind="stable")
+    first = _firsts(group[order])
+    rows = rows[order]
     for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        yield int(group[order[lo]]), kind, _planes(rows[order[lo:hi]])
+        yield int(group[order[lo]]), kind, _planes(rows[lo:hi])
 
 
 def _made(many: int):
     def sent(units: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
         unit, keys = np.concatenate(units), np.concatenate(bands)
         units.clear(), bands.clear()
-        order = np.lexsort((unit["start"], unit["doc"], unit["name"]))
+        name = np.ascontiguousarray(unit["name"])
+        order = np.argsort(name)
+        several = _several(name[order])
+        more = order[several]
+        order[several] = more[np.lexsort((unit["start"][more], unit["doc"][more], name[more]))]
         unit, keys = unit[order], keys[order]
         twice = unit["again"].copy()
         new = np.concatenate(([True], unit["name"][1:] != unit["name"][:-1]))
@@ -189,10 +207,11 @@ def _made(many: int):
         out = list(_dealt(unit[~lost], many, 0, unit["name"][~lost]))
         if lost.any():
             out += _dealt(unit[lost], many, 2, A.mix(unit["doc"][lost].astype(_U)))
+        rows = unit[first]
+        rows["again"] = twice[first]
         for b in range(BANDS):
-            rows = unit[first].copy()
-            rows["key"], rows["again"] = keys[first, b], twice[first]
-            out += _dealt(rows, many, 1, rows["key"])
+            rows["key"] = key = keys[first, b]
+            out += _dealt(rows, many, 1, key)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "rows"])
 
     @A.lean
@@ -250,6 +269,16 @@ def _alike(rows: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return order[keep]
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places where another value begins."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+
+
+def _sets_of(names: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A key for the different classes of each key, the same for keys, of any band, that hold the same ones: their links are the same."""
+    return A.mix(np.add.reduceat(A.mix(names), first) + many.astype(_U)) if len(first) else np.empty(0, _U)
+
+
 def _collided(hot: int):
     @A.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +287,28 @@ def _collided(hot: int):
                 yield _found(_unplanes(held[2]), 0)
             if 0 in held:
                 rows = _unplanes(held[0])
-                rows = rows[np.argsort(rows["name"], kind="stable")]
-                first = np.flatnonzero(np.concatenate(([True], rows["name"][1:] != rows["name"][:-1])))
-                spread = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)) | np.logical_or.reduceat(rows["again"], first)
+                name = np.ascontiguousarray(rows["name"])
+                order = np.argsort(name, kind="stable")
+                rows = rows[order[_several(name[order]) | rows["again"][order]]]
+                first = _firsts(rows["name"])
                 many = np.diff(np.append(first, len(rows)))
-                yield _found(rows[np.repeat(spread, many)], 0)
-                yield _found(rows[np.repeat(~spread & (many > 1), many)], 2)
+                if len(rows):
+                    spread = (np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)) | np.logical_or.reduceat(rows["again"], first)
+                    yield _found(rows[np.repeat(spread, many)], 0)
+                    yield _found(rows[np.repeat(~spread, many)], 2)
             if 1 in held:
                 rows = _unplanes(held[1])
-                rows = rows[np.lexsort((rows["start"], rows["doc"], rows["name"], rows["key"]))]
-                rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["name"][1:] != rows["name"][:-1])))]
-                first = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-                rows = rows[_alike(rows, first, np.diff(np.append(first, len(rows))))]
-                _, of, many = np.unique(rows["key"], return_inverse=True, return_counts=True)
-                large = many[of] > hot
+                key = np.ascontiguousarray(rows["key"])
+                order = np.argsort(key)
+                rows = rows[order[_several(key[order])]]
+                rows = rows[np.lexsort([np.ascontiguousarray(rows[c]) for c in ("start", "doc", "name", "key")])]
+                rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["name"][1:] != rows["name"][:-1])))[: len(rows)]]
+                first = _firsts(rows["key"])
+                rows = rows[_alike(rows, first, np.diff(np.append(first, len(rows))))] if len(rows) else rows
+                first = _firsts(rows["key"])
+                many = np.diff(np.append(first, len(rows)))
+                rows["key"] = np.repeat(_sets_of(rows["name"], first, many), many)
+                large = np.repeat(many > hot, many)
                 yield _found(rows[~large], 1)
                 if large.any():
                     yield _found(rows[large], 3)
@@ -284,26 +321,34 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, name, shingles) of the wanted paragraphs of each text."""
     for batch in batches:
         wanted = batch.column("wanted")
-        keys, names, sets = [], [], []
         for i, j, off, data in A.slices(batch.column("text")):
-            text, start, size, name, rest = paragraphs(A.LOWER[data], off)
-            if not len(text):
+            data = A.LOWER[data]
+            starts, ends, first = A.words(data, off)
+            lists = wanted.slice(i, j - i)
+            rows, of = lists.flatten(), np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
+            s, size = first[of] + rows.field("start").to_numpy(), rows.field("size").to_numpy().astype(np.int64)
+            here = np.flatnonzero(s + size <= first[of + 1])  # another text of the same id may hold the others
+            if not len(here):
                 continue
-            shingles, place = rest[: -len(text)], rest[-len(text) :].astype(np.int64)
-            edge = np.searchsorted(text, np.arange(j - i + 1))
-            code = start << 32 | size
-            for k in range(i, j):
-                lo, hi = edge[k - i], edge[k - i + 1]
-                rows = wanted[k].values
-                want = rows.field("start").to_numpy().astype(np.int64) << 32 | rows.field("size").to_numpy()
-                at = lo + np.searchsorted(code[lo:hi], want)
-                here = np.flatnonzero(at < hi)  # another text of the same id may hold the others
-                here = here[(code[at[here]] == want[here]) & (name[at[here]].view(np.int64) == rows.field("name").to_numpy()[here])]
-                keys.append(rows.field("key").take(pa.array(here)))
-                names.append(rows.field("name").take(pa.array(here)))
-                sets += [np.unique(shingles[place[a] : place[a] + size[a] - SHINGLE + 1]).tobytes() for a in at[here]]
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.concat_arrays(names), pa.array(sets, pa.binary())], names=["key", "name", "shingles"])
+            h = A.spans(A.prefix(data), starts, ends)
+            here = here[_names(h, s[here], size[here]).view(np.int64) == rows.field("name").to_numpy()[here]]
+            here = here[np.argsort(s[here] << 32 | size[here])]
+            values, rank = np.unique(A.grams(h, SHINGLE), return_inverse=True)
+            for part in np.split(here, np.flatnonzero(np.diff(np.cumsum(size[here]) // SENT_WORDS)) + 1):
+                place, which = np.unique(s[part] << 32 | size[part], return_inverse=True)
+                sets = _sets(values, rank, place >> 32, (place & _LOW) - SHINGLE + 1)
+                at = pa.array(part)
+                yield pa.RecordBatch.from_arrays([rows.field("key").take(at), rows.field("name").take(at), sets.take(pa.array(which))], names=["key", "name", "shingles"])
+
+
+def _sets(values: np.ndarray, rank: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The different ones of n values from each place s, in their order; values are given by their ranks."""
+    edge = np.concatenate(([0], np.cumsum(n)))
+    of = np.repeat(np.arange(len(s)), n)
+    code = np.sort(of << 32 | rank[np.arange(edge[-1]) + (s - edge[:-1])[of]])
+    code = code[np.concatenate(([True], code[1:] != code[:-1]))[: len(code)]]
+    to = np.searchsorted(code, np.arange(len(s) + 1) << 32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(values[code & _LOW])])
 
 
 def _similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -321,55 +366,79 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
 
+def _overlaps(values: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many values two sets share, for pairs of sets of n and m values that stand beside each other from at on."""
+    edge = np.concatenate(([0], np.cumsum(n + m)))
+    of = np.repeat(np.arange(len(at)), n + m)
+    rank = np.unique(values[np.arange(edge[-1]) + (at - edge[:-1])[of]], return_inverse=True)[1]
+    code = np.sort(of << 32 | rank)
+    return np.bincount(code[1:][code[1:] == code[:-1]] >> 32, minlength=len(at))
+
+
+def _pairs(i: np.ndarray, name: np.ndarray, part: np.ndarray, values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows i with the rows after them."""
+    n, m = edge[i + 1] - edge[i], edge[i + 2] - edge[i + 1]
+    near = (part[i] != part[i + 1]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    i, n, m = i[near], n[near], m[near]
+    both = _overlaps(values, edge[i], n, m)
+    i = i[100 * both >= PERCENT * (n + m - both)]
+    return name[i], name[i + 1]
+
+
+def _among(name: np.ndarray, part: np.ndarray, values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of one key."""
+    size = np.diff(edge)
+    order = np.argsort(size, kind="stable")
+    size, root = size[order], np.unique(part, return_inverse=True)[1][order]
+    to = np.searchsorted(size, size * 100 // PERCENT, "right")
+    values, of = np.concatenate([values[edge[k] : edge[k + 1]] for k in order]), np.repeat(np.arange(len(order)), size)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    a, b = [], []
+    for i in range(len(order) - 1):
+        if to[i] <= i + 1 or (root[i + 1 : to[i]] == root[i]).all():
+            continue
+        mine, rest = values[edge[i] : edge[i + 1]], values[edge[i + 1] : edge[to[i]]]
+        hit = mine[np.minimum(np.searchsorted(mine, rest), len(mine) - 1)] == rest
+        both = np.bincount(of[edge[i + 1] : edge[to[i]]][hit] - i - 1, minlength=to[i] - i - 1)
+        for j in i + 1 + np.flatnonzero(100 * both >= PERCENT * (size[i] + size[i + 1 : to[i]] - both)):
+            if root[j] != root[i]:
+                a.append(order[i])
+                b.append(order[j])
+                root[root == root[j]] = root[i]
+    return name[a], name[b]
+
+
 @A.lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect the classes of each key, from rows in the order of keys; classes of one part need none."""
-    now, names, sets, parts = None, [], [], []
-    a, b = [], []
-
-    def links() -> None:
-        if len(sets) == 2:
-            if parts[0] != parts[1] and _similar(*sets):
-                a.append(names[0])
-                b.append(names[1])
-            return
-        size = np.array([len(s) for s in sets])
-        order = np.argsort(size, kind="stable")
-        values, of = np.concatenate([sets[k] for k in order]), np.repeat(np.arange(len(order)), size[order])
-        size, root = size[order], np.unique(parts, return_inverse=True)[1][order]
-        edge = np.concatenate(([0], np.cumsum(size)))
-        for i in range(len(order) - 1):
-            to = int(np.searchsorted(size, size[i] * 100 // PERCENT, "right"))
-            if to <= i + 1 or (root[i + 1 : to] == root[i]).all():
-                continue
-            mine, rest = values[edge[i] : edge[i + 1]], values[edge[i + 1] : edge[to]]
-            hit = mine[np.minimum(np.searchsorted(mine, rest), len(mine) - 1)] == rest
-            both = np.bincount(of[edge[i + 1] : edge[to]][hit] - i - 1, minlength=to - i - 1)
-            for j in i + 1 + np.flatnonzero(100 * both >= PERCENT * (size[i] + size[i + 1 : to] - both)):
-                if root[j] != root[i]:
-                    a.append(names[order[i]])
-                    b.append(names[order[j]])
-                    root[root == root[j]] = root[i]
-
-    def sent() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        name = rows.column("name").to_numpy()
+        part = rows.column("part").to_numpy() if "part" in rows.schema.names else name
+        sets = rows.column("shingles")
+        edge = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64) // 8
+        values = np.frombuffer(sets.buffers()[2], _U)
+        first = _firsts(rows.column("key").to_numpy())
+        many = np.diff(np.append(first, len(rows)))
+        found = [_pairs(first[many == 2], name, part, values, edge)]
+        for i, n in zip(first[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+            found.append(_among(name[i : i + n], part[i : i + n], values, edge[i : i + n + 1]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []  # rows of one key, which may go on in the next batch
     for batch in batches:
-        part = batch.column("part" if "part" in batch.schema.names else "name")
-        for key, name, p, s in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist(), part.to_pylist(), batch.column("shingles"), strict=True):
-            if key != now:
-                if len(sets) > 1:
-                    links()
-                now, names, sets, parts = key, [], [], []
-                if len(a) > SENT_LINKS:
-                    yield sent()
-                    a, b = [], []
-            names.append(name)
-            parts.append(p)
-            sets.append(np.frombuffer(s.as_buffer(), _U))
-    if len(sets) > 1:
-        links()
-    yield sent()
+        key = batch.column("key").to_numpy()
+        if not len(key):
+            continue
+        if key[0] == key[-1] and (not held or held[0].column("key")[0].as_py() == key[0]):
+            held.append(batch)
+            continue
+        last = int(np.flatnonzero(key == key[-1])[0])
+        yield links([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield links(held)
 
 
 @A.lean
@@ -417,9 +486,10 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = written(packed.mapInArrow(_collided(HOT), _FOUND), "paragraphs", F.max("kind"))
 
     def sets(kind: int) -> DataFrame:
-        wanted = found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted"))
-        lists = written(wanted, "wanted")
-        texts = rows.join(narrow(lists.select("id")), "id", "left_semi")
+        # bands whose keys hold the same classes want the same sets; the shuffles by id serve what is made distinct, too
+        wanted = found.where(F.col("kind") == kind).select(F.col("doc").alias("id"), "key", "name", "start", "size").repartition("id").distinct()
+        lists = written(wanted.groupBy("id").agg(F.collect_list(F.struct("key", "name", "start", "size")).alias("wanted")), "wanted")
+        texts = rows.join(narrow(lists.select("id")), "id", "left_semi").repartition("id")
         return texts.dropDuplicates(["id", "text"]).hint("merge").join(lists, "id").select("text", "wanted").mapInArrow(_with_sets, "key long, name long, shingles binary")
 
     links = sets(1).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
