@@ -53,6 +53,22 @@ def test_pooled_sums_without_a_needless_scale(spark):
     assert dict(map(tuple, A.sum_likelihood(df, ["k"], "answer", "weight").collect())) == {1: "A", 2: "A", 3: "A"}
 
 
+def test_pooled_sums_are_taken_in_the_order_of_rows(spark, against_sql):
+    """exp(-48) is lost when it is added to exp(-11), and two of them are not: tasks that summed their own rows first gave N, however the rows were dealt."""
+    rows = [(1, "N", 11.0), (1, "R", 11.0), (1, "N", 48.0), (1, "N", 48.0)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_quantity double")
+    for parts in (1, 2, 4):
+        dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), df.schema)
+        assert [tuple(r) for r in A.sum_likelihood(dealt, ["l_orderkey"], "l_returnflag", "l_quantity").collect()] == [(1, "R")]
+    against_sql("pooled", lineitem=df)
+
+
+def test_pooled_keeps_rows_without_a_key(spark):
+    """A join by key left them out; the SQL has them."""
+    df = spark.createDataFrame([(None, "A", 3.0), (None, "R", 2.0)], "k long, answer string, weight double")
+    assert [tuple(r) for r in A.sum_likelihood(df, ["k"], "answer", "weight").collect()] == [(None, "R")]
+
+
 def test_state_has_no_more_parts_than_tasks_run_at_once(spark):
     """However many partitions shuffles have: each part of the state costs its time in every micro-batch."""
     before = spark.conf.get("spark.sql.shuffle.partitions")

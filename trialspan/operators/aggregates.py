@@ -160,11 +160,15 @@ def sum_likelihood(df: DataFrame, keys: list[str], answer: str, weight: str) ->
     """The class with the largest sum of exp(-weight), of equal sums the largest class; sums are scaled by the least weight of the key where exp would leave the doubles.
 
     Scaled sums are rounded to the scale's own last place, which differs from the plain sum's, so keys that need no scale get none.
+    Terms are added in the order of df's rows, one by one: sums of parts would be rounded by how rows are dealt to tasks. A key
+    is sorted in one task. Sums never fall as terms are added, so the largest one of a class is its whole.
     """
-    least = df.groupBy(*keys).agg(F.min(weight).alias("least"))
+    rows = df.select(*keys, answer, weight, F.monotonically_increasing_id().alias("__place"))
+    key, term = Window.partitionBy(*keys).orderBy(answer, "__place"), Window.partitionBy(*keys, answer).orderBy("__place")
+    rows = rows.withColumn("least", F.min(weight).over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     scale = F.when(F.abs("least") > _EXP, F.col("least")).otherwise(F.lit(0.0))
-    pooled = df.join(least, keys).groupBy(*keys, answer).agg(F.sum(F.exp(scale - F.col(weight))).alias("mass"))
-    return pooled.groupBy(*keys).agg(F.max_by(answer, F.struct("mass", answer)).alias(answer))
+    rows = rows.withColumn("mass", F.sum(F.exp(scale - F.col(weight))).over(term.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys).agg(F.max_by(answer, F.struct("mass", answer)).alias(answer))
 
 
 def batch_price(law: str, price: Column) -> Column:
