@@ -155,3 +155,12 @@ def test_intervals_are_sorted_in_as_many_tasks_as_shuffles_have(spark):
     assert out.count() == 50 * 40 + 49  # one before each key's first but the one at 0, 39 between, one after
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") + plan.count("Range (") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_intervals_without_an_end_are_joined_as_in_sql(spark, against_sql):
+    """Spark sorts nulls first: they came out as intervals of their own, and an interval without an end parted those that begin with it."""
+    rows = [(1, 9000, 1), (1, 9000, None), (1, 9001, 2), (1, None, 1), (1, 9100, 0), (2, 9000, 0), (2, None, None), (2, 9050, None)]
+    df = spark.createDataFrame(rows, "l_suppkey long, day int, l_linenumber int")
+    out = sets.joined_intervals(df.select("l_suppkey", F.col("day").alias("lo"), (F.col("day") + 1 + F.col("l_linenumber")).alias("hi")), ["l_suppkey"], "lo", "hi")
+    assert {tuple(r) for r in out.collect()} == {(1, 9000, 9004), (1, 9100, 9101), (2, 9000, 9001), (2, 9050, None)}
+    against_sql("interval_union", lineitem=df.select("l_suppkey", "l_linenumber", F.date_from_unix_date("day").cast("timestamp_ntz").alias("l_shipdate")))

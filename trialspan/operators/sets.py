@@ -27,9 +27,9 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def joined_intervals(df: DataFrame, keys: list[str], lo: str, end: str, touching_only: bool = False) -> DataFrame:
-    """(keys, lo, end) of half-open intervals joined where they touch, and where they overlap unless touching_only."""
+    """(keys, lo, end) of half-open intervals joined where they touch, and where they overlap unless touching_only. Those without lo come last and begin nothing, unless a key has no others."""
     df = _dealt(df.select(*keys, lo, end), keys)
-    w = Window.partitionBy(*keys).orderBy(lo, end)
+    w = Window.partitionBy(*keys).orderBy(F.col(lo).asc_nulls_last(), F.col(end).asc_nulls_last())
     before = F.lag(end).over(w) if touching_only else F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = (before.isNull() | ((before != F.col(lo)) if touching_only else (before < F.col(lo)))).cast("int")
     rows = df.select(*keys, lo, end).withColumn("__new", new).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
